@@ -103,6 +103,18 @@ SELECT doc_id AS file_id, doc_id % 137 AS user_id, doc_id % 11 AS folder_id,
        n_chars * 1000003 AS size, 19753 - doc_id % 400 AS last_update_day,
        CASE WHEN doc_id % 50 = 0 THEN 1 ELSE 0 END AS is_lost
 FROM {documents}""",
+    "fx_accounts": """
+SELECT u.user_id, CASE WHEN u.user_id % 23 = 7 THEN 'timeout' ELSE 'ok' END AS content_status,
+       CAST(COALESCE(f.bytes + u.user_id % 3 * 1000000007, 0) AS BIGINT) AS root_size,
+       u.user_id * 12345678 AS bandwidth_used,
+       CASE WHEN u.user_id % 5 = 0 THEN NULL ELSE 19753 - u.user_id % 40 END AS last_signin_day,
+       CASE WHEN u.user_id % 6 = 0 THEN NULL ELSE 19753 - u.user_id % 900 END AS sign_up_day,
+       u.user_id % 2 AS saw_walkthrough, CASE WHEN u.user_id % 7 = 0 THEN 1 ELSE 0 END AS is_business,
+       CASE WHEN u.user_id % 8 = 0 THEN 1 ELSE 0 END AS is_referred,
+       CASE WHEN u.user_id % 9 = 0 THEN 1 ELSE 0 END AS has_sso, u.user_id % 4 AS lost_pw_requests,
+       CASE WHEN u.user_id % 10 = 0 THEN 1 ELSE 0 END AS totp_enabled, u.user_id % 3 AS invites_accepted
+FROM (SELECT DISTINCT user_id FROM {fx_events} WHERE user_id IS NOT NULL) u
+LEFT JOIN (SELECT user_id, SUM(size) AS bytes FROM {fx_files} GROUP BY user_id) f ON u.user_id = f.user_id""",
     "fx_billing": """
 SELECT event_id, ts, user_id AS uid,
        CASE WHEN event_id % 40 = 0 THEN 'GRACE_WATCH'
@@ -162,7 +174,8 @@ def load(spark: SparkSession, sf_dir: str) -> Tables:
     return Tables(
         events=frames["fx_events"], revenue=frames["fx_revenue"], requests=frames["fx_requests"],
         subscription_state=frames["fx_subscription_state"], vid_user_map=frames["fx_vid_user_map"],
-        bw_user_day=frames["fx_bw_user_day"], files=frames["fx_files"], billing=frames["fx_billing"],
+        bw_user_day=frames["fx_bw_user_day"], files=frames["fx_files"],
+        accounts=frames["fx_accounts"], billing=frames["fx_billing"],
         expiry=frames["fx_expiry"], plan_storage=plan_storage(spark),
     )
 

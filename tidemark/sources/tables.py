@@ -23,6 +23,7 @@ class Tables:
     vid_user_map: DataFrame
     bw_user_day: DataFrame
     files: DataFrame
+    accounts: DataFrame
     billing: DataFrame
     expiry: DataFrame
     plan_storage: DataFrame
