@@ -1 +1,124 @@
-"""To be filled."""
+"""Rollups and state tables, batch and streaming, with their check SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.catalog.registry import query
+from tidemark.operators import recipes as rc
+from tidemark.session import scratch_dir
+from tidemark.sources import fixtures
+from tidemark.sources.fixtures import AS_OF
+from tidemark.sources.tables import Tables
+from tidemark.streaming import rollups as ro
+from tidemark.streaming import state as st
+
+C = F.col
+MIN = "date_trunc('minute', ts) AS bucket"
+TRAFFIC = "COUNT(*) AS requests, CAST(SUM(bytes_sent) AS BIGINT) AS bytes"
+TIME = "CAST(SUM(req_time_ms) AS BIGINT) AS req_time_sum, ROUND(CAST(SUM(req_time_ms) AS DOUBLE) / COUNT(*), 3) AS req_time_avg"
+PATTERN = """CASE WHEN path LIKE '/presentation/master%' THEN 'presentation_master'
+  WHEN path LIKE '/presentation/audio%' THEN 'presentation_audio' WHEN path LIKE '/presentation/hls%' THEN 'presentation_hls'
+  WHEN path LIKE '/hls/lq%' THEN 'legacy_lq' WHEN path LIKE '/hls/hd%' THEN 'legacy_hd' WHEN path LIKE '/thumbs%' THEN 'thumbs'
+  WHEN path LIKE '/subtitles%' THEN 'subtitles' ELSE 'other' END AS pattern"""
+FROM = "FROM fx_requests GROUP BY ALL"
+SQL = {
+    "stats_minute": f"SELECT {MIN}, node, {TRAFFIC}, COUNT(*) FILTER (status >= 400) AS errors, {TIME} {FROM}",
+    "country_minute": f"SELECT {MIN}, node, country, {TRAFFIC}, COUNT(DISTINCT client_ip) AS client_ips, {TIME} {FROM}",
+    "isp_minute": f"SELECT {MIN}, node, asn, asn_org, {TRAFFIC}, COUNT(DISTINCT client_ip) AS client_ips, {TIME} {FROM}",
+    "path_minute": f"SELECT {MIN}, node, base_path, {TRAFFIC}, {TIME} {FROM}",
+    "status_minute": f"SELECT {MIN}, node, status, COUNT(*) AS requests {FROM}",
+    "ip_minute": f"SELECT {MIN}, node, client_ip, {TRAFFIC} {FROM}",
+    "file_minute": f"SELECT {MIN}, node, hash, {TRAFFIC} {FROM}",
+    "user_minute": f"SELECT {MIN}, node, user_id, {TRAFFIC} FROM fx_requests WHERE user_id <> 0 GROUP BY ALL",
+    "stall_minute": f"""SELECT {MIN}, node, base_path, COUNT(*) AS stalls,
+      CAST(SUM(bytes_expect - bytes_sent) AS BIGINT) AS bytes_lost, CAST(SUM(stall_ms) AS BIGINT) AS stall_ms_sum
+      FROM fx_requests WHERE is_stalled = 1 GROUP BY ALL""",
+    "stream_status_minute": f"SELECT {MIN}, node, {PATTERN}, status, COUNT(*) AS requests {FROM}",
+    "stream_empty_stub_minute": f"""SELECT {MIN}, node, {PATTERN}, COUNT(*) AS requests FROM fx_requests
+      WHERE status = 200 AND body_bytes = 101 GROUP BY ALL""",
+    "path_quality": f"""SELECT date_trunc('hour', ts) AS bucket, node, asn, base_path, {TRAFFIC},
+      CAST(SUM(retrans) AS BIGINT) AS retrans, COUNT(*) FILTER (is_stall = 1) AS stalls,
+      COUNT(*) FILTER (status >= 500) AS errors, COUNT(*) FILTER (proto = 'h3') AS h3_requests {FROM}""",
+    "bw_user_day": """SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS bucket, user_id,
+      CAST(SUM(bytes_sent) AS BIGINT) AS bytes, COUNT(*) AS reqs FROM fx_requests WHERE user_id <> 0 GROUP BY ALL""",
+}
+IDS = {name: f"ST-{i}" for i, name in enumerate(SQL, 1)}
+
+
+def exact(df: DataFrame) -> DataFrame:
+    """Leave out percentiles, which are approximate; averages come from sum and count."""
+    return df.drop(*[c for c in df.columns if "_p" in c and c.rsplit("_p", 1)[1].isdigit()])
+
+
+def _register(name: str) -> None:
+    spec = ro.ROLLUPS[name]
+    query(f"rollup_{name}", IDS[name], SQL[name])(lambda t: exact(ro.readout(ro.rollup(t.requests, spec))))
+
+
+for _name in SQL:
+    _register(_name)
+
+query("rollup_merged_to_hour", "ST-20 A-10", f"""SELECT date_trunc('hour', ts) AS bucket, country, {TRAFFIC},
+  {TIME} {FROM}""")(
+    lambda t: exact(ro.readout(ro.reroll(
+        ro.rollup(t.requests, ro.ROLLUPS["country_minute"]), ro.ROLLUPS["country_minute"], "1 hour", ["country"])))
+    .drop("client_ips"))
+query("rollup_percentiles", "ST-1 ST-12 A-10")(
+    lambda t: ro.readout(ro.reroll(
+        ro.rollup(t.requests, ro.ROLLUPS["path_quality"]), ro.ROLLUPS["path_quality"], "1 day", ["node"])))
+query("rollup_recent_nodes", "R-9 A-10", f"""m AS (SELECT {MIN}, node, {TRAFFIC},
+  COUNT(*) FILTER (status >= 400) AS errors, SUM(req_time_ms) AS rt {FROM})
+SELECT bucket, node, requests AS reqs, bytes, errors, ROUND(CAST(rt AS DOUBLE) / requests, 3) AS rt_avg_ms FROM m
+WHERE bucket >= TIMESTAMP '2024-01-30 12:00:00' ORDER BY bucket DESC, reqs DESC, node LIMIT 20""")(
+    lambda t: rc.recent_node_stats(ro.rollup(t.requests, ro.ROLLUPS["stats_minute"]), AS_OF, 12 * 60))
+
+
+def node_load(t: Tables) -> DataFrame:
+    """Node telemetry stand-in: one reading per request time."""
+    return t.requests.select("node", "ts", (C("event_id") % 100).cast("double").alias("load1"))
+
+
+query("recipe_quality_vs_load", "R-13", f"""m AS (SELECT {MIN}, node, COUNT(*) AS n,
+  CAST(COUNT(*) FILTER (status >= 400) AS DOUBLE) / COUNT(*) AS er, AVG(CAST(event_id % 100 AS DOUBLE)) AS load1 {FROM})
+SELECT node, COUNT(*) AS minutes, ROUND(corr(er, load1), 9) AS load_corr FROM m GROUP BY node""")(
+    lambda t: rc.quality_vs_load(ro.rollup(t.requests, ro.ROLLUPS["stats_minute"]), node_load(t))
+    .withColumn("load_corr", F.round("load_corr", 9)))
+
+
+# --- streams: the same tables kept incrementally --------------------------------------------
+def _streamed(t: Tables, source: str, start, name: str) -> DataFrame:
+    spark = t.events.sparkSession
+    stream = fixtures.load_stream(spark, t.location)[source]
+    path, checkpoint = scratch_dir(spark, name), scratch_dir(spark, f"{name}-progress")
+    start(stream, path, checkpoint).awaitTermination()
+    return spark.read.parquet(path)
+
+
+def streamed_rollup(t: Tables, name: str) -> DataFrame:
+    spec = ro.ROLLUPS[name]
+    parts = _streamed(t, "fx_requests", lambda s, p, c: ro.start_rollup(s, spec, p, c), name)
+    return exact(ro.readout(ro.reroll(parts, spec)))
+
+
+def _register_stream(name: str) -> None:
+    query(f"stream_{name}", IDS[name], SQL[name])(lambda t: streamed_rollup(t, name))
+
+
+for _name in ("stats_minute", "country_minute", "stall_minute", "path_quality", "bw_user_day"):
+    _register_stream(_name)
+
+VID = """v AS (SELECT vid, user_id, row_number() OVER (PARTITION BY vid ORDER BY created_at DESC, event_id DESC) AS rn
+  FROM fx_events WHERE user_id IS NOT NULL) SELECT vid, user_id FROM v WHERE rn = 1"""
+query("state_vid_map", "ST-14 J-3", VID)(lambda t: st.merge_vid_map(st.vid_map(t.events)))
+query("stream_vid_map", "ST-14", VID)(
+    lambda t: st.merge_vid_map(_streamed(t, "fx_events", st.start_vid_map, "vid-map")))
+STATE = "SELECT user_id, last_event_type, last_event_at FROM fx_subscription_state"
+query("state_subscription", "ST-15", STATE)(lambda t: st.subscription_state(t.events))
+query("stream_subscription", "ST-15", STATE)(
+    lambda t: st.merge_subscription(_streamed(t, "fx_events", st.start_subscription_state, "subscription")))
+query("state_request_errors", "ST-16", """SELECT event_id, status, base_path FROM fx_requests
+WHERE status >= 400""")(
+    lambda t: st.payment_errors(t.requests.withColumn("is_error", (C("status") >= 500).cast("int")))
+    .select("event_id", "status", "base_path"))

@@ -80,6 +80,16 @@ SELECT event_id, ts, user_id, event_id % 9 AS file_id,
        CASE event_id % 3 WHEN 0 THEN 'h2' WHEN 1 THEN 'h3' ELSE 'h1' END AS proto,
        concat('n', CAST(event_id % 5 AS STRING)) AS node,
        CAST(event_id % 977 AS BIGINT) AS req_time_ms,
+       concat('10.0.0.', CAST(event_id % 200 AS STRING)) AS client_ip,
+       64500 + event_id % 13 AS asn, concat('org', CAST(event_id % 13 AS STRING)) AS asn_org,
+       concat('h', CAST(event_id % 101 AS STRING)) AS hash,
+       CASE event_id % 8 WHEN 0 THEN '/presentation/master.m3u8' WHEN 1 THEN '/presentation/audio/a.ts'
+            WHEN 2 THEN '/presentation/hls/v.ts' WHEN 3 THEN '/hls/lq/x.ts' WHEN 4 THEN '/hls/hd/x.ts'
+            WHEN 5 THEN '/thumbs/1.jpg' WHEN 6 THEN '/subtitles/1.vtt' ELSE '/app/index' END AS path,
+       CASE WHEN event_id % 19 = 0 THEN 101 ELSE event_id % 1000 * 1000003 END AS body_bytes,
+       event_id % 1000 * 1000003 + CASE WHEN event_id % 17 = 0 THEN 5000 ELSE 0 END AS bytes_expect,
+       100 + event_id % 5000 AS rtt_us, event_id % 3 AS retrans,
+       CASE WHEN event_id % 17 = 0 THEN 1 ELSE 0 END AS is_stalled, event_id % 300 AS stall_ms,
        CASE event_id % 4 WHEN 0 THEN 'in' WHEN 1 THEN 'in' WHEN 2 THEN 'us' ELSE 'de' END AS country
 FROM {events}""",
     "fx_subscription_state": """
@@ -176,10 +186,26 @@ def load(spark: SparkSession, sf_dir: str) -> Tables:
         subscription_state=frames["fx_subscription_state"], vid_user_map=frames["fx_vid_user_map"],
         bw_user_day=frames["fx_bw_user_day"], files=frames["fx_files"],
         accounts=frames["fx_accounts"], billing=frames["fx_billing"],
-        expiry=frames["fx_expiry"], plan_storage=plan_storage(spark),
+        expiry=frames["fx_expiry"], plan_storage=plan_storage(spark), location=sf_dir,
     )
 
 
+def load_stream(spark: SparkSession, sf_dir: str, files_per_batch: int = 1) -> dict[str, DataFrame]:
+    """The event-born views as streams over the same files."""
+    prepare(spark)
+    pattern = f"{sf_dir.rstrip('/')}/events*.parquet"
+    schema = spark.read.parquet(pattern).schema
+    stream = (
+        spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(pattern)
+    )
+    names = {"events": "tidemark_stream_events", "fx_events": "tidemark_stream_fx_events"}
+    stream.createOrReplaceTempView(names["events"])
+    frames = {}
+    for view in ("fx_events", "fx_requests"):
+        frames[view] = spark.sql(_bind(VIEWS[view], names))
+    return frames
+
+
 def with_views(body: str) -> str:
     """Put the adapter views in front of a DuckDB query (``[ctes] SELECT``)."""
     names = {k: k for k in (*BASE_TABLES, *VIEWS)}

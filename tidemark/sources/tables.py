@@ -27,6 +27,7 @@ class Tables:
     billing: DataFrame
     expiry: DataFrame
     plan_storage: DataFrame
+    location: str = ""  # folder the tables were read from
 
 
 def latest_version(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
