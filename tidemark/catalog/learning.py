@@ -1 +1,199 @@
-"""To be filled."""
+"""Models on the panels. They have no SQL twin; their metrics are checked separately."""
+
+from __future__ import annotations
+
+from dataclasses import replace
+from datetime import date
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.catalog.profiles import churn_with_now, content_table
+from tidemark.catalog.registry import query
+from tidemark.functions.scalar import flag
+from tidemark.models import explain as ex
+from tidemark.models import prepare as pr
+from tidemark.models import supervised as sv
+from tidemark.models import unsupervised as un
+from tidemark.models import uplift as up
+from tidemark.plans import churn_panel as churn
+from tidemark.plans import conversion_panel as conv
+from tidemark.plans import ltv_panel as ltv
+from tidemark.plans import scoring as sc
+from tidemark.plans import winback as wb
+from tidemark.session import materialize, scratch_dir
+from tidemark.sources.fixtures import AS_OF, CHURN_SNAPSHOTS, LTV_DATES, TEST_CONFIG as CFG
+from tidemark.sources.tables import Tables
+
+C = F.col
+SMALL = sv.TreeParams(iterations=5, depth=3, min_rows=5)
+LTV_CAT = ("provider", "country", "last_plan_id")
+LTV_FEATS = sv.Features(tuple(c for c in ltv.FEATURES_V2 if c not in LTV_CAT), LTV_CAT)
+CHURN_CAT = ("country", "last_sub_event", "last_plan_id")
+CHURN_FEATS = sv.Features(
+    tuple(c for c in churn.CHURN_COLUMNS if c not in (*CHURN_CAT, "user_id", "snapshot_date")), CHURN_CAT)
+# a wide date range and no sampling, so that small test tables hold both classes
+WIDE = replace(CFG, panel_start=date(2024, 1, 3), panel_end=date(2024, 1, 25), negative_rate=1.0, bulk_threshold=5)
+
+
+def _ltv_rows(t: Tables) -> tuple[DataFrame, DataFrame]:
+    rows = materialize(
+        ltv.build_ltv_panel(t.revenue, LTV_DATES, CFG)
+        .withColumn("row_id", C("user_id") * 100000 + F.unix_date("index_date")), "ltv-panel")
+    return pr.split_date(rows, "index_date", CFG.ltv_split)
+
+
+def _churn_rows(t: Tables) -> DataFrame:
+    return materialize(
+        churn.build_churn_panel(t, CHURN_SNAPSHOTS, AS_OF, CFG)
+        .withColumn("row_id", C("user_id") * 100000 + F.unix_date("snapshot_date")), "churn-panel")
+
+
+def _panel(t: Tables, uplift: bool) -> DataFrame:
+    rows = materialize(conv.build_conversion_panel(t, AS_OF, WIDE, uplift), "conversion-panel")
+    keep = ("user_id", "send_date", "label_conv_14d", "sample_weight", "treatment", *conv.SEGMENT_FLAGS, *pr.CATEGORICAL)
+    return pr.clean(rows.drop("mobile_share_now"), keep=keep).withColumn(
+        "row_id", C("user_id") * 100000 + F.unix_date("send_date"))
+
+
+def _panel_feats(df: DataFrame) -> sv.Features:
+    out = (*pr.LEAKS, "user_id", "row_id", "label_conv_14d", "sample_weight", "treatment", *conv.SEGMENT_FLAGS)
+    return sv.Features(tuple(pr.numeric_columns(df, out)), pr.CATEGORICAL)
+
+
+@query("model_conversion_report", "M-1 M-2 M-3 M-7 M-8 M-9 M-19 M-20 M-21 M-22 F-17 F-18 F-19")
+def conversion_report(t: Tables) -> DataFrame:
+    rows = pr.cap_rows(_panel(t, False), "label_conv_14d", 4_000_000, ["user_id", "send_date"])
+    train, test = pr.split_time(rows, "send_date", 0.8)
+    feats, out = _panel_feats(rows), None
+    for name, model in (("logreg", sv.fit_logreg(train, feats, "label_conv_14d", "sample_weight")),
+                        ("gbt", sv.fit_gbt(train, feats, "label_conv_14d", "sample_weight", SMALL))):
+        scored = sv.predict(model, test, feats, "score")
+        row = sv.classification_report(scored, "label_conv_14d", "score", "row_id", name, "sample_weight")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("model_segment_vs_global", "M-13 P-19")
+def segment_vs_global(t: Tables) -> DataFrame:
+    rows = _panel(t, False)
+    train, test = pr.split_time(rows, "send_date", 0.8)
+    feats = _panel_feats(rows)
+    model = sv.fit_logreg(train, feats, "label_conv_14d", "sample_weight")
+    scored = sv.predict(model, test, feats, "global_score").select("row_id", "global_score")
+    targets = {"seg_winback_active": "label_conv_14d", "seg_cart_abandoner": "label_conv_14d",
+               "seg_monthly_loyal": "label_payment_14d"}
+    return sv.segment_vs_global(train, test, feats, targets, scored, "label_conv_14d", "row_id", "sample_weight")
+
+
+@query("model_s_learner_effects", "M-14")
+def s_learner_effects(t: Tables) -> DataFrame:
+    rows = _panel(t, True)
+    return up.segment_effect(
+        up.s_learner(rows, _panel_feats(rows), "label_conv_14d", SMALL), conv.SEGMENT_FLAGS, "tau", 10)
+
+
+@query("model_t_learner_effects", "M-15")
+def t_learner_effects(t: Tables) -> DataFrame:
+    rows = _panel(t, True)
+    return up.segment_effect(
+        up.t_learner(rows, _panel_feats(rows), "label_conv_14d", SMALL), conv.SEGMENT_FLAGS, "tau", 10)
+
+
+@query("model_churn_report", "M-5 M-8 M-9 M-19 M-20 M-21 M-22")
+def churn_report(t: Tables) -> DataFrame:
+    """Model A on everyone, model B before the cancel click; whole users held out."""
+    rows, out = _churn_rows(t), None
+    early = sv.Features(tuple(c for c in CHURN_FEATS.num if c != "had_cancel_sched_30"), CHURN_CAT)
+    for name, part, feats in (("A", rows, CHURN_FEATS), ("B", rows.filter("had_cancel_sched_30 = 0"), early)):
+        train, test = pr.split_user(part, 30)
+        for kind, model in (("logreg", sv.fit_logreg(train, feats, "label_churn_30", balanced=True)),
+                            ("gbt", sv.fit_gbt(train, feats, "label_churn_30", params=SMALL))):
+            scored = sv.predict(model, test, feats, "score")
+            row = sv.classification_report(scored, "label_churn_30", "score", "row_id", f"{name} {kind}", pcts=(10,))
+            out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("model_churn_scores", "C-9 K-15 K-16 M-9")
+def churn_scores(t: Tables) -> DataFrame:
+    model = sv.fit_gbt(_churn_rows(t), CHURN_FEATS, "label_churn_30", params=SMALL)
+    today = churn.build_churn_panel(t, [AS_OF.date()], AS_OF, CFG, with_label=False)
+    return sc.churn_scores(sv.predict(model, today, CHURN_FEATS, "model_risk"), t.expiry, AS_OF, CFG)
+
+
+@query("model_ltv_report", "M-4 M-10 M-11 M-12 M-23 M-24")
+def ltv_report(t: Tables) -> DataFrame:
+    train, test = _ltv_rows(t)
+    scored = sv.persistence(test)
+    scored = sv.predict(sv.fit_gbt_reg(train, LTV_FEATS, "label_rev_365", SMALL), scored, LTV_FEATS, "pred_gbm", "value")
+    scored = materialize(sv.fit_two_part(train, LTV_FEATS, "label_rev_365", SMALL).predict(scored, "pred_two_part"), "ltv-scored")
+    out = None
+    for pred in ("pred_persistence", "pred_gbm", "pred_two_part"):
+        row = sv.regression_report(scored, "label_rev_365", pred, "row_id", pred)
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("model_ltv_scores", "K-17 L-5 M-11 M-27 M-28")
+def ltv_scores(t: Tables) -> DataFrame:
+    """Train, save, load and score the payers of today."""
+    spark = t.events.sparkSession
+    train, _ = _ltv_rows(t)
+    path, out = scratch_dir(spark, "ltv-model"), scratch_dir(spark, "ltv-predictions")
+    sv.save_model(sv.fit_gbt_reg(train, LTV_FEATS, "label_rev_365", SMALL), LTV_FEATS, path)
+    model, feats = sv.load_model(spark, path)
+    rows = sv.predict(model, ltv.score_rows(t.revenue, AS_OF, CFG), feats, "pred_ltv_gbm", "value")
+    rows = sv.fit_two_part(train, LTV_FEATS, "label_rev_365", SMALL).predict(rows, "pred_ltv_12m")
+    scores = sc.ltv_scores(rows, CFG)
+    sv.save_predictions(scores, scores.columns, out)
+    return spark.read.parquet(out)
+
+
+@query("model_calibration", "M-6 M-18 M-22")
+def calibration(t: Tables) -> DataFrame:
+    """Calibration error of P(pay) on test rows before and after isotonic regression."""
+    train, test = _ltv_rows(t)
+    mark = (C("label_rev_365") > 0).cast("int")
+    fit, held = pr.calibration_slice(train.withColumn("y", mark), "index_date", 0.8)
+    model = sv.fit_gbt(fit, LTV_FEATS, "y", params=SMALL)
+    iso = un.fit_isotonic(sv.predict(model, held, LTV_FEATS, "p"), "p", "y")
+    scored = un.calibrate(iso, sv.predict(model, test.withColumn("y", mark), LTV_FEATS, "p"), "p", "p_cal")
+    parts = [sv.m.ece(scored, "y", p, 15).join(F.broadcast(sv.m.brier(scored, "y", p)))
+             .select(F.lit(p).alias("score"), "ece", "brier") for p in ("p", "p_cal")]
+    return parts[0].unionByName(parts[1])
+
+
+@query("model_importance", "M-25")
+def importance(t: Tables) -> DataFrame:
+    train, test = _ltv_rows(t)
+    feats = sv.Features(("recency_days", "frequency", "rev_365", "tenure_days"), ("provider",))
+    mark = (C("label_rev_365") > 0).cast("int")
+    model = sv.fit_gbt(train.withColumn("y", mark), feats, "y", params=SMALL)
+    return ex.permutation_importance(model, test.withColumn("y", mark), feats, "y", "row_id", repeats=2)
+
+
+@query("model_ablation_churn", "M-26 K-22 J-10 J-11 F-22")
+def ablation_churn(t: Tables) -> DataFrame:
+    rows = materialize(
+        churn_with_now(t).withColumn("row_id", C("user_id") * 100000 + F.unix_date("snapshot_date")), "churn-now")
+    train, test = pr.split_user(rows, 30)
+    extra = sv.Features(("storage_used_pct", "share_video"), ("content_persona",))
+    return ex.ablation(train, test, CHURN_FEATS, extra, "label_churn_30", "row_id", SMALL)
+
+
+@query("model_value_lift", "M-26 J-10")
+def value_lift(t: Tables) -> DataFrame:
+    content = content_table(t).filter(C("content_status") == "ok").select(
+        "user_id", "storage_gb", "n_files", "content_persona", flag(C("n_files") == 0).alias("is_empty"))
+    train, test = (materialize(part.join(content, "user_id"), "ltv-content") for part in _ltv_rows(t))
+    extra = sv.Features(("storage_gb", "n_files", "is_empty"), ("content_persona",))
+    return ex.value_lift(train, test, LTV_FEATS, extra, "label_rev_365", SMALL)
+
+
+@query("model_winback_clusters", "M-17 K-14")
+def winback_clusters(t: Tables) -> DataFrame:
+    master = materialize(wb.winback(t, AS_OF, CFG), "winback")
+    rows = un.winback_features(master)
+    model = un.fit_kmeans(rows, [c for c in rows.columns if c != "user_id"], k=5, starts=3, seed=CFG.seed)
+    return un.cluster_summary(master, model.transform(rows))

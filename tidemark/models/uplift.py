@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.models.supervised import Features, TreeParams, fit_gbt, predict
+
 C = F.col
 
 
@@ -46,3 +48,20 @@ def segment_effect(scored: DataFrame, flags: Sequence[str], effect: str, min_row
         .agg(F.count(F.lit(1)).alias("rows"), (F.sum(C(effect) * C(weight)) / F.sum(weight)).alias(effect))
         .filter((C("rows") >= min_rows) | (C("segment") == "all"))
     )
+
+
+def s_learner(panel: DataFrame, feats: Features, label: str, params: TreeParams, weight: str = "sample_weight") -> DataFrame:
+    """One model with treatment as a feature; effect = P(1 | treated) - P(1 | not)."""
+    with_t = feats.plus(["treatment"])
+    model = fit_gbt(panel, with_t, label, weight, params)
+    both = panel.withColumnRenamed("treatment", "_arm")
+    p1 = predict(model, both.withColumn("treatment", F.lit(1)), with_t, "p1").drop("treatment")
+    p0 = predict(model, p1.withColumn("treatment", F.lit(0)), with_t, "p0").drop("treatment")
+    return p0.withColumnRenamed("_arm", "treatment").withColumn("tau", C("p1") - C("p0"))
+
+
+def t_learner(panel: DataFrame, feats: Features, label: str, params: TreeParams, weight: str = "sample_weight") -> DataFrame:
+    """A model per arm; effect = difference of the two on every row."""
+    arms = [fit_gbt(panel.filter(C("treatment") == a), feats, label, weight, params) for a in (1, 0)]
+    scored = predict(arms[0], panel, feats, "p1")
+    return predict(arms[1], scored, feats, "p0").withColumn("tau", C("p1") - C("p0"))
