@@ -52,8 +52,15 @@ def _churn_rows(t: Tables) -> DataFrame:
 def _panel(t: Tables, uplift: bool) -> DataFrame:
     rows = materialize(conv.build_conversion_panel(t, AS_OF, WIDE, uplift), "conversion-panel")
     keep = ("user_id", "send_date", "label_conv_14d", "sample_weight", "treatment", *conv.SEGMENT_FLAGS, *pr.CATEGORICAL)
-    return pr.clean(rows.drop("mobile_share_now"), keep=keep).withColumn(
+    cleaned = pr.clean(rows.drop("mobile_share_now"), keep=keep).withColumn(
         "row_id", C("user_id") * 100000 + F.unix_date("send_date"))
+    return materialize(cleaned, "conversion-clean")
+
+
+def _scored(model, df: DataFrame, feats: sv.Features, label: str, weight: str | None = None, out: str = "score") -> DataFrame:
+    """Scores written once: every metric of a report reads them."""
+    cols = ["row_id", label, out, *([weight] if weight else [])]
+    return materialize(sv.predict(model, df, feats, out).select(*cols), "scored")
 
 
 def _panel_feats(df: DataFrame) -> sv.Features:
@@ -64,11 +71,11 @@ def _panel_feats(df: DataFrame) -> sv.Features:
 @query("model_conversion_report", "M-1 M-2 M-3 M-7 M-8 M-9 M-19 M-20 M-21 M-22 F-17 F-18 F-19")
 def conversion_report(t: Tables) -> DataFrame:
     rows = pr.cap_rows(_panel(t, False), "label_conv_14d", 4_000_000, ["user_id", "send_date"])
-    train, test = pr.split_time(rows, "send_date", 0.8)
+    train, test = (materialize(part, "part") for part in pr.split_time(rows, "send_date", 0.8))
     feats, out = _panel_feats(rows), None
     for name, model in (("logreg", sv.fit_logreg(train, feats, "label_conv_14d", "sample_weight")),
                         ("gbt", sv.fit_gbt(train, feats, "label_conv_14d", "sample_weight", SMALL))):
-        scored = sv.predict(model, test, feats, "score")
+        scored = _scored(model, test, feats, "label_conv_14d", "sample_weight")
         row = sv.classification_report(scored, "label_conv_14d", "score", "row_id", name, "sample_weight")
         out = row if out is None else out.unionByName(row)
     return out
@@ -77,10 +84,10 @@ def conversion_report(t: Tables) -> DataFrame:
 @query("model_segment_vs_global", "M-13 P-19")
 def segment_vs_global(t: Tables) -> DataFrame:
     rows = _panel(t, False)
-    train, test = pr.split_time(rows, "send_date", 0.8)
+    train, test = (materialize(part, "part") for part in pr.split_time(rows, "send_date", 0.8))
     feats = _panel_feats(rows)
     model = sv.fit_logreg(train, feats, "label_conv_14d", "sample_weight")
-    scored = sv.predict(model, test, feats, "global_score").select("row_id", "global_score")
+    scored = _scored(model, test, feats, "label_conv_14d", out="global_score").select("row_id", "global_score")
     targets = {"seg_winback_active": "label_conv_14d", "seg_cart_abandoner": "label_conv_14d",
                "seg_monthly_loyal": "label_payment_14d"}
     return sv.segment_vs_global(train, test, feats, targets, scored, "label_conv_14d", "row_id", "sample_weight")
@@ -109,7 +116,7 @@ def churn_report(t: Tables) -> DataFrame:
         train, test = pr.split_user(part, 30)
         for kind, model in (("logreg", sv.fit_logreg(train, feats, "label_churn_30", balanced=True)),
                             ("gbt", sv.fit_gbt(train, feats, "label_churn_30", params=SMALL))):
-            scored = sv.predict(model, test, feats, "score")
+            scored = _scored(model, test, feats, "label_churn_30")
             row = sv.classification_report(scored, "label_churn_30", "score", "row_id", f"{name} {kind}", pcts=(10,))
             out = row if out is None else out.unionByName(row)
     return out

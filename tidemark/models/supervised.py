@@ -110,9 +110,8 @@ def classification_report(scored: DataFrame, label: str, score: str, tiebreak: s
                           weight: str | None = None, pcts: Sequence[float] = (1, 5, 10)) -> DataFrame:
     """One row: AUC, average precision, lift, top-decile precision and recall, calibration."""
     parts = [
-        m.roc_auc(scored, label, score, weight), m.avg_precision(scored, label, score, weight),
-        *[m.lift_at(scored, label, score, tiebreak, p, weight).withColumnRenamed("lift", f"lift_{p:g}") for p in pcts],
-        m.prec_recall_at(scored, label, score, tiebreak, 10).drop("lift"),
+        m.curve_metrics(scored, label, score, weight),
+        m.top_metrics(scored, label, score, tiebreak, pcts, weight),
         m.ece(scored, label, score, 10, weight), m.brier(scored, label, score, weight),
     ]
     return _one_row(name, parts)
@@ -171,9 +170,9 @@ def segment_vs_global(
 
 
 def _own_report(scored: DataFrame, label: str, score: str, key: str, weight: str, pct: float, name: str) -> DataFrame:
-    auc = m.roc_auc(scored, label, score, weight).withColumnRenamed("roc_auc", f"{name}_auc")
-    lift = m.lift_at(scored, label, score, key, pct, weight).withColumnRenamed("lift", f"{name}_lift")
-    return auc.join(F.broadcast(lift))
+    auc = m.curve_metrics(scored, label, score, weight).select(C("roc_auc").alias(f"{name}_auc"))
+    top = m.top_metrics(scored, label, score, key, (pct,), weight).select(C(f"lift_{pct:g}").alias(f"{name}_lift"))
+    return auc.join(F.broadcast(top))
 
 
 # --- storage ----------------------------------------------------------------------
