@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.catalog import sqlparts as p
 from tidemark.catalog.registry import query
 from tidemark.operators import extracts as x
-from tidemark.operators.joins import match_tolerance, sessionize
+from tidemark.operators.joins import join_text_id, match_tolerance, sessionize
 from tidemark.sources.fixtures import AS_OF, TEST_CONFIG as CFG
 from tidemark.sources.tables import apply_retention, clamp_future, exclude_window, latest_version, Retention
 
@@ -50,7 +50,7 @@ SELECT *, CAST(202401 AS INTEGER) AS month FROM email_day
 WHERE day BETWEEN 19723 AND 19753""")(
     lambda t: x.monthly(x.user_day_email(t.events.filter(x.month_filter("created_at", 202401)))))
 
-query("sessions_idle_30min", "W-15", """
+SESSIONS = """
 g AS (SELECT user_id, created_at, CASE WHEN created_at - lag(created_at) OVER w <= INTERVAL 30 MINUTE
     THEN 0 ELSE 1 END AS fresh FROM fx_events WHERE user_id IS NOT NULL
     WINDOW w AS (PARTITION BY user_id ORDER BY created_at, event_id)),
@@ -58,7 +58,17 @@ n AS (SELECT user_id, created_at, CAST(SUM(fresh) OVER (PARTITION BY user_id ORD
     ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session_no FROM g)
 SELECT user_id, session_no, MIN(created_at) AS started_at, MAX(created_at) AS ended_at, COUNT(*) AS events,
   CAST(date_diff('microsecond', MIN(created_at), MAX(created_at)) AS DOUBLE) / 1000000 AS seconds
-FROM n GROUP BY user_id, session_no""")(lambda t: sessionize(t.events, "user_id", "created_at", 30))
+FROM n GROUP BY user_id, session_no"""
+query("sessions_idle_30min", "W-15", SESSIONS)(lambda t: sessionize(t.events, "user_id", "created_at", 30))
+
+query("join_text_subscription_id", "J-21", """
+b AS (SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 'n/a' ELSE CAST(uid AS VARCHAR) END AS sub_id FROM fx_billing),
+p AS (SELECT user_id, COUNT(*) AS txns FROM fx_revenue GROUP BY user_id)
+SELECT p.user_id, b.event_id, b.sub_id, p.txns FROM b JOIN p ON TRY_CAST(b.sub_id AS BIGINT) = p.user_id""")(
+    lambda t: join_text_id(
+        t.billing.select("event_id", F.when(F.col("event_id") % 10 == 0, "n/a")
+                         .otherwise(F.col("uid").cast("string")).alias("sub_id")),
+        "sub_id", t.revenue.groupBy("user_id").agg(F.count(F.lit(1)).alias("txns")), "user_id"))
 
 # page views in local wall-clock time against purchases in UTC, hours apart are accepted
 TOL = 4 * 3600

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.catalog.extracts import SESSIONS
 from tidemark.catalog.registry import query
 from tidemark.operators import recipes as rc
 from tidemark.session import scratch_dir
@@ -122,3 +123,13 @@ query("state_request_errors", "ST-16", """SELECT event_id, status, base_path FRO
 WHERE status >= 400""")(
     lambda t: st.payment_errors(t.requests.withColumn("is_error", (C("status") >= 500).cast("int")))
     .select("event_id", "status", "base_path"))
+query("stream_sessions", "ST-19 W-15", SESSIONS)(
+    lambda t: st.read_sessions(_streamed(t, "fx_events", st.start_sessions, "sessions")))
+SKEW = "(event_id % 13 - 9)"
+query("state_skew_guard", "ST-18 F-20", f"""
+r AS (SELECT event_id, created_at, created_at + {SKEW} * INTERVAL 1 MINUTE AS received_at FROM fx_events)
+SELECT event_id, least(created_at, received_at) AS created_at FROM r
+WHERE created_at - INTERVAL 5 MINUTE <= received_at""")(
+    lambda t: st.with_skew_guard(t.events.withColumn(
+        "received_at", C("created_at") + F.make_dt_interval(mins=(C("event_id") % 13 - 9).cast("int"))))
+    .select("event_id", "created_at"))

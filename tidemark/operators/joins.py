@@ -60,29 +60,51 @@ def match_tolerance(
     )
 
 
-def sessionize(df: DataFrame, key: str, ts: str, gap_minutes: int = 30) -> DataFrame:
-    """Sessions per key: a new one starts after more than ``gap_minutes`` of silence.
+def session_slots(df: DataFrame, key: str, ts: str, gap_minutes: int = 30) -> DataFrame:
+    """First, last and number of events per key and gap-long slot of time.
 
-    Events are first combined into slots as long as the gap; two events of one slot
-    always share a session. A key keeps one row per slot at most before its slots
-    are put in order, however many events it has.
+    Two events of one slot always share a session, so slots can be merged in any
+    order (late rows, micro-batches) before sessions are formed.
     """
     gap = gap_minutes * 60_000_000
     micros = F.unix_micros(C(ts).cast("timestamp"))
-    slots = (
+    return (
         df.filter(C(key).isNotNull())
-        .select(C(key), C(ts).alias("_ts"), micros.alias("_m"))
-        .groupBy(key, F.floor(C("_m") / gap).alias("_slot"))
-        .agg(F.min("_ts").alias("_first"), F.max("_ts").alias("_last"),
-             F.min("_m").alias("_lo"), F.max("_m").alias("_hi"), F.count(F.lit(1)).alias("_n"))
-    )
-    w = Window.partitionBy(key).orderBy("_slot")
-    is_new = F.coalesce(C("_lo") - F.lag("_hi").over(w) > gap, F.lit(True)).cast("int")
-    numbered = slots.withColumn("_new", is_new).withColumn(
-        "session_no", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))
+        .groupBy(key, F.floor(micros / gap).alias("slot"))
+        .agg(F.min(ts).alias("first_at"), F.max(ts).alias("last_at"), F.count(F.lit(1)).alias("events"))
     )
+
+
+def merge_slots(slots: DataFrame, key: str) -> DataFrame:
+    return slots.groupBy(key, "slot").agg(
+        F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"), F.sum("events").alias("events"))
+
+
+def stitch_sessions(slots: DataFrame, key: str, gap_minutes: int = 30) -> DataFrame:
+    """Sessions from slots: a new one starts after more than ``gap_minutes`` of silence.
+
+    A key has one row per slot of time at most, however many events it has.
+    """
+    w = Window.partitionBy(key).orderBy("slot")
+    lo, hi = (F.unix_micros(C(c).cast("timestamp")) for c in ("first_at", "last_at"))
+    marked = slots.withColumns({"_lo": lo, "_hi": hi})
+    silence = C("_lo") - F.lag("_hi").over(w)
+    is_new = F.coalesce(silence > gap_minutes * 60_000_000, F.lit(True)).cast("int")
+    numbered = marked.withColumn("_new", is_new).withColumn(
+        "session_no", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy(key, "session_no").agg(
-        F.min("_first").alias("started_at"), F.max("_last").alias("ended_at"),
-        F.sum("_n").alias("events"),
-        ((F.max("_hi") - F.min("_lo")) / 1_000_000).alias("seconds"),
-    )
+        F.min("first_at").alias("started_at"), F.max("last_at").alias("ended_at"),
+        F.sum("events").alias("events"), ((F.max("_hi") - F.min("_lo")) / 1_000_000).alias("seconds"))
+
+
+def sessionize(df: DataFrame, key: str, ts: str, gap_minutes: int = 30) -> DataFrame:
+    return stitch_sessions(session_slots(df, key, ts, gap_minutes), key, gap_minutes)
+
+
+def join_text_id(left: DataFrame, text_id: str, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Join a text id to a numeric key; text that is no number matches nothing.
+
+    ``right`` has one row per key.
+    """
+    number = C(text_id).try_cast("bigint")
+    return left.withColumn(key, number).join(right, key, how)

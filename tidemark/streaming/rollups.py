@@ -16,33 +16,40 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.functions.scalar import case_chain, flag, ratio
+from tidemark.functions.scalar import case_chain, ratio
 
 C = F.col
 
 
 @dataclass(frozen=True)
 class Measure:
+    """``part`` over raw rows and ``merge`` over parts, as SQL expressions."""
+
     name: str
-    part: Column  # aggregate over raw rows
-    merge: Callable[[str], Column]  # aggregate over parts
+    part: str
+    merge: str = "sum"
+
+    def collect(self) -> Column:
+        return F.expr(self.part).alias(self.name)
+
+    def combine(self) -> Column:
+        return F.expr(f"{self.merge}({self.name})").alias(self.name)
 
 
-def count(name: str, cond: Column | None = None) -> Measure:
-    part = F.count(F.lit(1)) if cond is None else F.count_if(cond)
-    return Measure(name, part, F.sum)
+def count(name: str, cond: str | None = None) -> Measure:
+    return Measure(name, "count(1)" if cond is None else f"count_if({cond})")
 
 
-def total(name: str, value: Column | str) -> Measure:
-    return Measure(name, F.sum(value), F.sum)
+def total(name: str, value: str) -> Measure:
+    return Measure(name, f"sum({value})")
 
 
 def distinct(name: str, value: str) -> Measure:
-    return Measure(name, F.hll_sketch_agg(value), F.hll_union_agg)
+    return Measure(name, f"hll_sketch_agg({value})", "hll_union_agg")
 
 
 def quantiles(name: str, value: str) -> Measure:
-    return Measure(name, F.kll_sketch_agg_bigint(C(value).cast("bigint")), F.kll_merge_agg_bigint)
+    return Measure(name, f"kll_sketch_agg_bigint(CAST({value} AS BIGINT))", "kll_merge_agg_bigint")
 
 
 @dataclass(frozen=True)
@@ -51,8 +58,8 @@ class Rollup:
     grain: str
     keys: tuple[str, ...]
     measures: tuple[Measure, ...]
-    where: Column | None = None
-    derive: tuple[tuple[str, Column], ...] = ()
+    where: str | None = None
+    derive: tuple[tuple[str, Callable[[], Column]], ...] = ()
     ts: str = "ts"
 
 
@@ -74,10 +81,10 @@ def rollup(df: DataFrame, spec: Rollup) -> DataFrame:
     """Parts per time bucket and key."""
     rows = df if spec.where is None else df.filter(spec.where)
     for name, expr in spec.derive:
-        rows = rows.withColumn(name, expr)
+        rows = rows.withColumn(name, expr())
     bucket = F.window(C(spec.ts), spec.grain)
     return (
-        rows.groupBy(bucket.alias("_w"), *spec.keys).agg(*[m.part.alias(m.name) for m in spec.measures])
+        rows.groupBy(bucket.alias("_w"), *spec.keys).agg(*[m.collect() for m in spec.measures])
         .select(C("_w.start").alias("bucket"), *spec.keys, *[m.name for m in spec.measures])
     )
 
@@ -87,7 +94,7 @@ def reroll(parts: DataFrame, spec: Rollup, grain: str | None = None, keys: Seque
     keys = list(spec.keys if keys is None else keys)
     bucket = F.window("bucket", grain or spec.grain)
     return (
-        parts.groupBy(bucket.alias("_w"), *keys).agg(*[m.merge(m.name).alias(m.name) for m in spec.measures])
+        parts.groupBy(bucket.alias("_w"), *keys).agg(*[m.combine() for m in spec.measures])
         .select(C("_w.start").alias("bucket"), *keys, *[m.name for m in spec.measures])
     )
 
@@ -110,13 +117,13 @@ def readout(merged: DataFrame) -> DataFrame:
 
 _TRAFFIC = (count("requests"), total("bytes", "bytes_sent"))
 _TIMING = (total("req_time_sum", "req_time_ms"), quantiles("req_time_kll", "req_time_ms"))
-_PATTERN = (("pattern", stream_pattern()),)
+_PATTERN = (("pattern", stream_pattern),)
 
 ROLLUPS: dict[str, Rollup] = {
     r.name: r
     for r in (
         Rollup("stats_minute", "1 minute", ("node",),
-               (*_TRAFFIC, count("errors", C("status") >= 400), *_TIMING)),
+               (*_TRAFFIC, count("errors", "status >= 400"), *_TIMING)),
         Rollup("country_minute", "1 minute", ("node", "country"),
                (*_TRAFFIC, distinct("client_ips", "client_ip"), *_TIMING)),
         Rollup("isp_minute", "1 minute", ("node", "asn", "asn_org"),
@@ -125,20 +132,20 @@ ROLLUPS: dict[str, Rollup] = {
         Rollup("status_minute", "1 minute", ("node", "status"), (count("requests"),)),
         Rollup("ip_minute", "1 minute", ("node", "client_ip"), _TRAFFIC),
         Rollup("file_minute", "1 minute", ("node", "hash"), _TRAFFIC),
-        Rollup("user_minute", "1 minute", ("node", "user_id"), _TRAFFIC, C("user_id") != 0),
+        Rollup("user_minute", "1 minute", ("node", "user_id"), _TRAFFIC, "user_id <> 0"),
         Rollup("stall_minute", "1 minute", ("node", "base_path"),
-               (count("stalls"), total("bytes_lost", C("bytes_expect") - C("bytes_sent")),
-                total("stall_ms_sum", "stall_ms")), C("is_stalled") == 1),
+               (count("stalls"), total("bytes_lost", "bytes_expect - bytes_sent"),
+                total("stall_ms_sum", "stall_ms")), "is_stalled = 1"),
         Rollup("stream_status_minute", "1 minute", ("node", "pattern", "status"), (count("requests"),),
                derive=_PATTERN),
         Rollup("stream_empty_stub_minute", "1 minute", ("node", "pattern"), (count("requests"),),
-               (C("status") == 200) & (C("body_bytes") == 101), _PATTERN),
+               "status = 200 AND body_bytes = 101", _PATTERN),
         Rollup("path_quality", "1 hour", ("node", "asn", "base_path"),
                (*_TRAFFIC, quantiles("rtt_kll", "rtt_us"), total("retrans", "retrans"),
-                total("stalls", flag(C("is_stall") == 1)), count("errors", C("status") >= 500),
-                count("h3_requests", C("proto") == "h3"))),
+                count("stalls", "is_stall = 1"), count("errors", "status >= 500"),
+                count("h3_requests", "proto = 'h3'"))),
         Rollup("bw_user_day", "1 day", ("user_id",), (total("bytes", "bytes_sent"), count("reqs")),
-               C("user_id") != 0),
+               "user_id <> 0"),
     )
 }
 

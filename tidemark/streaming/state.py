@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.config import STATE_SUB_EVENTS
+from tidemark.operators.joins import merge_slots, session_slots, stitch_sessions
 from tidemark.streaming.rollups import append_parts
 
 C = F.col
@@ -32,8 +33,8 @@ def payment_errors(requests: DataFrame) -> DataFrame:
     return requests.filter((C("is_error") == 1) | (C("status") >= 400))
 
 
-def sessions(events: DataFrame, gap_minutes: int = 30, late: str = "5 minutes") -> DataFrame:
-    """Idle-gap sessions of identified users for append sinks."""
+def windowed_sessions(events: DataFrame, gap_minutes: int = 30, late: str = "5 minutes") -> DataFrame:
+    """Stateful variant for append sinks: a session is emitted once it can no longer grow."""
     return (
         events.filter(C("user_id").isNotNull()).withWatermark("created_at", late)
         .groupBy("user_id", F.session_window("created_at", f"{gap_minutes} minutes").alias("w"))
@@ -42,6 +43,16 @@ def sessions(events: DataFrame, gap_minutes: int = 30, late: str = "5 minutes")
     )
 
 
+def start_sessions(events: DataFrame, path: str, checkpoint: str, gap_minutes: int = 30) -> StreamingQuery:
+    """Append slot parts per micro-batch; :func:`read_sessions` merges and stitches them."""
+    return append_parts(
+        events, lambda batch: session_slots(batch, "user_id", "created_at", gap_minutes), path, checkpoint)
+
+
+def read_sessions(parts: DataFrame, gap_minutes: int = 30) -> DataFrame:
+    return stitch_sessions(merge_slots(parts, "user_id"), "user_id", gap_minutes)
+
+
 # --- visitor -> account -----------------------------------------------------------------
 def vid_map(events: DataFrame) -> DataFrame:
     """Latest identified account per visitor, with the version it was seen at."""
