@@ -14,12 +14,16 @@ from pyspark.sql import functions as F
 from tidemark.config import MOBILE_UA, WEB_SURFACES, Config
 from tidemark.functions.ranking import salted_join
 from tidemark.functions.scalar import (
-    contains_ci, count_if, epoch_day, json_field, ratio, since_midnight, strip_prefix, yyyymm,
+    contains_ci, count_if, epoch_day, flag, json_field, ratio, since_midnight, strip_prefix, yyyymm,
 )
 from tidemark.sources.tables import completed
 
 C = F.col
 EMAIL_TYPES = ("email.sent", "email.opened", "email.clicked")
+SUB_KINDS = {
+    "started": ("created", "reactivated"), "reactivated": ("reactivated",),
+    "churned": ("canceled", "expired"), "cancel_sched": ("cancellation_scheduled",),
+}
 TASK_TYPES = ("task.completed", "task.failed", "account.storage_warning")
 
 
@@ -77,6 +81,50 @@ def user_day_task(events: DataFrame) -> DataFrame:
     )
 
 
+def user_day_activity(events: DataFrame) -> DataFrame:
+    """E-mail, web, task and subscription user-days in one pass over the events.
+
+    Same columns as the single extracts. Web counters are NULL on days without a web
+    event, so a count of them still counts active days; ``has_email`` tells the days
+    the e-mail extract would have a row for. ``last_type`` is the last subscription
+    event of the day.
+    """
+    kind, src = C("event_type"), json_field("metadata", "src")
+    web, sub = C("surface").isin(*WEB_SURFACES), C("event_type").startswith("subscription.")
+    email = kind.isin(*EMAIL_TYPES)
+    event, view = web & (kind == "event"), web & (kind == "pageview")
+
+    def act(category: str, *actions: str):
+        return event & (C("category") == category) & C("action").isin(*actions)
+
+    web_counters = {
+        "pageviews": view,
+        "file_dl": act("File", "Download"), "archive_dl": act("Archive", "Download"),
+        "file_views": act("File", "View"), "streams": act("video", "stream_start", "stream_session"),
+        "pricing_views": view & (contains_ci("url", "pricing") | contains_ci("url", "payment")),
+        "goal4": web & (C("matomo_idgoal") == 4),
+        "promo_sub": act("Promotional", "visited_subscription"),
+        "sessions": web & (kind == "session_end"),
+    }
+    counters = {
+        "mautic_sent": (kind == "email.sent") & (src == "mautic"),
+        "internal_sent": (kind == "email.sent") & (src == "internal_events"),
+        "opened": kind == "email.opened", "clicked": kind == "email.clicked",
+        "completed": kind == "task.completed", "failed": kind == "task.failed",
+        "storage_warnings": kind == "account.storage_warning",
+        **{name: kind.isin(*[f"subscription.{n}" for n in names]) for name, names in SUB_KINDS.items()},
+    }
+    rows = events.filter(C("user_id").isNotNull() & (web | email | kind.isin(*TASK_TYPES) | sub))
+    web_rows = count_if(web)
+    return _per_day(rows).agg(
+        flag(count_if(email) > 0).alias("has_email"),
+        *[count_if(cond).alias(name) for name, cond in counters.items()],
+        *[F.when(web_rows > 0, count_if(cond)).alias(name) for name, cond in web_counters.items()],
+        F.max_by(strip_prefix("event_type", "subscription."),
+                 F.when(sub, F.struct("created_at", "event_id"))).alias("last_type"),
+    )
+
+
 def txns(revenue: DataFrame) -> DataFrame:
     """Completed payments of identified users."""
     return (
@@ -123,15 +171,11 @@ def sub_events(events: DataFrame) -> DataFrame:
 
 def sub_days(events: DataFrame) -> DataFrame:
     """Subscription events per user-day: last type of the day and counts per kind."""
-    kinds = {
-        "started": ("created", "reactivated"), "reactivated": ("reactivated",),
-        "churned": ("canceled", "expired"), "cancel_sched": ("cancellation_scheduled",),
-    }
     short = strip_prefix("type", "subscription.")
     rows = sub_events(events).withColumn("short", short)
     return rows.groupBy("user_id", epoch_day("ts").alias("day")).agg(
         F.max_by("short", F.struct("ts", "event_id")).alias("last_type"),
-        *[count_if(C("short").isin(*names)).alias(kind) for kind, names in kinds.items()],
+        *[count_if(C("short").isin(*names)).alias(kind) for kind, names in SUB_KINDS.items()],
     )
 
 
@@ -153,6 +197,17 @@ def mobile_share(events: DataFrame, as_of: datetime, days: int = 90) -> DataFram
     )
 
 
+def account_profile(events: DataFrame, as_of: datetime, days: int = 90) -> DataFrame:
+    """Profile and mobile share together, in one pass over the events."""
+    with_ua = (since_midnight("created_at", as_of, days) & C("surface").isin(*WEB_SURFACES) & (C("ua") != ""))
+    return (
+        events.filter(C("user_id").isNotNull()).groupBy("user_id")
+        .agg(F.mode("country", True).alias("country"), F.min(epoch_day("created_at")).alias("first_day"),
+             F.count_distinct("vid").cast("int").alias("devices"),
+             ratio(count_if(with_ua & C("ua").rlike(MOBILE_UA)), count_if(with_ua), 3).alias("mobile_share"))
+    )
+
+
 def send_detail(events: DataFrame, cfg: Config) -> DataFrame:
     """Sends per user, day and campaign from the day the internal sender took over."""
     start = F.lit(cfg.era_cutover.isoformat()).cast("timestamp_ntz")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.ranking import salted_join
+
 C = F.col
 
 
@@ -101,10 +103,20 @@ def sessionize(df: DataFrame, key: str, ts: str, gap_minutes: int = 30) -> DataF
     return stitch_sessions(session_slots(df, key, ts, gap_minutes), key, gap_minutes)
 
 
-def join_text_id(left: DataFrame, text_id: str, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def join_text_id(left: DataFrame, text_id: str, right: DataFrame, key: str, how: str = "inner",
+                 salts: int = 16) -> DataFrame:
     """Join a text id to a numeric key; text that is no number matches nothing.
 
     ``right`` has one row per key.
     """
     number = C(text_id).try_cast("bigint")
-    return left.withColumn(key, number).join(right, key, how)
+    return salted_join(left.withColumn(key, number), right, [key], left.columns, salts, how)
+
+
+def keep_members(df: DataFrame, ids: DataFrame, key: str, limit: int = 100_000) -> DataFrame:
+    """Rows whose key is in ``ids``. Up to ``limit`` ids (counted) are broadcast, so no
+    row of ``df`` moves; more go through a shuffled join, which splits hot keys."""
+    wanted = ids.select(key).distinct()
+    if wanted.limit(limit + 1).count() <= limit:
+        wanted = F.broadcast(wanted)
+    return df.join(wanted, key, "left_semi")

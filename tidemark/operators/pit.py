@@ -53,16 +53,23 @@ def pit_windows(
     Aggregates skip NULL, so index rows never count as facts.
     """
     sources = [facts] if isinstance(facts, DataFrame) else list(facts)
-    marked = index.withColumn("_index", F.lit(True))
-    both = marked
-    for f in sources:
-        both = both.unionByName(f, allowMissingColumns=True)
+    rows = stack_facts([index.withColumn("_index", F.lit(True)), *sources])
+    return with_frames(rows, frames, key, day).filter("_index").select(*index.columns, *frames)
+
+
+def stack_facts(sources: Sequence[DataFrame]) -> DataFrame:
+    """Facts of several sources under each other, missing columns NULL."""
+    out = sources[0]
+    for f in sources[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out
+
+
+def with_frames(rows: DataFrame, frames: Mapping[str, Frame], key: str = "user_id", day: str = "day") -> DataFrame:
+    """All rows with one column per frame. When index days are days of a fact row
+    anyway, the caller marks and filters them itself and needs no extra rows."""
     w = Window.partitionBy(key).orderBy(day)
-    return (
-        both.withColumns({n: f.agg.over(w.rangeBetween(f.lo, f.hi)) for n, f in frames.items()})
-        .filter("_index")
-        .select(*index.columns, *frames)
-    )
+    return rows.withColumns({n: f.agg.over(w.rangeBetween(f.lo, f.hi)) for n, f in frames.items()})
 
 
 def cross_index(

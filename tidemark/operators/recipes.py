@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import count_if, json_field, ratio, since_midnight, ts_lit
+from tidemark.operators.joins import keep_members
 from tidemark.sources.tables import completed
 
 C = F.col
@@ -17,7 +18,7 @@ def user_journey(events: DataFrame, users: DataFrame) -> DataFrame:
     """Ordered web events of the given users (normally one)."""
     web = events.filter(C("surface").isin("web", "landing"))
     return (
-        web.join(users.select("user_id").distinct(), "user_id", "left_semi")
+        keep_members(web, users, "user_id")
         .select("user_id", "created_at", "event_id", "event_type", "surface", "category", "action",
                 "matomo_idgoal", "url", "country")
         .orderBy("user_id", "created_at", "event_id")
@@ -26,8 +27,7 @@ def user_journey(events: DataFrame, users: DataFrame) -> DataFrame:
 
 def journey_aggregates(events: DataFrame, users: DataFrame, as_of: datetime, days: int = 30) -> DataFrame:
     return (
-        events.filter(since_midnight("created_at", as_of, days))
-        .join(users.select("user_id").distinct(), "user_id", "left_semi")
+        keep_members(events.filter(since_midnight("created_at", as_of, days)), users, "user_id")
         .groupBy("user_id")
         .agg(F.count_distinct("vid").alias("device_count"),
              F.min("created_at").alias("first_visit_at"), F.max("created_at").alias("last_visit_at"),

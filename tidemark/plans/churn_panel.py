@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date, datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import ACTIVE_SUB_EVENTS, Config
 from tidemark.functions.scalar import day_to_date, flag, ratio, strip_prefix, to_epoch_day
 from tidemark.functions.stats import upper_median
 from tidemark.operators import extracts as x
-from tidemark.operators.pit import ahead, back, cross_index, history, pit_windows
+from tidemark.operators.pit import ahead, back, cross_index, history, pit_windows, stack_facts
 from tidemark.plans.conversion_panel import with_profile
 from tidemark.sources.tables import Tables
 
@@ -64,6 +64,15 @@ CHURN_COLUMNS = (
 )
 
 
+def subscriber_index(sub_days: DataFrame, snapshots: Sequence[date]) -> DataFrame:
+    """Snapshots with an earlier subscription event: each belongs to the last event day
+    before it, so every (user, snapshot) comes up once."""
+    following = F.lead("day").over(Window.partitionBy("user_id").orderBy("day"))
+    spans = sub_days.select("user_id", C("day").alias("_after"), following.alias("_next"))
+    spans = spans.withColumn("_until", F.coalesce("_next", F.lit(1 << 30)))
+    return cross_index(spans, snapshots, "_after", "_until").select("user_id", "day")
+
+
 def build_churn_panel(
     t: Tables, snapshots: Sequence[date], as_of: datetime, cfg: Config, with_label: bool = True
 ) -> DataFrame:
@@ -71,19 +80,14 @@ def build_churn_panel(
 
     Everything but the label is computed from days strictly before the snapshot.
     """
-    subs = x.sub_days(t.events)
-    spans = subs.groupBy("user_id").agg(F.min("day").alias("first_day"))
-    index = cross_index(spans, snapshots).drop("first_day")
-    members = spans.select("user_id")
-
-    def of_members(df: DataFrame) -> DataFrame:
-        return df.join(members, "user_id", "left_semi")
-
-    email = of_members(x.user_day_email(t.events))
-    web = of_members(x.user_day_web(t.events).select(
-        "user_id", "day", "pageviews", "file_dl", "archive_dl", "streams", "pricing_views"))
-    money = of_members(x.txn_history(t.revenue).select(
-        "user_id", "day", "amount", "txns", "last_amount", "last_txn", "gap", "same_day"))
+    index = subscriber_index(x.sub_days(t.events).select("user_id", "day"), snapshots)
+    members = index.select("user_id").distinct()
+    days = x.user_day_activity(t.events).drop(
+        "has_email", "completed", "failed", "storage_warnings", "file_views", "goal4", "promo_sub", "sessions")
+    money = x.txn_history(t.revenue).select(
+        "user_id", "day", "amount", "txns", "last_amount", "last_txn", "gap", "same_day")
+    # only users who can be in the panel go through the windows
+    facts = stack_facts([days, money]).join(members, "user_id", "left_semi")
     sent = C("mautic_sent") + C("internal_sent")
     counters = {
         "em_sent_30": back(F.sum(sent), 30), "em_sent_90": back(F.sum(sent), 90),
@@ -113,7 +117,7 @@ def build_churn_panel(
         "_started_day": history(F.min(F.when(C("started") > 0, C("day")))),
     }
     label = {"_churn": ahead(F.max(flag(C("churned") > 0)), cfg.churn_horizon)} if with_label else {}
-    wide = pit_windows([subs, email, web, money], index, {**counters, **state, **label})
+    wide = pit_windows(facts, index, {**counters, **state, **label})
     active = (
         wide.filter(C("_sub.last_type").isin(*ACTIVE_TYPES) & C("_started_day").isNotNull())
         .fillna(0, subset=list(counters))
@@ -133,10 +137,10 @@ def build_churn_panel(
             "snapshot_date": day_to_date("day"),
         })
     )
-    full = with_profile(
-        billing_cycle(active, cfg), x.profile(t.events),
-        x.mobile_share(t.events, as_of, cfg.mobile_window).join(members, "user_id", "left_semi"),
-    ).drop("mobile_share").withColumnRenamed("mobile_share_now", "mobile_share")
+    full = (
+        with_profile(billing_cycle(active, cfg), x.account_profile(t.events, as_of, cfg.mobile_window))
+        .drop("mobile_share").withColumnRenamed("mobile_share_now", "mobile_share")
+    )
     if not with_label:
         return full.select(*CHURN_COLUMNS)
     return full.select(*CHURN_COLUMNS, F.coalesce("_churn", F.lit(0)).alias("label_churn_30"))

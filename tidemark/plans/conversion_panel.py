@@ -12,7 +12,7 @@ from tidemark.functions.scalar import (
     day_to_date, flag, hash_bucket, ratio, to_epoch_day, weekday0,
 )
 from tidemark.operators import extracts as x
-from tidemark.operators.pit import Frame, ahead, back, history, pit_windows
+from tidemark.operators.pit import Frame, ahead, back, history, stack_facts, with_frames
 from tidemark.sources.tables import Tables
 
 C = F.col
@@ -29,41 +29,58 @@ def date_range(cfg: Config, as_of: datetime) -> tuple[int, int]:
     return to_epoch_day(cfg.panel_start), to_epoch_day(last)
 
 
-def index_days(email_day: DataFrame, bulk: DataFrame, cfg: Config, as_of: datetime) -> DataFrame:
-    """Campaign days of each user with the era of the sender and sends that day."""
+def mark_campaign_days(days: DataFrame, bulk: DataFrame, cfg: Config, as_of: datetime) -> DataFrame:
+    """Add ``era`` (NULL when the day is no campaign sample) and ``sends_today``.
+
+    ``days`` has one row per user-day with the e-mail counters and ``has_email``.
+    """
     lo, hi = date_range(cfg, as_of)
     old_era = (C("mautic_sent") > 0) & (C("day") <= to_epoch_day(cfg.era_cutover))
     blast = F.coalesce(C("bulk"), F.lit(0))
+    era = F.when(old_era, "mautic").when(blast > 0, "internal")
+    sends = F.when(old_era, C("mautic_sent")).otherwise(0) + blast
+    in_scope = (C("has_email") == 1) & C("day").between(lo, hi)
     return (
-        email_day.filter(C("day").between(lo, hi))
-        .join(bulk, ["user_id", "day"], "left")
-        .withColumn("era", F.when(old_era, "mautic").when(blast > 0, "internal"))
-        .filter(C("era").isNotNull())
-        .select("user_id", "day", "era",
-                (F.when(old_era, C("mautic_sent")).otherwise(0) + blast).alias("sends_today"),
-                F.lit(1).alias("treatment"))
+        days.join(bulk, ["user_id", "day"], "left")
+        .withColumns({"era": F.when(in_scope, era), "sends_today": F.when(in_scope, sends)}).drop("bulk")
     )
 
 
-def control_days(web_day: DataFrame, email_day: DataFrame, cfg: Config, as_of: datetime) -> DataFrame:
-    """Active days without a send nearby, a few per user, only for users in the e-mail data."""
+def index_days(email_day: DataFrame, bulk: DataFrame, cfg: Config, as_of: datetime) -> DataFrame:
+    """Campaign days of each user with the era of the sender and sends that day."""
+    marked = mark_campaign_days(email_day.withColumn("has_email", F.lit(1)), bulk, cfg, as_of)
+    return marked.filter(C("era").isNotNull()).select(
+        "user_id", "day", "era", "sends_today", F.lit(1).alias("treatment"))
+
+
+def mark_control_days(days: DataFrame, cfg: Config, as_of: datetime) -> DataFrame:
+    """Add ``is_control``: web-active days without a send nearby, the first few per user
+    in hash order, only for users in the e-mail data.
+
+    Uses the same partitioning by user as the feature windows that follow.
+    """
     lo, hi = date_range(cfg, as_of)
     quiet = cfg.control_quiet_days
-    sends = email_day.select("user_id", "day", (C("mautic_sent") + C("internal_sent")).alias("sent"))
-    active = web_day.filter(C("day").between(lo, hi)).select("user_id", "day")
-    known = active.join(email_day.select("user_id").distinct(), "user_id", "left_semi")
-    near = pit_windows(sends, known, {"near": Frame(F.sum("sent"), -quiet, quiet)})
-    order = Window.partitionBy("user_id").orderBy("_h", "day")
+    user = Window.partitionBy("user_id")
+    near = F.sum(C("mautic_sent") + C("internal_sent")).over(user.orderBy("day").rangeBetween(-quiet, quiet))
+    eligible = (
+        C("pageviews").isNotNull() & C("day").between(lo, hi) & (F.coalesce(near, F.lit(0)) == 0)
+        & (F.max("has_email").over(user) == 1)
+    )
+    place = F.row_number().over(user.orderBy(F.desc("_eligible"), F.md5(F.concat_ws(":", "user_id", "day")), "day"))
     return (
-        near.filter(F.coalesce("near", F.lit(0)) == 0)
-        .withColumn("_h", F.md5(F.concat_ws(":", "user_id", "day")))
-        .withColumn("_rn", F.row_number().over(order))
-        .filter(C("_rn") <= cfg.control_per_user)
-        .select("user_id", "day", F.lit("control").alias("era"), F.lit(0).cast("long").alias("sends_today"),
-                F.lit(0).alias("treatment"))
+        days.withColumn("_eligible", F.coalesce(eligible, F.lit(False)))
+        .withColumn("is_control", C("_eligible") & (place <= cfg.control_per_user)).drop("_eligible")
     )
 
 
+def control_days(days: DataFrame, cfg: Config, as_of: datetime) -> DataFrame:
+    """Control rows from the user-day activity."""
+    return mark_control_days(days, cfg, as_of).filter("is_control").select(
+        "user_id", "day", F.lit("control").alias("era"), F.lit(0).cast("long").alias("sends_today"),
+        F.lit(0).alias("treatment"))
+
+
 def _window_features() -> dict[str, Frame]:
     sent = C("mautic_sent") + C("internal_sent")
     frames = {f"em_sent_{n}": back(F.sum(sent), n) for n in (7, 30, 90)}
@@ -111,16 +128,23 @@ def _since(day: str) -> Column:
 
 def panel_candidates(t: Tables, as_of: datetime, cfg: Config, uplift: bool = False) -> DataFrame:
     """All index rows with features, flags and labels, before negatives are sampled."""
-    email, web = x.user_day_email(t.events), x.user_day_web(t.events)
-    index = index_days(email, x.bulk_sends(t.events, cfg), cfg, as_of)
+    days = mark_campaign_days(x.user_day_activity(t.events), x.bulk_sends(t.events, cfg), cfg, as_of)
     if uplift:
-        index = index.unionByName(control_days(web, email, cfg, as_of))
+        days = mark_control_days(days, cfg, as_of)
+        control = C("is_control") & C("era").isNull()
+    else:
+        control = F.lit(False)
+    days = days.withColumns({
+        "treatment": F.when(C("era").isNotNull(), 1).when(control, 0),
+        "sends_today": F.coalesce("sends_today", F.lit(0)),
+        "era": F.coalesce("era", F.lit("control")),
+    })
     money = x.txn_days(t.revenue).select("user_id", "day", "amount", "txns", "first_amount", "last_amount")
-    subs = x.sub_days(t.events).select("user_id", "day", "last_type", "started")
     counters = _window_features()
-    wide = pit_windows(
-        [email, web, x.user_day_task(t.events), money, subs], index, {**counters, **_money_features(cfg)}
-    )
+    # index days are activity days: they are marked, not added
+    rows = with_frames(stack_facts([days, money]), {**counters, **_money_features(cfg)})
+    wide = rows.filter(C("treatment").isNotNull()).select(
+        "user_id", "day", "era", "sends_today", "treatment", *counters, *_money_features(cfg))
     zero = [c for c in (*counters, "txns_before", "txns_365d") if not c.startswith("_")]
     wide = wide.fillna(0, subset=zero)
 
@@ -167,12 +191,12 @@ def panel_candidates(t: Tables, as_of: datetime, cfg: Config, uplift: bool = Fal
         "days_to_payment": F.coalesce(C("_pay.day") - C("day"), F.lit(-1)).cast("int"),
         "first_payment_usd": F.coalesce("_pay.first_amount", F.lit(0)),
     })
-    return with_profile(wide, x.profile(t.events), x.mobile_share(t.events, as_of, cfg.mobile_window))
+    return with_profile(wide, x.account_profile(t.events, as_of, cfg.mobile_window))
 
 
-def with_profile(df: DataFrame, profile: DataFrame, mobile: DataFrame) -> DataFrame:
+def with_profile(df: DataFrame, profile: DataFrame) -> DataFrame:
     """Country, devices, tenure and mobile share; users without a profile get defaults."""
-    known = profile.join(mobile, "user_id", "left").withColumnRenamed("first_day", "_first_seen")
+    known = profile.withColumnRenamed("first_day", "_first_seen")
     first = F.least("_first_seen", "_first_txn_day")  # ignores a missing payment day
     return df.join(known, "user_id", "left").withColumns({
         "country": F.coalesce("country", F.lit("")),
