@@ -154,10 +154,12 @@ def salted_join(
     """Equi-join where single keys of ``left`` may hold a large part of its rows.
 
     Left rows of one key are spread over ``salts`` tasks by other columns; the right
-    side (one row per key, much smaller) is repeated once per salt.
+    side (one row per key, much smaller) is repeated once per salt. ``salts`` is a power
+    of two: the masked hash is never NULL, so no filter on it is pushed below ``left``
+    and a shuffle both sides come from can be shared.
     """
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
-    copies = right.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    )
+    if salts & (salts - 1):
+        raise ValueError("salts must be a power of two")
+    salted = left.withColumn("_salt", F.xxhash64(*spread_by).bitwiseAND(F.lit(salts - 1).cast("bigint")))
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
