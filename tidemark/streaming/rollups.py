@@ -173,7 +173,12 @@ def read_rollup(spark: SparkSession, spec: Rollup, path: str, grain: str | None
     return reroll(spark.read.parquet(path), spec, grain)
 
 
+def watermarked(df: DataFrame, ts: str, late: str) -> DataFrame:
+    """Watermark on a time column; the engine wants the zoned timestamp type (UTC here)."""
+    return df.withColumn(ts, C(ts).cast("timestamp")).withWatermark(ts, late)
+
+
 def windowed_rollup(stream: DataFrame, spec: Rollup, late: str = "5 minutes") -> DataFrame:
     """Stateful variant for append sinks: a bucket is emitted once, when the watermark
     has passed its end. Rows later than ``late`` are left out."""
-    return rollup(stream.withWatermark(spec.ts, late), spec)
+    return rollup(watermarked(stream, spec.ts, late), spec).withColumn("bucket", C("bucket").cast("timestamp_ntz"))

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.config import STATE_SUB_EVENTS
 from tidemark.operators.joins import merge_slots, session_slots, stitch_sessions
-from tidemark.streaming.rollups import append_parts
+from tidemark.streaming.rollups import append_parts, watermarked
 
 C = F.col
 
@@ -17,16 +17,14 @@ def with_skew_guard(events: DataFrame, late: str = "5 minutes", skew_seconds: in
     """Watermark for late rows; rows dated further ahead of their arrival than the
     tolerance are left out, the others are pulled back to it."""
     ahead = C("created_at") - F.make_dt_interval(secs=F.lit(skew_seconds))
-    return (
-        events.filter(ahead <= C("received_at"))
-        .withColumn("created_at", F.least("created_at", "received_at"))
-        .withWatermark("created_at", late)
-    )
+    near = events.filter(ahead <= C("received_at")).withColumn("created_at", F.least("created_at", "received_at"))
+    return watermarked(near, "created_at", late)
 
 
 def dedup(events: DataFrame, late: str = "5 minutes", key: str = "idempotency_key") -> DataFrame:
     """First arrival per key within the watermark; the state stays bounded."""
-    return events.withWatermark("created_at", late).dropDuplicatesWithinWatermark([key])
+    first = watermarked(events, "created_at", late).dropDuplicatesWithinWatermark([key])
+    return first.withColumn("created_at", C("created_at").cast("timestamp_ntz"))
 
 
 def payment_errors(requests: DataFrame) -> DataFrame:
@@ -36,10 +34,10 @@ def payment_errors(requests: DataFrame) -> DataFrame:
 def windowed_sessions(events: DataFrame, gap_minutes: int = 30, late: str = "5 minutes") -> DataFrame:
     """Stateful variant for append sinks: a session is emitted once it can no longer grow."""
     return (
-        events.filter(C("user_id").isNotNull()).withWatermark("created_at", late)
+        watermarked(events.filter(C("user_id").isNotNull()), "created_at", late)
         .groupBy("user_id", F.session_window("created_at", f"{gap_minutes} minutes").alias("w"))
         .agg(F.count(F.lit(1)).alias("events"))
-        .select("user_id", C("w.start").alias("started_at"), "events")
+        .select("user_id", C("w.start").cast("timestamp_ntz").alias("started_at"), "events")
     )
 
 
