@@ -98,3 +98,17 @@ def test_managed_table_is_replaced(spark):
 def test_null_report(spark):
     df = spark.createDataFrame([(1, None), (2, datetime(2024, 1, 1))], "a int, b timestamp_ntz")
     assert sorted(tuple(r) for r in io.null_report(df, ["a", "b"]).collect()) == [(2, "a", 0), (2, "b", 1)]
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        a = io.save_table(spark.range(1000).withColumnRenamed("id", "user_id"), "bucket_a", buckets=4)
+        b = io.save_table(spark.range(500).select(F.col("id").alias("user_id"), F.lit(1).alias("x")), "bucket_b", buckets=4)
+        joined = a.join(b, "user_id", "left")
+        assert joined.count() == 1000
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for name in ("bucket_a", "bucket_b"):
+            spark.sql(f"DROP TABLE {name}")

@@ -80,6 +80,15 @@ def any_if(cond: Column) -> Column:
     return F.max(flag(cond))
 
 
+def small_distinct(value: Column | str) -> Column:
+    """Exact distinct count of values bounded by a calendar or a code list.
+
+    Kept as a small set inside the aggregate: unlike several count(DISTINCT …) in one
+    query it does not multiply the input rows.
+    """
+    return F.size(F.collect_set(_c(value))).cast("long")
+
+
 def ratio(num: Column, den: Column, digits: int | None = None, default: float = 0.0) -> Column:
     """num / den as double; ``default`` when the denominator is 0 or NULL."""
     value = num.cast("double") / F.nullif(den.cast("double"), F.lit(0.0))

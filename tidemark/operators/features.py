@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.config import Config
 from tidemark.functions.scalar import (
     count_if, days_before, file_extension, flag, gigabytes, lookup, ratio, since, since_midnight,
-    sum_if, to_epoch_day,
+    small_distinct, sum_if, to_epoch_day,
 )
 from tidemark.sources.seeds import CATEGORIES, PERSONAS, content_category
 
@@ -35,10 +35,10 @@ def user_edge(requests: DataFrame, as_of: datetime, cfg: Config) -> DataFrame:
              count_if(C("is_stall") == 1).alias("n_stall_7d"),
              count_if(C("status") >= 500).alias("n_errors_7d"),
              F.count_distinct("file_id").alias("distinct_files_7d"),
-             F.count_distinct(F.to_date("ts")).alias("active_days_7d"),
+             small_distinct(F.to_date("ts")).alias("active_days_7d"),
              ratio(count_if(C("proto") == "h3"), rows, 3).alias("h3_share"),
              count_if(C("base_path") == "/app").alias("app_requests_7d"),
-             F.count_distinct("country").alias("n_countries"))
+             small_distinct("country").alias("n_countries"))
     )
 
 
@@ -52,7 +52,7 @@ def user_tasks(events: DataFrame, as_of: datetime, cfg: Config) -> DataFrame:
         .agg(count_if(C("event_type") == "task.completed").alias("downloads_30d"),
              failed.alias("tasks_failed_30d"),
              ratio(failed, F.greatest(F.count(F.lit(1)), F.lit(1)), 3).alias("task_failure_rate"),
-             F.count_distinct(F.to_date("created_at")).alias("active_task_days_30d"),
+             small_distinct(F.to_date("created_at")).alias("active_task_days_30d"),
              days_before(F.max("created_at"), as_of).alias("days_since_last_task"))
     )
 
