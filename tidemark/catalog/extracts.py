@@ -17,21 +17,15 @@ query("extract_web_day", "E-2 F-5 F-8", f"{p.WEBDAY} SELECT * FROM web_day")(
     lambda t: x.user_day_web(t.events))
 query("extract_task_day", "E-3", f"{p.TASK} SELECT * FROM task_day")(
     lambda t: x.user_day_task(t.events))
-query("extract_activity_day", "E-1 E-2 E-3 E-5", f"""{p.EMAIL}, {p.WEBDAY}, {p.TASK}, {p.SUB},
-s AS (SELECT user_id, day, substr(arg_max(type, (ts, event_id)), 14) AS last_type,
-  COUNT(*) FILTER (type IN ('subscription.created', 'subscription.reactivated')) AS started,
-  COUNT(*) FILTER (type = 'subscription.reactivated') AS reactivated,
-  COUNT(*) FILTER (type IN ('subscription.canceled', 'subscription.expired')) AS churned,
-  COUNT(*) FILTER (type = 'subscription.cancellation_scheduled') AS cancel_sched FROM sub GROUP BY user_id, day),
+query("extract_activity_day", "E-1 E-2 E-3", f"""{p.EMAIL}, {p.WEBDAY}, {p.TASK},
 k AS (SELECT user_id, day FROM email_day UNION SELECT user_id, day FROM web_day
-  UNION SELECT user_id, day FROM task_day UNION SELECT user_id, day FROM s)
+  UNION SELECT user_id, day FROM task_day)
 SELECT user_id, day, CAST(e.opened IS NOT NULL AS INTEGER) AS has_email,
   {", ".join(f"COALESCE({c}, 0) AS {c}" for c in ("mautic_sent", "internal_sent", "opened", "clicked", "completed",
-             "failed", "storage_warnings", "started", "reactivated", "churned", "cancel_sched"))},
-  w.* EXCLUDE (user_id, day), last_type
+             "failed", "storage_warnings"))},
+  w.* EXCLUDE (user_id, day)
 FROM k LEFT JOIN email_day e USING (user_id, day) LEFT JOIN web_day w USING (user_id, day)
-LEFT JOIN task_day USING (user_id, day) LEFT JOIN s USING (user_id, day)""")(
-    lambda t: x.user_day_activity(t.events))
+LEFT JOIN task_day USING (user_id, day)""")(lambda t: x.user_day_activity(t.events))
 query("extract_account_profile", "E-6 E-7 J-18", f"""{p.PROFILE}
 SELECT p.*, COALESCE(m.mobile_share, 0.0) AS mobile_share FROM profile p LEFT JOIN mobile m USING (user_id)""")(
     lambda t: x.account_profile(t.events, AS_OF, CFG.mobile_window))

@@ -82,15 +82,16 @@ def user_day_task(events: DataFrame) -> DataFrame:
 
 
 def user_day_activity(events: DataFrame) -> DataFrame:
-    """E-mail, web, task and subscription user-days in one pass over the events.
+    """E-mail, web and task user-days in one pass over the events.
 
     Same columns as the single extracts. Web counters are NULL on days without a web
     event, so a count of them still counts active days; ``has_email`` tells the days
-    the e-mail extract would have a row for. ``last_type`` is the last subscription
-    event of the day.
+    the e-mail extract would have a row for. Only counters, so the pass stays a hash
+    aggregation; the last subscription event of a day (:func:`sub_days`) would turn it
+    into a sort of all rows and is read apart from its few rows.
     """
     kind, src = C("event_type"), json_field("metadata", "src")
-    web, sub = C("surface").isin(*WEB_SURFACES), C("event_type").startswith("subscription.")
+    web = C("surface").isin(*WEB_SURFACES)
     email = kind.isin(*EMAIL_TYPES)
     event, view = web & (kind == "event"), web & (kind == "pageview")
 
@@ -112,16 +113,13 @@ def user_day_activity(events: DataFrame) -> DataFrame:
         "opened": kind == "email.opened", "clicked": kind == "email.clicked",
         "completed": kind == "task.completed", "failed": kind == "task.failed",
         "storage_warnings": kind == "account.storage_warning",
-        **{name: kind.isin(*[f"subscription.{n}" for n in names]) for name, names in SUB_KINDS.items()},
     }
-    rows = events.filter(C("user_id").isNotNull() & (web | email | kind.isin(*TASK_TYPES) | sub))
+    rows = events.filter(C("user_id").isNotNull() & (web | kind.isin(*EMAIL_TYPES, *TASK_TYPES)))
     web_rows = count_if(web)
     return _per_day(rows).agg(
         flag(count_if(email) > 0).alias("has_email"),
         *[count_if(cond).alias(name) for name, cond in counters.items()],
         *[F.when(web_rows > 0, count_if(cond)).alias(name) for name, cond in web_counters.items()],
-        F.max_by(strip_prefix("event_type", "subscription."),
-                 F.when(sub, F.struct("created_at", "event_id"))).alias("last_type"),
     )
 
 

@@ -80,14 +80,15 @@ def build_churn_panel(
 
     Everything but the label is computed from days strictly before the snapshot.
     """
-    index = subscriber_index(x.sub_days(t.events).select("user_id", "day"), snapshots)
+    subs = x.sub_days(t.events)
+    index = subscriber_index(subs.select("user_id", "day"), snapshots)
     members = index.select("user_id").distinct()
     days = x.user_day_activity(t.events).drop(
         "has_email", "completed", "failed", "storage_warnings", "file_views", "goal4", "promo_sub", "sessions")
     money = x.txn_history(t.revenue).select(
         "user_id", "day", "amount", "txns", "last_amount", "last_txn", "gap", "same_day")
     # only users who can be in the panel go through the windows
-    facts = stack_facts([days, money]).join(members, "user_id", "left_semi")
+    facts = stack_facts([days, subs, money]).join(members, "user_id", "left_semi")
     sent = C("mautic_sent") + C("internal_sent")
     counters = {
         "em_sent_30": back(F.sum(sent), 30), "em_sent_90": back(F.sum(sent), 90),

@@ -140,9 +140,10 @@ def panel_candidates(t: Tables, as_of: datetime, cfg: Config, uplift: bool = Fal
         "era": F.coalesce("era", F.lit("control")),
     })
     money = x.txn_days(t.revenue).select("user_id", "day", "amount", "txns", "first_amount", "last_amount")
+    subs = x.sub_days(t.events).select("user_id", "day", "last_type", "started")
     counters = _window_features()
     # index days are activity days: they are marked, not added
-    rows = with_frames(stack_facts([days, money]), {**counters, **_money_features(cfg)})
+    rows = with_frames(stack_facts([days, money, subs]), {**counters, **_money_features(cfg)})
     wide = rows.filter(C("treatment").isNotNull()).select(
         "user_id", "day", "era", "sends_today", "treatment", *counters, *_money_features(cfg))
     zero = [c for c in (*counters, "txns_before", "txns_365d") if not c.startswith("_")]
