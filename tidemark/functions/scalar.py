@@ -48,6 +48,13 @@ def since_midnight(col: Column | str, as_of: datetime, days: int) -> Column:
     return _c(col) >= ts_lit(start)
 
 
+def in_days(col: Column | str, first: int, last: int) -> Column:
+    """Timestamps from the start of epoch day ``first`` to the end of ``last``: a plain
+    range on the column, so it reaches the scan and prunes partitions."""
+    lo, hi = (datetime.combine(EPOCH + timedelta(days=d), datetime.min.time()) for d in (first, last + 1))
+    return (_c(col) >= ts_lit(lo)) & (_c(col) < ts_lit(hi))
+
+
 def days_before(col: Column | str, as_of: datetime) -> Column:
     """Calendar days between ``col`` and ``as_of``."""
     return (F.lit(to_epoch_day(as_of)) - epoch_day(col)).cast("int")

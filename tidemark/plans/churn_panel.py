@@ -9,11 +9,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import ACTIVE_SUB_EVENTS, Config
-from tidemark.functions.scalar import day_to_date, flag, ratio, strip_prefix, to_epoch_day
+from tidemark.functions.scalar import day_to_date, flag, in_days, ratio, strip_prefix, to_epoch_day
 from tidemark.functions.stats import upper_median
 from tidemark.operators import extracts as x
 from tidemark.operators.pit import ahead, back, cross_index, history, pit_windows, stack_facts
-from tidemark.plans.conversion_panel import with_profile
+from tidemark.plans.conversion_panel import LOOKBACK, with_profile
 from tidemark.sources.tables import Tables
 
 C = F.col
@@ -83,7 +83,9 @@ def build_churn_panel(
     subs = x.sub_days(t.events)
     index = subscriber_index(subs.select("user_id", "day"), snapshots)
     members = index.select("user_id").distinct()
-    days = x.user_day_activity(t.events).drop(
+    first, last = to_epoch_day(min(snapshots)), to_epoch_day(max(snapshots))
+    reach = t.events.filter(in_days("created_at", first - LOOKBACK, last - 1))
+    days = x.user_day_activity(reach).drop(
         "has_email", "completed", "failed", "storage_warnings", "file_views", "goal4", "promo_sub", "sessions")
     money = x.txn_history(t.revenue).select(
         "user_id", "day", "amount", "txns", "last_amount", "last_txn", "gap", "same_day")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import Config
 from tidemark.functions.scalar import (
-    day_to_date, flag, hash_bucket, ratio, to_epoch_day, weekday0,
+    day_to_date, flag, hash_bucket, in_days, ratio, to_epoch_day, weekday0,
 )
 from tidemark.operators import extracts as x
 from tidemark.operators.pit import Frame, ahead, back, history, stack_facts, with_frames
@@ -17,6 +17,7 @@ from tidemark.sources.tables import Tables
 
 C = F.col
 SAMPLE_BUCKETS = 10_000
+LOOKBACK = 90  # longest counter window, days
 SEGMENT_FLAGS = (
     "seg_storage_warning", "seg_heavy_downloader", "seg_streamer", "seg_cart_abandoner",
     "seg_winback_active", "seg_dormant_payer", "seg_soft_cancel", "seg_monthly_loyal",
@@ -53,9 +54,9 @@ def index_days(email_day: DataFrame, bulk: DataFrame, cfg: Config, as_of: dateti
         "user_id", "day", "era", "sends_today", F.lit(1).alias("treatment"))
 
 
-def mark_control_days(days: DataFrame, cfg: Config, as_of: datetime) -> DataFrame:
+def mark_control_days(days: DataFrame, emailed: DataFrame, cfg: Config, as_of: datetime) -> DataFrame:
     """Add ``is_control``: web-active days without a send nearby, the first few per user
-    in hash order, only for users in the e-mail data.
+    in hash order, only for users in the e-mail data (``emailed``: one row per user).
 
     Uses the same partitioning by user as the feature windows that follow.
     """
@@ -65,18 +66,23 @@ def mark_control_days(days: DataFrame, cfg: Config, as_of: datetime) -> DataFram
     near = F.sum(C("mautic_sent") + C("internal_sent")).over(user.orderBy("day").rangeBetween(-quiet, quiet))
     eligible = (
         C("pageviews").isNotNull() & C("day").between(lo, hi) & (F.coalesce(near, F.lit(0)) == 0)
-        & (F.max("has_email").over(user) == 1)
+        & C("_emailed").isNotNull()
     )
     place = F.row_number().over(user.orderBy(F.desc("_eligible"), F.md5(F.concat_ws(":", "user_id", "day")), "day"))
     return (
-        days.withColumn("_eligible", F.coalesce(eligible, F.lit(False)))
-        .withColumn("is_control", C("_eligible") & (place <= cfg.control_per_user)).drop("_eligible")
+        days.join(emailed.select("user_id", F.lit(True).alias("_emailed")), "user_id", "left")
+        .withColumn("_eligible", F.coalesce(eligible, F.lit(False)))
+        .withColumn("is_control", C("_eligible") & (place <= cfg.control_per_user)).drop("_eligible", "_emailed")
     )
 
 
-def control_days(days: DataFrame, cfg: Config, as_of: datetime) -> DataFrame:
+def emailed_users(events: DataFrame) -> DataFrame:
+    return events.filter(C("event_type").isin(*x.EMAIL_TYPES) & C("user_id").isNotNull()).select("user_id").distinct()
+
+
+def control_days(days: DataFrame, emailed: DataFrame, cfg: Config, as_of: datetime) -> DataFrame:
     """Control rows from the user-day activity."""
-    return mark_control_days(days, cfg, as_of).filter("is_control").select(
+    return mark_control_days(days, emailed, cfg, as_of).filter("is_control").select(
         "user_id", "day", F.lit("control").alias("era"), F.lit(0).cast("long").alias("sends_today"),
         F.lit(0).alias("treatment"))
 
@@ -128,9 +134,14 @@ def _since(day: str) -> Column:
 
 def panel_candidates(t: Tables, as_of: datetime, cfg: Config, uplift: bool = False) -> DataFrame:
     """All index rows with features, flags and labels, before negatives are sampled."""
-    days = mark_campaign_days(x.user_day_activity(t.events), x.bulk_sends(t.events, cfg), cfg, as_of)
+    lo, hi = date_range(cfg, as_of)
+    # the counters look back 90 days at most and controls a few days ahead: older and
+    # newer events are never read for them
+    reach = t.events.filter(in_days("created_at", lo - LOOKBACK, hi + cfg.control_quiet_days))
+    campaign = t.events.filter(in_days("created_at", lo, hi))
+    days = mark_campaign_days(x.user_day_activity(reach), x.bulk_sends(campaign, cfg), cfg, as_of)
     if uplift:
-        days = mark_control_days(days, cfg, as_of)
+        days = mark_control_days(days, emailed_users(t.events), cfg, as_of)
         control = C("is_control") & C("era").isNull()
     else:
         control = F.lit(False)
