@@ -37,6 +37,9 @@ def test_write_list_counts_and_splits(spark, tmp_path):
     df = spark.range(30).select("id", (F.col("id") % 3).alias("g"))
     assert io.write_list(df, str(tmp_path / "a"), by="g") == 30
     assert sorted(p.name for p in (tmp_path / "a").glob("g=*")) == ["g=0", "g=1", "g=2"]
+    assert io.write_list(df.filter("g = 1"), str(tmp_path / "a"), by="g") == 10
+    assert sorted(p.name for p in (tmp_path / "a").glob("g=*")) == ["g=1"]
+    assert io.write_list(df.filter("g > 5"), str(tmp_path / "a"), by="g") == 0
     assert io.export_segments([("x", df), ("y", df.filter("g = 1"))], str(tmp_path / "s")) == {"x": 30, "y": 10}
     assert io.read_inferred(spark, str(tmp_path / "s" / "x"), ",", 1.0).count() == 30
 
