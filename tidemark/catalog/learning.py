@@ -152,7 +152,8 @@ def ltv_scores(t: Tables) -> DataFrame:
     model, feats = sv.load_model(spark, path)
     rows = sv.predict(model, ltv.score_rows(t.revenue, AS_OF, CFG), feats, "pred_ltv_gbm", "value")
     rows = sv.fit_two_part(train, LTV_FEATS, "label_rev_365", SMALL).predict(rows, "pred_ltv_12m")
-    scores = sc.ltv_scores(rows, CFG)
+    # ranking reads the predictions more than once
+    scores = sc.ltv_scores(materialize(rows, "ltv-predicted"), CFG)
     sv.save_predictions(scores, scores.columns, out)
     return spark.read.parquet(out)
 
