@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 from tidemark.catalog.registry import query
 from tidemark.operators import recipes as r
 from tidemark.sources.fixtures import AS_OF
