@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, simhash
-from tidemark.llm.common import table
+from tidemark.llm import bpe, langid, licenses, pages, simhash, spans, toxicity
+from tidemark.llm.common import crc_bucket, table
 
 #: name -> query
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,3 +41,30 @@ def tokenizer_file(name: str) -> str:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.bpe_encode(docs, tokenizer_file("word_bpe_49k.json"))
+
+
+@query("op5_language_id")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (crc_bucket(F.col("doc_id"), 4) == 2).alias("held_out"))
+    found = langid.identify(docs, tokenizer_file("byte_bpe_multi_50k.tiktoken"), ~F.col("held_out"))
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op6_sentence_spans")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.dedup_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op7_wrapper_extract")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+@query("op8_license_scan")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op10_toxicity")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), lambda key: crc_bucket(key, 5))
