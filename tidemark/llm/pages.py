@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import map_batches, store
+from tidemark.llm.common import map_batches, small, store
 
 #: Pages that must have voted on a node, and the share of equal votes from which it is template.
 VOTES, EQUAL = 5, 0.9
@@ -278,13 +278,12 @@ def main_text(root: Node, template: set[int] | None = None) -> str:
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Every row of ``df`` without its html, plus text and n_chars."""
     host = F.coalesce(F.regexp_extract(F.lower(url_col), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1), F.lit(""))
-    pages = df.withColumns({"_host": host, "_html": F.col(html_col)})
+    carried = [c for c in df.columns if c not in (html_col, "text", "n_chars")]
+    pages = df.select(F.struct(*carried).alias("row"), F.col(id_col).alias("_id"), host.alias("_host"), F.col(html_col).alias("_html"))
 
     # the wrapper's nodes: one reference page per host
-    first = store(pages.where(F.col(id_col).isNotNull()).groupBy("_host").agg(F.min(id_col).alias("_first")), "references")
-    n_hosts = first.count()
-    keyed = pages.select("_host", F.col(id_col).alias("_first"), "_html")
-    found = keyed.join(F.broadcast(first) if n_hosts <= 200_000 else first, ["_host", "_first"]).select("_host", "_html")
+    first = store(pages.where("_id is not null").groupBy("_host").agg(F.min("_id").alias("_id")), "references")
+    found = pages.select("_host", "_id", "_html").join(small(first, first.count()), ["_host", "_id"]).select("_host", "_html")
 
     def outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -322,8 +321,7 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     constant = votes.where((F.col("pages") >= VOTES) & (F.col("same") >= EQUAL * F.col("pages"))).groupBy("_host").agg(F.collect_list("node").alias("nodes"))
     learned = store(wrappers.join(constant, "_host").select("_host", "wrapper", "nodes"), "templates")  # hosts with a template only
 
-    carried = [c for c in df.columns if c not in (html_col, "text", "n_chars")]
-    schema = T.StructType([df.schema[c] for c in carried] + [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
+    schema = T.StructType([pages.schema["row"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def pull(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees: dict[str, tuple] = {}
@@ -342,7 +340,7 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
                     if 2 * sum(same for _, _, same in pairs) > len(pairs) and len(template) == len(pairs):
                         template = set()
                 texts.append(main_text(root, template))
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in carried] + [pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], schema.names)
 
-    joined = pages.select(*carried, "_html", "_host").join(sized(learned), "_host", "left").select(*carried, "_html", "wrapper", "nodes")
-    return map_batches(joined, pull, schema)
+    joined = pages.select("row", "_html", "_host").join(sized(learned), "_host", "left").select("row", "_html", "wrapper", "nodes")
+    return map_batches(joined, pull, schema).select("row.*", "text", "n_chars")
