@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import struct
 import unicodedata
 from collections.abc import Iterator
@@ -41,6 +42,19 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in set(shown) else chr(256 + hidden.index(b)) for b in range(256)]
 
 
+def unassigned() -> re.Pattern:
+    """Matches code points without a category in Python's Unicode version; all others have the same one in later versions."""
+    ranges, begin = [], None
+    for i in range(0x80, 0x110001):
+        open_ = i < 0x110000 and unicodedata.category(chr(i)) == "Cn"
+        if open_ and begin is None:
+            begin = i
+        elif not open_ and begin is not None:
+            ranges.append(f"\\U{begin:08x}-\\U{i - 1:08x}")
+            begin = None
+    return re.compile("[" + "".join(ranges) + "]")
+
+
 class PrefixBpe:
     """Encoder for a byte-level BPE file whose words end in a suffix (lower-cased, NFC, white space dropped)."""
 
@@ -66,6 +80,8 @@ class PrefixBpe:
             pair = ids[a], ids[b]
             self.rank.setdefault(pair, n)
             self.parts.setdefault(ids[a + b], (n, *pair))
+        self.newer = unassigned()
+        self.spec, self.library = spec, None
         self.fits: dict[tuple[int, int], bool] = {}
         self.known: dict[str, tuple[bytes, str]] = {}
 
@@ -97,7 +113,10 @@ class PrefixBpe:
         return ok
 
     def encode_word(self, word: str) -> list[int]:
-        text = "".join(map(self.symbols.__getitem__, word.encode("utf-8", "replace"))) + END
+        return self.encode_symbols("".join(map(self.symbols.__getitem__, word.encode("utf-8", "replace"))))
+
+    def encode_symbols(self, symbols: str) -> list[int]:
+        text = symbols + END
         last, start = [-1] * (len(text) + 1), [0] * (len(text) + 1)
         for end, (token, size) in self.machine.iter(text):
             at = end + 1
@@ -113,14 +132,16 @@ class PrefixBpe:
 
     def lookup(self, word: str) -> tuple[bytes, str]:
         if (got := self.known.get(word)) is None:
-            ids = self.encode_word(word)
-            got = struct.pack(f"<{len(ids)}I", *ids), " ".join(map(self.tokens.__getitem__, ids))
+            got = self.packed(self.encode_word(word))
             if len(word) <= CACHED_CHARS:
                 if len(self.known) >= CACHED_WORDS:
                     self.known.clear()
                 self.known[word] = got
         return got
 
+    def packed(self, ids: list[int]) -> tuple[bytes, str]:
+        return struct.pack(f"<{len(ids)}I", *ids), " ".join(map(self.tokens.__getitem__, ids))
+
     def pieces(self, text: str) -> list[tuple[bytes, str]]:
         """Per word or special token: its ids as little-endian 32-bit integers, its decoding."""
         if self.specials is not None and "<|" in text:
@@ -132,10 +153,21 @@ class PrefixBpe:
 
     def plain(self, text: str) -> list[tuple[bytes, str]]:
         if not text.isascii():
+            if self.newer.search(text):
+                return self.by_library(text)
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower-cased letter by letter
         get, lookup = self.known.get, self.lookup
         return [get(w) or lookup(w) for w in self.words.findall(text.lower())]
 
+    def by_library(self, text: str) -> list[tuple[bytes, str]]:
+        """Texts with code points that Python's Unicode tables do not know: the library's own, newer tables split them."""
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_str(self.spec)
+        words = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        return [self.packed(self.encode_symbols(w)) for w, _ in words]
+
     def encode(self, text: str | None) -> list[int]:
         ids = b"".join(p[0] for p in self.pieces(text or ""))
         return list(struct.unpack(f"<{len(ids) // 4}I", ids))
