@@ -48,6 +48,10 @@ def test_cap_keeps_positives_and_population(data):
     assert capped.filter("y = 1").count() == positives and capped.count() < 1000
     assert capped.agg(F.sum("sample_weight")).first()[0] == pytest.approx(1200, rel=0.06)
     assert pr.cap_rows(data, "y", 5000, ["row_id"]).count() == 1200
+    with pytest.raises(ValueError):
+        pr.cap_rows(data, "y", positives, ["row_id"])
+    none = data.withColumn("y", F.lit(1))
+    assert pr.cap_rows(none, "y", 10, ["row_id"]).count() == 1200
 
 
 def test_balanced_weights(data):
@@ -143,3 +147,16 @@ def test_segment_against_global(data):
     got = {r.segment: r for r in sv.segment_vs_global(two[0], two[1], FEATS, {"seg_all": "y", "seg_none": "y"}, scored, "y", "row_id", "sample_weight").collect()}
     assert got["seg_all"].winner in ("segment", "global") and got["seg_none"].winner is None
     assert got["seg_none"].test_positives == 0
+
+
+def test_hundreds_of_categories(spark):
+    """More category values than tree bins: rare and new ones are one category."""
+    rows = [(i, f"c{i % 300}" if i % 2 else "it's \\ a 'name'", float(i % 7), int(i % 3 == 0)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "row_id long, cat string, x double, y int")
+    feats = sv.Features(("x",), ("cat",))
+    new = df.withColumn("cat", F.when(F.col("row_id") % 5 == 0, "never seen").otherwise(F.col("cat")))
+    for model, kind in ((sv.fit_gbt(df, feats, "y", params=sv.TreeParams(iterations=2, depth=2)), "class"), (sv.fit_logreg(df, feats, "y"), "class"),
+                        (sv.fit_gbt_reg(df, feats, "x", sv.TreeParams(iterations=2, depth=2)), "value")):
+        assert sv.predict(model, new, feats, "p", kind).filter("p is not null").count() == 3000
+    kept = pr.kept_categories(df, ["cat"], 10)["cat"]
+    assert len(kept) == 10 and kept[0] == "it's \\ a 'name'"

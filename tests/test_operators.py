@@ -104,8 +104,7 @@ def test_sessions_against_a_loop(spark):
 def test_keep_members_and_text_ids(spark):
     df = spark.range(10)
     ids = spark.createDataFrame([(1,), (3,), (3,)], "id long")
-    for limit in (1, 100):
-        assert sorted(r.id for r in joins.keep_members(df, ids, "id", limit).collect()) == [1, 3]
+    assert sorted(r.id for r in joins.keep_members(df, ids, "id").collect()) == [1, 3]
     left = spark.createDataFrame([("1",), ("x",), ("3",), (None,)], "s string")
     assert sorted(r.id for r in joins.join_text_id(left, "s", df, "id").collect()) == [1, 3]
 

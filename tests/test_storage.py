@@ -35,13 +35,13 @@ def test_types_by_name(spark):
 
 def test_write_list_counts_and_splits(spark, tmp_path):
     df = spark.range(30).select("id", (F.col("id") % 3).alias("g"))
-    assert io.write_list(df, str(tmp_path / "a"), by="g") == 30
+    assert io.write_list(df, str(tmp_path / "a"), by="g", count=True) == 30
     assert sorted(p.name for p in (tmp_path / "a").glob("g=*")) == ["g=0", "g=1", "g=2"]
-    assert io.write_list(df.filter("g = 1"), str(tmp_path / "a"), by="g") == 10
+    assert io.write_list(df.filter("g = 1"), str(tmp_path / "a"), by="g", count=True) == 10
     assert sorted(p.name for p in (tmp_path / "a").glob("g=*")) == ["g=1"]
-    assert io.write_list(df.filter("g > 5"), str(tmp_path / "a"), by="g") == 0
+    assert io.write_list(df.filter("g > 5"), str(tmp_path / "a"), by="g", count=True) == 0
     assert io.export_segments([("x", df), ("y", df.filter("g = 1"))], str(tmp_path / "s")) == {"x": 30, "y": 10}
-    assert io.read_inferred(spark, str(tmp_path / "s" / "x"), ",", 1.0).count() == 30
+    assert io.read_inferred(spark, str(tmp_path / "s" / "x"), ",").count() == 30
 
 
 def test_gzip_panel_round_trip(spark, tmp_path):
@@ -66,6 +66,8 @@ def test_refresh_only_missing_months(spark, tmp_path):
     assert io.read_months(spark, path).count() == 11 + 12 + 1
     assert io.read_months(spark, path, [202401]).count() == 1
     assert io.drop_expired(spark, path, "month", 202401) == [202311, 202312]
+    assert io.partition_values(spark, path, "month") == [202401] and io.read_months(spark, path).count() == 1
+    assert io.partition_values(spark, path + "-none", "month") == []
 
 
 def test_history_snapshots_and_drift(spark, tmp_path):

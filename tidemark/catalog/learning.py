@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.catalog.profiles import churn_with_now, content_table
 from tidemark.catalog.registry import query
 from tidemark.functions.scalar import flag
+from tidemark.operators.features import NOW_DEFAULTS
 from tidemark.models import explain as ex
 from tidemark.models import prepare as pr
 from tidemark.models import supervised as sv
@@ -36,24 +37,29 @@ CHURN_FEATS = sv.Features(
 WIDE = replace(CFG, panel_start=date(2024, 1, 3), panel_end=date(2024, 1, 25), negative_rate=1.0, bulk_threshold=5)
 
 
+def row_id(day: str):
+    """One key per (user, day), whatever range the user ids have."""
+    return C("user_id").cast("decimal(20,0)") * 100000 + F.unix_date(day)
+
+
 def _ltv_rows(t: Tables) -> tuple[DataFrame, DataFrame]:
     rows = materialize(
         ltv.build_ltv_panel(t.revenue, LTV_DATES, CFG)
-        .withColumn("row_id", C("user_id") * 100000 + F.unix_date("index_date")), "ltv-panel")
+        .withColumn("row_id", row_id("index_date")), "ltv-panel")
     return pr.split_date(rows, "index_date", CFG.ltv_split)
 
 
 def _churn_rows(t: Tables) -> DataFrame:
     return materialize(
         churn.build_churn_panel(t, CHURN_SNAPSHOTS, AS_OF, CFG)
-        .withColumn("row_id", C("user_id") * 100000 + F.unix_date("snapshot_date")), "churn-panel")
+        .withColumn("row_id", row_id("snapshot_date")), "churn-panel")
 
 
 def _panel(t: Tables, uplift: bool) -> DataFrame:
     rows = materialize(conv.build_conversion_panel(t, AS_OF, WIDE, uplift), "conversion-panel")
     keep = ("user_id", "send_date", "label_conv_14d", "sample_weight", "treatment", *conv.SEGMENT_FLAGS, *pr.CATEGORICAL)
     cleaned = pr.clean(rows.drop("mobile_share_now"), keep=keep).withColumn(
-        "row_id", C("user_id") * 100000 + F.unix_date("send_date"))
+        "row_id", row_id("send_date"))
     return materialize(cleaned, "conversion-clean")
 
 
@@ -70,8 +76,10 @@ def _panel_feats(df: DataFrame) -> sv.Features:
 
 @query("model_conversion_report", "M-1 M-2 M-3 M-7 M-8 M-9 M-19 M-20 M-21 M-22 F-17 F-18 F-19")
 def conversion_report(t: Tables) -> DataFrame:
-    rows = pr.cap_rows(_panel(t, False), "label_conv_14d", 4_000_000, ["user_id", "send_date"])
-    train, test = (materialize(part, "part") for part in pr.split_time(rows, "send_date", 0.8))
+    rows = _panel(t, False)
+    train, test = pr.split_time(rows, "send_date", 0.8)
+    train = materialize(pr.cap_rows(train, "label_conv_14d", CFG.train_cap, ["user_id", "send_date"]), "part")
+    test = materialize(test, "part")
     feats, out = _panel_feats(rows), None
     for name, model in (("logreg", sv.fit_logreg(train, feats, "label_conv_14d", "sample_weight")),
                         ("gbt", sv.fit_gbt(train, feats, "label_conv_14d", "sample_weight", SMALL))):
@@ -88,8 +96,8 @@ def segment_vs_global(t: Tables) -> DataFrame:
     feats = _panel_feats(rows)
     model = sv.fit_logreg(train, feats, "label_conv_14d", "sample_weight")
     scored = _scored(model, test, feats, "label_conv_14d", out="global_score").select("row_id", "global_score")
-    targets = {"seg_winback_active": "label_conv_14d", "seg_cart_abandoner": "label_conv_14d",
-               "seg_monthly_loyal": "label_payment_14d"}
+    targets = dict.fromkeys(("seg_heavy_downloader", "seg_winback_active", "seg_dormant_payer", "seg_soft_cancel",
+                             "seg_cart_abandoner"), "label_conv_14d") | {"seg_monthly_loyal": "label_payment_14d"}
     return sv.segment_vs_global(train, test, feats, targets, scored, "label_conv_14d", "row_id", "sample_weight")
 
 
@@ -175,18 +183,17 @@ def calibration(t: Tables) -> DataFrame:
 @query("model_importance", "M-25")
 def importance(t: Tables) -> DataFrame:
     train, test = _ltv_rows(t)
-    feats = sv.Features(("recency_days", "frequency", "rev_365", "tenure_days"), ("provider",))
     mark = (C("label_rev_365") > 0).cast("int")
-    model = sv.fit_gbt(train.withColumn("y", mark), feats, "y", params=SMALL)
-    return ex.permutation_importance(model, test.withColumn("y", mark), feats, "y", "row_id", repeats=2)
+    model = sv.fit_gbt(train.withColumn("y", mark), LTV_FEATS, "y", params=SMALL)
+    return ex.permutation_importance(model, test.withColumn("y", mark), LTV_FEATS, "y", "row_id")
 
 
 @query("model_ablation_churn", "M-26 K-22 J-10 J-11 F-22")
 def ablation_churn(t: Tables) -> DataFrame:
     rows = materialize(
-        churn_with_now(t).withColumn("row_id", C("user_id") * 100000 + F.unix_date("snapshot_date")), "churn-now")
+        churn_with_now(t).withColumn("row_id", row_id("snapshot_date")), "churn-now")
     train, test = pr.split_user(rows, 30)
-    extra = sv.Features(("storage_used_pct", "share_video"), ("content_persona",))
+    extra = sv.Features(tuple(c for c in NOW_DEFAULTS if c != "content_persona"), ("content_persona",))
     return ex.ablation(train, test, CHURN_FEATS, extra, "label_churn_30", "row_id", SMALL)
 
 
@@ -203,5 +210,5 @@ def value_lift(t: Tables) -> DataFrame:
 def winback_clusters(t: Tables) -> DataFrame:
     master = materialize(wb.winback(t, AS_OF, CFG), "winback")
     rows = un.winback_features(master)
-    model = un.fit_kmeans(rows, [c for c in rows.columns if c != "user_id"], k=5, starts=3, seed=CFG.seed)
+    model = un.fit_kmeans(rows, [c for c in rows.columns if c != "user_id"], k=5, seed=CFG.seed)
     return un.cluster_summary(master, model.transform(rows))

@@ -16,6 +16,7 @@ from tidemark.plans import scoring as sc
 from tidemark.plans import winback as wb
 from tidemark.sources import filetree as tree
 from tidemark.sources.fixtures import AS_OF, CHURN_SNAPSHOTS, TEST_CONFIG as CFG
+from tidemark.session import materialize
 from tidemark.sources.tables import Tables
 
 C = F.col
@@ -175,10 +176,13 @@ def content_table(t: Tables) -> DataFrame:
 
 
 def profile_table(t: Tables) -> DataFrame:
-    scores, content = ltv_table(t), content_table(t)
+    """The profile over stored tables, each computed once: what follows joins small tables on their key."""
+    scores, content = materialize(ltv_table(t), "ltv-scores"), materialize(content_table(t), "content")
+    others = {name: materialize(table, name) for name, table in {
+        "churn": churn_table(t), "billing": f.user_billing_health(t.billing, AS_OF, CFG),
+        "edge": f.user_edge(t.requests, AS_OF, CFG), "tasks": f.user_tasks(t.events, AS_OF, CFG)}.items()}
     return cp.customer_360(
-        scores, churn_table(t), f.user_billing_health(t.billing, AS_OF, CFG), content,
-        f.user_edge(t.requests, AS_OF, CFG), f.user_tasks(t.events, AS_OF, CFG),
+        scores, others["churn"], others["billing"], content, others["edge"], others["tasks"],
         f.user_storage_quota(scores, t.plan_storage, content), CFG)
 
 
@@ -195,8 +199,7 @@ query("feature_readable_content", "F-22", f"""{CONTENT}
 SELECT user_id, n_files, content_persona, CAST(n_files = 0 AS INTEGER) AS is_empty FROM content
 WHERE content_status = 'ok'""")(
     lambda t: f.readable_content(content_table(t)).select("user_id", "n_files", "content_persona", "is_empty"))
-query("feature_now", "K-22 J-11", f"""{EDGE}, {TASKS}, {CONTENT}, {LTV}, {QUOTA}
-SELECT c.user_id, COALESCE(q.storage_used_pct, -1.0) AS storage_used_pct,
+NOW = f"""{EDGE}, {TASKS}, {CONTENT}, {LTV}, {QUOTA}, now_f AS (SELECT c.user_id, COALESCE(q.storage_used_pct, -1.0) AS storage_used_pct,
   COALESCE(c.content_persona, 'unknown') AS content_persona, COALESCE(c.n_lost_files, 0) AS n_lost_files,
   COALESCE(c.files_added_30d, 0) AS files_added_30d, COALESCE(c.storage_gb, -1.0) AS content_storage_gb,
   COALESCE(c.share_video, -1.0) AS share_video, COALESCE(c.bandwidth_used_gb, -1.0) AS bandwidth_used_gb,
@@ -204,10 +207,16 @@ SELECT c.user_id, COALESCE(q.storage_used_pct, -1.0) AS storage_used_pct,
   COALESCE(e.stream_gb_7d, 0.0) AS stream_gb_7d, COALESCE(t.downloads_30d, 0) AS downloads_30d,
   COALESCE(t.task_failure_rate, 0.0) AS task_failure_rate
 FROM content c LEFT JOIN quota q ON q.user_id = c.user_id LEFT JOIN edge e ON e.user_id = c.user_id
-LEFT JOIN tasks t ON t.user_id = c.user_id""")(
-    lambda t: f.now_features(
-        content_table(t), f.user_storage_quota(ltv_table(t), t.plan_storage, content_table(t)),
-        f.user_edge(t.requests, AS_OF, CFG), f.user_tasks(t.events, AS_OF, CFG)))
+LEFT JOIN tasks t ON t.user_id = c.user_id)"""
+
+
+def now_table(t: Tables) -> DataFrame:
+    content = materialize(content_table(t), "content")
+    return f.now_features(content, f.user_storage_quota(ltv_table(t), t.plan_storage, content),
+                          f.user_edge(t.requests, AS_OF, CFG), f.user_tasks(t.events, AS_OF, CFG))
+
+
+query("feature_now", "K-22 J-11", f"{NOW} SELECT * FROM now_f")(now_table)
 
 query("score_ltv", "K-17 M-12 W-10", f"{LTV} SELECT * FROM ltvs")(ltv_table)
 query("score_ltv_tiers", "K-17 A-21", f"""{LTV} SELECT value_tier, COUNT(*) AS users,
@@ -352,16 +361,15 @@ CHURN_PANEL = f"cp AS (WITH {churn_sql('(19730), (19737), (19744)', 7, True)})"
 
 
 def churn_with_now(t: Tables) -> DataFrame:
+    """The churn panel with the features that are known for the present only."""
     panel = churn.build_churn_panel(t, CHURN_SNAPSHOTS, AS_OF, CFG)
-    extra = content_table(t).select("user_id", "content_persona", "share_video")
-    pct = F.round(F.coalesce("share_video", F.lit(0.0)) * 150, 1)
-    return panel.join(extra, "user_id", "left").withColumn("storage_used_pct", pct)
+    return panel.join(now_table(t), "user_id", "left").fillna(f.NOW_DEFAULTS)
 
 
-RATES = f"""{CONTENT}, {CHURN_PANEL}, lat AS (SELECT *, row_number() OVER (PARTITION BY user_id
+RATES = f"""{NOW}, {CHURN_PANEL}, lat AS (SELECT *, row_number() OVER (PARTITION BY user_id
   ORDER BY snapshot_date DESC) AS rn FROM cp),
-j AS (SELECT l.user_id, label_churn_30 AS y, c.content_persona,
-    ROUND(COALESCE(share_video, 0.0) * 150, 1) AS pct FROM lat l LEFT JOIN content c ON c.user_id = l.user_id WHERE rn = 1)"""
+j AS (SELECT l.user_id, label_churn_30 AS y, COALESCE(n.content_persona, 'unknown') AS content_persona,
+    COALESCE(n.storage_used_pct, -1.0) AS pct FROM lat l LEFT JOIN now_f n ON n.user_id = l.user_id WHERE rn = 1)"""
 query("churn_rate_by_persona", "K-20 W-8", f"""{RATES} SELECT content_persona, COUNT(*) AS users, AVG(y) AS churn_rate
 FROM j WHERE content_persona IS NOT NULL GROUP BY 1 HAVING COUNT(*) >= 5""")(
     lambda t: eda.churn_rate_by(churn_with_now(t), "content_persona", min_rows=5))

@@ -109,6 +109,7 @@ class Config:
     match_tolerance_seconds: int = 300
     # modelling
     top_countries: int = 30
+    train_cap: int = 4_000_000  # labelled training rows a conversion model is fitted on; test rows are never capped
     seed: int = 42
     # hot-key handling
     salts: int = field(default=16)

@@ -1,14 +1,13 @@
 """Global order statistics without a global sort in one task.
 
-A window without partition keys would move a whole table through a single task.
-Here the value range is cut into buckets by a fixed, monotone code of the number
-itself, so the cut never depends on the data or its order: bucket totals (a few
-thousand rows at most) carry the running offsets, and the work inside a bucket is
-a normal window. Equal values are counted before anything is ranked, and rows that
-share one value are cut again by their tie-break, so a value held by a third of
-all rows is spread as well.
-
-Inputs must be finite and not NULL.
+A window without partition keys would move a whole table through a single task. Here the rows are dealt into ranges
+of (group, score, tie-break) that Spark draws from a sample of the data itself, so ranges hold about equally many rows
+whatever the values are: narrow, skewed, or one value held by a third of all rows. The ranges are written once to the
+shared scratch folder; their totals (a row per range) carry the running offsets, and the work inside a range is a
+normal window. The input is read once.
+
+NULL scores have no rank: they keep their row, with NULL in every added column, and count nowhere. NaN sorts
+above infinity, as everywhere in Spark. NULL groups are a group.
 """
 
 from __future__ import annotations
@@ -18,22 +17,33 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-STEPS = 1024  # buckets per power of two
-_SHIFT = 1100  # keeps the exponent part positive for every double
+from tidemark.session import materialize
 
 
-def order_code(col: Column | str) -> Column:
-    """Integer code that never decreases when the number grows."""
-    x = (F.col(col) if isinstance(col, str) else col).cast("double")
-    size = F.abs(x)
-    exponent = F.floor(F.log2(size))
-    step = F.floor(size / F.pow(F.lit(2.0), exponent) * STEPS) - STEPS
-    code = (exponent + _SHIFT) * STEPS + step + 1
-    return F.when(x > 0, code).when(x < 0, -code).otherwise(F.lit(0).cast("bigint"))
+def _order(name: str, descending: bool) -> Column:
+    return F.col(name).desc_nulls_last() if descending else F.col(name).asc_nulls_last()
 
 
-def _order(name: str, descending: bool) -> Column:
-    return F.col(name).desc() if descending else F.col(name).asc()
+def _ranges(df: DataFrame, score: str, by: Sequence[str], then: Sequence[str], descending: bool) -> DataFrame:
+    """``df`` in ranges of equal size, with the number of its range in ``_range``."""
+    dealt = df.repartitionByRange(*by, _order(score, descending), *then)
+    return materialize(dealt.withColumn("_range", F.spark_partition_id()), "ranges")
+
+
+def _with_offsets(ranges: DataFrame, by: Sequence[str], sums: Mapping[str, Column]) -> DataFrame:
+    """Adds ``_o_<name>``, the total of earlier ranges of the group, and ``<name>_total``."""
+    totals = ranges.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
+    group = Window.partitionBy(*by)
+    earlier = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(
+        *[F.col(b).alias(f"_by_{i}") for i, b in enumerate(by)], F.col("_range").alias("_r"),
+        *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in sums],
+        *[F.sum(f"_t_{n}").over(group).alias(f"{n}_total") for n in sums],
+    )
+    same = F.col("_range") == F.col("_r")
+    for i, b in enumerate(by):
+        same = same & ranges[b].eqNullSafe(F.col(f"_by_{i}"))
+    return ranges.join(offsets, same).drop("_r", *[f"_by_{i}" for i in range(len(by))])
 
 
 def running_totals(
@@ -46,39 +56,18 @@ def running_totals(
 ) -> DataFrame:
     """Add ``<name>_before`` (total of all earlier cells) and ``<name>_total``.
 
-    ``cells`` holds one row per (by, score, then); ``sums`` maps names to columns.
+    ``cells`` holds one row per (by, score, then); ``sums`` maps names to columns. Cells with a NULL score are left out.
     """
     by = list(by)
-    tagged = cells.withColumn("_bucket", order_code(score))
-    totals = tagged.groupBy(*by, "_bucket").agg(
-        *[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()]
-    )
-    earlier = (
-        Window.partitionBy(*by)
-        .orderBy(_order("_bucket", descending))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = totals.select(
-        *by,
-        "_bucket",
-        *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in sums],
-        *[F.sum(f"_t_{n}").over(Window.partitionBy(*by)).alias(f"{n}_total") for n in sums],
-    )
+    ranges = _ranges(cells.filter(F.col(score).isNotNull()), score, by, then, descending)
     inside = (
-        Window.partitionBy(*by, "_bucket")
-        .orderBy(_order(score, descending), *then)
+        Window.partitionBy(*by, "_range").orderBy(_order(score, descending), *then)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    return (
-        tagged.join(offsets, [*by, "_bucket"])
-        .withColumns(
-            {
-                f"{n}_before": F.col(f"_o_{n}") + F.coalesce(F.sum(c).over(inside), F.lit(0))
-                for n, c in sums.items()
-            }
-        )
-        .drop("_bucket", *[f"_o_{n}" for n in sums])
-    )
+    placed = _with_offsets(ranges, by, {n: F.col(c) for n, c in sums.items()})
+    return placed.withColumns(
+        {f"{n}_before": F.col(f"_o_{n}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for n, c in sums.items()}
+    ).drop("_range", *[f"_o_{n}" for n in sums])
 
 
 def value_counts(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
@@ -96,46 +85,40 @@ def global_rows(
 ) -> DataFrame:
     """Exact row number over (score, tiebreak asc) and inclusive running sums.
 
-    Adds ``row_no`` and ``rows_total``; per entry of ``sums`` also ``<name>_upto``
-    and ``<name>_total``. ``tiebreak`` must be a unique number.
+    Adds ``row_no`` and ``rows_total``; per entry of ``sums`` also ``<name>_upto`` and ``<name>_total``. ``tiebreak``
+    must be unique. Rows with a NULL score stay, with NULL in the added columns.
     """
     by, sums = list(by), dict(sums or {})
-    keyed = df.withColumn("_slice", order_code(tiebreak))
-    cell_keys = [*by, score, "_slice"]
-    cells = keyed.groupBy(*cell_keys).agg(
-        F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_s_{n}") for n, c in sums.items()]
-    )
-    placed = running_totals(
-        cells, score, {"rows": "_n", **{n: f"_s_{n}" for n in sums}}, by, ["_slice"], descending
-    ).drop("_n", *[f"_s_{n}" for n in sums])
-    inside = Window.partitionBy(*cell_keys).orderBy(tiebreak)
-    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        keyed.join(placed, cell_keys)
-        .withColumns(
-            {
-                "row_no": F.col("rows_before") + F.row_number().over(inside),
-                **{f"{n}_upto": F.col(f"{n}_before") + F.sum(c).over(upto) for n, c in sums.items()},
-            }
-        )
-        .drop("_slice", "rows_before", *[f"{n}_before" for n in sums])
-    )
+    ranked = F.col(score).isNotNull()
+    ranges = _ranges(df, score, by, [tiebreak], descending)
+    totals = {"rows": F.when(ranked, 1).otherwise(0).cast("long"), **{n: F.when(ranked, F.col(c)) for n, c in sums.items()}}
+    inside = Window.partitionBy(*by, "_range").orderBy(_order(score, descending), tiebreak).rowsBetween(Window.unboundedPreceding, 0)
+    placed = _with_offsets(ranges, by, totals)
+    added = {
+        "row_no": F.when(ranked, F.col("_o_rows") + F.sum(totals["rows"]).over(inside)),
+        "rows_total": F.when(ranked, F.col("rows_total")),
+    }
+    for n in sums:
+        added[f"{n}_upto"] = F.when(ranked, F.col(f"_o_{n}") + F.sum(totals[n]).over(inside))
+        added[f"{n}_total"] = F.when(ranked, F.col(f"{n}_total"))
+    return placed.withColumns(added).drop("_range", "_o_rows", *[f"_o_{n}" for n in sums])
 
 
 def quantile_bin(
     df: DataFrame, score: str, tiebreak: str, n: int = 10, out: str = "bin", by: Sequence[str] = ()
 ) -> DataFrame:
-    """Equal-count bins 1…n over unique ranks (ties ordered by ``tiebreak``)."""
+    """Equal-count bins 1…n over unique ranks (ties ordered by ``tiebreak``); NULL for a NULL score."""
     ranked = global_rows(df, score, tiebreak, by)
     # ceil((row - 1) * n / (rows - 1)) in whole numbers
     place = F.expr(
         f"((row_no - 1) * {n} + greatest(rows_total - 1, 1) - 1) div greatest(rows_total - 1, 1)"
     )
-    return ranked.withColumn(out, F.greatest(F.lit(1), place).cast("int")).drop("row_no", "rows_total")
+    known = F.col("row_no").isNotNull()
+    return ranked.withColumn(out, F.when(known, F.greatest(F.lit(1), place)).cast("int")).drop("row_no", "rows_total")
 
 
 def top_fraction(df: DataFrame, score: str, tiebreak: str, pct: float) -> DataFrame:
-    """The best ``pct`` percent of rows by score, at least one row."""
+    """The best ``pct`` percent of rows with a score, at least one row."""
     ranked = global_rows(df, score, tiebreak, descending=True)
     k = F.greatest(F.floor(F.col("rows_total") * F.lit(float(pct)) / 100), F.lit(1))
     return ranked.filter(F.col("row_no") <= k).drop("row_no", "rows_total")
@@ -160,6 +143,8 @@ def salted_join(
     """
     if salts & (salts - 1):
         raise ValueError("salts must be a power of two")
+    if how not in ("inner", "left", "left_outer", "left_semi", "left_anti"):
+        raise ValueError("copies of the right side would count as rows of their own")
     salted = left.withColumn("_salt", F.xxhash64(*spread_by).bitwiseAND(F.lit(salts - 1).cast("bigint")))
     copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")

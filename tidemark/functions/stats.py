@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.ranking import average_ranks, running_totals, salted_join, value_counts
+from tidemark.session import materialize
+from tidemark.functions.ranking import average_ranks, running_totals, value_counts
 
 
 def upper_median(sorted_values: Column, zeros: Column | None = None) -> Column:
@@ -83,17 +84,18 @@ def top_share(df: DataFrame, col: str, parts: int = 10) -> DataFrame:
     )
 
 
-def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = (), salts: int = 16) -> DataFrame:
+def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     """Spearman correlation with average ranks for ties, per group.
 
-    Works on the joint counts of (x, y). A value that many rows share (zeros of a
-    heavy-tailed column) is spread by the other column when ranks are attached.
+    Works on the joint counts of (x, y), combined before anything is shuffled. The joins that attach
+    ranks have nothing above them that needs a value's rows together, so Spark splits a value that
+    many pairs share (zeros of a heavy-tailed column).
     """
     by = list(by)
     data = df.select(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
-    joint = data.dropna(subset=["_x", "_y"]).groupBy(*by, "_x", "_y").agg(
+    joint = materialize(data.dropna(subset=["_x", "_y"]).groupBy(*by, "_x", "_y").agg(
         F.count(F.lit(1)).alias("_n")
-    )
+    ), "joint")
 
     def ranks(col: str, name: str) -> DataFrame:
         values = joint.groupBy(*by, col).agg(F.sum("_n").alias("n"))
@@ -102,8 +104,7 @@ def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = (), salts: int =
             *by, col, (F.col("avg_rank") - (F.col("rows_total") + 1) / 2).alias(name)
         )
 
-    ranked = salted_join(joint, ranks("_x", "_rx"), [*by, "_x"], ["_y"], salts)
-    ranked = salted_join(ranked, ranks("_y", "_ry"), [*by, "_y"], ["_x"], salts)
+    ranked = joint.join(ranks("_x", "_rx"), [*by, "_x"]).join(ranks("_y", "_ry"), [*by, "_y"])
     n, rx, ry = F.col("_n"), F.col("_rx"), F.col("_ry")
     value = F.sum(n * rx * ry) / F.nullif(
         F.sqrt(F.sum(n * rx * rx) * F.sum(n * ry * ry)), F.lit(0.0)

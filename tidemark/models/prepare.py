@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from datetime import date
 
 from pyspark.ml import Transformer
@@ -74,16 +74,21 @@ def calibration_slice(train: DataFrame, col: str, frac: float = 0.9) -> tuple[Da
 
 
 def cap_rows(df: DataFrame, label: str, cap: int, keys: Sequence[str], weight: str = "sample_weight") -> DataFrame:
-    """All positives and a stable sample of negatives up to ``cap`` rows in total;
-    weights of the negatives grow so that the population is still represented."""
-    counts = df.agg(F.count_if(C(label) == 1).alias("p"), F.count_if(C(label) != 1).alias("n")).first()
-    if counts["p"] + counts["n"] <= cap:
+    """All positives and a stable sample of negatives, about ``cap`` training rows in total.
+
+    Bounds the labelled rows a model is fitted on; never for test rows. Weights of the kept negatives grow so that the
+    population is still represented. A cap that leaves no room for negatives is refused.
+    """
+    positive = F.coalesce(C(label) == 1, F.lit(False))
+    counts = df.agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("n")).first()
+    if counts["p"] + counts["n"] <= cap or not counts["n"]:
         return df
-    frac = max(cap - counts["p"], 0) / counts["n"]
-    resolution = 1_000_000
-    bucket = hash_bucket([C(k) for k in keys], resolution)
-    positive = C(label) == 1
-    return df.filter(positive | (bucket < int(frac * resolution))).withColumn(
+    if cap <= counts["p"]:
+        raise ValueError(f"{counts['p']} positives leave no negatives within {cap} rows")
+    frac = (cap - counts["p"]) / counts["n"]
+    bits = 52  # a hash as a fraction, exact in a double
+    place = F.xxhash64(*[C(k) for k in keys]).bitwiseAND(F.lit((1 << bits) - 1).cast("bigint")) / F.lit(float(1 << bits))
+    return df.filter(positive | (place < frac)).withColumn(
         weight, F.when(positive, C(weight)).otherwise(C(weight) / F.lit(frac)))
 
 
@@ -96,29 +101,50 @@ def balanced_weights(df: DataFrame, label: str, out: str = "class_weight") -> Da
 
 # --- stages -----------------------------------------------------------------------
 Stage = Estimator | Transformer
+TOP_CATEGORIES = 60  # values of a categorical feature that stay apart; the rest is one category
 
 
-def linear_stages(num: Sequence[str], cat: Sequence[str]) -> list[Stage]:
+def kept_categories(train: DataFrame, cat: Sequence[str], top: int = TOP_CATEGORIES) -> dict[str, list[str]]:
+    """The most frequent values of each categorical column of the training rows: at most ``top`` names each."""
+    return {c: [r[0] for r in train.filter(C(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c).limit(top).select(c).collect()]
+            for c in cat}
+
+
+def _category_stages(kept: Mapping[str, Sequence[str]]) -> list[Stage]:
+    """Values that are rare or new at scoring time become 'other'; the list travels with the fitted pipeline."""
+    if not kept:
+        return []
+
+    def quoted(v: str) -> str:
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    names = ", ".join(f"CASE WHEN {c} IN ({', '.join(map(quoted, v))}) THEN {c} ELSE 'other' END AS {c}_top" if v else f"'other' AS {c}_top"
+                      for c, v in kept.items())
+    return [SQLTransformer(statement=f"SELECT *, {names} FROM __THIS__"),
+            *[StringIndexer(inputCol=f"{c}_top", outputCol=f"{c}_ix", handleInvalid="keep") for c in kept]]
+
+
+def linear_stages(num: Sequence[str], kept: Mapping[str, Sequence[str]]) -> list[Stage]:
     """Median impute, signed log, standardise; one-hot with unseen values as all zeros."""
-    filled = [f"{c}_filled" for c in num]
+    filled, cat = [f"{c}_filled" for c in num], list(kept)
     logs = ", ".join(f"signum({c}) * log1p(abs({c})) AS {c}_log" for c in filled)
     return [
         Imputer(strategy="median", inputCols=list(num), outputCols=filled),
         SQLTransformer(statement=f"SELECT *, {logs} FROM __THIS__"),
         VectorAssembler(inputCols=[f"{c}_log" for c in filled], outputCol="num_raw"),
         StandardScaler(inputCol="num_raw", outputCol="num_scaled", withMean=True),
-        *[StringIndexer(inputCol=c, outputCol=f"{c}_ix", handleInvalid="keep") for c in cat],
+        *_category_stages(kept),
         *([OneHotEncoder(inputCols=[f"{c}_ix" for c in cat], outputCols=[f"{c}_hot" for c in cat],
                          handleInvalid="keep")] if cat else []),
         VectorAssembler(inputCols=["num_scaled", *[f"{c}_hot" for c in cat]], outputCol="features"),
     ]
 
 
-def tree_stages(num: Sequence[str], cat: Sequence[str]) -> list[Stage]:
+def tree_stages(num: Sequence[str], kept: Mapping[str, Sequence[str]]) -> list[Stage]:
     """Median impute; indexed categories stay categorical for the trees."""
     filled = [f"{c}_filled" for c in num]
     return [
         Imputer(strategy="median", inputCols=list(num), outputCols=filled),
-        *[StringIndexer(inputCol=c, outputCol=f"{c}_ix", handleInvalid="keep") for c in cat],
-        VectorAssembler(inputCols=[*filled, *[f"{c}_ix" for c in cat]], outputCol="features"),
+        *_category_stages(kept),
+        VectorAssembler(inputCols=[*filled, *[f"{c}_ix" for c in kept]], outputCol="features"),
     ]

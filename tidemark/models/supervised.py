@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 from tidemark.functions import metrics as m
 from tidemark.functions.scalar import expm1_clipped
 from tidemark.functions.stats import spearman
-from tidemark.models.prepare import as_doubles, balanced_weights, linear_stages, tree_stages
+from tidemark.models.prepare import as_doubles, balanced_weights, kept_categories, linear_stages, tree_stages
 
 C = F.col
-MAX_BINS = 64  # more than any category count after rare ones are put together
+MAX_BINS = 64  # split candidates of a numeric feature; categories raise it where there are more of them
+
+MIN_TEST_POSITIVES = 10  # below it a segment's metrics are noise
 
 
 @dataclass(frozen=True)
@@ -51,25 +53,33 @@ def fit_logreg(train: DataFrame, feats: Features, label: str, weight: str | None
         rows = rows.withColumn("class_weight", C("class_weight") * (C(weight) if weight else F.lit(1.0)))
         weight = "class_weight"
     lr = LogisticRegression(labelCol=label, maxIter=100, regParam=reg, **({"weightCol": weight} if weight else {}))
-    return Pipeline(stages=[*linear_stages(feats.num, feats.cat), lr]).fit(rows)
+    return Pipeline(stages=[*linear_stages(feats.num, kept_categories(rows, feats.cat)), lr]).fit(rows)
 
 
 def fit_gbt(train: DataFrame, feats: Features, label: str, weight: str | None = None,
             params: TreeParams = TreeParams()) -> PipelineModel:
+    rows = feats.prepared(train)
+    kept = kept_categories(rows, feats.cat)
     gbt = GBTClassifier(
         labelCol=label, maxIter=params.iterations, stepSize=params.step, maxDepth=params.depth,
-        minInstancesPerNode=params.min_rows, maxBins=MAX_BINS, seed=params.seed,
+        minInstancesPerNode=params.min_rows, maxBins=_bins(kept), seed=params.seed,
         **({"weightCol": weight} if weight else {}))
-    return Pipeline(stages=[*tree_stages(feats.num, feats.cat), gbt]).fit(feats.prepared(train))
+    return Pipeline(stages=[*tree_stages(feats.num, kept), gbt]).fit(rows)
+
+
+def _bins(kept: Mapping[str, Sequence[str]]) -> int:
+    """Trees need a bin for every category, for all others together and for unseen ones."""
+    return max([MAX_BINS, *(len(v) + 2 for v in kept.values())])
 
 
 def fit_gbt_reg(train: DataFrame, feats: Features, target: str, params: TreeParams = TreeParams()) -> PipelineModel:
     """Regression on log1p of the target."""
+    rows = feats.prepared(train).withColumn("_log_target", F.log1p(F.greatest(C(target), F.lit(0.0))))
+    kept = kept_categories(rows, feats.cat)
     gbt = GBTRegressor(
         labelCol="_log_target", maxIter=params.iterations, stepSize=params.step, maxDepth=params.depth,
-        minInstancesPerNode=params.min_rows, maxBins=MAX_BINS, seed=params.seed)
-    rows = feats.prepared(train).withColumn("_log_target", F.log1p(F.greatest(C(target), F.lit(0.0))))
-    return Pipeline(stages=[*tree_stages(feats.num, feats.cat), gbt]).fit(rows)
+        minInstancesPerNode=params.min_rows, maxBins=_bins(kept), seed=params.seed)
+    return Pipeline(stages=[*tree_stages(feats.num, kept), gbt]).fit(rows)
 
 
 def predict(model: PipelineModel, df: DataFrame, feats: Features, out: str, kind: str = "class") -> DataFrame:
@@ -140,7 +150,8 @@ def segment_vs_global(
     """A model per segment flag against the global model on the same test rows.
 
     ``targets`` maps flags to labels; ``global_scored`` has (key, global_score).
-    A segment whose training rows hold one class only has no model of its own.
+    A segment whose training rows hold one class only has no model of its own; with fewer than
+    ``MIN_TEST_POSITIVES`` positives among its test rows the comparison is marked as noise.
     """
     rows = []
     for flag_col, label in targets.items():
@@ -166,7 +177,7 @@ def segment_vs_global(
         out = out.unionByName(r)
     both_known = C("segment_auc").isNotNull() & C("global_auc").isNotNull()
     winner = F.when(both_known & (C("segment_auc") > C("global_auc")), "segment").when(both_known, "global")
-    return out.withColumn("winner", winner)
+    return out.withColumns({"winner": winner, "is_noise": (C("test_positives") < MIN_TEST_POSITIVES).cast("int")})
 
 
 def _own_report(scored: DataFrame, label: str, score: str, key: str, weight: str, pct: float, name: str) -> DataFrame:

@@ -18,7 +18,8 @@ def match_tolerance(
 
     ``zone`` converts local wall-clock times of ``b`` to UTC first. Result: ``id_a``,
     ``id_b`` and ``gap_seconds``; ``a`` rows without a partner are left out. On equal
-    distance the earlier partner wins, then the smaller id.
+    distance the earlier partner wins, then the smaller id. As in any equi-join a NULL key
+    matches nothing, nor does a NULL time.
 
     Time is cut into slots as long as the tolerance. A ``b`` row visits its own and
     both neighbouring slots; inside (key, slot) one ordered pass finds the last
@@ -31,6 +32,7 @@ def match_tolerance(
         return F.unix_micros(c.cast("timestamp"))
 
     step = tolerance * 1_000_000
+    a, b = a.filter(C(key).isNotNull() & C(ts_a).isNotNull()), b.filter(C(key).isNotNull() & C(ts_b).isNotNull())
     left = a.select(
         C(key).alias("_k"), micros(C(ts_a)).alias("_t"), C(id_a).alias("_a"),
         F.lit(None).cast(b.schema[id_b].dataType).alias("_b"),
@@ -113,10 +115,6 @@ def join_text_id(left: DataFrame, text_id: str, right: DataFrame, key: str, how:
     return salted_join(left.withColumn(key, number), right, [key], left.columns, salts, how)
 
 
-def keep_members(df: DataFrame, ids: DataFrame, key: str, limit: int = 100_000) -> DataFrame:
-    """Rows whose key is in ``ids``. Up to ``limit`` ids (counted) are broadcast, so no
-    row of ``df`` moves; more go through a shuffled join, which splits hot keys."""
-    wanted = ids.select(key).distinct()
-    if wanted.limit(limit + 1).count() <= limit:
-        wanted = F.broadcast(wanted)
-    return df.join(wanted, key, "left_semi")
+def keep_members(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is in ``ids``: a semi join, which Spark broadcasts or splits by the sizes it meets."""
+    return df.join(ids.select(key), key, "left_semi")

@@ -14,6 +14,7 @@ from tidemark.functions.stats import upper_median
 from tidemark.operators import extracts as x
 from tidemark.operators.pit import ahead, back, cross_index, history, pit_windows, stack_facts
 from tidemark.plans.conversion_panel import LOOKBACK, with_profile
+from tidemark.session import materialize
 from tidemark.sources.tables import Tables
 
 C = F.col
@@ -82,15 +83,19 @@ def build_churn_panel(
     """
     subs = x.sub_days(t.events)
     index = subscriber_index(subs.select("user_id", "day"), snapshots)
-    members = index.select("user_id").distinct()
+    # only users who can be in the panel are read any further: ids once, raw rows cut to them before they are combined
+    members = materialize(index.select("user_id").distinct(), "panel-members")
+
+    def of_members(raw: DataFrame) -> DataFrame:
+        return raw.join(members, "user_id", "left_semi")
+
     first, last = to_epoch_day(min(snapshots)), to_epoch_day(max(snapshots))
-    reach = t.events.filter(in_days("created_at", first - LOOKBACK, last - 1))
+    reach = of_members(t.events.filter(in_days("created_at", first - LOOKBACK, last - 1)))
     days = x.user_day_activity(reach).drop(
         "has_email", "completed", "failed", "storage_warnings", "file_views", "goal4", "promo_sub", "sessions")
-    money = x.txn_history(t.revenue).select(
+    money = x.txn_history(of_members(t.revenue)).select(
         "user_id", "day", "amount", "txns", "last_amount", "last_txn", "gap", "same_day")
-    # only users who can be in the panel go through the windows
-    facts = stack_facts([days, subs, money]).join(members, "user_id", "left_semi")
+    facts = stack_facts([days, of_members(subs), money])
     sent = C("mautic_sent") + C("internal_sent")
     counters = {
         "em_sent_30": back(F.sum(sent), 30), "em_sent_90": back(F.sum(sent), 90),
@@ -141,7 +146,7 @@ def build_churn_panel(
         })
     )
     full = (
-        with_profile(billing_cycle(active, cfg), x.account_profile(t.events, as_of, cfg.mobile_window))
+        with_profile(billing_cycle(active, cfg), x.account_profile(of_members(t.events), as_of, cfg.mobile_window))
         .drop("mobile_share").withColumnRenamed("mobile_share_now", "mobile_share")
     )
     if not with_label:

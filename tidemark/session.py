@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -18,6 +20,9 @@ RUNTIME_SETTINGS = {
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536",
 }
 
+_LOCAL: dict[str, str] = {}  # application -> temporary folder of a local session
+_USED: dict[str, str] = {}  # application -> its folder for intermediates
+
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings; cluster sizing stays with the caller."""
@@ -26,17 +31,39 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared checkpoint folder of the cluster.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all machines share: ``spark.checkpoint.dir``, or the context's checkpoint folder.
 
-    The folder named by ``spark.checkpoint.dir`` is used as it is; only a
-    session without one (tests, a laptop) gets a temporary folder.
+    Only a session whose executors are threads of the driver may do without one (tests, a laptop) and gets a
+    temporary folder; on a cluster every executor would write to a disk of its own, so that is refused.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if base:
+        return base.rstrip("/")
+    if not (context.master == "local" or context.master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = context.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="tidemark-")
+        atexit.register(shutil.rmtree, _LOCAL[app], True)
+    return _LOCAL[app]
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the application's own one in the shared folder."""
+    app = spark.sparkContext.applicationId
+    _USED[app] = f"{shared_dir(spark)}/tidemark-{app}"
+    return f"{_USED[app]}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the application's intermediates, once nothing reads results built on them any more."""
+    from tidemark.sources.files import delete
+
+    path = _USED.pop(spark.sparkContext.applicationId, None)
+    if path:
+        delete(spark, path)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
