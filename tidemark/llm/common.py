@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-import uuid
+import atexit
+import shutil
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.session import materialize
+
 #: Rows of text handed to Python at once: bounds a worker's memory when texts are long.
 ROWS_PER_BATCH = 256
 
@@ -21,31 +27,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: ``spark.checkpoint.dir``, or the context's checkpoint folder.
+_SHIPPED: set[str] = set()
 
-    A local session without either may use a temporary folder; a cluster without one is refused, because
-    every executor would write to its own disk.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    import tempfile
 
-    base = tempfile.mkdtemp(prefix="tidemark-llm-")
-    spark.conf.set("spark.checkpoint.dir", base)
-    return base
+def ship(spark: SparkSession) -> None:
+    """Send the library to the executors once per application, so that their Python finds it wherever it runs."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        root = Path(__file__).resolve().parents[2]
+        folder = tempfile.mkdtemp(prefix="tidemark-code-")  # on the driver alone; Spark hands the file out
+        atexit.register(shutil.rmtree, folder, True)
+        with zipfile.ZipFile(f"{folder}/tidemark.zip", "w") as out:
+            for path in sorted((root / "tidemark").rglob("*.py")):
+                out.write(path, path.relative_to(root))
+        spark.sparkContext.addPyFile(f"{folder}/tidemark.zip")
+        _SHIPPED.add(app)
 
 
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to shared storage and read it back.
 
     Later jobs read the files, so a lost executor costs no recomputation, and the planner knows the size."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return materialize(df, name)
 
 
 def small(df: DataFrame, rows: int, limit: int = 200_000) -> DataFrame:
@@ -55,6 +58,7 @@ def small(df: DataFrame, rows: int, limit: int = 200_000) -> DataFrame:
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     """``mapInArrow`` with batches small enough for long texts."""
+    ship(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
     return df.mapInArrow(fn, schema)
 

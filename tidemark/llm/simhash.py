@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_batches, store
+from tidemark.llm.common import map_batches, ship, store
 from tidemark.llm.graph import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
@@ -145,6 +145,7 @@ def vp_links(fps: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, leaf: i
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     df = fps.select("fp")
+    ship(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     return df.mapInArrow(to_leaves, "leaf int, fp long").groupBy("leaf").applyInArrow(solve, "a long, b long")
 
