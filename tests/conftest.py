@@ -12,7 +12,7 @@ for path in (ROOT, os.path.join(ROOT, "tools")):
 
 from pyspark.sql import SparkSession  # noqa: E402
 
-from tidemark.session import prepare  # noqa: E402
+from tidemark.session import clear_scratch, prepare  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -27,6 +27,7 @@ def spark(tmp_path_factory):
     )
     session.sparkContext.setLogLevel("OFF")
     yield prepare(session)
+    clear_scratch(session)
     session.stop()
 
 

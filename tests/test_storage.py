@@ -55,14 +55,15 @@ def test_gzip_panel_round_trip(spark, tmp_path):
 def test_refresh_only_missing_months(spark, tmp_path):
     path, asked = str(tmp_path / "m"), []
 
-    def extract(month):
-        asked.append(month)
-        return spark.range(month % 100).select("id")
+    def extract(first, last):
+        asked.append((first, last))
+        months = spark.createDataFrame([(m,) for m in io.months_between(first, last)], "month int")
+        return months.select(F.explode(F.sequence(F.lit(1), F.col("month") % 100)).alias("id"), "month")
 
     assert io.months_between(202311, 202402) == [202311, 202312, 202401, 202402]
     assert io.refresh_months(spark, extract, path, [202311, 202312]) == [202311, 202312]
     assert io.refresh_months(spark, extract, path, [202311, 202312, 202401], always=[202312]) == [202312, 202401]
-    assert asked == [202311, 202312, 202312, 202401]
+    assert asked == [(202311, 202312), (202312, 202401)]
     assert io.read_months(spark, path).count() == 11 + 12 + 1
     assert io.read_months(spark, path, [202401]).count() == 1
     assert io.drop_expired(spark, path, "month", 202401) == [202311, 202312]

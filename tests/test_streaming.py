@@ -36,15 +36,15 @@ def test_parts_of_a_stream_merge_to_the_batch(spark, requests, tmp_path, rows):
     stream = as_stream(requests, str(tmp_path / "in"))
     spec = ro.ROLLUPS["country_minute"]
     ro.start_rollup(stream, spec, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    assert len(list((tmp_path / "out").glob("batch_id=*"))) == 4
+    assert len(list((tmp_path / "out").glob("run=*/batch_id=*"))) == 4
     exact = ["bucket", "node", "country", "requests", "bytes", "req_time_sum", "client_ips"]
     got = ro.readout(ro.read_rollup(spark, spec, str(tmp_path / "out")))
     want = ro.readout(ro.rollup(requests, spec))
     assert rows(got, *exact) == rows(want, *exact)
     # a batch that runs again after a failure replaces its own part
-    again = spark.read.parquet(str(tmp_path / "out")).filter("batch_id = 2").drop("batch_id")
+    again = spark.read.parquet(str(tmp_path / "out")).filter("batch_id = 2").drop("run", "batch_id")
     kept = again.collect()
-    spark.createDataFrame(kept, again.schema).write.mode("overwrite").parquet(str(tmp_path / "out" / "batch_id=2"))
+    spark.createDataFrame(kept, again.schema).write.mode("overwrite").parquet(str(next((tmp_path / "out").glob("run=*")) / "batch_id=2"))
     assert rows(ro.readout(ro.read_rollup(spark, spec, str(tmp_path / "out"))), *exact) == rows(want, *exact)
 
 
@@ -148,8 +148,10 @@ def test_state_tables_over_a_stream(spark, tmp_path):
     st.start_vid_map(stream, str(tmp_path / "v"), str(tmp_path / "v-cp")).awaitTermination()
     seen = {r.vid: r.user_id for r in st.merge_vid_map(spark.read.parquet(str(tmp_path / "v"))).collect()}
     assert seen == {"v1": 1, "v2": 7, "v4": 4, "v9": 3}
-    st.compact(spark, str(tmp_path / "v"), st.merge_vid_map, str(tmp_path / "vc"))
-    assert spark.read.parquet(str(tmp_path / "vc")).count() == 4
+    ro.compact(spark, str(tmp_path / "v"), st.merge_vid_parts, str(tmp_path / "vc"))
+    assert spark.read.parquet(str(tmp_path / "vc" / "rows")).count() == 4
+    merged = st.merge_vid_map(ro.read_parts(spark, str(tmp_path / "v"), str(tmp_path / "vc")))
+    assert {r.vid: r.user_id for r in merged.collect()} == seen
 
 
 def test_sessions_of_a_stream_equal_batch(spark, tmp_path, rows):

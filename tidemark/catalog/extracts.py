@@ -101,7 +101,7 @@ SELECT buy_id, view_id, CAST(abs(d) AS DOUBLE) / 1000000 AS gap_seconds FROM pai
         t.events.filter("event_type = 'pageview'").withColumnRenamed("event_id", "view_id"),
         "user_id", "created_at", "created_at", "buy_id", "view_id", TOL, "Asia/Jerusalem"))
 
-query("latest_event_per_visitor", "IO-20 W-13 W-8 ST-17", """
+query("latest_event_per_visitor", "IO-20 W-13 W-8", """
 v AS (SELECT vid, event_id, event_type, created_at,
     row_number() OVER (PARTITION BY vid ORDER BY created_at DESC, event_id DESC) AS rn FROM fx_events)
 SELECT vid, event_id, event_type, created_at FROM v WHERE rn = 1""")(

@@ -8,6 +8,7 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.catalog.panels import DATES_SQL, ltv_sql
 from tidemark.catalog.profiles import churn_with_now, content_table
 from tidemark.catalog.registry import query
 from tidemark.functions.scalar import flag
@@ -206,6 +207,70 @@ def value_lift(t: Tables) -> DataFrame:
     return ex.value_lift(train, test, LTV_FEATS, extra, "label_rev_365", SMALL)
 
 
+SPLIT_SQL = f"""lp AS (WITH {ltv_sql(DATES_SQL, 2, True)}),
+d AS (SELECT user_id, date_diff('day', DATE '1970-01-01', CAST(index_date AS DATE)) AS day,
+    CAST(index_date AS DATE) >= DATE '2022-01-01' AS later FROM lp),
+c AS (SELECT *, row_number() OVER (ORDER BY day) - 1 AS i, COUNT(*) OVER () AS n FROM d),
+cut AS (SELECT MIN(day) AS at FROM c WHERE i = CAST(floor(0.8::DOUBLE * (n - 1)) AS BIGINT))
+SELECT 'date' AS split, COUNT(*) FILTER (NOT later) AS train, COUNT(*) FILTER (later) AS test, 0 AS broken FROM d
+UNION ALL SELECT 'time', COUNT(*) FILTER (day <= "at"), COUNT(*) FILTER (day > "at"), 0 FROM d, cut
+UNION ALL SELECT 'user', COUNT(*) FILTER (b >= 20), COUNT(*) FILTER (b < 20), 0 FROM (SELECT
+  CAST(concat('0x', substr(md5(concat(CAST(user_id AS VARCHAR), ':split-42')), 1, 8)) AS BIGINT) % 100 AS b FROM d)"""
+
+
+@query("model_splits", "M-4 M-5 M-6 M-3", SPLIT_SQL)
+def splits(t: Tables) -> DataFrame:
+    """Sizes of the three splits, and how many rows break their promise (a date or user on both sides)."""
+    rows, out = materialize(ltv.build_ltv_panel(t.revenue, LTV_DATES, CFG).select("user_id", "index_date"), "split-rows"), None
+    for name, (train, test), key in (("date", pr.split_date(rows, "index_date", CFG.ltv_split), "index_date"),
+                                     ("time", pr.split_time(rows, "index_date", 0.8), "index_date"), ("user", pr.split_user(rows), "user_id")):
+        both = train.select(key).distinct().join(test.select(key).distinct(), key, "left_semi")
+        row = (train.agg(F.count("*").alias("train")).join(F.broadcast(test.agg(F.count("*").alias("test"))))
+               .join(F.broadcast(both.agg(F.count("*").cast("int").alias("broken")))).select(F.lit(name).alias("split"), "*"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("model_training_cap", "M-7 U-2", f"""lp AS (WITH {ltv_sql(DATES_SQL, 2, True)}),
+n AS (SELECT COUNT(*) AS n, COUNT(*) FILTER (label_rev_365 > 0) AS p FROM lp)
+SELECT p AS positives, CAST(1 AS INTEGER) AS has_negatives, CAST(1 AS INTEGER) AS within_cap, CAST(1 AS INTEGER) AS represents_all FROM n""")
+def training_cap(t: Tables) -> DataFrame:
+    """All positives and a sample of the negatives, half of them: near the cap, with the weight of the population."""
+    rows = materialize(ltv.build_ltv_panel(t.revenue, LTV_DATES, CFG).select(
+        "user_id", "index_date", (C("label_rev_365") > 0).cast("int").alias("y"), F.lit(1.0).alias("sample_weight")), "cap-rows")
+    n, p = rows.agg(F.count("*"), F.count_if(C("y") == 1)).first()
+    capped = pr.cap_rows(rows, "y", p + (n - p) // 2, ["user_id", "index_date"])
+    near = 5 * (n - p) ** 0.5  # beyond five standard errors of a fair half
+    return capped.agg(
+        F.count_if(C("y") == 1).alias("positives"), (F.count_if(C("y") == 0) > 0).cast("int").alias("has_negatives"),
+        (F.count("*") <= p + (n - p) / 2 + near).cast("int").alias("within_cap"),
+        (F.abs(F.sum("sample_weight") - n) <= 2 * near).cast("int").alias("represents_all"))
+
+
+@query("model_fit_checks", "M-9 M-10 M-11 M-17 M-18", """
+SELECT unnest(['calibration keeps the mean', 'calibration is monotone', 'classifier beats chance', 'clusters beat their first start', 'regression beats the mean']) AS fact,
+  true AS holds""")
+def fit_checks(t: Tables) -> DataFrame:
+    """What any sound fit guarantees on its own training rows."""
+    train, _ = _ltv_rows(t)
+    train = train.withColumn("y", (C("label_rev_365") > 0).cast("int"))
+    p = materialize(sv.predict(sv.fit_gbt(train, LTV_FEATS, "y", params=SMALL), train, LTV_FEATS, "p").select("row_id", "y", "p"), "checked")
+    iso = materialize(un.calibrate(un.fit_isotonic(p, "p", "y"), p, "p", "q"), "calibrated")
+    mean_p, mean_y = iso.agg(F.avg("q"), F.avg("y")).first()
+    cells = iso.groupBy(F.floor(C("p") * 50).alias("cell")).agg(F.min("q").alias("lo"), F.max("q").alias("hi"))
+    steps = sorted((r.cell, r.lo, r.hi) for r in cells.collect())  # 51 rows at most
+    auc = sv.m.roc_auc(p, "y", "p").first()[0]
+    value = sv.predict(sv.fit_gbt_reg(train, LTV_FEATS, "label_rev_365", SMALL), train, LTV_FEATS, "v", "value")
+    log = F.log1p("label_rev_365")
+    error, spread = value.agg(F.avg(F.pow(log - F.log1p("v"), F.lit(2.0))), F.var_pop(log)).first()
+    rows = un.winback_features(materialize(wb.winback(t, AS_OF, CFG), "winback"))
+    cols = [c for c in rows.columns if c != "user_id"]
+    costs = [un.fit_kmeans(rows, cols, k=3, starts=n, seed=CFG.seed).stages[-1].summary.trainingCost for n in (1, 4)]
+    facts = {"calibration keeps the mean": abs(mean_p - mean_y) < 0.01, "calibration is monotone": all(a[2] <= b[1] + 0.02 for a, b in zip(steps, steps[1:])),
+             "classifier beats chance": auc > 0.5, "clusters beat their first start": costs[1] <= costs[0] * (1 + 1e-9), "regression beats the mean": error < spread}
+    return t.events.sparkSession.createDataFrame(sorted((k, bool(v)) for k, v in facts.items()), "fact string, holds boolean")
+
+
 @query("model_winback_clusters", "M-17 K-14")
 def winback_clusters(t: Tables) -> DataFrame:
     master = materialize(wb.winback(t, AS_OF, CFG), "winback")

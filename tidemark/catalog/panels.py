@@ -128,7 +128,7 @@ query("panel_index_days", "P-1 P-20", f"{INDEX} SELECT *, CAST(1 AS INTEGER) AS
 query("panel_control_days", "P-2 J-15 W-7 Q-13", f"{INDEX} SELECT *, CAST(0 AS INTEGER) AS treatment FROM control")(
     lambda t: conv.control_days(x.user_day_activity(t.events), conv.emailed_users(t.events), CFG, AS_OF))
 query("panel_conversion", "P-1 P-3 P-4 P-5 P-6 P-7 P-8 P-9 P-10 P-11 P-12 P-13 P-14 P-17 P-18 P-20 W-1 W-2 W-3 "
-      "W-4 J-12 J-13 J-14 J-18 X-3 X-11 X-12 Q-1 Q-11 T-4",
+      "W-4 J-12 J-13 J-14 J-18 X-3 X-11 X-12 Q-1 Q-11",
       f"{INDEX}, {TREATED}, {CANDIDATES} {SAMPLED.format(drop=', treatment')}")(
     lambda t: conv.build_conversion_panel(t, AS_OF, CFG))
 query("panel_uplift", "P-2 P-16 U-1", f"{INDEX}, {BOTH}, {CANDIDATES} {SAMPLED.format(drop='')}")(

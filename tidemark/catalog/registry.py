@@ -28,6 +28,7 @@ class Query:
 
 
 _QUERIES: dict[str, Query] = {}
+bodies: dict[str, str] = {}  # the SQL of queries as written, before the adapter views are put in front
 
 
 def query(name: str, ids: str, sql: str | None = None):
@@ -36,6 +37,8 @@ def query(name: str, ids: str, sql: str | None = None):
     def wrap(build: Callable[[Tables], DataFrame]):
         if name in _QUERIES:
             raise ValueError(f"query {name} is registered twice")
+        if sql is not None:
+            bodies[name] = sql
         _QUERIES[name] = Query(name, ids, build, None if sql is None else fixtures.with_views(sql))
         return build
 

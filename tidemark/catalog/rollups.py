@@ -53,6 +53,17 @@ def exact(df: DataFrame) -> DataFrame:
     return df.drop(*[c for c in df.columns if "_p" in c and c.rsplit("_p", 1)[1].isdigit()])
 
 
+def percentile_ranks(t: Tables) -> DataFrame:
+    """Whether the merged sketches' round-trip percentiles have the rank they claim, within two percent of the rows."""
+    spec = ro.ROLLUPS["path_quality"]
+    quantiles = ro.readout(ro.reroll(ro.rollup(t.requests, spec), spec, "1000 days", ["node"])).select("node", "rtt_p50", "rtt_p95")
+    ranked = t.requests.join(F.broadcast(quantiles), "node").groupBy("node").agg(
+        F.count("*").alias("requests"),
+        *[F.count_if(C("rtt_us") < C(f"rtt_p{p}")).alias(f"below{p}") for p in (50, 95)], *[F.count_if(C("rtt_us") <= C(f"rtt_p{p}")).alias(f"upto{p}") for p in (50, 95)])
+    close = [((C(f"below{p}") <= C("requests") * (p / 100 + 0.02)) & (C(f"upto{p}") >= C("requests") * (p / 100 - 0.02))).alias(f"p{p}_close") for p in (50, 95)]
+    return ranked.select("node", "requests", *close)
+
+
 def _register(name: str) -> None:
     spec = ro.ROLLUPS[name]
     query(f"rollup_{name}", IDS[name], SQL[name])(lambda t: exact(ro.readout(ro.rollup(t.requests, spec))))
@@ -69,6 +80,9 @@ query("rollup_merged_to_hour", "ST-20 A-10", f"""SELECT date_trunc('hour', ts) A
 query("rollup_percentiles", "ST-1 ST-12 A-10")(
     lambda t: ro.readout(ro.reroll(
         ro.rollup(t.requests, ro.ROLLUPS["path_quality"]), ro.ROLLUPS["path_quality"], "1 day", ["node"])))
+query("rollup_percentile_ranks", "ST-1 ST-12 A-10", """
+SELECT node, count(*) AS requests, true AS p50_close, true AS p95_close FROM fx_requests GROUP BY node""")(
+    lambda t: percentile_ranks(t))
 query("rollup_recent_nodes", "R-9 A-10", f"""m AS (SELECT {MIN}, node, {TRAFFIC},
   COUNT(*) FILTER (status >= 400) AS errors, SUM(req_time_ms) AS rt {FROM})
 SELECT bucket, node, requests AS reqs, bytes, errors, ROUND(CAST(rt AS DOUBLE) / requests, 3) AS rt_avg_ms FROM m
@@ -89,9 +103,10 @@ SELECT node, COUNT(*) AS minutes, ROUND(corr(er, load1), 9) AS load_corr FROM m
 
 
 # --- streams: the same tables kept incrementally --------------------------------------------
-def _streamed(t: Tables, source: str, start, name: str) -> DataFrame:
+def _streamed(t: Tables, source: str, start, name: str, repeats: int = 1) -> DataFrame:
+    """What a stream over several files of the source has written once it has caught up."""
     spark = t.events.sparkSession
-    stream = fixtures.load_stream(spark, t.location)[source]
+    stream = fixtures.load_stream(spark, t.location, repeats=repeats)[source]
     path, checkpoint = scratch_dir(spark, name), scratch_dir(spark, f"{name}-progress")
     start(stream, path, checkpoint).awaitTermination()
     return spark.read.parquet(path)
@@ -107,9 +122,23 @@ def _register_stream(name: str) -> None:
     query(f"stream_{name}", IDS[name], SQL[name])(lambda t: streamed_rollup(t, name))
 
 
-for _name in ("stats_minute", "country_minute", "stall_minute", "path_quality", "bw_user_day"):
+for _name in SQL:
     _register_stream(_name)
 
+
+@query("stream_compacted_rollup", "ST-20", SQL["bw_user_day"])
+def compacted_rollup(t: Tables) -> DataFrame:
+    """A compaction, the batches of a second run after it, and a compaction on top: readers see every part once."""
+    spark, spec = t.events.sparkSession, ro.ROLLUPS["bw_user_day"]
+    stream = fixtures.load_stream(spark, t.location)["fx_requests"]
+    path, first, second = (scratch_dir(spark, n) for n in ("parts", "compacted", "compacted"))
+    halves = [stream.filter(f"event_id % 2 = {i}") for i in (0, 1)]
+    ro.start_rollup(halves[0], spec, path, scratch_dir(spark, "progress")).awaitTermination()
+    ro.compact(spark, path, lambda p: ro.reroll(p, spec), first)
+    ro.start_rollup(halves[1], spec, path, scratch_dir(spark, "progress")).awaitTermination()
+    ro.compact(spark, path, lambda p: ro.reroll(p, spec), second, before=first)
+    return exact(ro.readout(ro.read_rollup(spark, spec, path, compacted=second)))
+
 VID = """v AS (SELECT vid, user_id, row_number() OVER (PARTITION BY vid ORDER BY created_at DESC, event_id DESC) AS rn
   FROM fx_events WHERE user_id IS NOT NULL) SELECT vid, user_id FROM v WHERE rn = 1"""
 query("state_vid_map", "ST-14 J-3", VID)(lambda t: st.merge_vid_map(st.vid_map(t.events)))
@@ -125,6 +154,14 @@ WHERE status >= 400""")(
     .select("event_id", "status", "base_path"))
 query("stream_sessions", "ST-19 W-15", SESSIONS)(
     lambda t: st.read_sessions(_streamed(t, "fx_events", st.start_sessions, "sessions")))
+query("stream_request_errors", "ST-16", """SELECT event_id, status, base_path FROM fx_requests
+WHERE status >= 400""")(
+    lambda t: _streamed(t, "fx_requests", lambda s, p, c: st.start_payment_errors(
+        s.withColumn("is_error", (C("status") >= 500).cast("int")), p, c), "request-errors").select("event_id", "status", "base_path"))
+# every file is delivered twice; the watermark is wide enough for all repeats
+query("stream_dedup", "ST-17", "SELECT event_id, idempotency_key FROM fx_events")(
+    lambda t: _streamed(t, "fx_events", lambda s, p, c: st.start_dedup(s, p, c, "60 days"), "dedup", repeats=2)
+    .select("event_id", "idempotency_key"))
 SKEW = "(event_id % 13 - 9)"
 query("state_skew_guard", "ST-18 F-20", f"""
 r AS (SELECT event_id, created_at, created_at + {SKEW} * INTERVAL 1 MINUTE AS received_at FROM fx_events)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from tidemark.catalog.registry import query
+from tidemark.catalog.registry import bodies, query
 from tidemark.operators import segments as s
 from tidemark.sources.fixtures import AS_OF, TEST_CONFIG as CFG
 
@@ -123,7 +123,7 @@ query("segment_heavy_downloaders", "G-13", f"""{USAGE}
 SELECT user_id, file_downloads FROM used WHERE file_downloads > 1"""
 )(lambda t: s.heavy_downloaders(t, AS_OF, CFG))
 
-SHORT = replace(CFG, events_window=3)
+SHORT, SHORT_WINDOW = replace(CFG, events_window=3), ("dormant", "new-or-resurrected")
 query("segment_dormant", "G-14", f"""
 SELECT user_id, MAX(created_at) AS last_seen_at FROM fx_events
 WHERE created_at >= TIMESTAMP '2024-01-25 00:00:00' AND {PRODUCT} AND user_id IS NOT NULL
@@ -187,16 +187,17 @@ SELECT r.user_id, r.bytes_7d, COALESCE(k.tasks_completed, 0) AS tasks_completed
 FROM r LEFT JOIN k ON r.user_id = k.user_id
 WHERE (rn - 1) * 10 > 9 * (n - 1)""")(lambda t: s.top_decile_usage(t, AS_OF, CFG))
 
-SIZED = ("storage-warning", "winback-active", "soft-cancel", "hard-churned")
-query("segment_sizes", "IO-19 A-22", f"""
-SELECT 'storage-warning' AS segment, COUNT(DISTINCT user_id) AS users FROM fx_events
-  WHERE created_at >= {W30} AND event_type = 'account.storage_warning'
-UNION ALL SELECT 'winback-active', COUNT(DISTINCT user_id) FROM fx_revenue
-  WHERE status = 'completed' AND user_id NOT IN {PREM} AND user_id IN (SELECT user_id FROM fx_events
-    WHERE created_at >= {W30} AND {PRODUCT} AND user_id IS NOT NULL)
-UNION ALL SELECT 'soft-cancel', COUNT(*) FROM (SELECT user_id, arg_max(event_type, (created_at, event_id)) AS et
-  FROM fx_events WHERE event_type LIKE 'subscription.%' AND user_id IS NOT NULL GROUP BY user_id)
-  WHERE et = 'subscription.cancellation_scheduled'
-UNION ALL SELECT 'hard-churned', COUNT(DISTINCT user_id) FROM fx_events WHERE created_at >= {W30}
-  AND event_type IN ('subscription.canceled', 'subscription.expired') AND user_id IS NOT NULL"""
-)(lambda t: s.segment_share([x.build(t, AS_OF, CFG) for x in s.select_segments(SIZED)], SIZED))
+
+
+def _sizes_sql() -> str:
+    """One count per catalogue segment over the SQL its own query is checked against."""
+    parts = []
+    for name in s.SEGMENTS:
+        body = bodies["segment_" + name.replace("-", "_")].strip()
+        inner = body if body.upper().startswith("SELECT") else f"WITH {body}"
+        parts.append(f"SELECT '{name}' AS segment, COUNT(*) AS users FROM ({inner})")
+    return f"SELECT segment, users FROM ({' UNION ALL '.join(parts)}) WHERE users > 0"
+
+
+query("segment_sizes", "IO-19 A-22", _sizes_sql())(
+    lambda t: s.segment_share([x.build(t, AS_OF, SHORT if x.name in SHORT_WINDOW else CFG) for x in s.select_segments()], list(s.SEGMENTS)))

@@ -30,7 +30,7 @@ def panel(t: Tables) -> DataFrame:
 def scored(t: Tables) -> DataFrame:
     """id, y (paid later), value (how much), score, p in [0, 1), w."""
     return panel(t).select(
-        (C("user_id") * 100000 + F.unix_date("index_date")).alias("id"),
+        (C("user_id").cast("decimal(20,0)") * 100000 + F.unix_date("index_date")).cast("bigint").alias("id"),
         (C("label_rev_365") > 0).cast("int").alias("y"), C("label_rev_365").alias("value"),
         C("rev_365").alias("score"), (C("rev_365") / (C("rev_365") + 100000.0)).alias("p"),
         F.when(C("user_id") % 3 == 0, 4.0).otherwise(1.0).alias("w"))
@@ -67,13 +67,13 @@ def ranks(col: str, out: str) -> str:
 query("stat_spearman", "A-20 W-9", f"""{PANEL}, r AS (SELECT {ranks('rev_365', 'a')}, {ranks('label_rev_365', 'b')} FROM lp)
 SELECT ROUND(corr(a, b), 9) AS spearman FROM r""")(
     lambda t: st.spearman(panel(t), "rev_365", "label_rev_365").select(F.round("spearman", 9).alias("spearman")))
-NUMERIC = ("recency_days", "frequency", "monetary_sum", "tenure_days", "gap_median", "txns_365", "is_annual")
+NUMERIC = tuple(c for c in ltv.FEATURES_V2 if c not in ("last_plan_id", "provider", "country"))
 CORRS = " UNION ALL ".join(
-    f"SELECT '{c}' AS feature, ROUND(abs(corr(a, b)), 9) AS abs_spearman FROM "
-    f"(SELECT {ranks(c, 'a')}, {ranks('label_rev_365', 'b')} FROM lp)" for c in NUMERIC)
-query("stat_spearman_all", "A-20 T-5", f"{PANEL}, c AS ({CORRS}) SELECT * FROM c ORDER BY abs_spearman DESC LIMIT 5")(
-    lambda t: st.spearman_all(panel(t), NUMERIC, "label_rev_365", 5)
-    .select("feature", F.round("abs_spearman", 9).alias("abs_spearman")))
+    f"SELECT '{c}' AS feature, ROUND(abs(SUM((a - m) * (b - o)) / nullif(sqrt(SUM((a - m) ** 2) * SUM((b - o) ** 2)), 0)), 9) AS abs_spearman FROM "
+    f"(SELECT a, b, AVG(a) OVER () AS m, AVG(b) OVER () AS o FROM (SELECT {ranks(c, 'a')}, {ranks('label_rev_365', 'b')} FROM lp WHERE {c} IS NOT NULL))"
+    for c in NUMERIC)
+query("stat_spearman_all", "A-20 T-5", f"{PANEL}, c AS ({CORRS}) SELECT * FROM c ORDER BY abs_spearman DESC NULLS LAST, feature LIMIT 12")(
+    lambda t: eda.correlations(panel(t)).select("feature", F.round("abs_spearman", 9).alias("abs_spearman")))
 query("stat_quantile_bins", "W-10", f"""{S}, r AS (SELECT id, row_number() OVER (ORDER BY score, id) AS i,
   COUNT(*) OVER () AS n FROM s)
 SELECT id, CAST(greatest(1, ((i - 1) * 10 + n - 2) // (n - 1)) AS INTEGER) AS bin FROM r""")(
@@ -184,8 +184,8 @@ TIER = "CASE WHEN monetary_sum >= 3000000 THEN 'Platinum' WHEN monetary_sum >= 1
 query("eda_tiers", "K-21 A-21", summary_sql(TIER, "tier"))(lambda t: tidy(eda.by_tier(panel(t), CFG), "tier"))
 query("eda_emerging", "K-21 A-21", summary_sql("CAST(country IN ('in', 'id') AS INTEGER)", "emerging"))(
     lambda t: tidy(eda.by_emerging(panel(t)), "emerging"))
-query("eda_countries", "K-21 T-5", summary_sql("country", "country", "HAVING COUNT(*) >= 2000 ORDER BY SUM(y) DESC LIMIT 3"))(
-    lambda t: tidy(eda.top_countries(panel(t), 2000, 3), "country"))
+query("eda_countries", "K-21 T-5", summary_sql("country", "country", "HAVING COUNT(*) >= 2000 ORDER BY SUM(y) DESC, country LIMIT 10"))(
+    lambda t: tidy(eda.top_countries(panel(t)), "country"))
 query("eda_cycle", "K-21", summary_sql("is_annual", "is_annual"))(lambda t: tidy(eda.by_cycle(panel(t)), "is_annual"))
 query("eda_providers", "K-21", summary_sql("provider", "provider", "HAVING COUNT(*) >= 500"))(
     lambda t: tidy(eda.by_provider(panel(t)), "provider"))

@@ -28,7 +28,7 @@ def _spark(t: Tables):
     return t.events.sparkSession
 
 
-@query("storage_segment_csv", "IO-1 IO-6 IO-8", """
+@query("storage_segment_csv", "IO-1 IO-6", """
 SELECT user_id, COUNT(*) AS opens, MAX(created_at) AS last_open_at FROM fx_events
 WHERE created_at >= TIMESTAMP '2024-01-01 00:00:00' AND event_type = 'email.opened' AND user_id IS NOT NULL GROUP BY 1""")
 def segment_csv(t: Tables) -> DataFrame:
@@ -50,24 +50,27 @@ def extract_files(t: Tables) -> DataFrame:
 
 @query("storage_month_refresh", "IO-5", f"""
 o AS (SELECT o_custkey AS user_id, o_orderdate AS ts FROM orders),
-m AS (SELECT user_id, CAST(year(ts) * 100 + month(ts) AS INTEGER) AS month FROM o WHERE ts >= TIMESTAMP '2001-01-01 00:00:00')
-SELECT month, COUNT(*) AS orders, COUNT(DISTINCT user_id) AS users FROM m WHERE month <= 200106 GROUP BY month""")
+m AS (SELECT user_id, CAST(year(ts) * 100 + month(ts) AS INTEGER) AS month FROM o)
+SELECT month, COUNT(*) AS orders, COUNT(DISTINCT user_id) AS users FROM m GROUP BY month""")
 def month_refresh(t: Tables) -> DataFrame:
     spark, path = _spark(t), scratch_dir(_spark(t), "months")
     orders = spark.read.parquet(f"{t.location.rstrip('/')}/orders.parquet").select(
         C("o_custkey").alias("user_id"), C("o_orderdate").alias("ts"))
-    months = io.months_between(200101, 200106)
+    month = (F.year("ts") * 100 + F.month("ts")).cast("int")
+    bounds = orders.agg(F.min(month), F.max(month)).first()
+    months = io.months_between(*bounds) if bounds[0] is not None else []
 
-    def one(month: int) -> DataFrame:
-        return orders.filter(x.month_filter("ts", month))
+    def some(first: int, last: int) -> DataFrame:
+        return orders.filter(x.month_filter("ts", first, last)).withColumn("month", month)
 
-    io.refresh_months(spark, one, path, months[:4])
-    io.refresh_months(spark, one, path, months, always=[200104])  # adds two, rebuilds one
+    half = len(months) // 2
+    io.refresh_months(spark, some, path, months[:half])
+    io.refresh_months(spark, some, path, months, always=months[half - 1:half])  # adds the rest, rebuilds one
     return io.read_months(spark, path).groupBy("month").agg(
         F.count(F.lit(1)).alias("orders"), F.count_distinct("user_id").alias("users"))
 
 
-@query("storage_snapshot_history", "IO-10 IO-11 IO-12 K-8", """
+@query("storage_snapshot_history", "IO-11 IO-12 K-8", """
 d AS (SELECT user_id, CAST(SUM(amount_usd) AS DOUBLE) AS ltv, COUNT(*) AS txns FROM fx_revenue
   WHERE status = 'completed' AND user_id <> 0 GROUP BY user_id)
 SELECT user_id, ltv, CAST(NULL AS BIGINT) AS txns, '2024-01-30' AS snapshot_date FROM d
@@ -103,7 +106,7 @@ def split_by_group(t: Tables) -> DataFrame:
     return _spark(t).read.parquet(path)
 
 
-@query("storage_cast_by_name", "IO-7 IO-9 X-15", """
+@query("storage_cast_by_name", "IO-7 X-15", """
 SELECT user_id, CAST(SUM(amount_usd) AS DOUBLE) AS ltv_usd, COUNT(*) AS txns,
   CAST(CASE WHEN COUNT(*) > 5 THEN 1 ELSE 0 END AS TINYINT) AS seg_often, MAX(transaction_date) AS last_at
 FROM fx_revenue WHERE status = 'completed' AND user_id <> 0 GROUP BY user_id""")
@@ -127,7 +130,7 @@ def plan_seed(t: Tables) -> DataFrame:
     return seeded.join(used, "billing_plan_id", "left_semi").drop("confidence")
 
 
-@query("storage_resume", "IO-17 U-2 U-3", """
+@query("storage_resume", "IO-17 U-3", """
 SELECT DISTINCT user_id, CASE WHEN user_id % 23 = 7 THEN 'retried' ELSE 'ok' END AS content_status FROM fx_accounts""")
 def resumed(t: Tables) -> DataFrame:
     previous = t.accounts.select("user_id", "content_status")
@@ -142,4 +145,49 @@ def nulls(t: Tables) -> DataFrame:
     return io.null_report(t.events, ["user_id", "matomo_idgoal"])
 
 
-query("storage_hash_sample", "T-4 X-13")(lambda t: tree.sample_users(t.revenue, 100))
+query("storage_hash_sample", "T-4 X-13", """
+SELECT user_id FROM (SELECT DISTINCT user_id FROM fx_revenue) ORDER BY md5(CAST(user_id AS VARCHAR)), user_id LIMIT 100""")(
+    lambda t: tree.sample_users(t.revenue, 100))
+
+
+@query("storage_inferred_list", "IO-8", """
+SELECT user_id, CAST(SUM(amount_usd) AS DOUBLE) AS ltv_usd, CAST(COUNT(*) AS INTEGER) AS txns, MAX(provider) AS provider
+FROM fx_revenue WHERE status = 'completed' AND user_id <> 0 GROUP BY user_id""")
+def inferred_list(t: Tables) -> DataFrame:
+    """A list with header read back with the types its own values have."""
+    path = scratch_dir(_spark(t), "inferred")
+    rows = x.txns(t.revenue).groupBy("user_id").agg(
+        F.sum("amount_usd").cast("double").alias("ltv_usd"), F.count(F.lit(1)).cast("int").alias("txns"), F.max("provider").alias("provider"))
+    io.write_list(rows, path)
+    return io.read_inferred(_spark(t), path, ",").withColumn("user_id", C("user_id").cast("long"))
+
+
+TABLE_SQL = """
+SELECT user_id, CAST(SUM(amount_usd) AS DOUBLE) AS ltv_usd, COUNT(*) AS txns, CAST(CASE WHEN COUNT(*) > 5 THEN 1 ELSE 0 END AS TINYINT) AS seg_often
+FROM fx_revenue WHERE status = 'completed' AND user_id <> 0 GROUP BY user_id"""
+
+
+@query("storage_load_table", "IO-9 IO-10", TABLE_SQL)
+def load_table(t: Tables) -> DataFrame:
+    """A text panel typed by its names, saved as a bucketed table, created and then replaced, read by its name."""
+    spark, path, place = _spark(t), scratch_dir(_spark(t), "table-panel"), scratch_dir(_spark(t), "table")
+    rows = x.txns(t.revenue).groupBy("user_id").agg(
+        F.sum("amount_usd").alias("ltv_usd"), F.count(F.lit(1)).alias("txns")).withColumn("seg_often", (C("txns") > 5).cast("int"))
+    io.write_list(rows, path)
+    typed = io.read_panel(spark, path).withColumn("txns", C("txns").cast("long"))
+    name = "tidemark_" + place.rsplit("-", 1)[1]
+    io.save_table(typed.limit(0), name, path=place)
+    io.save_table(typed, name, buckets=8, path=place)
+    return spark.table(name)
+
+
+@query("storage_retention", "IO-21", """
+SELECT CAST(year(transaction_date) * 100 + month(transaction_date) AS INTEGER) AS month, COUNT(*) AS txns, CAST(SUM(amount_usd) AS DOUBLE) AS amount
+FROM fx_revenue WHERE transaction_date >= TIMESTAMP '2023-01-01 00:00:00' GROUP BY 1""")
+def retention(t: Tables) -> DataFrame:
+    """Monthly partitions of all payments; the expired ones are deleted as folders, the rest is read back."""
+    spark, path = _spark(t), scratch_dir(_spark(t), "retention")
+    dated = t.revenue.select((F.year("transaction_date") * 100 + F.month("transaction_date")).cast("int").alias("month"), "amount_usd")
+    io.overwrite_partitions(dated, path, "month")
+    io.drop_expired(spark, path, "month", 202301)
+    return io.read_months(spark, path).groupBy("month").agg(F.count(F.lit(1)).alias("txns"), F.sum("amount_usd").cast("double").alias("amount"))

@@ -62,6 +62,10 @@ class Config:
     tasks_warmup: int = 30
     subs_since: date = date(2026, 1, 12)
     mobile_window: int = 90
+    panel_heavy_downloads: int = 50
+    panel_streams: int = 5
+    panel_dormant_days: int = 180
+    panel_soft_cancel_days: int = 60
     # churn panel
     churn_start: date = date(2026, 2, 1)
     churn_step: int = 7
@@ -90,6 +94,12 @@ class Config:
     edge_window: int = 7
     task_window: int = 30
     billing_window: int = 45
+    # billing rule of the churn score: risk without a payment method, after a cancellation, just before expiry
+    risk_no_method: float = 0.95
+    risk_cancelled: float = 0.90
+    risk_expiring: float = 0.50
+    cancelled_days: int = 30
+    expiring_days: int = 15
     # retention quadrants (published without thresholds)
     high_value: float = 25.0
     high_risk: float = 0.3

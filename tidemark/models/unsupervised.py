@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 C = F.col
+CALIBRATION_CELLS = 16_384
 
 
 def winback_features(master: DataFrame) -> DataFrame:
@@ -50,12 +51,14 @@ def cluster_summary(master: DataFrame, clustered: DataFrame) -> DataFrame:
 
 
 def fit_isotonic(df: DataFrame, score: str, label: str, weight: str | None = None) -> IsotonicRegressionModel:
-    """Monotone calibration of a score column; equal scores are combined first, which
-    keeps the fit the same and its input small."""
+    """Monotone calibration of a score column over all rows, combined into ``CALIBRATION_CELLS`` cells of [0, 1].
+
+    The fit merges its blocks in one place, so its input is bounded: a cell is the mean score and label of its rows."""
     w = F.lit(1.0) if weight is None else C(weight)
+    p = C(score).cast("double")
     points = (
-        df.groupBy(C(score).cast("double").alias("features"))
-        .agg((F.sum(w * C(label)) / F.sum(w)).alias("label"), F.sum(w).alias("weight"))
+        df.groupBy(F.least(F.floor(p * CALIBRATION_CELLS), F.lit(CALIBRATION_CELLS - 1)).alias("_cell"))
+        .agg((F.sum(w * p) / F.sum(w)).alias("features"), (F.sum(w * C(label)) / F.sum(w)).alias("label"), F.sum(w).alias("weight"))
     )
     return IsotonicRegression(featuresCol="features", labelCol="label", weightCol="weight").fit(points)
 

@@ -27,11 +27,11 @@ SUB_KINDS = {
 TASK_TYPES = ("task.completed", "task.failed", "account.storage_warning")
 
 
-def month_filter(ts: str, month: int):
-    """Rows of one month (yyyymm) as a range on the raw timestamp, so it can prune."""
-    year, mon = divmod(month, 100)
+def month_filter(ts: str, month: int, last: int | None = None):
+    """Rows of one month (yyyymm), or of all up to ``last``, as a range on the raw timestamp, so it can prune."""
+    year, mon = divmod(month if last is None else last, 100)
     nxt = (year + mon // 12, mon % 12 + 1)
-    lo, hi = f"{year}-{mon:02d}-01", f"{nxt[0]}-{nxt[1]:02d}-01"
+    lo, hi = f"{month // 100}-{month % 100:02d}-01", f"{nxt[0]}-{nxt[1]:02d}-01"
     return (C(ts) >= F.lit(lo).cast("timestamp_ntz")) & (C(ts) < F.lit(hi).cast("timestamp_ntz"))
 
 

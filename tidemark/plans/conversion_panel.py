@@ -187,14 +187,14 @@ def panel_candidates(t: Tables, as_of: datetime, cfg: Config, uplift: bool = Fal
     paid = C("_pay").isNotNull()
     wide = wide.withColumns({
         "seg_storage_warning": flag(C("storage_warnings_30") > 0),
-        "seg_heavy_downloader": flag(C("file_dl_30") + C("archive_dl_30") > 50),
-        "seg_streamer": flag(C("streams_30") >= 5),
+        "seg_heavy_downloader": flag(C("file_dl_30") + C("archive_dl_30") > cfg.panel_heavy_downloads),
+        "seg_streamer": flag(C("streams_30") >= cfg.panel_streams),
         "seg_cart_abandoner": flag((C("pricing_views_30") > 0) & (C("goal4_30") == 0) & free),
         "seg_winback_active": flag(payer & free & (C("web_active_days_30") > 0)),
-        "seg_dormant_payer": flag(payer & free & C("days_since_last_txn").between(0, 180)
+        "seg_dormant_payer": flag(payer & free & C("days_since_last_txn").between(0, cfg.panel_dormant_days)
                                   & (C("web_active_days_30") == 0)),
         "seg_soft_cancel": flag((C("last_sub_event") == "cancellation_scheduled")
-                                & (C("days_since_sub_event") <= 60)),
+                                & (C("days_since_sub_event") <= cfg.panel_soft_cancel_days)),
         "seg_monthly_loyal": flag(~free & (C("txns_365d") >= cfg.monthly_min_txns)
                                   & (C("last_txn_amount") < cfg.monthly_max_amount)),
         "label_payment_14d": flag(paid),

@@ -34,9 +34,9 @@ def billing_override(scores: DataFrame, expiry: DataFrame, as_of: datetime, cfg:
     })
     left = C("days_to_expires")
     rule = case_chain([
-        (left.between(-cfg.expiry_before, cfg.expiry_after) & (C("has_payment_method") == 0), 0.95),
-        (left.between(0, 30) & (C("had_cancel_sched") == 1), 0.90),
-        (left.between(0, 15), 0.50),
+        (left.between(-cfg.expiry_before, cfg.expiry_after) & (C("has_payment_method") == 0), cfg.risk_no_method),
+        (left.between(0, cfg.cancelled_days) & (C("had_cancel_sched") == 1), cfg.risk_cancelled),
+        (left.between(0, cfg.expiring_days), cfg.risk_expiring),
     ], 0.0)
     return joined.withColumns({
         "churn_risk_30d": F.round(F.greatest("model_risk", rule), 4),

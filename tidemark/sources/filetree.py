@@ -88,7 +88,7 @@ def parse_accounts(trees: DataFrame) -> DataFrame:
 
 def sample_users(ids: DataFrame, n: int) -> DataFrame:
     """Stable sample: the first ``n`` ids in hash order."""
-    return ids.select("user_id").distinct().orderBy(F.xxhash64("user_id"), "user_id").limit(n)
+    return ids.select("user_id").distinct().orderBy(F.md5(C("user_id").cast("string")), "user_id").limit(n)
 
 
 def todo(ids: DataFrame, previous: DataFrame) -> DataFrame:

@@ -12,7 +12,8 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.config import Config
-from tidemark.session import prepare
+from tidemark.session import prepare, scratch_dir
+from tidemark.sources import files
 from tidemark.sources.seeds import plan_storage
 from tidemark.sources.tables import Tables
 
@@ -190,13 +191,28 @@ def load(spark: SparkSession, sf_dir: str) -> Tables:
     )
 
 
-def load_stream(spark: SparkSession, sf_dir: str, files_per_batch: int = 1) -> dict[str, DataFrame]:
-    """The event-born views as streams over the same files."""
+_FEEDS: dict[tuple[str, str, int], str] = {}
+
+
+def feed(spark: SparkSession, sf_dir: str, parts: int = 3, repeats: int = 1) -> str:
+    """The events table as ``parts`` files in time order (each delivered ``repeats`` times): a stream over them takes as
+    many micro-batches. Written once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir, repeats)
+    if key not in _FEEDS or not files.exists(spark, _FEEDS[key]):
+        _FEEDS[key] = scratch_dir(spark, "feed")
+        ordered = spark.read.parquet(f"{sf_dir.rstrip('/')}/events*.parquet").repartitionByRange(parts, "ts", "event_id")
+        for _ in range(repeats):
+            ordered.write.mode("append").parquet(_FEEDS[key])
+    return _FEEDS[key]
+
+
+def load_stream(spark: SparkSession, sf_dir: str, files_per_batch: int = 1, repeats: int = 1) -> dict[str, DataFrame]:
+    """The event-born views as streams over several files of the same rows."""
     prepare(spark)
-    pattern = f"{sf_dir.rstrip('/')}/events*.parquet"
-    schema = spark.read.parquet(pattern).schema
+    path = feed(spark, sf_dir, repeats=repeats)
+    schema = spark.read.parquet(path).schema
     stream = (
-        spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(pattern)
+        spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
     )
     names = {"events": "tidemark_stream_events", "fx_events": "tidemark_stream_fx_events"}
     stream.createOrReplaceTempView(names["events"])

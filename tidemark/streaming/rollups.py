@@ -9,6 +9,7 @@ again after a failure overwrites exactly its own folder.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -154,10 +155,15 @@ ROLLUPS: dict[str, Rollup] = {
 def append_parts(
     stream: DataFrame, part: Callable[[DataFrame], DataFrame], path: str, checkpoint: str
 ) -> StreamingQuery:
-    """Append the parts of every micro-batch, one folder per batch id."""
+    """Append the parts of every micro-batch, one folder per run and batch id.
+
+    A run is a checkpoint: a restarted stream goes on in its own folder, a repeated batch overwrites itself, and a stream
+    that starts over with a new checkpoint overwrites nothing.
+    """
+    run = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        part(batch).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        part(batch).write.mode("overwrite").parquet(f"{path}/run={run}/batch_id={batch_id}")
 
     return (
         stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
@@ -169,8 +175,34 @@ def start_rollup(stream: DataFrame, spec: Rollup, path: str, checkpoint: str) ->
     return append_parts(stream, lambda batch: rollup(batch, spec), path, checkpoint)
 
 
-def read_rollup(spark: SparkSession, spec: Rollup, path: str, grain: str | None = None) -> DataFrame:
-    return reroll(spark.read.parquet(path), spec, grain)
+def read_parts(spark: SparkSession, path: str, compacted: str | None = None) -> DataFrame:
+    """All parts of a stream: what ``compacted`` holds, and the batches written since."""
+    parts = spark.read.option("basePath", path).parquet(f"{path}/run=*")
+    if compacted is None:
+        return parts.drop("run", "batch_id")
+    covered = spark.read.parquet(f"{compacted}/covered")  # one row per batch
+    fresh = parts.join(covered, ["run", "batch_id"], "left_anti").drop("run", "batch_id")
+    return spark.read.parquet(f"{compacted}/rows").unionByName(fresh)
+
+
+def compact(spark: SparkSession, path: str, merge: Callable[[DataFrame], DataFrame], out: str, before: str | None = None) -> None:
+    """Merge the parts written so far (and an earlier compaction) into the new folder ``out``, with the list of batches it covers.
+
+    ``merge`` returns parts again. Readers that are given ``out`` leave the covered batches out, whenever they were written."""
+    seen = spark.read.option("basePath", path).parquet(f"{path}/run=*").select("run", "batch_id").distinct()
+    seen.write.mode("overwrite").parquet(f"{out}/covered")
+    covered = spark.read.parquet(f"{out}/covered")
+    parts = spark.read.option("basePath", path).parquet(f"{path}/run=*").join(covered, ["run", "batch_id"], "left_semi")
+    if before is not None:
+        parts = parts.join(spark.read.parquet(f"{before}/covered"), ["run", "batch_id"], "left_anti")
+    parts = parts.drop("run", "batch_id")
+    if before is not None:
+        parts = parts.unionByName(spark.read.parquet(f"{before}/rows"))
+    merge(parts).write.mode("overwrite").parquet(f"{out}/rows")
+
+
+def read_rollup(spark: SparkSession, spec: Rollup, path: str, grain: str | None = None, compacted: str | None = None) -> DataFrame:
+    return reroll(read_parts(spark, path, compacted), spec, grain)
 
 
 def watermarked(df: DataFrame, ts: str, late: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -61,8 +61,13 @@ def vid_map(events: DataFrame) -> DataFrame:
     )
 
 
+def merge_vid_parts(parts: DataFrame) -> DataFrame:
+    """One part per visitor out of many, still with its version."""
+    return parts.groupBy("vid").agg(F.max_by("user_id", "version").alias("user_id"), F.max("version").alias("version"))
+
+
 def merge_vid_map(parts: DataFrame) -> DataFrame:
-    return parts.groupBy("vid").agg(F.max_by("user_id", "version").alias("user_id"))
+    return merge_vid_parts(parts).drop("version")
 
 
 # --- subscription state -----------------------------------------------------------------
@@ -96,6 +101,11 @@ def start_subscription_state(events: DataFrame, path: str, checkpoint: str) -> S
     return append_parts(events, last_subscription, path, checkpoint)
 
 
-def compact(spark: SparkSession, path: str, merge, out: str) -> None:
-    """Merge the parts written so far into a new folder (parts stay small to read)."""
-    merge(spark.read.parquet(path)).write.mode("overwrite").parquet(out)
+def start_payment_errors(requests: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    return append_parts(requests, payment_errors, path, checkpoint)
+
+
+def start_dedup(events: DataFrame, path: str, checkpoint: str, late: str = "5 minutes") -> StreamingQuery:
+    """First arrivals appended as they come; the sink's commit protocol keeps a repeated batch out."""
+    return (dedup(events, late).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
