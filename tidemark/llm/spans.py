@@ -5,7 +5,8 @@ joined globally; a sentence is removed if it lies in a span whose first occurren
 with a smaller doc_id, or earlier in the same one. Text outside such spans stays as it is, byte for byte.
 
 A sentence ends behind ``.``, ``!`` or ``?`` before white space, or at a line end; one of more than ``LONGEST`` words is cut
-there again, so that texts without punctuation have spans too. Each document sends a span once, whatever it repeats
+again, behind words whose hash says so (or after ``LONGEST`` words), so that texts without punctuation have spans too and a
+passage is cut alike wherever in a sentence it begins. Each document sends a span once, whatever it repeats
 inside; frequent spans meet as partial minima, and only the minimum is joined back.
 
 Defined results: null texts have no spans and stay null; texts with too few sentences or words are left alone; rows
@@ -16,6 +17,7 @@ carried (own columns called n_removed or chars_removed are replaced).
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +30,8 @@ from pyspark.sql import types as T
 from tidemark.llm.common import map_batches, store
 
 SENTENCES, WORDS, LONGEST = 2, 12, 24
+#: One word in so many ends a piece of an overlong sentence.
+CUT_EVERY = 8
 _END = re.compile(r"[.!?]+\s+|\s*\n\s*")
 _WORD = re.compile(r"\S+\s*")
 
@@ -41,10 +45,13 @@ def sentences(text: str) -> tuple[list[int], list[list[str]]]:
         own = text[begin:end].lower().split()
         if len(own) > LONGEST:
             at = [begin + m.start() for m in _WORD.finditer(text[begin:end])]
-            for i in range(LONGEST, len(at), LONGEST):
-                cuts.append(at[i])
-                words.append(own[i - LONGEST:i])
-            own = own[(len(own) - 1) // LONGEST * LONGEST:]
+            last = 0
+            for i in range(1, len(at)):
+                if i - last == LONGEST or zlib.crc32(own[i - 1].encode("utf-8", "replace")) % CUT_EVERY == 0:
+                    cuts.append(at[i])
+                    words.append(own[last:i])
+                    last = i
+            own = own[last:]
         cuts.append(end)
         words.append(own)
         begin = end
