@@ -240,6 +240,12 @@ def test_main_text_rules():
     assert pages.main_text(pages.parse("plain & simple")) == "plain & simple"
     assert pages.main_text(pages.parse("<div>" * 5000 + "deep")) == "deep"
     assert pages.main_text(pages.parse("<p hidden>gone</p>stay")) == "stay"
+    parts = {"site-header": False, "commentlist": False, "Comments": False, "adBox": False, "sidebarLeft": False, "has-sidebar": True, "page-header-wrap": True, "lead": True,
+             "post body": True, "post share": False}
+    for name, stays in parts.items():
+        assert (pages.main_text(pages.parse(f"<div class='{name}'><p>text</p></div>")) == "text") == stays, name
+    for tag, stays in {"div role=navigation": False, "div role='search'": False, "section id=cookieBar": False, "div aria-hidden=true": False, "section": True}.items():
+        assert (pages.main_text(pages.parse(f"<{tag}>text</{tag.split()[0]}>")) == "text") == stays, tag
 
 
 def brute_match(a, b):

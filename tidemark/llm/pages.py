@@ -52,6 +52,8 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 MARKS = frozenset("ad ads advert adverts advertisement adsbygoogle sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs "
                   "header masthead footer sidebar aside widget cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe signup login share "
                   "sharing social related recommended comment comments reply replies respond disqus pagination pager skip".split())
+STARTS = ("advert", "banner", "breadcrumb", "comment", "cookie", "footer", "masthead", "newsletter", "popup", "sidebar", "sponsor")
+LAYOUT = frozenset("no has with without wrap wrapper container layout page".split())  # a class about the page's frame, not a part of it
 CLOSES_P = BLOCKS - {"html", "body", "td", "th", "tr", "thead", "tbody", "tfoot", "caption", "li", "dt", "dd"}
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
         "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -73,8 +75,11 @@ def dropped(tag: str, attrs: str) -> bool:
             return True
         if name == "role" and value.lower() in ROLES:
             return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and any(p.lower() in MARKS for p in _PART.findall(value)):
-            return True
+        if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
+            for word in value.split():
+                parts = [p.lower() for p in _PART.findall(word)]
+                if not LAYOUT.intersection(parts) and any(p in MARKS or p.startswith(STARTS) for p in parts):
+                    return True
     return False
 
 
