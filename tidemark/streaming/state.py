@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -52,13 +54,17 @@ def read_sessions(parts: DataFrame, gap_minutes: int = 30) -> DataFrame:
 
 
 # --- visitor -> account -----------------------------------------------------------------
+def _version() -> Column:
+    """(time, event id) as one number that orders alike: numbers keep the aggregation over all events hashed, where a
+    struct would make Spark sort them."""
+    micros = F.unix_micros(C("created_at").cast("timestamp")).cast("decimal(18,0)")
+    return micros * F.lit(Decimal(10) ** 19) + C("event_id").cast("decimal(19,0)")
+
+
 def vid_map(events: DataFrame) -> DataFrame:
     """Latest identified account per visitor, with the version it was seen at."""
-    newest = F.struct("created_at", "event_id")
-    return (
-        events.filter(C("user_id").isNotNull()).groupBy("vid")
-        .agg(F.max_by("user_id", newest).alias("user_id"), F.max(newest).alias("version"))
-    )
+    seen = events.filter(C("user_id").isNotNull()).select("vid", "user_id", _version().alias("version"))
+    return seen.groupBy("vid").agg(F.max_by("user_id", "version").alias("user_id"), F.max("version").alias("version"))
 
 
 def merge_vid_parts(parts: DataFrame) -> DataFrame:
