@@ -28,31 +28,40 @@ from tidemark.llm.common import map_batches
 
 #: Ends a word inside the automaton; no byte-level symbol uses it.
 END = "￿"
-#: Words kept per worker before the memory is cleared, and the longest word kept.
-CACHED_WORDS, CACHED_CHARS = 500_000, 64
+#: Words a worker remembers in each of two generations (a word that is met again moves to the younger one), the longest
+#: word remembered, and the pairs remembered.
+CACHED_WORDS, CACHED_CHARS, CACHED_PAIRS = 120_000, 64, 200_000
 
-#: Pre-tokenisation pattern of the word-level BPE file (a fixed value of that file).
-WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
+#: Contractions that stand alone in the pre-tokenisation of the word-level BPE file (fixed values of that file).
+CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 
 
-def byte_symbols() -> list[str]:
-    """The printable character that stands for each byte in byte-level vocabularies."""
-    shown = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
-    hidden = [b for b in range(256) if b not in set(shown)]
-    return [chr(b) if b in set(shown) else chr(256 + hidden.index(b)) for b in range(256)]
+_STANDING_ALONE = "|".join(CONTRACTIONS)
+#: Words: contractions, runs of letters, single digits, runs of other characters. Plain ASCII texts take the simpler classes.
+WORDS = regex.compile(_STANDING_ALONE + r"|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
+ASCII_WORDS = re.compile(_STANDING_ALONE + r"|[a-z]+|[0-9]|[^a-z0-9\t-\r ]+")
+#: Code points below it all have a category, so that most texts need no closer look.
+BEYOND = re.compile("[\u0378-\U0010ffff]")
 
 
 def unassigned() -> re.Pattern:
     """Matches code points without a category in Python's Unicode version; all others have the same one in later versions."""
-    ranges, begin = [], None
-    for i in range(0x80, 0x110001):
-        open_ = i < 0x110000 and unicodedata.category(chr(i)) == "Cn"
-        if open_ and begin is None:
+    out, begin = [], None
+    for i in range(0x378, 0x110001):
+        inside = i < 0x110000 and unicodedata.category(chr(i)) == "Cn"
+        if inside and begin is None:
             begin = i
-        elif not open_ and begin is not None:
-            ranges.append(f"\\U{begin:08x}-\\U{i - 1:08x}")
+        elif not inside and begin is not None:
+            out.append(f"\\U{begin:08x}-\\U{i - 1:08x}")
             begin = None
-    return re.compile("[" + "".join(ranges) + "]")
+    return re.compile("[" + "".join(out) + "]")
+
+
+def byte_symbols() -> list[str]:
+    """The printable character that stands for each byte in byte-level vocabularies."""
+    shown = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return [chr(b) if b in set(shown) else chr(256 + hidden.index(b)) for b in range(256)]
 
 
 class PrefixBpe:
@@ -65,8 +74,8 @@ class PrefixBpe:
         self.tokens = {i: t for t, i in model["vocab"].items()}
         self.special = {a["content"]: a["id"] for a in data["added_tokens"]}
         self.tokens |= {i: t for t, i in self.special.items()}
-        self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.words = regex.compile(WORDS)
+        self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.newer = unassigned()
         self.symbols = dict(enumerate(byte_symbols()))
         self.machine = ahocorasick.Automaton()
         for token, i in model["vocab"].items():
@@ -80,10 +89,10 @@ class PrefixBpe:
             pair = ids[a], ids[b]
             self.rank.setdefault(pair, n)
             self.parts.setdefault(ids[a + b], (n, *pair))
-        self.newer = unassigned()
         self.spec, self.library = spec, None
         self.fits: dict[tuple[int, int], bool] = {}
         self.known: dict[str, tuple[bytes, str]] = {}
+        self.older: dict[str, tuple[bytes, str]] = {}
 
     def beside(self, left: int, right: int) -> bool:
         """Whether BPE keeps both tokens when they stand next to each other.
@@ -107,7 +116,7 @@ class PrefixBpe:
                 now, left = a[0], a[2]
             else:
                 now, right = b[0] + 1, b[1]
-        if len(self.fits) > 500_000:
+        if len(self.fits) >= CACHED_PAIRS:
             self.fits.clear()
         self.fits[key] = ok
         return ok
@@ -131,12 +140,14 @@ class PrefixBpe:
         return out[::-1]
 
     def lookup(self, word: str) -> tuple[bytes, str]:
-        if (got := self.known.get(word)) is None:
+        """A word that the younger generation lacks."""
+        got = self.older.get(word)
+        if got is None:
             got = self.packed(self.encode_word(word))
-            if len(word) <= CACHED_CHARS:
-                if len(self.known) >= CACHED_WORDS:
-                    self.known.clear()
-                self.known[word] = got
+        if len(word) <= CACHED_CHARS:
+            if len(self.known) >= CACHED_WORDS:
+                self.older, self.known = self.known, {}
+            self.known[word] = got
         return got
 
     def packed(self, ids: list[int]) -> tuple[bytes, str]:
@@ -152,12 +163,17 @@ class PrefixBpe:
         return self.plain(text)
 
     def plain(self, text: str) -> list[tuple[bytes, str]]:
+        words = ASCII_WORDS
         if not text.isascii():
-            if self.newer.search(text):
+            words = WORDS
+            if BEYOND.search(text) and self.newer.search(text):
                 return self.by_library(text)
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower-cased letter by letter
-        get, lookup = self.known.get, self.lookup
-        return [get(w) or lookup(w) for w in self.words.findall(text.lower())]
+        lookup = self.lookup
+        out = []
+        for w in words.findall(text.lower()):
+            out.append(self.known.get(w) or lookup(w))
+        return out
 
     def by_library(self, text: str) -> list[tuple[bytes, str]]:
         """Texts with code points that Python's Unicode tables do not know: the library's own, newer tables split them."""
