@@ -108,7 +108,8 @@ def dedup_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     added = ("n_removed", "chars_removed")
     carried = [c for c in df.columns if c not in (text_col, *added)]
-    joined = df.select(F.struct(*carried).alias("row"), F.col(text_col).alias("text"), last.alias("doc")).join(lists, "doc", "left").select("row", "text", "spans")
+    # the lists of a partition are hashed and the texts stream past them, unsorted
+    joined = df.select(F.struct(*carried).alias("row"), F.col(text_col).alias("text"), last.alias("doc")).join(lists.hint("shuffle_hash"), "doc", "left").select("row", "text", "spans")
     schema = T.StructType([joined.schema["row"], joined.schema["text"]] + [T.StructField(c, T.LongType()) for c in added])
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
