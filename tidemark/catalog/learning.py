@@ -58,7 +58,7 @@ def _churn_rows(t: Tables) -> DataFrame:
 
 def _panel(t: Tables, uplift: bool) -> DataFrame:
     rows = materialize(conv.build_conversion_panel(t, AS_OF, WIDE, uplift), "conversion-panel")
-    keep = ("user_id", "send_date", "label_conv_14d", "sample_weight", "treatment", *conv.SEGMENT_FLAGS, *pr.CATEGORICAL)
+    keep = ("user_id", "send_date", "label_conv_14d", "label_payment_14d", "sample_weight", "treatment", *conv.SEGMENT_FLAGS, *pr.CATEGORICAL)
     cleaned = pr.clean(rows.drop("mobile_share_now"), keep=keep).withColumn(
         "row_id", row_id("send_date"))
     return materialize(cleaned, "conversion-clean")
