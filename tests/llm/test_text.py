@@ -427,3 +427,12 @@ def test_toxicity_without_labels(spark):
     out = toxicity.score_toxicity(docs, spark.createDataFrame([], "doc_id long, toxic int"), lambda key: crc_bucket(key, 5)).collect()
     assert len(out) == 2 and all(0 <= r.score <= 1 for r in out)
     assert toxicity.score_toxicity(docs.limit(0), spark.createDataFrame([(1, 1)], "doc_id long, toxic int"), lambda key: crc_bucket(key, 5)).count() == 0
+
+
+def test_toxicity_tables_are_exact(spark, monkeypatch):
+    docs, labels = labelled(spark, 200)
+    grams = toxicity.top_grams(spark.createDataFrame([(t, bool(labels[d][1])) for d, t, _ in docs], "text string, toxic boolean")).localCheckpoint()
+    words = [b"grobian", b"dummkopf", b"bal", b"dest", b"unseen"]
+    roomy = toxicity.KneserNey(toxicity.slot_tables(grams)).ratios(words)
+    monkeypatch.setattr(toxicity, "SLOTS", 11)  # fewer slots than grams, as the fixed number is for a large corpus
+    assert np.allclose(roomy, toxicity.KneserNey(toxicity.slot_tables(grams)).ratios(words))

@@ -6,9 +6,9 @@ left contexts a gram was seen, as Kneser-Ney asks); orders 1 and 2 are continuat
 together, so rare expressions fall back to the same probabilities and favour no class.
 
 Counts come from every labelled training text. One task turns its words into distinct top-order grams,
-Spark adds them up and derives all lower orders by aggregation. What is gathered on the driver is bounded: per order
-a table of ``SLOTS`` slots, a gram's slot being its packed bytes modulo that prime. A logistic curve from
-ratio to probability is then fitted on a held-back fold of the training rows, summed up in a histogram.
+Spark adds them up and derives all lower orders by aggregation. The tables of all orders are exact: every distinct
+gram and context of the labelled texts has a row of its own, so what is gathered and broadcast grows with them. A logistic
+curve from ratio to probability is then fitted on a held-back fold of the training rows, summed up in a histogram.
 
 Defined results: a null or empty text has ratio zero, as has every text when a class is missing from the
 training rows. A document with several labels is toxic if one says so; null labels are ignored; repeated rows are scored
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import map_batches, store
 
 ORDER, SHARED = 5, 2
-#: Slots per order; a prime, so that packed bytes spread. Orders 1 and 2 fit exactly.
+#: Least slots of a table; a prime, so that packed bytes spread. A table with more rows has a slot for each.
 SLOTS = 1_048_573
 DISCOUNT = 0.75
 #: Distinct words a task holds before it counts or forgets them.
@@ -85,41 +85,65 @@ def top_grams(labelled: DataFrame) -> DataFrame:
     return rows.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
-def slot_tables(grams: DataFrame) -> dict[tuple[str, int], np.ndarray]:
-    """Per order, arrays of ``SLOTS`` x classes: ``n`` (counts of grams), ``total`` and ``kinds`` (sums and distinct
-    grams by context)."""
-    out: dict[tuple[str, int], np.ndarray] = {}
+def slot_tables(grams: DataFrame) -> dict[tuple[str, int], tuple[np.ndarray, np.ndarray]]:
+    """Per order, (packed bytes, rows of counts by class) of all grams, ``n``, and of all contexts, ``context``: sums and
+    distinct grams."""
+    out: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
     level = grams
     for order in range(ORDER, 0, -1):
         if order < ORDER:  # continuation counts: distinct left neighbours, by class
             level = store(level.groupBy(F.col("gram").bitwiseAND((1 << (8 * order)) - 1).alias("gram")).agg(
                 F.count_if(F.col("toxic") > 0).cast("long").alias("toxic"), F.count_if(F.col("ordinary") > 0).cast("long").alias("ordinary")), f"grams{order}")
-        of_gram = level.groupBy((F.col("gram") % SLOTS).cast("int").alias("slot")).agg(F.sum("toxic"), F.sum("ordinary"))
-        context = F.shiftright("gram", 8)
-        of_context = level.groupBy((context % SLOTS).cast("int").alias("slot")).agg(
+        of_context = level.groupBy(F.shiftright("gram", 8).alias("gram")).agg(
             F.sum("toxic"), F.sum("ordinary"), F.count_if(F.col("toxic") > 0), F.count_if(F.col("ordinary") > 0))
-        for names, rows in ((("n",), of_gram), (("total", "kinds"), of_context)):
-            got = rows.toPandas().to_numpy(np.int64)
-            for i, name in enumerate(names):
-                table = np.zeros((min(SLOTS, 256 ** order), 2), np.float32)
-                table[got[:, 0]] = got[:, 1 + 2 * i:3 + 2 * i]
-                out[name, order] = table
+        for name, rows in (("n", level), ("context", of_context)):
+            first, *counts = rows.columns
+            got = rows.select(first, *(F.col(f"`{c}`").cast("float") for c in counts)).toPandas()
+            out[name, order] = got.iloc[:, 0].to_numpy(np.int64), got.iloc[:, 1:].to_numpy(np.float32)
     return out
 
 
+class Slots:
+    """Where packed bytes have their row: at their remainder, or behind all slots if another gram is there."""
+
+    def __init__(self, keys: np.ndarray, span: int):
+        self.size = min(max(SLOTS, len(keys) | 1), span)
+        self.home = np.full(self.size, -1, np.int64)
+        self.home[keys % self.size] = keys  # of grams that share a slot, one keeps it
+        self.others = np.sort(keys[self.home[keys % self.size] != keys])
+
+    def __len__(self) -> int:
+        return self.size + len(self.others) + 1  # the last row is that of unknown grams
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        at = keys % self.size
+        away = np.flatnonzero(self.home[at] != keys)
+        if len(away):
+            place = np.searchsorted(self.others, keys[away])
+            known = np.append(self.others, -1)[place] == keys[away]
+            at[away] = self.size + np.where(known, place, len(self.others))
+        return at
+
+
 class KneserNey:
-    """Interpolated probabilities of both classes from slot tables."""
+    """Interpolated probabilities of both classes from the tables of all orders."""
 
-    def __init__(self, tables: dict[tuple[str, int], np.ndarray], discount: float = DISCOUNT):
-        self.seen, self.rest = {}, {}
+    def __init__(self, tables: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]], discount: float = DISCOUNT):
+        self.seen, self.rest, self.slots = {}, {}, {}
         for order in range(1, ORDER + 1):
-            n, total, kinds = (tables[k, order] for k in ("n", "total", "kinds"))
+            placed = []
+            for name, length in (("n", order), ("context", order - 1)):
+                keys, counts = tables[name, order]
+                slots = self.slots[name, order] = Slots(keys, 256 ** length)
+                placed.append(np.zeros((len(slots), counts.shape[1]), np.float32))
+                placed[-1][slots.find(keys)] = counts
+            n, total, kinds = placed[0], placed[1][:, :2], placed[1][:, 2:]
             if order <= SHARED:
                 n, total = (np.repeat(x.sum(1, keepdims=True), 2, axis=1) for x in (n, total))
                 kinds = np.repeat(kinds.max(1, keepdims=True), 2, axis=1)
             self.seen[order] = np.maximum(n - discount, 0)
             self.rest[order] = np.stack([total, np.where(total > 0, np.minimum(discount * kinds, total), 0)]).astype(np.float32)
-        self.ready = bool(tables["n", ORDER].sum(0).min() > 0) if tables else False
+        self.ready = bool(tables["n", ORDER][1].sum(0).min() > 0) if tables else False
 
     def ratios(self, words: list[bytes]) -> np.ndarray:
         """(log-likelihood ratio, symbols) of each word."""
@@ -127,10 +151,9 @@ class KneserNey:
         p = np.full((len(at), 2), 1 / 256)
         for order in range(1, ORDER + 1):
             key = _keys(flat, at, order)
-            total, left = self.rest[order][:, (key >> 8) % SLOTS % len(self.rest[order][0])]
+            total, left = self.rest[order][:, self.slots["context", order].find(key >> 8)]
             known = total > 0
-            # grams that share a slot must not lift a probability above what their context leaves
-            seen = np.minimum(self.seen[order][key % SLOTS], np.maximum(total - left, 0))
+            seen = self.seen[order][self.slots["n", order].find(key)]
             safe = np.where(known, total, 1)
             p = np.where(known, seen / safe + left / safe * p, p)
         return np.stack([np.bincount(word, np.log(p[:, 0]) - np.log(p[:, 1]), len(words)), np.bincount(word, minlength=len(words))], axis=1)
@@ -138,7 +161,7 @@ class KneserNey:
 
 def ratio(df: DataFrame, model: KneserNey, text_col: str = "text") -> DataFrame:
     """Every row of ``df`` without its text, plus ``ratio``: the log-likelihood ratio per symbol."""
-    shared = df.sparkSession.sparkContext.broadcast(model)  # at most ORDER x SLOTS entries
+    shared = df.sparkSession.sparkContext.broadcast(model)  # as large as the labelled texts have distinct grams
     carried = [c for c in df.columns if c not in (text_col, "ratio")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
