@@ -277,6 +277,23 @@ def test_tree_matching_is_largest(seed):
     assert all(x.tag == y.tag for x, y in pairs) and len({x.number for x, _ in pairs}) == len(pairs) == len({y.number for _, y in pairs})
 
 
+def test_wrapper_with_much_boilerplate_and_error_pages(spark):
+    cells = "".join(f"<td>Link {i}</td>" for i in range(10))
+
+    def page(i):
+        return f"<body><table><tr>{cells}</tr></table><div><p>Story {i} begins</p><p>goes on {i * 3}</p><p>and ends {i * 7}</p></div></body>"
+
+    rows = [(10 + i, f"http://a.example/{i}", page(i)) for i in range(12)]  # more boilerplate than article
+    rows += [(i, f"http://a.example/e{i}", h) for i, h in enumerate((None, "", "<h1>Not found</h1>", "<h1>Not found</h1>"))]  # smallest ids
+    got = pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    for r in got:
+        if r.page_id >= 10:
+            i = r.page_id - 10
+            assert r.text == f"Story {i} begins\ngoes on {i * 3}\nand ends {i * 7}"
+        else:
+            assert r.text in ("", "Not found")
+
+
 def test_wrapper_drops_constant_nodes(spark):
     def page(i):
         return f"<body><div><p>Welcome to our site</p></div><div><p>Story {i} begins</p><p>and ends {i * 7}</p></div><div>All rights reserved</div></body>"

@@ -1,18 +1,18 @@
 """Main text of web pages by wrapper induction per host.
 
-Pages become trees of block elements. One reference page per host gives the wrapper's nodes; every page of the
-host is aligned to it by simple tree matching (the largest order-preserving matching of nodes with equal tags whose
+Pages become trees of block elements. Up to ``REFERENCES`` pages of different text per host (those with the smallest
+text hashes of all its pages that have text) give the wrapper's nodes; every page of the
+host is aligned to each by simple tree matching (the largest order-preserving matching of nodes with equal tags whose
 parents match too). Each matched pair of text nodes is a vote: equal text in nearly all pages makes the node part of
-the template, varying text makes it a slot. The text of a page is that of its slots and of nodes the reference
-does not have, in page order.
+the template, varying text makes it a slot. The text of a page is what no reference's template holds, in page order.
 
 Alignment alone cannot tell a menu whose words change from page to page from content, so elements that mark
 menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments (by tag, role, class or id) are
-cut first, and where a page marks its article, only the article counts. Copies of the reference (more than half of
-the matched texts equal) do not vote, so a repeated article is not taken for a template.
+cut first, and where a page marks its article, only the article counts. Copies of a reference (all texts of the page
+equal) do not vote on it, so a repeated article is not taken for a template, however much of a page is boilerplate.
 
-Votes are sums per (host, node) that tasks add up before they are shuffled; wrappers are one short row per host, joined to
-pages as a broadcast only if their measured size is small. Whole pages are never gathered by host.
+Votes are sums per (host, reference, node) that tasks add up before they are shuffled; wrappers are one short row per host,
+joined to pages as a broadcast only if their measured size is small. Whole pages are never gathered by host.
 
 Defined results: a null page is empty; a null url, or one without a host, belongs to the host ''; hosts with fewer than
 ``VOTES`` voting pages have no template; repeated rows give the same text; other columns are carried.
@@ -28,14 +28,16 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import map_batches, small, store
+from tidemark.llm.common import map_batches, store
 
 #: Pages that must have voted on a node, and the share of equal votes from which it is template.
 VOTES, EQUAL = 5, 0.9
+#: Reference pages per host; null, empty and repeated pages take no place.
+REFERENCES = 5
 #: Wrappers of all hosts together are broadcast up to this many characters.
 BROADCAST_CHARS = 16_000_000
 #: Blocks nested deeper than this belong to the block around them; their texts stay blocks of their own.
@@ -243,6 +245,12 @@ def match(a: Node, b: Node) -> list[tuple[Node, Node]]:
     return out
 
 
+def content(root: Node) -> int | None:
+    """Hash of all texts of a page; None if it has none."""
+    texts = [n.text for n in number(root) if n.tag == "#"]
+    return xxhash.xxh64_intdigest("\0".join(texts).encode("utf-8", "replace")) >> 1 if texts else None
+
+
 def skeleton(root: Node) -> str:
     """The tree as JSON, texts as hashes."""
     def pack(node: Node):
@@ -284,18 +292,32 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     """Every row of ``df`` without its html, plus text and n_chars."""
     host = F.coalesce(F.regexp_extract(F.lower(url_col), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1), F.lit(""))
     carried = [c for c in df.columns if c not in (html_col, "text", "n_chars")]
-    pages = df.select(F.struct(*carried).alias("row"), F.col(id_col).alias("_id"), host.alias("_host"), F.col(html_col).alias("_html"))
-
-    # the wrapper's nodes: one reference page per host
-    first = store(pages.where("_id is not null").groupBy("_host").agg(F.min("_id").alias("_id")), "references")
-    found = pages.select("_host", "_id", "_html").join(small(first, first.count()), ["_host", "_id"]).select("_host", "_html")
+    pages = df.select(F.struct(*carried).alias("row"), host.alias("_host"), F.col(html_col).alias("_html"))
 
+    # the wrapper's nodes: per host the outlines of the pages with the smallest text hashes
     def outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[str, dict[int, str]] = {}
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([skeleton(parse(h)) for h in batch.column(1).to_pylist()], pa.string())], ["_host", "wrapper"])
-
-    # of repeated rows that share the smallest id, one outline per host
-    wrappers = store(map_batches(found, outline, "_host string, wrapper string").groupBy("_host").agg(F.min("wrapper").alias("wrapper")), "wrappers")
+            for name, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = best.setdefault(name, {})
+                if (text := content(root := parse(page))) is not None and (len(own) < REFERENCES or text <= max(own)):
+                    spec = skeleton(root)
+                    own[text] = min(own.get(text, spec), spec)
+                    if len(own) > REFERENCES:
+                        del own[max(own)]
+            if len(best) > 5000:
+                yield outlined(best)
+                best.clear()
+        yield outlined(best)
+
+    def outlined(best: dict[str, dict[int, str]]) -> pa.RecordBatch:
+        rows = [(name, text, spec) for name, own in best.items() for text, spec in own.items()]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())], ["_host", "text", "wrapper"])
+
+    found = map_batches(pages.select("_host", "_html"), outline, "_host string, text long, wrapper string")
+    found = found.groupBy("_host", "text").agg(F.min("wrapper").alias("wrapper"))
+    place = F.row_number().over(Window.partitionBy("_host").orderBy("text"))
+    wrappers = store(found.withColumn("ref", place).where(F.col("ref") <= REFERENCES), "wrappers")
     chars = wrappers.agg(F.coalesce(F.sum(F.length("wrapper") + F.length("_host") + 40), F.lit(0))).first()[0]
     sized = (lambda x: F.broadcast(x)) if chars <= BROADCAST_CHARS else (lambda x: x)
 
@@ -303,15 +325,17 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
         votes: Counter = Counter()
         trees: dict[str, tuple] = {}
         for batch in batches:
-            for name, page, spec in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for name, page, refs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (text := content(root := parse(page))) is None:
+                    continue
                 if len(trees) > 5000:
                     trees.clear()
-                if name not in trees:
-                    trees[name] = unpack(spec)
-                pairs = aligned(parse(page), trees[name])
-                if 2 * sum(same for _, _, same in pairs) <= len(pairs):
-                    for _, node, same in pairs:
-                        votes[name, node, same] += 1
+                for ref in refs:
+                    if ref["text"] != text:
+                        if ref["wrapper"] not in trees:
+                            trees[ref["wrapper"]] = unpack(ref["wrapper"])
+                        for _, node, same in aligned(root, trees[ref["wrapper"]]):
+                            votes[name, ref["ref"], node, same] += 1
             if len(votes) > 100_000:
                 yield counted(votes)
                 votes.clear()
@@ -319,12 +343,14 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
 
     def counted(votes: Counter) -> pa.RecordBatch:
         keys = list(votes)
-        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([votes[k] for k in keys], pa.int64()), pa.array([votes[k] if k[2] else 0 for k in keys], pa.int64())], ["_host", "node", "pages", "same"])
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.int32()), pa.array([votes[k] for k in keys], pa.int64()), pa.array([votes[k] if k[3] else 0 for k in keys], pa.int64())], ["_host", "ref", "node", "pages", "same"])
 
-    joined = pages.select("_host", "_html").join(sized(wrappers), "_host").select("_host", "_html", "wrapper")
-    votes = map_batches(joined, vote, "_host string, node int, pages long, same long").groupBy("_host", "node").agg(F.sum("pages").alias("pages"), F.sum("same").alias("same"))
-    constant = votes.where((F.col("pages") >= VOTES) & (F.col("same") >= EQUAL * F.col("pages"))).groupBy("_host").agg(F.collect_list("node").alias("nodes"))
-    learned = store(wrappers.join(constant, "_host").select("_host", "wrapper", "nodes"), "templates")  # hosts with a template only
+    by_host = wrappers.groupBy("_host").agg(F.collect_list(F.struct("ref", "text", "wrapper")).alias("refs"))
+    joined = pages.select("_host", "_html").join(sized(by_host), "_host").select("_host", "_html", "refs")
+    votes = map_batches(joined, vote, "_host string, ref int, node int, pages long, same long").groupBy("_host", "ref", "node").agg(F.sum("pages").alias("pages"), F.sum("same").alias("same"))
+    constant = votes.where((F.col("pages") >= VOTES) & (F.col("same") >= EQUAL * F.col("pages"))).groupBy("_host", "ref").agg(F.collect_list("node").alias("nodes"))
+    templates = wrappers.join(constant, ["_host", "ref"]).groupBy("_host").agg(F.collect_list(F.struct("wrapper", "nodes")).alias("refs"))
+    learned = store(templates, "templates")  # hosts with a template only
 
     schema = T.StructType([pages.schema["row"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
@@ -332,20 +358,17 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
         trees: dict[str, tuple] = {}
         for batch in batches:
             texts = []
-            for page, spec, nodes in zip(*(batch.column(c).to_pylist() for c in ("_html", "wrapper", "nodes")), strict=True):
+            for page, refs in zip(*(batch.column(c).to_pylist() for c in ("_html", "refs")), strict=True):
                 root, template = parse(page), set()
-                if spec is not None and nodes:
-                    if len(trees) > 5000:
-                        trees.clear()
-                    if spec not in trees:
-                        trees[spec] = unpack(spec)
-                    constant = set(nodes)
-                    pairs = aligned(root, trees[spec])
-                    template = {x.number for x, node, same in pairs if same and node in constant}
-                    if 2 * sum(same for _, _, same in pairs) > len(pairs) and len(template) == len(pairs):
-                        template = set()
+                if len(trees) > 5000:
+                    trees.clear()
+                for ref in refs or []:
+                    if ref["wrapper"] not in trees:
+                        trees[ref["wrapper"]] = unpack(ref["wrapper"])
+                    constant = set(ref["nodes"])
+                    template |= {x.number for x, node, same in aligned(root, trees[ref["wrapper"]]) if same and node in constant}
                 texts.append(main_text(root, template))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], schema.names)
 
-    joined = pages.select("row", "_html", "_host").join(sized(learned), "_host", "left").select("row", "_html", "wrapper", "nodes")
+    joined = pages.select("row", "_html", "_host").join(sized(learned), "_host", "left").select("row", "_html", "refs")
     return map_batches(joined, pull, schema).select("row.*", "text", "n_chars")
