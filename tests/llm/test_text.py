@@ -140,6 +140,22 @@ def test_forward_sums_all_segmentations():
     assert np.isfinite(pieces.score([long], scaled)).all()
 
 
+def test_long_pieces_and_words_take_part():
+    table_ = [bytes([i]) for i in range(256)] + [b"ab", b" lengthy", b"abcdefghijklmnopqrst"]
+    pieces = langid.Pieces(table_)
+    assert pieces.count({b"lengthy": 3})[257] == 3 and pieces.count({b"abcdefghijklmnopqrst": 2})[258] == 2
+    probs = np.random.default_rng(2).dirichlet(np.ones(pieces.size), 2).T
+    scaled = np.vstack([probs * (langid._SCALE ** pieces.lengths)[:, None], np.zeros((1, 2))])
+    words = [b"lengthy", b"xabcdefghijklmnopqrsty", b"q" * 57 + b"abcdefghijklmnopqrst" * 5 + b"z"]
+    for w, got in zip(words, pieces.score(words, scaled), strict=True):
+        for k in range(2):
+            s = b" " + w
+            forward = [0.0]  # logarithms
+            for end in range(1, len(s) + 1):
+                forward.append(np.logaddexp.reduce([forward[end - len(p)] + np.log(probs[i, k]) for i, p in enumerate(table_) if s[:end].endswith(p)]))
+            assert np.isclose(got[k], forward[-1])
+
+
 def test_piece_counts():
     pieces = langid.Pieces([bytes([i]) for i in range(256)] + [b"ab", b" a"])
     got = pieces.count({b"abab": 3, b"b": 2})

@@ -1,8 +1,8 @@
 """Language identification by segmentation-marginalised unigrams.
 
-Every language has probabilities for the pieces of one fixed public vocabulary. The probability of a word is
-the sum over all ways of cutting it into pieces, computed by a forward pass; a text's log-likelihood is the
-sum over its words, and the prediction is the most likely language under equal priors.
+Every language has probabilities for the pieces of one fixed public vocabulary, whatever their length. The probability of
+a word of any length is the sum over all ways of cutting it into pieces, computed by a forward pass; a text's log-likelihood
+is the sum over its words, and the prediction is the most likely language under equal priors.
 
 Learning counts every occurrence of every piece in the words of all labelled training texts (no sample): each task
 counts its words per language, turns distinct words into piece counts with their weights, and one aggregation adds
@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import map_batches
 
-#: Longest piece in bytes, and the block in which longer words are marginalised.
-PIECE, BLOCK = 6, 64
+#: Forward values are brought back into range every so many bytes of a word.
+RESCALE = 32
+#: Bytes of words looked up at once.
+BYTES_AT_ONCE = 1_000_000
 #: Distinct words a task gathers before it turns them into counts or forgets their scores.
 WORDS_HELD = 300_000
 #: Added to every piece count.
@@ -44,93 +46,105 @@ def words_of(text: str) -> list[bytes]:
 
 
 class Pieces:
-    """Looks up all pieces of many words at once."""
+    """Looks up all pieces of many words at once, in a trie."""
 
     def __init__(self, pieces: list[bytes]):
         self.size = len(pieces)
-        self.keys, self.ids = {}, {}
-        for n in range(1, PIECE + 1):
-            own = [(int.from_bytes(p, "big"), i) for i, p in enumerate(pieces) if len(p) == n]
-            own.sort()
-            self.keys[n] = np.array([k for k, _ in own], np.uint64)
-            self.ids[n] = np.array([i for _, i in own], np.int32)
+        self.lengths = np.fromiter(map(len, pieces), np.int64, self.size)
+        nodes = {b"": 0}
+        for p in pieces:
+            for n in range(1, len(p) + 1):
+                nodes.setdefault(p[:n], len(nodes))
+        edges = sorted((nodes[q[:-1]] << 8 | q[-1], node) for q, node in nodes.items() if q)
+        self.edges = np.array([e for e, _ in edges], np.int64)
+        self.child = np.array([node for _, node in edges], np.int64)
+        self.piece = np.full(len(nodes), self.size, np.int64)  # by node; ``size`` where no piece ends
+        for i in range(self.size - 1, -1, -1):
+            self.piece[nodes[pieces[i]]] = i
 
     @classmethod
     def from_file(cls, path: str) -> Pieces:
         with open(path, "rb") as f:
-            pieces = [base64.b64decode(line.split()[0]) for line in f if line.strip()]
-        return cls([p for p in pieces if len(p) <= PIECE])
+            return cls([base64.b64decode(line.split()[0]) for line in f if line.strip()])
 
-    def find(self, keys: np.ndarray, n: int) -> np.ndarray:
-        """Piece numbers of packed n-byte strings; ``size`` where there is none."""
-        if not len(self.keys[n]):
-            return np.full(len(keys), self.size, np.int32)
-        at = np.searchsorted(self.keys[n], keys)
-        at[at == len(self.keys[n])] = 0
-        return np.where(self.keys[n][at] == keys, self.ids[n][at], self.size)
-
-    def lattice(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, Iterator[tuple[int, int, np.ndarray]]]:
-        """(word numbers, longest first; their byte lengths; ``(end, n, piece numbers)`` over end positions).
-
-        Words are padded with their leading space; at ``end`` only the first words, the long enough ones, take part."""
+    def lattice(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]]:
+        """(word numbers, longest first; their byte lengths; ``(n, end positions, places of the words, piece numbers)`` of
+        all n-byte pieces). Words are padded with their leading space."""
         lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
         order = np.argsort(-lengths, kind="stable")
         lengths = lengths[order]
-        grid = np.zeros((len(words), int(lengths[0])), np.uint8)
         flat = np.frombuffer(b"".join(b" " + words[i] for i in order.tolist()), np.uint8)
-        grid[np.arange(grid.shape[1]) < lengths[:, None]] = flat
-
-        def steps() -> Iterator[tuple[int, int, np.ndarray]]:
-            for end in range(1, grid.shape[1] + 1):
-                alive = int(np.searchsorted(-lengths, -end, side="right"))
-                key = np.zeros(alive, np.uint64)
-                for n in range(1, min(PIECE, end) + 1):
-                    key |= grid[:alive, end - n].astype(np.uint64) << np.uint64(8 * (n - 1))
-                    yield end, n, self.find(key, n)
-
-        return order, lengths, steps()
+        row = np.repeat(np.arange(len(words)), lengths)
+        stop = np.cumsum(lengths)
+        at = np.arange(len(flat))  # beginnings that are still followed, and their nodes
+        node = np.zeros(len(flat), np.int64)
+        found, n = [], 0
+        while len(at) and len(self.edges):
+            key = node << 8 | flat[at + n]
+            place = np.minimum(np.searchsorted(self.edges, key), len(self.edges) - 1)
+            known = self.edges[place] == key
+            at, row, node, n = at[known], row[known], self.child[place[known]], n + 1
+            ids = self.piece[node]
+            hit = ids < self.size
+            if hit.any():
+                found.append((n, at[hit] + n - (stop - lengths)[row[hit]], row[hit], ids[hit]))
+            more = at + n < stop[row]
+            at, row, node = at[more], row[more], node[more]
+        return order, lengths, found
 
     def count(self, weights: dict[bytes, int]) -> np.ndarray:
         """Occurrences of every piece in words that occur so often."""
-        total = np.zeros(self.size + 1)
-        for words in _blocks(list(weights)):
-            order, _, steps = self.lattice([w for w, _ in words])
-            each = np.array([weights[origin] for _, origin in words], np.float64)[order]
-            for _, _, ids in steps:
-                total += np.bincount(ids, each[: len(ids)], self.size + 1)
-        return total[: self.size]
+        total = np.zeros(self.size)
+        for words in _parts(list(weights)):
+            order, _, found = self.lattice(words)
+            each = np.array([weights[w] for w in words], np.float64)[order]
+            for _, _, row, ids in found:
+                total += np.bincount(ids, each[row], self.size)
+        return total
 
     def score(self, words: list[bytes], scaled: np.ndarray) -> np.ndarray:
         """Log-likelihood of each word under each language; ``scaled``: (pieces + 1) x languages, the last row zero."""
         out = np.zeros((len(words), scaled.shape[1]))
         number = {w: i for i, w in enumerate(words)}
-        for blocks in _blocks(words):
-            order, lengths, steps = self.lattice([w for w, _ in blocks])
-            back: list[np.ndarray] = [np.ones((len(blocks), scaled.shape[1]))]  # forward values, newest first
-            logs = np.zeros((len(blocks), scaled.shape[1]))
-            for end, n, ids in steps:
-                if n == 1:
-                    now = np.zeros((len(ids), scaled.shape[1]))
-                now += back[n - 1][: len(ids)] * scaled[ids]
-                if n == min(PIECE, end):
-                    back = [now, *back[: PIECE - 1]]
-                    done = slice(int(np.searchsorted(-lengths, -end, side="left")), len(ids))
-                    logs[done] = np.log(np.maximum(now[done], 1e-300)) - end * np.log(_SCALE)
-            np.add.at(out, [number[origin] for _, origin in (blocks[i] for i in order.tolist())], logs)
+        for part in _parts(words):
+            order, lengths, found = self.lattice(part)
+            steps: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}  # by end position
+            for n, ends, row, ids in found:
+                by_end = np.argsort(ends, kind="stable")
+                ends, row, ids = ends[by_end], row[by_end], ids[by_end]
+                cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(ends)]
+                for lo, hi in zip(cuts, cuts[1:], strict=False):
+                    steps.setdefault(int(ends[lo]), []).append((n, row[lo:hi], ids[lo:hi]))
+            keep = found[-1][0] if found else 1  # the longest piece that occurs
+            back: list[np.ndarray] = [np.ones((len(part), scaled.shape[1]))]  # forward values, newest first
+            logs = np.zeros((len(part), scaled.shape[1]))
+            for end in range(1, int(lengths[0]) + 1):
+                alive = int(np.searchsorted(-lengths, -end, side="right"))
+                now = np.zeros((alive, scaled.shape[1]))
+                for n, row, ids in steps.get(end, ()):
+                    now[row] += back[n - 1][row] * scaled[ids]
+                back = [now, *back[: keep - 1]]
+                if end % RESCALE == 0:  # carried over the whole word, by word and language
+                    top = np.where(now > 0, now, 1.0)
+                    logs[:alive] += np.log(top)
+                    back = [b[:alive] / top for b in back]
+                    now = back[0]
+                done = slice(int(np.searchsorted(-lengths, -end, side="left")), alive)
+                logs[done] += np.log(np.maximum(now[done], 1e-300)) - end * np.log(_SCALE)
+            out[[number[part[i]] for i in order.tolist()]] = logs
         return out
 
 
-def _blocks(words: list[bytes], at_once: int = 50_000) -> Iterator[list[tuple[bytes, bytes]]]:
-    """Lists of (block of at most BLOCK bytes, its word): words that are longer are cut."""
-    out: list[tuple[bytes, bytes]] = []
-    for w in words:
-        if len(w) <= BLOCK:
-            out.append((w, w))
-        else:
-            out += [(w[i:i + BLOCK], w) for i in range(0, len(w), BLOCK)]
-        if len(out) >= at_once:
+def _parts(words: list[bytes]) -> Iterator[list[bytes]]:
+    """Lists of words of like length, each of few bytes; a longer word is a list of its own."""
+    out: list[bytes] = []
+    held = 0
+    for w in sorted(words, key=len):
+        if out and held + len(w) >= BYTES_AT_ONCE:
             yield out
-            out = []
+            out, held = [], 0
+        out.append(w)
+        held += len(w) + 1
     if out:
         yield out
 
@@ -167,10 +181,7 @@ def train(df: DataFrame, vocabulary_path: str, text_col: str = "text", lang_col:
     counts = np.zeros((pieces.size, len(langs)))
     if langs:
         counts[rows["piece"].to_numpy(), rows["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy()] = rows["n"].to_numpy()
-    sizes = np.zeros(pieces.size)
-    for n in pieces.ids:
-        sizes[pieces.ids[n]] = n
-    probs = (counts + SMOOTHING) / (counts + SMOOTHING).sum(0) * (_SCALE ** sizes)[:, None]
+    probs = (counts + SMOOTHING) / (counts + SMOOTHING).sum(0) * (_SCALE ** pieces.lengths)[:, None]
     return langs, pieces, np.vstack([probs, np.zeros((1, len(langs)))])
 
 
