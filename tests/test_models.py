@@ -160,3 +160,15 @@ def test_hundreds_of_categories(spark):
         assert sv.predict(model, new, feats, "p", kind).filter("p is not null").count() == 3000
     kept = pr.kept_categories(df, ["cat"], 10)["cat"]
     assert len(kept) == 10 and kept[0] == "it's \\ a 'name'"
+
+
+def test_cap_with_positives_beyond_the_cap(spark):
+    data = spark.range(6000).select(F.col("id").alias("row_id"), (F.col("id") % 3 > 0).cast("int").alias("y"), F.lit(1.0).alias("sample_weight"))
+    capped = pr.cap_classes(data, "y", 1000, ["row_id"])  # 4,000 positives
+    got = {r.y: r for r in capped.groupBy("y").agg(F.count("*").alias("n"), F.sum("sample_weight").alias("w")).collect()}
+    assert all(420 < got[y].n < 580 for y in (0, 1))
+    assert abs(got[1].w - 4000) < 600 and abs(got[0].w - 2000) < 300
+    assert 900 < pr.cap_classes(data.filter("y = 1"), "y", 1000, ["row_id"]).count() < 1100
+    few = pr.cap_classes(data.filter("y = 1 or row_id < 300"), "y", 1000, ["row_id"]).groupBy("y").count().collect()  # 100 negatives: all kept
+    assert {r.y: r["count"] for r in few}[0] == 100
+    assert pr.cap_classes(data, "y", 6000, ["row_id"]).count() == 6000

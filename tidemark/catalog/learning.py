@@ -79,7 +79,7 @@ def _panel_feats(df: DataFrame) -> sv.Features:
 def conversion_report(t: Tables) -> DataFrame:
     rows = _panel(t, False)
     train, test = pr.split_time(rows, "send_date", 0.8)
-    train = materialize(pr.cap_rows(train, "label_conv_14d", CFG.train_cap, ["user_id", "send_date"]), "part")
+    train = materialize(pr.cap_classes(train, "label_conv_14d", CFG.train_cap, ["user_id", "send_date"]), "part")
     test = materialize(test, "part")
     feats, out = _panel_feats(rows), None
     for name, model in (("logreg", sv.fit_logreg(train, feats, "label_conv_14d", "sample_weight")),

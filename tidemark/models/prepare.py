@@ -92,6 +92,20 @@ def cap_rows(df: DataFrame, label: str, cap: int, keys: Sequence[str], weight: s
         weight, F.when(positive, C(weight)).otherwise(C(weight) / F.lit(frac)))
 
 
+def cap_classes(df: DataFrame, label: str, cap: int, keys: Sequence[str], weight: str = "sample_weight") -> DataFrame:
+    """``cap_rows`` for any number of positives: where they alone reach ``cap``, stable samples of both classes, about half
+    of ``cap`` each (or all negatives if they are fewer), weighted by 1 / rate."""
+    positive = F.coalesce(C(label) == 1, F.lit(False))
+    counts = df.agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("n")).first()
+    if counts["p"] < cap or counts["p"] + counts["n"] <= cap:
+        return cap_rows(df, label, cap, keys, weight)
+    room = max(cap - cap // 2, cap - counts["n"])  # for positives
+    bits = 52
+    place = F.xxhash64(*[C(k) for k in keys]).bitwiseAND(F.lit((1 << bits) - 1).cast("bigint")) / F.lit(float(1 << bits))
+    rate = F.when(positive, F.lit(min(1.0, room / counts["p"]))).otherwise(F.lit(min(1.0, (cap - room) / counts["n"]) if counts["n"] else 1.0))
+    return df.filter(place < rate).withColumn(weight, C(weight) / rate)
+
+
 def balanced_weights(df: DataFrame, label: str, out: str = "class_weight") -> DataFrame:
     """n / (2 * n_class) per row."""
     sizes = df.agg(F.count(F.lit(1)).alias("_n"), F.count_if(C(label) == 1).alias("_pos"))  # one row
