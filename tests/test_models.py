@@ -172,3 +172,9 @@ def test_cap_with_positives_beyond_the_cap(spark):
     few = pr.cap_classes(data.filter("y = 1 or row_id < 300"), "y", 1000, ["row_id"]).groupBy("y").count().collect()  # 100 negatives: all kept
     assert {r.y: r["count"] for r in few}[0] == 100
     assert pr.cap_classes(data, "y", 6000, ["row_id"]).count() == 6000
+
+
+def test_registered_models_use_production_trees():
+    from tidemark.catalog import learning
+
+    assert learning.TREES == sv.TreeParams() and learning.TREES.iterations >= 40

@@ -28,7 +28,7 @@ from tidemark.sources.fixtures import AS_OF, CHURN_SNAPSHOTS, LTV_DATES, TEST_CO
 from tidemark.sources.tables import Tables
 
 C = F.col
-SMALL = sv.TreeParams(iterations=5, depth=3, min_rows=5)
+TREES = sv.TreeParams()
 LTV_CAT = ("provider", "country", "last_plan_id")
 LTV_FEATS = sv.Features(tuple(c for c in ltv.FEATURES_V2 if c not in LTV_CAT), LTV_CAT)
 CHURN_CAT = ("country", "last_sub_event", "last_plan_id")
@@ -83,7 +83,7 @@ def conversion_report(t: Tables) -> DataFrame:
     test = materialize(test, "part")
     feats, out = _panel_feats(rows), None
     for name, model in (("logreg", sv.fit_logreg(train, feats, "label_conv_14d", "sample_weight")),
-                        ("gbt", sv.fit_gbt(train, feats, "label_conv_14d", "sample_weight", SMALL))):
+                        ("gbt", sv.fit_gbt(train, feats, "label_conv_14d", "sample_weight", TREES))):
         scored = _scored(model, test, feats, "label_conv_14d", "sample_weight")
         row = sv.classification_report(scored, "label_conv_14d", "score", "row_id", name, "sample_weight")
         out = row if out is None else out.unionByName(row)
@@ -106,14 +106,14 @@ def segment_vs_global(t: Tables) -> DataFrame:
 def s_learner_effects(t: Tables) -> DataFrame:
     rows = _panel(t, True)
     return up.segment_effect(
-        up.s_learner(rows, _panel_feats(rows), "label_conv_14d", SMALL), conv.SEGMENT_FLAGS, "tau", 10)
+        up.s_learner(rows, _panel_feats(rows), "label_conv_14d", TREES), conv.SEGMENT_FLAGS, "tau", 10)
 
 
 @query("model_t_learner_effects", "M-15")
 def t_learner_effects(t: Tables) -> DataFrame:
     rows = _panel(t, True)
     return up.segment_effect(
-        up.t_learner(rows, _panel_feats(rows), "label_conv_14d", SMALL), conv.SEGMENT_FLAGS, "tau", 10)
+        up.t_learner(rows, _panel_feats(rows), "label_conv_14d", TREES), conv.SEGMENT_FLAGS, "tau", 10)
 
 
 @query("model_churn_report", "M-5 M-8 M-9 M-19 M-20 M-21 M-22")
@@ -124,7 +124,7 @@ def churn_report(t: Tables) -> DataFrame:
     for name, part, feats in (("A", rows, CHURN_FEATS), ("B", rows.filter("had_cancel_sched_30 = 0"), early)):
         train, test = pr.split_user(part, 30)
         for kind, model in (("logreg", sv.fit_logreg(train, feats, "label_churn_30", balanced=True)),
-                            ("gbt", sv.fit_gbt(train, feats, "label_churn_30", params=SMALL))):
+                            ("gbt", sv.fit_gbt(train, feats, "label_churn_30", params=TREES))):
             scored = _scored(model, test, feats, "label_churn_30")
             row = sv.classification_report(scored, "label_churn_30", "score", "row_id", f"{name} {kind}", pcts=(10,))
             out = row if out is None else out.unionByName(row)
@@ -133,7 +133,7 @@ def churn_report(t: Tables) -> DataFrame:
 
 @query("model_churn_scores", "C-9 K-15 K-16 M-9")
 def churn_scores(t: Tables) -> DataFrame:
-    model = sv.fit_gbt(_churn_rows(t), CHURN_FEATS, "label_churn_30", params=SMALL)
+    model = sv.fit_gbt(_churn_rows(t), CHURN_FEATS, "label_churn_30", params=TREES)
     today = churn.build_churn_panel(t, [AS_OF.date()], AS_OF, CFG, with_label=False)
     return sc.churn_scores(sv.predict(model, today, CHURN_FEATS, "model_risk"), t.expiry, AS_OF, CFG)
 
@@ -142,8 +142,8 @@ def churn_scores(t: Tables) -> DataFrame:
 def ltv_report(t: Tables) -> DataFrame:
     train, test = _ltv_rows(t)
     scored = sv.persistence(test)
-    scored = sv.predict(sv.fit_gbt_reg(train, LTV_FEATS, "label_rev_365", SMALL), scored, LTV_FEATS, "pred_gbm", "value")
-    scored = materialize(sv.fit_two_part(train, LTV_FEATS, "label_rev_365", SMALL).predict(scored, "pred_two_part"), "ltv-scored")
+    scored = sv.predict(sv.fit_gbt_reg(train, LTV_FEATS, "label_rev_365", TREES), scored, LTV_FEATS, "pred_gbm", "value")
+    scored = materialize(sv.fit_two_part(train, LTV_FEATS, "label_rev_365", TREES).predict(scored, "pred_two_part"), "ltv-scored")
     out = None
     for pred in ("pred_persistence", "pred_gbm", "pred_two_part"):
         row = sv.regression_report(scored, "label_rev_365", pred, "row_id", pred)
@@ -157,10 +157,10 @@ def ltv_scores(t: Tables) -> DataFrame:
     spark = t.events.sparkSession
     train, _ = _ltv_rows(t)
     path, out = scratch_dir(spark, "ltv-model"), scratch_dir(spark, "ltv-predictions")
-    sv.save_model(sv.fit_gbt_reg(train, LTV_FEATS, "label_rev_365", SMALL), LTV_FEATS, path)
+    sv.save_model(sv.fit_gbt_reg(train, LTV_FEATS, "label_rev_365", TREES), LTV_FEATS, path)
     model, feats = sv.load_model(spark, path)
     rows = sv.predict(model, ltv.score_rows(t.revenue, AS_OF, CFG), feats, "pred_ltv_gbm", "value")
-    rows = sv.fit_two_part(train, LTV_FEATS, "label_rev_365", SMALL).predict(rows, "pred_ltv_12m")
+    rows = sv.fit_two_part(train, LTV_FEATS, "label_rev_365", TREES).predict(rows, "pred_ltv_12m")
     # ranking reads the predictions more than once
     scores = sc.ltv_scores(materialize(rows, "ltv-predicted"), CFG)
     sv.save_predictions(scores, scores.columns, out)
@@ -173,7 +173,7 @@ def calibration(t: Tables) -> DataFrame:
     train, test = _ltv_rows(t)
     mark = (C("label_rev_365") > 0).cast("int")
     fit, held = pr.calibration_slice(train.withColumn("y", mark), "index_date", 0.8)
-    model = sv.fit_gbt(fit, LTV_FEATS, "y", params=SMALL)
+    model = sv.fit_gbt(fit, LTV_FEATS, "y", params=TREES)
     iso = un.fit_isotonic(sv.predict(model, held, LTV_FEATS, "p"), "p", "y")
     scored = un.calibrate(iso, sv.predict(model, test.withColumn("y", mark), LTV_FEATS, "p"), "p", "p_cal")
     parts = [sv.m.ece(scored, "y", p, 15).join(F.broadcast(sv.m.brier(scored, "y", p)))
@@ -185,7 +185,7 @@ def calibration(t: Tables) -> DataFrame:
 def importance(t: Tables) -> DataFrame:
     train, test = _ltv_rows(t)
     mark = (C("label_rev_365") > 0).cast("int")
-    model = sv.fit_gbt(train.withColumn("y", mark), LTV_FEATS, "y", params=SMALL)
+    model = sv.fit_gbt(train.withColumn("y", mark), LTV_FEATS, "y", params=TREES)
     return ex.permutation_importance(model, test.withColumn("y", mark), LTV_FEATS, "y", "row_id")
 
 
@@ -195,7 +195,7 @@ def ablation_churn(t: Tables) -> DataFrame:
         churn_with_now(t).withColumn("row_id", row_id("snapshot_date")), "churn-now")
     train, test = pr.split_user(rows, 30)
     extra = sv.Features(tuple(c for c in NOW_DEFAULTS if c != "content_persona"), ("content_persona",))
-    return ex.ablation(train, test, CHURN_FEATS, extra, "label_churn_30", "row_id", SMALL)
+    return ex.ablation(train, test, CHURN_FEATS, extra, "label_churn_30", "row_id", TREES)
 
 
 @query("model_value_lift", "M-26 J-10")
@@ -204,7 +204,7 @@ def value_lift(t: Tables) -> DataFrame:
         "user_id", "storage_gb", "n_files", "content_persona", flag(C("n_files") == 0).alias("is_empty"))
     train, test = (materialize(part.join(content, "user_id"), "ltv-content") for part in _ltv_rows(t))
     extra = sv.Features(("storage_gb", "n_files", "is_empty"), ("content_persona",))
-    return ex.value_lift(train, test, LTV_FEATS, extra, "label_rev_365", SMALL)
+    return ex.value_lift(train, test, LTV_FEATS, extra, "label_rev_365", TREES)
 
 
 SPLIT_SQL = f"""lp AS (WITH {ltv_sql(DATES_SQL, 2, True)}),
@@ -254,13 +254,13 @@ def fit_checks(t: Tables) -> DataFrame:
     """What any sound fit guarantees on its own training rows."""
     train, _ = _ltv_rows(t)
     train = train.withColumn("y", (C("label_rev_365") > 0).cast("int"))
-    p = materialize(sv.predict(sv.fit_gbt(train, LTV_FEATS, "y", params=SMALL), train, LTV_FEATS, "p").select("row_id", "y", "p"), "checked")
+    p = materialize(sv.predict(sv.fit_gbt(train, LTV_FEATS, "y", params=TREES), train, LTV_FEATS, "p").select("row_id", "y", "p"), "checked")
     iso = materialize(un.calibrate(un.fit_isotonic(p, "p", "y"), p, "p", "q"), "calibrated")
     mean_p, mean_y = iso.agg(F.avg("q"), F.avg("y")).first()
     cells = iso.groupBy(F.floor(C("p") * 50).alias("cell")).agg(F.min("q").alias("lo"), F.max("q").alias("hi"))
     steps = sorted((r.cell, r.lo, r.hi) for r in cells.collect())  # 51 rows at most
     auc = sv.m.roc_auc(p, "y", "p").first()[0]
-    value = sv.predict(sv.fit_gbt_reg(train, LTV_FEATS, "label_rev_365", SMALL), train, LTV_FEATS, "v", "value")
+    value = sv.predict(sv.fit_gbt_reg(train, LTV_FEATS, "label_rev_365", TREES), train, LTV_FEATS, "v", "value")
     log = F.log1p("label_rev_365")
     error, spread = value.agg(F.avg(F.pow(log - F.log1p("v"), F.lit(2.0))), F.var_pop(log)).first()
     rows = un.winback_features(materialize(wb.winback(t, AS_OF, CFG), "winback"))
