@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,6 +68,39 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def dealt(df: DataFrame, *order: str, name: str = "dealt") -> DataFrame:
+    """``df`` in ranges of the unique key ``order`` (nulls first), sorted inside and stored, with the number of its range in
+    ``_range`` and the row's place in there in ``_at``: an order over all rows without a task that sees them all."""
+    at = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    return store(at.withColumns({"_range": F.shiftright("_id", 33), "_at": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_id"), name)
+
+
+def runs(ranged: DataFrame, *by: str) -> DataFrame:
+    """The groups of a dealt table, whose order starts with ``by``: a row per group and range, with ``_first``, the least ``_at``,
+    ``_before``, the group's rows in earlier ranges, and ``_total``, all its rows."""
+    parts = ranged.groupBy(*by, "_range").agg(F.min("_at").alias("_first"), F.count("*").alias("_rows"))
+    group = Window.partitionBy(*by)
+    before = F.sum("_rows").over(group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    return parts.withColumns({"_before": F.coalesce(before, F.lit(0)), "_total": F.sum("_rows").over(group)}).drop("_rows")
+
+
+def match(left: DataFrame, right: DataFrame, *keys: str, how: str = "inner") -> DataFrame:
+    """Join where all ``keys`` are equal, null to null; the keys of ``left`` stay."""
+    own = [f"_match_{k}" for k in keys]
+    other = right.withColumnsRenamed(dict(zip(keys, own, strict=True)))
+    on = F.lit(True)
+    for k, o in zip(keys, own, strict=True):
+        on = on & F.col(k).eqNullSafe(F.col(o))
+    return left.join(other, on, how).drop(*own)
+
+
+def placed(ranged: DataFrame, *by: str) -> DataFrame:
+    """A dealt table with ``pos``, every row's place (from 0) in its group, and ``n``, the group's rows. A group of any size is
+    spread over its ranges; only a row per group and range is gathered by group."""
+    joined = match(ranged, runs(ranged, *by), *by, "_range")
+    return joined.withColumns({"pos": F.col("_before") + F.col("_at") - F.col("_first"), "n": F.col("_total")}).drop("_range", "_at", "_first", "_before", "_total")
+
+
 def crc_bucket(key: Column, buckets: int) -> Column:
     """crc32 of the id as text, modulo ``buckets``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % buckets

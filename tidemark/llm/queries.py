@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, langid, licenses, pages, phrases, quality, simhash, spans, toxicity
+from tidemark.llm import bpe, chat, hnsw, langid, licenses, merkle, pages, phrases, quality, simhash, spans, toxicity, trie
 from tidemark.llm.common import crc_bucket, table
 
 #: name -> query
@@ -85,3 +85,18 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_phrase_index", phrases.DECONTAMINATE_SQL)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op11_hnsw_shards")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_merkle_versions", merkle.TAMPER_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tamper_report(table(spark, sf_dir, "documents"))
+
+
+@query("op13_prefix_trie", trie.TRIE_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(table(spark, sf_dir, "conversations"))
