@@ -5,7 +5,7 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.sources import io
+from tidemark.sources import files, io, publish
 from tidemark.sources.schemas import USER_DAY_TASK
 
 
@@ -118,3 +118,54 @@ def test_bucketed_tables_join_without_a_shuffle(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         for name in ("bucket_a", "bucket_b"):
             spark.sql(f"DROP TABLE {name}")
+
+
+def test_refresh_is_published_at_once(spark, tmp_path):
+    path, seen = str(tmp_path / "m"), []
+
+    def extract(first, last):
+        if files.exists(spark, path):  # a reader between the writes of one refresh
+            seen.append(sorted({r.month for r in io.read_months(spark, path).collect()}))
+        months = spark.createDataFrame([(m,) for m in io.months_between(first, last)], "month int")
+        return months.select(F.col("month").cast("long").alias("id"), "month")
+
+    io.refresh_months(spark, extract, path, [202301])
+    before = io.read_months(spark, path)
+    io.refresh_months(spark, extract, path, [202212, 202301, 202303, 202305])
+    assert seen == [[202301]] * 3  # three stretches were written, none was seen before the last
+    assert io.partition_values(spark, path, "month") == [202212, 202301, 202303, 202305]
+    assert before.count() == 1 and io.read_months(spark, path).count() == 4
+    with pytest.raises(ZeroDivisionError):
+        io.refresh_months(spark, lambda first, last: extract(first, last) if first < 202400 else 1 / 0, path, [202310, 202401])
+    assert io.read_months(spark, path).count() == 4
+
+
+def test_one_of_two_writers_wins(spark, tmp_path):
+    path = str(tmp_path / "p")
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "x long, g string")
+    schema, staged = publish.stage(rows, path, "g")
+    first = publish.commit(spark, path, None, "g", schema, staged, notes={"run": 3})
+    second = publish.commit(spark, path, first, "g", schema, publish.stage(rows.filter("x = 1").withColumn("x", F.lit(9).cast("long")), path, "g")[1])
+    with pytest.raises(publish.Conflict):
+        publish.commit(spark, path, first, "g", schema, {})
+    with pytest.raises(ValueError, match="partitioned"):
+        publish.commit(spark, path, second, "x", schema, {})
+    assert sorted(r.x for r in publish.read(spark, path).collect()) == [2, 3, 9]
+    assert sorted(r.x for r in publish.read(spark, path, first).collect()) == [1, 2, 3]
+    assert [r.x for r in publish.read(spark, path, values=[None]).collect()] == [3]
+    assert publish.read(spark, path, values=["z"]).count() == 0
+    assert publish.current(spark, path) == second and second.notes == {"run": 3}
+    assert publish.vacuum(spark, path, keep=1) == 1
+    assert sorted(r.x for r in publish.read(spark, path).collect()) == [2, 3, 9]
+    assert publish.current(spark, path + "-none") is None
+
+
+def test_counts_come_from_the_writing_job(spark, tmp_path):
+    df = spark.range(1000).withColumn("g", F.col("id") % 4)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("counted", "")
+    try:
+        assert io.write_list(df, str(tmp_path / "n"), fmt="parquet", count=True) == 1000
+        assert len(tracker.getJobIdsForGroup("counted")) == 1
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()

@@ -9,8 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators.joins import sessionize
+from tidemark.sources import publish
 from tidemark.streaming import rollups as ro
 from tidemark.streaming import state as st
+from tidemark.streaming.merge import Merged
 
 T0 = datetime(2024, 1, 1)
 REQ = """event_id long, ts timestamp_ntz, node string, country string, client_ip string, bytes_sent long,
@@ -166,3 +168,45 @@ def test_sessions_of_a_stream_equal_batch(spark, tmp_path, rows):
 def test_error_filter(spark):
     df = spark.createDataFrame([(1, 0, 200), (2, 1, 200), (3, 0, 404)], "id long, is_error int, status int")
     assert sorted(r.id for r in st.payment_errors(df).collect()) == [2, 3]
+
+
+def sub_events(spark, rows):
+    return spark.createDataFrame([(i, f"k{i}", f"v{u}", u, T0 + timedelta(days=d), f"subscription.{kind}") for i, (u, d, kind) in enumerate(rows)], EV)
+
+
+def test_users_leave_the_stored_table_and_late_rows_do_not_bring_them_back(spark, tmp_path):
+    table, cp = Merged(str(tmp_path / "t"), buckets=4, keep_days=10), str(tmp_path / "cp")
+    inbox = str(tmp_path / "in")
+
+    def run(rows, first=0):
+        sub_events(spark, rows).withColumn("event_id", F.col("event_id") + first).coalesce(1).write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema(EV).option("maxFilesPerTrigger", 1).parquet(inbox)
+        st.start_subscription_table(stream, table, cp).awaitTermination()
+        return sorted((r.user_id, r.last_event_type[13:]) for r in st.read_subscription_table(spark, table).collect())
+
+    assert run([(1, 1, "created"), (2, 1, "created"), (3, 2, "created"), (None, 1, "created")]) == [(1, "created"), (2, "created"), (3, "created")]
+    assert run([(1, 5, "canceled"), (2, 4, "billing_plan_change")], 10) == [(2, "billing_plan_change"), (3, "created")]
+    assert table.stored(spark).count() == 3  # user 1 as a tombstone
+    assert run([(1, 3, "reactivated"), (2, 2, "canceled")], 20) == [(2, "billing_plan_change"), (3, "created")]  # both late
+    assert [r.user_id for r in table.lookup(spark, 1, 3).collect()] == [3]
+    every = list(range(4, 40))  # all folders are rewritten, the tombstone has had its time
+    got = run([(u, 30, "created") for u in every], 30)
+    assert got == [(2, "billing_plan_change"), (3, "created"), *[(u, "created") for u in every]]
+    assert 1 not in [r.user_id for r in table.stored(spark).collect()]
+
+
+def test_a_repeated_batch_changes_nothing(spark, tmp_path):
+    table = Merged(str(tmp_path / "t"), buckets=2)
+    rows = st.subscription_rows(sub_events(spark, [(1, 1, "created"), (2, 1, "expired")]))
+    assert table.merge(rows, "a", 0) and not table.merge(rows, "a", 0)
+    assert table.merge(rows.limit(0), "a", 1) and not table.merge(rows, "a", 1)
+    assert table.merge(rows, "b", 0)  # another stream may bring the same rows
+    assert publish.current(spark, table.path).number == 3
+    assert [r.user_id for r in table.read(spark).collect()] == [1]
+
+
+def test_state_aggregations_hash_numbers(spark):
+    df = sub_events(spark, [(1, 1, "created")])
+    for frame in (st.subscription_state(df), st.subscription_rows(df), st.merge_vid_map(st.vid_map(df))):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in plan and "HashAggregate" in plan

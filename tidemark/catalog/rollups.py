@@ -14,6 +14,7 @@ from tidemark.sources.fixtures import AS_OF
 from tidemark.sources.tables import Tables
 from tidemark.streaming import rollups as ro
 from tidemark.streaming import state as st
+from tidemark.streaming.merge import Merged
 
 C = F.col
 MIN = "date_trunc('minute', ts) AS bucket"
@@ -148,6 +149,22 @@ STATE = "SELECT user_id, last_event_type, last_event_at FROM fx_subscription_sta
 query("state_subscription", "ST-15", STATE)(lambda t: st.subscription_state(t.events))
 query("stream_subscription", "ST-15", STATE)(
     lambda t: st.merge_subscription(_streamed(t, "fx_events", st.start_subscription_state, "subscription")))
+
+
+@query("stream_subscription_table", "ST-15", STATE)
+def subscription_table(t: Tables) -> DataFrame:
+    """The stored table after a stream over the first half of the events and a restart over the second, with users leaving in place."""
+    spark = t.events.sparkSession
+    inbox, progress = scratch_dir(spark, "subscription-events"), scratch_dir(spark, "subscribers-progress")
+    table = Merged(scratch_dir(spark, "subscribers"), buckets=8)
+    events = t.events.select("event_id", "user_id", "created_at", "event_type")
+    for half in (C("created_at") < F.lit("2024-01-15").cast("timestamp_ntz"), C("created_at") >= F.lit("2024-01-15").cast("timestamp_ntz")):
+        events.filter(half).repartition(2).write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+        st.start_subscription_table(stream, table, progress).awaitTermination()
+    return st.read_subscription_table(spark, table)
+
+
 query("state_request_errors", "ST-16", """SELECT event_id, status, base_path FROM fx_requests
 WHERE status >= 400""")(
     lambda t: st.payment_errors(t.requests.withColumn("is_error", (C("status") >= 500).cast("int")))

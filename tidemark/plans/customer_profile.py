@@ -93,6 +93,9 @@ def retention_priority(ltv_scores: DataFrame, churn_scores: DataFrame, cfg: Conf
 
 
 def priority_summary(priorities: DataFrame) -> DataFrame:
+    """Per priority: users, mean value and risk, money at risk; two and four decimals are added exactly."""
+    users = F.count(F.lit(1))
     return priorities.groupBy("priority").agg(
-        F.count(F.lit(1)).alias("users"), F.avg("pred_ltv_12m").alias("avg_value"),
-        F.avg("churn_risk_30d").alias("avg_risk"), F.sum("expected_loss").alias("at_risk"))
+        users.alias("users"), (F.sum(C("pred_ltv_12m").cast("decimal(18,2)")).cast("double") / users).alias("avg_value"),
+        (F.sum(C("churn_risk_30d").cast("decimal(18,4)")).cast("double") / users).alias("avg_risk"),
+        F.sum(C("expected_loss").cast("decimal(18,2)")).cast("double").alias("at_risk"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import Config
@@ -83,14 +83,21 @@ def ltv_scores(rows: DataFrame, cfg: Config) -> DataFrame:
     return quantile_bin(table, "pred_ltv_12m", "user_id", 10, "ltv_decile")
 
 
+def _cents(amount: Column) -> Column:
+    """Exact money: sums of it do not depend on the order rows are added in."""
+    return amount.cast("decimal(18,2)")
+
+
 def tier_summary(scores: DataFrame) -> DataFrame:
+    """Users, mean and total value by tier: cents are added exactly and divided last."""
+    total = F.sum(_cents(C("pred_ltv_12m"))).cast("double")
     return scores.groupBy("value_tier").agg(
-        F.count(F.lit(1)).alias("users"), F.avg("pred_ltv_12m").alias("avg_pred_ltv"),
-        F.sum("pred_ltv_12m").alias("sum_pred"))
+        F.count(F.lit(1)).alias("users"), (total / F.count("pred_ltv_12m")).alias("avg_pred_ltv"), total.alias("sum_pred"))
 
 
 def top_decile_share(scores: DataFrame) -> DataFrame:
-    top = F.sum(F.when(C("ltv_decile") == 10, C("pred_ltv_12m")))
+    value = _cents(C("pred_ltv_12m"))
+    total, top = F.sum(value).cast("double"), F.sum(F.when(C("ltv_decile") == 10, value)).cast("double")
     return scores.agg(
-        F.sum("pred_ltv_12m").alias("total_pred"), F.count_if(C("ltv_decile") == 10).alias("top_users"),
-        (top / F.nullif(F.sum("pred_ltv_12m"), F.lit(0.0))).alias("top_share"))
+        total.alias("total_pred"), F.count_if(C("ltv_decile") == 10).alias("top_users"),
+        (top / F.nullif(total, F.lit(0.0))).alias("top_share"))

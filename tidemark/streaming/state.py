@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.config import STATE_SUB_EVENTS
 from tidemark.operators.joins import merge_slots, session_slots, stitch_sessions
+from tidemark.streaming.merge import Merged
 from tidemark.streaming.rollups import append_parts, watermarked
 
 C = F.col
@@ -77,21 +78,35 @@ def merge_vid_map(parts: DataFrame) -> DataFrame:
 
 
 # --- subscription state -----------------------------------------------------------------
+#: Paying event types by number; every other type of a subscription event is ENDED.
+ENDED = -1
+
+
+def _kind() -> Column:
+    kind = F.lit(ENDED)
+    for number, name in enumerate(STATE_SUB_EVENTS):
+        kind = F.when(C("event_type") == name, number).otherwise(kind)
+    return kind
+
+
 def last_subscription(events: DataFrame) -> DataFrame:
-    newest = F.struct("created_at", "event_id")
-    return (
-        events.filter(C("event_type").startswith("subscription.") & C("user_id").isNotNull())
-        .groupBy("user_id")
-        .agg(F.max_by("event_type", newest).alias("last_event_type"), F.max(newest).alias("version"))
-    )
+    """Number of the latest subscription event's type per user, with its version: both are numbers, which are hashed, not sorted."""
+    seen = events.filter(C("event_type").startswith("subscription.") & C("user_id").isNotNull())
+    seen = seen.select("user_id", _kind().alias("kind"), _version().alias("version"))
+    return seen.groupBy("user_id").agg(F.max_by("kind", "version").alias("kind"), F.max("version").alias("version"))
+
+
+def _state_columns(latest: DataFrame) -> DataFrame:
+    names = F.array(*[F.lit(n) for n in STATE_SUB_EVENTS])
+    micros = F.floor(C("version") / F.lit(Decimal(10) ** 19)).cast("bigint")
+    return latest.select("user_id", F.element_at(names, C("kind") + 1).alias("last_event_type"),
+                         F.timestamp_micros(micros).cast("timestamp_ntz").alias("last_event_at"))
 
 
 def merge_subscription(parts: DataFrame) -> DataFrame:
     """Current subscribers: users whose latest event is no longer a paying one are absent."""
-    latest = parts.groupBy("user_id").agg(
-        F.max_by("last_event_type", "version").alias("last_event_type"), F.max("version").alias("version"))
-    return latest.filter(C("last_event_type").isin(*STATE_SUB_EVENTS)).select(
-        "user_id", "last_event_type", C("version.created_at").alias("last_event_at"))
+    latest = parts.groupBy("user_id").agg(F.max_by("kind", "version").alias("kind"), F.max("version").alias("version"))
+    return _state_columns(latest.filter(C("kind") != ENDED))
 
 
 def subscription_state(events: DataFrame) -> DataFrame:
@@ -99,6 +114,20 @@ def subscription_state(events: DataFrame) -> DataFrame:
     return merge_subscription(last_subscription(events))
 
 
+def subscription_rows(events: DataFrame) -> DataFrame:
+    """Rows of the stored subscription table: users whose latest event ends their subscription are gone."""
+    return last_subscription(events).withColumns({
+        "at": F.floor(C("version") / F.lit(Decimal(10) ** 19)).cast("bigint"), "gone": C("kind") == ENDED})
+
+
+def read_subscription_table(spark: SparkSession, table: Merged) -> DataFrame:
+    return _state_columns(table.read(spark))
+
+
+def start_subscription_table(events: DataFrame, table: Merged, checkpoint: str) -> StreamingQuery:
+    return table.start(events, subscription_rows, checkpoint)
+
+
 def start_vid_map(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return append_parts(events, vid_map, path, checkpoint)
 
