@@ -5,7 +5,7 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.sources import files, io, publish
+from tidemark.sources import clustered, files, io, publish
 from tidemark.sources.schemas import USER_DAY_TASK
 
 
@@ -169,3 +169,62 @@ def test_counts_come_from_the_writing_job(spark, tmp_path):
         assert len(tracker.getJobIdsForGroup("counted")) == 1
     finally:
         spark.sparkContext._jsc.clearJobGroup()
+
+
+def scanned_rows(df):
+    """Rows that came out of the Parquet scans of a frame after it has run."""
+    plan = df._jdf.queryExecution().executedPlan()
+    df.collect()
+    found, left = 0, [plan]
+    while left:
+        node = left.pop()
+        if "AdaptiveSparkPlan" in node.nodeName():
+            left.append(node.executedPlan())
+            continue
+        if "QueryStage" in node.nodeName():
+            left.append(node.plan())
+            continue
+        if node.nodeName().startswith("Scan parquet"):
+            found += node.metrics().apply("numOutputRows").value()
+        children = node.children()
+        left += [children.apply(i) for i in range(children.size())]
+    return found
+
+
+@pytest.fixture(scope="module")
+def by_user(spark, tmp_path_factory):
+    """A tenth of all rows belong to one user, and some to none."""
+    path = str(tmp_path_factory.mktemp("clustered") / "events")
+    events = spark.range(60_000).select(
+        F.when(F.col("id") % 10 == 0, 7).when(F.col("id") % 997 == 1, None).otherwise(F.col("id") % 5000).cast("long").alias("user_id"),
+        F.col("id").alias("at"), F.sha2(F.col("id").cast("string"), 256).alias("vid"))
+    clustered.write_clustered(events, path, "user_id", ["at"], 4, bloom=["vid"], distinct=5000, group_bytes=64 << 10, file_rows=4000)
+    return events, path
+
+
+def test_one_key_reads_one_folder_and_few_row_groups(spark, by_user, rows):
+    events, path = by_user
+    for user in (7, 11, 4999, 123_456):
+        got = clustered.read_keys(spark, path, "user_id", [user], 4)
+        assert rows(got, *events.columns) == rows(events.where(F.col("user_id") == user))
+    one = clustered.read_keys(spark, path, "user_id", [11], 4)
+    assert "PartitionFilters: [isnotnull(key_bucket" in one._jdf.queryExecution().executedPlan().toString()
+    folder = spark.read.parquet(path).where(F.col(clustered.BUCKET) == clustered.bucket_of(F.lit(11).cast("long"), 4)).count()
+    assert 0 < scanned_rows(one) < folder / 4  # of one folder of four, less than a quarter again
+
+
+def test_lists_of_keys_and_rows_without_one(spark, by_user, rows):
+    events, path = by_user
+    few = clustered.read_keys(spark, path, "user_id", [1, 2, 7], 4)
+    assert rows(few, *events.columns) == rows(events.where("user_id IN (1, 2, 7)"))
+    ids = spark.createDataFrame([(1,), (7,), (7,), (None,), (999_999,)], "user_id long")
+    assert rows(clustered.read_members(spark, path, "user_id", ids, 4), *events.columns) == rows(events.where("user_id IN (1, 7)"))
+    assert spark.read.parquet(path).where("user_id IS NULL").count() == events.where("user_id IS NULL").count() > 0
+
+
+def test_bloom_filters_leave_row_groups_out(spark, by_user):
+    events, path = by_user
+    some = events.where("at = 31").first()
+    found = spark.read.parquet(path).where(F.col("vid") == some.vid)
+    assert [r["at"] for r in found.collect()] == [31]
+    assert scanned_rows(found) < 60_000 / 4  # rows are sorted by user; every group spans all visitor ids

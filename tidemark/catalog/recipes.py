@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from tidemark.catalog.registry import query
 from tidemark.operators import recipes as r
+from tidemark.session import scratch_dir
+from tidemark.sources import files
+from tidemark.sources.clustered import read_keys, write_clustered
 from tidemark.sources.fixtures import AS_OF
+from tidemark.sources.tables import Tables
 
 D30 = "TIMESTAMP '2024-01-01 00:00:00'"
 D7 = "TIMESTAMP '2024-01-24 00:00:00'"
@@ -15,6 +22,41 @@ SELECT user_id, created_at, event_id, event_type, surface, category, action, mat
 FROM fx_events WHERE surface IN ('web', 'landing') AND user_id IN {PREM}"""
 )(lambda t: r.user_journey(t.events, t.subscription_state))
 
+_CLUSTERED: dict[tuple[str, str], str] = {}
+
+
+def clustered_events(t: Tables) -> str:
+    """The events by user, written once per application: what a loader keeps beside the table for look-ups."""
+    spark = t.events.sparkSession
+    kept = (spark.sparkContext.applicationId, t.location)
+    if kept not in _CLUSTERED or not files.exists(spark, _CLUSTERED[kept]):
+        _CLUSTERED[kept] = scratch_dir(spark, "events-by-user")
+        write_clustered(t.events, _CLUSTERED[kept], "user_id", ("created_at", "event_id"), BUCKETS, bloom=("vid", "idempotency_key"))
+    return _CLUSTERED[kept]
+
+
+BUCKETS = 16
+
+
+@query("recipe_one_user_journey", "R-1 F-11 T-2", f"""
+SELECT user_id, created_at, event_id, event_type, surface, category, action, matomo_idgoal, url, country
+FROM fx_events WHERE surface IN ('web', 'landing') AND user_id = (SELECT MIN(user_id) FROM {PREM})""")
+def one_user_journey(t: Tables) -> DataFrame:
+    """One subscriber's journey out of the table clustered by user: one folder, and in it the row groups that may hold the user."""
+    spark, user = t.events.sparkSession, t.subscription_state.agg(F.min("user_id").alias("user_id"))
+    rows = read_keys(spark, clustered_events(t), "user_id", [user.first().user_id], BUCKETS)
+    return r.user_journey(rows, user)
+
+
+@query("recipe_visitor_events", "R-1 IO-20", """
+SELECT vid, event_id, user_id, created_at, event_type FROM fx_events WHERE vid = (SELECT MAX(vid) FROM fx_events)""")
+def visitor_events(t: Tables) -> DataFrame:
+    """One visitor's events, by a column the clustered table is not sorted by: bloom filters leave row groups out."""
+    spark, visitor = t.events.sparkSession, t.events.agg(F.max("vid")).first()[0]
+    rows = spark.read.parquet(clustered_events(t)).where(F.col("vid") == visitor)
+    return rows.select("vid", "event_id", "user_id", "created_at", "event_type")
+
+
 query("recipe_journey_aggregates", "R-2 A-9", f"""
 m AS (SELECT user_id, country, row_number() OVER (PARTITION BY user_id ORDER BY COUNT(*) DESC, country) AS rn
   FROM fx_events WHERE created_at >= {D30} GROUP BY user_id, country)
