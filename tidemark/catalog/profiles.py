@@ -14,9 +14,10 @@ from tidemark.plans import ltv_eda as eda
 from tidemark.plans import ltv_panel as ltv
 from tidemark.plans import scoring as sc
 from tidemark.plans import winback as wb
+from tidemark.plans.feature_store import FeatureStore
+from tidemark.session import scratch_dir
 from tidemark.sources import filetree as tree
 from tidemark.sources.fixtures import AS_OF, CHURN_SNAPSHOTS, TEST_CONFIG as CFG
-from tidemark.session import materialize
 from tidemark.sources.tables import Tables
 
 C = F.col
@@ -175,15 +176,29 @@ def content_table(t: Tables) -> DataFrame:
     return f.user_content(t.files, t.accounts, AS_OF)
 
 
+_STORES: dict[tuple[str, str], FeatureStore] = {}
+
+
+def feature_store(t: Tables) -> FeatureStore:
+    """The feature tables of the day, written once per application as the daily job would, and read by all that joins them."""
+    spark, day = t.events.sparkSession, AS_OF.date()
+    kept = (spark.sparkContext.applicationId, t.location)
+    if kept not in _STORES or not _STORES[kept].has(spark, "quota", day):
+        root = scratch_dir(spark, "features")
+        store = _STORES[kept] = FeatureStore(root, "tidemark_" + root.rsplit("-", 1)[1], 8)
+        store.write_day(spark, day, [{
+            "ltv": lambda: ltv_table(t), "content": lambda: content_table(t), "churn": lambda: churn_table(t),
+            "billing": lambda: f.user_billing_health(t.billing, AS_OF, CFG), "edge": lambda: f.user_edge(t.requests, AS_OF, CFG),
+            "tasks": lambda: f.user_tasks(t.events, AS_OF, CFG),
+        }, {"quota": lambda: f.user_storage_quota(store.read(spark, "ltv", day), t.plan_storage, store.read(spark, "content", day))}])
+    return _STORES[kept]
+
+
 def profile_table(t: Tables) -> DataFrame:
-    """The profile over stored tables, each computed once: what follows joins small tables on their key."""
-    scores, content = materialize(ltv_table(t), "ltv-scores"), materialize(content_table(t), "content")
-    others = {name: materialize(table, name) for name, table in {
-        "churn": churn_table(t), "billing": f.user_billing_health(t.billing, AS_OF, CFG),
-        "edge": f.user_edge(t.requests, AS_OF, CFG), "tasks": f.user_tasks(t.events, AS_OF, CFG)}.items()}
-    return cp.customer_360(
-        scores, others["churn"], others["billing"], content, others["edge"], others["tasks"],
-        f.user_storage_quota(scores, t.plan_storage, content), CFG)
+    """The profile over the stored tables, bucket by bucket."""
+    spark, store = t.events.sparkSession, feature_store(t)
+    parts = [store.read(spark, name) for name in ("ltv", "churn", "billing", "content", "edge", "tasks", "quota")]
+    return cp.customer_360(*parts, CFG)
 
 
 query("feature_user_edge", "K-1 A-1 A-2 A-9 A-11", f"{EDGE} SELECT * FROM edge")(
@@ -211,9 +226,8 @@ LEFT JOIN tasks t ON t.user_id = c.user_id)"""
 
 
 def now_table(t: Tables) -> DataFrame:
-    content = materialize(content_table(t), "content")
-    return f.now_features(content, f.user_storage_quota(ltv_table(t), t.plan_storage, content),
-                          f.user_edge(t.requests, AS_OF, CFG), f.user_tasks(t.events, AS_OF, CFG))
+    spark, store = t.events.sparkSession, feature_store(t)
+    return f.now_features(*[store.read(spark, name) for name in ("content", "quota", "edge", "tasks")])
 
 
 query("feature_now", "K-22 J-11", f"{NOW} SELECT * FROM now_f")(now_table)

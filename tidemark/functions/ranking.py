@@ -1,10 +1,11 @@
 """Global order statistics without a global sort in one task.
 
-A window without partition keys would move a whole table through a single task. Here the rows are dealt into ranges
-of (group, score, tie-break) that Spark draws from a sample of the data itself, so ranges hold about equally many rows
-whatever the values are: narrow, skewed, or one value held by a third of all rows. The ranges are written once to the
-shared scratch folder; their totals (a row per range) carry the running offsets, and the work inside a range is a
-normal window. The input is read once.
+A window without partition keys would move a whole table through a single task. Here the input is computed once and written to the
+shared scratch folder as it comes. Only (group, score, tie-break, sums) and a row number of that file are then dealt into ranges that
+Spark draws from a sample of the stored values, so ranges hold about equally many rows whatever the values are: narrow, skewed, or one
+value held by a third of all rows. The ranges are sorted and written with each row's place; their totals (a row per range) carry
+the running offsets, so a rank is an addition, and only running sums need a window, inside ranges. Wide rows are not
+dealt or sorted: what was found for a row is joined to it by its number.
 
 NULL scores have no rank: they keep their row, with NULL in every added column, and count nowhere. NaN sorts
 above infinity, as everywhere in Spark. NULL groups are a group.
@@ -25,18 +26,22 @@ def _order(name: str, descending: bool) -> Column:
 
 
 def _ranges(df: DataFrame, score: str, by: Sequence[str], then: Sequence[str], descending: bool) -> DataFrame:
-    """``df`` in ranges of equal size, with the number of its range in ``_range``."""
-    dealt = df.repartitionByRange(*by, _order(score, descending), *then)
-    return materialize(dealt.withColumn("_range", F.spark_partition_id()), "ranges")
+    """``df`` in sorted ranges of equal size, with the number of its range in ``_range`` and a row's place in it in ``_at``.
+
+    The range bounds come from a sampling job of their own, so give a frame that is stored."""
+    order = [*by, _order(score, descending), *then]
+    place = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    return materialize(place.withColumns({"_range": F.shiftright("_id", 33), "_at": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_id"), "ranges")
 
 
 def _with_offsets(ranges: DataFrame, by: Sequence[str], sums: Mapping[str, Column]) -> DataFrame:
-    """Adds ``_o_<name>``, the total of earlier ranges of the group, and ``<name>_total``."""
-    totals = ranges.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
+    """Adds ``_o_<name>``, the total of earlier ranges of the group, ``<name>_total``, and ``_first``, the place its rows of the
+    range begin at."""
+    totals = ranges.groupBy(*by, "_range").agg(F.min("_at").alias("_first"), *[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
     group = Window.partitionBy(*by)
     earlier = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *[F.col(b).alias(f"_by_{i}") for i, b in enumerate(by)], F.col("_range").alias("_r"),
+        *[F.col(b).alias(f"_by_{i}") for i, b in enumerate(by)], F.col("_range").alias("_r"), "_first",
         *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in sums],
         *[F.sum(f"_t_{n}").over(group).alias(f"{n}_total") for n in sums],
     )
@@ -59,15 +64,12 @@ def running_totals(
     ``cells`` holds one row per (by, score, then); ``sums`` maps names to columns. Cells with a NULL score are left out.
     """
     by = list(by)
-    ranges = _ranges(cells.filter(F.col(score).isNotNull()), score, by, then, descending)
-    inside = (
-        Window.partitionBy(*by, "_range").orderBy(_order(score, descending), *then)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    ranges = _ranges(materialize(cells.filter(F.col(score).isNotNull()), "cells"), score, by, then, descending)
+    inside = Window.partitionBy(*by, "_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     placed = _with_offsets(ranges, by, {n: F.col(c) for n, c in sums.items()})
     return placed.withColumns(
         {f"{n}_before": F.col(f"_o_{n}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for n, c in sums.items()}
-    ).drop("_range", *[f"_o_{n}" for n in sums])
+    ).drop("_range", "_at", "_first", *[f"_o_{n}" for n in sums])
 
 
 def value_counts(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
@@ -86,22 +88,29 @@ def global_rows(
     """Exact row number over (score, tiebreak asc) and inclusive running sums.
 
     Adds ``row_no`` and ``rows_total``; per entry of ``sums`` also ``<name>_upto`` and ``<name>_total``. ``tiebreak``
-    must be unique. Rows with a NULL score stay, with NULL in the added columns.
+    must be unique for ranks that do not depend on the run. Rows with a NULL score stay, with NULL in the added columns.
     """
     by, sums = list(by), dict(sums or {})
+    stored = materialize(df.withColumn("_row", F.monotonically_increasing_id()), "ranked-input")
+    needed = list(dict.fromkeys([*by, score, tiebreak, *sums.values()]))
+    wide = set(df.columns) != set(needed)
     ranked = F.col(score).isNotNull()
-    ranges = _ranges(df, score, by, [tiebreak], descending)
+    ranges = _ranges(stored.select(*needed, "_row"), score, by, [tiebreak, "_row"], descending)
     totals = {"rows": F.when(ranked, 1).otherwise(0).cast("long"), **{n: F.when(ranked, F.col(c)) for n, c in sums.items()}}
-    inside = Window.partitionBy(*by, "_range").orderBy(_order(score, descending), tiebreak).rowsBetween(Window.unboundedPreceding, 0)
     placed = _with_offsets(ranges, by, totals)
+    # rows without a score stand behind all others of their group
     added = {
-        "row_no": F.when(ranked, F.col("_o_rows") + F.sum(totals["rows"]).over(inside)),
+        "row_no": F.when(ranked, F.col("_o_rows") + F.col("_at") - F.col("_first") + 1),
         "rows_total": F.when(ranked, F.col("rows_total")),
     }
+    inside = Window.partitionBy(*by, "_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
     for n in sums:
         added[f"{n}_upto"] = F.when(ranked, F.col(f"_o_{n}") + F.sum(totals[n]).over(inside))
         added[f"{n}_total"] = F.when(ranked, F.col(f"{n}_total"))
-    return placed.withColumns(added).drop("_range", "_o_rows", *[f"_o_{n}" for n in sums])
+    found = placed.withColumns(added)
+    if wide:
+        found = stored.join(found.select("_row", *added), "_row")
+    return found.select(*df.columns, *added)
 
 
 def quantile_bin(
