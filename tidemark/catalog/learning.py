@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from tidemark.catalog.panels import DATES_SQL, ltv_sql
 from tidemark.catalog.profiles import churn_with_now, content_table
 from tidemark.catalog.registry import query
+from tidemark.catalog.statistics import S, scored
 from tidemark.functions.scalar import flag
 from tidemark.operators.features import NOW_DEFAULTS
 from tidemark.models import explain as ex
+from tidemark.models import isotonic
 from tidemark.models import prepare as pr
 from tidemark.models import supervised as sv
 from tidemark.models import unsupervised as un
@@ -247,6 +249,19 @@ def training_cap(t: Tables) -> DataFrame:
         (F.abs(F.sum("sample_weight") - n) <= 2 * near).cast("int").alias("represents_all"))
 
 
+@query("model_isotonic", "M-18", f"""{S}, g AS (SELECT score, SUM(y) AS wy, COUNT(*) AS w FROM s GROUP BY score),
+c AS (SELECT score, row_number() OVER (ORDER BY score) AS i, SUM(wy) OVER (ORDER BY score) AS sy, SUM(w) OVER (ORDER BY score) AS sw FROM g),
+ab AS (SELECT a.i AS a, b.i AS b, (b.sy - coalesce(z.sy, 0)) / (b.sw - coalesce(z.sw, 0))::DOUBLE AS mean
+  FROM c a JOIN c b ON a.i <= b.i LEFT JOIN c z ON z.i = a.i - 1),
+low AS (SELECT a, b, MIN(mean) OVER (PARTITION BY a ORDER BY b DESC) AS m FROM ab),
+fit AS (SELECT b AS i, MAX(m) AS value FROM low GROUP BY b)
+SELECT score, ROUND(value, 9) AS value FROM fit JOIN c USING (i)""")
+def isotonic_fit(t: Tables) -> DataFrame:
+    """Chance of a payment next year by this year's revenue, never falling: the fitted value of every distinct score."""
+    rows = materialize(scored(t).select("score", "y"), "isotonic-rows")
+    return isotonic.fit(rows, "score", "y").values(rows, "score").withColumn("value", F.round("value", 9))
+
+
 @query("model_fit_checks", "M-9 M-10 M-11 M-17 M-18", """
 SELECT unnest(['calibration keeps the mean', 'calibration is monotone', 'classifier beats chance', 'clusters beat their first start', 'regression beats the mean']) AS fact,
   true AS holds""")

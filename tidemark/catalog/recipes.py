@@ -38,14 +38,14 @@ def clustered_events(t: Tables) -> str:
 BUCKETS = 16
 
 
-@query("recipe_one_user_journey", "R-1 F-11 T-2", f"""
+@query("recipe_one_user_journey", "R-1 F-11 T-2", """
 SELECT user_id, created_at, event_id, event_type, surface, category, action, matomo_idgoal, url, country
-FROM fx_events WHERE surface IN ('web', 'landing') AND user_id = (SELECT MIN(user_id) FROM {PREM})""")
+FROM fx_events WHERE surface IN ('web', 'landing') AND user_id = (SELECT MIN(user_id) FROM fx_events)""")
 def one_user_journey(t: Tables) -> DataFrame:
-    """One subscriber's journey out of the table clustered by user: one folder, and in it the row groups that may hold the user."""
-    spark, user = t.events.sparkSession, t.subscription_state.agg(F.min("user_id").alias("user_id"))
-    rows = read_keys(spark, clustered_events(t), "user_id", [user.first().user_id], BUCKETS)
-    return r.user_journey(rows, user)
+    """One user's journey out of the table clustered by user: one folder, and in it the row groups that may hold the user."""
+    spark, user = t.events.sparkSession, t.events.agg(F.min("user_id")).first()[0]
+    rows = read_keys(spark, clustered_events(t), "user_id", [user], BUCKETS)
+    return r.user_journey(rows, spark.createDataFrame([(user,)], "user_id long"))
 
 
 @query("recipe_visitor_events", "R-1 IO-20", """

@@ -77,7 +77,7 @@ query("stat_spearman_all", "A-20 T-5", f"{PANEL}, c AS ({CORRS}) SELECT * FROM c
 query("stat_quantile_bins", "W-10", f"""{S}, r AS (SELECT id, row_number() OVER (ORDER BY score, id) AS i,
   COUNT(*) OVER () AS n FROM s)
 SELECT id, CAST(greatest(1, ((i - 1) * 10 + n - 2) // (n - 1)) AS INTEGER) AS bin FROM r""")(
-    lambda t: quantile_bin(scored(t), "score", "id").select("id", "bin"))
+    lambda t: quantile_bin(scored(t).select("id", "score"), "score", "id").select("id", "bin"))
 query("stat_running_weight", "W-11 W-12 T-3", f"""{S}
 SELECT id, row_number() OVER (ORDER BY score DESC, id) AS row_no,
   SUM(w) OVER (ORDER BY score DESC, id ROWS UNBOUNDED PRECEDING) AS w_upto, w / SUM(w) OVER () AS w_share FROM s""")(

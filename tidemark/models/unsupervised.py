@@ -7,12 +7,13 @@ from collections.abc import Sequence
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.models import isotonic
+from tidemark.models.isotonic import Isotonic
+
 C = F.col
-CALIBRATION_CELLS = 16_384
 
 
 def winback_features(master: DataFrame) -> DataFrame:
@@ -50,20 +51,12 @@ def cluster_summary(master: DataFrame, clustered: DataFrame) -> DataFrame:
         F.round(F.avg("days_since_churn"), 1).alias("dchurn"))
 
 
-def fit_isotonic(df: DataFrame, score: str, label: str, weight: str | None = None) -> IsotonicRegressionModel:
-    """Monotone calibration of a score column over all rows, combined into ``CALIBRATION_CELLS`` cells of [0, 1].
-
-    The fit merges its blocks in one place, so its input is bounded: a cell is the mean score and label of its rows."""
-    w = F.lit(1.0) if weight is None else C(weight)
-    p = C(score).cast("double")
-    points = (
-        df.groupBy(F.least(F.floor(p * CALIBRATION_CELLS), F.lit(CALIBRATION_CELLS - 1)).alias("_cell"))
-        .agg((F.sum(w * p) / F.sum(w)).alias("features"), (F.sum(w * C(label)) / F.sum(w)).alias("label"), F.sum(w).alias("weight"))
-    )
-    return IsotonicRegression(featuresCol="features", labelCol="label", weightCol="weight").fit(points)
+def fit_isotonic(df: DataFrame, score: str, label: str, weight: str | None = None) -> Isotonic:
+    """Monotone calibration of a score column, fitted exactly over all its distinct values."""
+    return isotonic.fit(df, score, label, weight)
 
 
-def calibrate(model: IsotonicRegressionModel, df: DataFrame, score: str, out: str) -> DataFrame:
-    """Calibrated score, clipped to [0, 1]; scores outside the fitted range take its ends."""
-    scored = model.transform(df.withColumn("features", C(score).cast("double")))
-    return scored.withColumn(out, F.least(F.greatest("prediction", F.lit(0.0)), F.lit(1.0))).drop("features", "prediction")
+def calibrate(model: Isotonic, df: DataFrame, score: str, out: str) -> DataFrame:
+    """Calibrated score, clipped to [0, 1]; scores outside the fitted range take its ends, missing ones have none."""
+    found = model.values(df, score).select(C(score).alias("_score"), F.least(F.greatest("value", F.lit(0.0)), F.lit(1.0)).alias(out))
+    return df.join(found, C(score).cast("double") == C("_score"), "left").drop("_score")
