@@ -6,6 +6,7 @@ from datetime import date, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import metrics as m
 from tidemark.models import explain as ex
 from tidemark.models import prepare as pr
 from tidemark.models import supervised as sv
@@ -178,3 +179,48 @@ def test_registered_models_use_production_trees():
     from tidemark.catalog import learning
 
     assert learning.TREES == sv.TreeParams() and learning.TREES.iterations >= 40
+
+
+def test_every_column_has_a_permutation_of_its_own(data, spark):
+    rows = data.select("row_id", "x", "noise", "c")
+    got = ex.permuted(rows, ["noise", "c", "row_id"], "row_id", repeats=3).toPandas()
+    for _, g in got.groupby("repeat"):
+        assert sorted(g._p_row_id) == sorted(g.row_id) == list(range(1200)) and (g._p_row_id != g.row_id).mean() > 0.9
+    by = {r: g.set_index("row_id")._p_row_id for r, g in got.groupby("repeat")}
+    assert (by[1] != by[2]).mean() > 0.9
+    source = data.toPandas().set_index("row_id").noise
+    first = got[got.repeat == 1].set_index("row_id")
+    assert (source.loc[first._p_row_id].to_numpy() != first._p_noise.to_numpy()).mean() > 0.9
+    assert ex.permuted(rows.limit(1), ["noise"], "row_id", 2).count() == 2 and ex.permuted(rows.limit(0), ["noise"], "row_id", 2).count() == 0
+
+
+def _qini(rows):
+    """(effect, y, treated, weight): areas by definition, over distinct effects."""
+    total = sum(w for *_, w in rows)
+    nt = nc = yt = yc = 0.0
+    points = [(0.0, 0.0, 0.0)]
+    for effect in sorted({r[0] for r in rows}, reverse=True):
+        for _, y, t, w in (r for r in rows if r[0] == effect):
+            nt, nc, yt, yc = nt + w * t, nc + w * (1 - t), yt + w * y * t, yc + w * y * (1 - t)
+        points.append(((nt + nc) / total, yt - (yc / nc * nt if nc else 0.0), ((yt / nt if nt else 0.0) - (yc / nc if nc else 0.0)) * (nt + nc)))
+    return [sum((b[0] - a[0]) * (a[k] + b[k]) / 2 for a, b in zip(points, points[1:])) - points[-1][k] / 2 for k in (1, 2)]
+
+
+def test_qini_by_definition(spark):
+    rng = random.Random(4)
+    rows = [(round(rng.random(), 1), t := rng.randrange(2), rng.choice([1.0, 4.0])) for _ in range(400)]
+    rows = [(e, int(rng.random() < 0.2 + 0.6 * e * t), t, w) for e, t, w in rows]
+    df = spark.createDataFrame([*rows, (None, 1, 1, 1.0)], "effect double, y int, t int, w double")
+    got = m.qini(df, "effect", "y", "t", "w").first()
+    assert [got.qini, got.auuc] == [pytest.approx(v) for v in _qini(rows)] and got.qini > 0
+    turned = m.qini(df.withColumn("effect", -F.col("effect")), "effect", "y", "t", "w").first()
+    assert turned.qini < 0 and turned.qini_all == pytest.approx(got.qini_all)
+    treated = m.qini(df.filter("t = 1"), "effect", "y", "t", "w").first()
+    assert treated.qini_all == pytest.approx(sum(w * y for _, y, t, w in rows if t))
+
+
+def test_columns_without_a_value_are_left_out(data):
+    empty = data.withColumn("nothing", F.lit(None).cast("double"))
+    feats = sv.Features(("x", "nothing"), ("c",))
+    for model in (sv.fit_gbt(empty, feats, "y", params=TINY), sv.fit_logreg(empty, feats, "y")):
+        assert sv.predict(model, empty, feats, "p").filter("p is not null").count() == 1200

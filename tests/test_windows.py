@@ -264,3 +264,31 @@ def test_index_date_lists():
         date(2023, 11, 1), date(2023, 12, 1), date(2024, 1, 1), date(2024, 2, 1)]
     got = churn.snapshot_dates(replace(DEFAULT, churn_start=date(2026, 2, 1)), datetime(2026, 6, 17))
     assert got[0] == date(2026, 2, 1) and got[-1] <= date(2026, 5, 17) and (got[1] - got[0]).days == 7
+
+
+def test_history_knows_only_earlier_snapshots(spark):
+    history = spark.createDataFrame([(1, 10, 5.0), (1, 20, 7.0), (2, 20, 1.0), (3, 5, None)], "user_id long, snapshot_day int, v double")
+    rows = spark.createDataFrame([(1, d) for d in (9, 10, 11, 20, 21, 80)] + [(2, 20), (2, 21), (3, 6), (4, 30)], "user_id long, day int")
+    got = {(r.user_id, r.day): (r.v, r.snapshot_age) for r in pit.with_history(rows, history, ["v"], max_age=40).collect()}
+    assert got == {(1, 9): (None, None), (1, 10): (None, None), (1, 11): (5.0, 1), (1, 20): (5.0, 10), (1, 21): (7.0, 1), (1, 80): (None, None),
+                   (2, 20): (None, None), (2, 21): (1.0, 1), (3, 6): (None, 1), (4, 30): (None, None)}
+    later = history.union(spark.createDataFrame([(1, 21, 99.0), (4, 30, 99.0)], history.schema))  # no leak: the day itself and later do not count
+    assert {(r.user_id, r.day): (r.v, r.snapshot_age) for r in pit.with_history(rows, later, ["v"], max_age=40).collect()} == got | {(1, 80): (None, None)}
+
+
+def test_campaign_rates_hold_earlier_days_only(spark):
+    from tidemark.operators import features as f
+
+    days = spark.createDataFrame([("a", 1, 100, 50, 10), ("b", 1, 100, 10, 0), ("a", 2, 100, 0, 0), ("c", 3, 10, 10, 10), ("a", 9, 5, 5, 5)],
+                                 "email_id string, day int, sent long, opened long, clicked long")
+    got = {(r.email_id, r.day): r for r in f.campaign_history(days, strength=100).collect()}
+    assert got["a", 1].open_rate_before is None and got["b", 1].sent_before == 0
+    assert got["a", 2].open_rate_before == pytest.approx((50 + 100 * 60 / 200) / 200)
+    assert got["c", 3].open_rate_before == pytest.approx(60 / 300)  # new: the rate of all
+    assert got["a", 9].click_rate_before == pytest.approx((10 + 100 * 20 / 310) / 300)
+    changed = days.withColumn("opened", F.when(F.col("day") >= 3, 0).otherwise(F.col("opened")))
+    again = {(r.email_id, r.day): r for r in f.campaign_history(changed, strength=100).collect()}
+    assert all(again[k] == got[k] for k in got if k[1] <= 3)
+    sends = spark.createDataFrame([(7, "a", 2, 1), (8, "z", 2, 1)], "user_id long, email_id string, day int, c long")
+    out = {r.user_id: r.sent_before for r in f.with_campaign_history(sends, f.campaign_history(days), 4).collect()}
+    assert out == {7: 100, 8: None}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.catalog import sqlparts as p
 from tidemark.catalog.profiles import PROFILE, profile_table
 from tidemark.catalog.registry import query
+from tidemark.functions.metrics import qini
 from tidemark.plans import conversion_panel as conv
 from tidemark.plans import experiments as ex
 from tidemark.sources.fixtures import AS_OF, TEST_CONFIG as CFG
@@ -81,3 +82,26 @@ def naive_uplift(t: Tables) -> DataFrame:
 
 
 query("uplift_naive_by_segment", "M-16 A-13", naive_sql())(naive_uplift)
+
+
+def qini_sql() -> str:
+    from tidemark.catalog import panels as pn
+
+    return f"""{pn.INDEX}, {pn.BOTH}, {pn.CANDIDATES}, s AS ({pn.SAMPLED.format(drop='')}),
+e AS (SELECT treatment, label_conv_14d AS y, sample_weight AS w, {" + ".join(conv.SEGMENT_FLAGS)} + (user_id % 5) / 10::DOUBLE AS effect FROM s),
+g AS (SELECT effect, SUM(w * treatment) AS nt, SUM(w * (1 - treatment)) AS nc, SUM(w * y * treatment) AS yt, SUM(w * y * (1 - treatment)) AS yc FROM e GROUP BY effect),
+c AS (SELECT effect, SUM(nt) OVER o AS nt, SUM(nc) OVER o AS nc, SUM(yt) OVER o AS yt, SUM(yc) OVER o AS yc FROM g WINDOW o AS (ORDER BY effect DESC)),
+p AS (SELECT effect, (nt + nc) / MAX(nt + nc) OVER () AS x, yt - CASE WHEN nc > 0 THEN yc * nt / nc ELSE 0 END AS q,
+  (CASE WHEN nt > 0 THEN yt / nt ELSE 0 END - CASE WHEN nc > 0 THEN yc / nc ELSE 0 END) * (nt + nc) AS u FROM c),
+l AS (SELECT *, LAG(x, 1, 0) OVER o AS x0, LAG(q, 1, 0) OVER o AS q0, LAG(u, 1, 0) OVER o AS u0 FROM p WINDOW o AS (ORDER BY effect DESC))
+SELECT ROUND(SUM((x - x0) * (q + q0) / 2) - arg_min(q, effect) / 2, 9) AS qini, ROUND(SUM((x - x0) * (u + u0) / 2) - arg_min(u, effect) / 2, 9) AS auuc,
+  ROUND(arg_min(q, effect), 9) AS qini_all FROM l"""
+
+
+@query("uplift_qini", "M-16", qini_sql())
+def uplift_qini(t: Tables) -> DataFrame:
+    """Do rows that carry more segment flags respond more to a send? Areas of the cumulative curves over the uplift panel."""
+    panel = conv.build_conversion_panel(t, AS_OF, CFG, uplift=True)
+    effect = sum((C(c) for c in conv.SEGMENT_FLAGS), F.lit(0)) + (C("user_id") % 5) / 10
+    found = qini(panel.withColumn("effect", effect), "effect", "label_conv_14d", "treatment", "sample_weight")
+    return found.select(*[F.round(c, 9).alias(c) for c in found.columns])

@@ -118,6 +118,23 @@ def t_learner_effects(t: Tables) -> DataFrame:
         up.t_learner(rows, _panel_feats(rows), "label_conv_14d", TREES), conv.SEGMENT_FLAGS, "tau", 10)
 
 
+@query("model_uplift_qini", "M-14 M-15")
+def uplift_curves(t: Tables) -> DataFrame:
+    """How well each learner's effects order the rows of users it has not seen."""
+    rows, out = _panel(t, True), None
+    train, test = (materialize(part, "part") for part in pr.split_user(rows, 30))
+    feats, label, w = _panel_feats(rows), "label_conv_14d", "sample_weight"
+    single = sv.fit_gbt(train, feats.plus(["treatment"]), label, w, TREES)
+    arms = [sv.fit_gbt(train.filter(C("treatment") == a), feats, label, w, TREES) for a in (1, 0)]
+    for name, models, fs in (("s", (single, single), feats.plus(["treatment"])), ("t", arms, feats)):
+        scored = test.withColumnRenamed("treatment", "_arm")
+        for out_col, model, arm in zip(("p1", "p0"), models, (1, 0)):
+            scored = sv.predict(model, scored.withColumn("treatment", F.lit(arm)), fs, out_col).drop("treatment")
+        row = sv.m.qini(scored.withColumn("tau", C("p1") - C("p0")), "tau", label, "_arm", w).select(F.lit(name).alias("learner"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query("model_churn_report", "M-5 M-8 M-9 M-19 M-20 M-21 M-22")
 def churn_report(t: Tables) -> DataFrame:
     """Model A on everyone, model B before the cancel click; whole users held out."""

@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+from datetime import date
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from tidemark.catalog import sqlparts as p
 from tidemark.catalog.registry import query
-from tidemark.functions.scalar import to_epoch_day
+from tidemark.functions.scalar import epoch_day, to_epoch_day
 from tidemark.operators import extracts as x
+from tidemark.operators import pit
 from tidemark.plans import churn_panel as churn
 from tidemark.plans import conversion_panel as conv
 from tidemark.plans import ltv_panel as ltv
+from tidemark.session import scratch_dir
+from tidemark.sources import io
 from tidemark.sources.fixtures import AS_OF, CHURN_SNAPSHOTS, LTV_DATES, TEST_CONFIG as CFG
+from tidemark.sources.tables import Tables
+
+C = F.col
 
 LO, HI, CUT = 19730, 19738, 19737  # 2024-01-08, 2024-01-16, 2024-01-15
 
@@ -268,3 +279,27 @@ query("panel_ltv_first_version", "L-1 Q-15", ltv_sql(HALF_SQL, 1, True))(
     lambda t: ltv.build_ltv_panel(t.revenue, HALF_YEARS, CFG, version=1))
 query("panel_ltv_today", "L-5", ltv_sql("(19753)", 2, False, "* EXCLUDE (label_rev_365)"))(
     lambda t: ltv.score_rows(t.revenue, AS_OF, CFG))
+
+TAKEN = (date(2023, 3, 1), date(2023, 6, 1), date(2023, 9, 1), date(2023, 12, 1))
+
+
+@query("panel_from_history", "J-13 J-16 K-8", f"""{p.TXN},
+dates AS (SELECT unnest([{", ".join(str(to_epoch_day(d)) for d in TAKEN)}]) AS taken),
+hist AS (SELECT user_id, taken, CAST(SUM(amount_usd) AS DOUBLE) AS ltv_then, COUNT(*) AS txns_then FROM txn JOIN dates ON day < taken GROUP BY ALL),
+idx AS (SELECT DISTINCT user_id, day FROM txn WHERE day >= {to_epoch_day(date(2023, 4, 1))}),
+joined AS (SELECT idx.user_id, idx.day, CASE WHEN idx.day - taken <= 200 THEN ltv_then END AS ltv_then, CASE WHEN idx.day - taken <= 200 THEN txns_then END AS txns_then,
+  CASE WHEN idx.day - taken <= 200 THEN idx.day - taken END AS snapshot_age FROM idx ASOF LEFT JOIN hist ON idx.user_id = hist.user_id AND idx.day > hist.taken)
+SELECT joined.*, CAST(EXISTS (SELECT 1 FROM txn b WHERE b.user_id = joined.user_id AND b.day > joined.day AND b.day <= joined.day + 90) AS INTEGER) AS label_paid_90d FROM joined""")
+def panel_from_history(t: Tables) -> DataFrame:
+    """Payment days with what the dated snapshots knew before them, and whether another payment follows within 90 days."""
+    spark, path = t.revenue.sparkSession, scratch_dir(t.revenue.sparkSession, "value-history")
+    days = x.txns(t.revenue).groupBy("user_id", epoch_day("ts").alias("day")).agg(F.sum("amount_usd").alias("amount"), F.count(F.lit(1)).alias("n"))
+    for taken in TAKEN:  # the daily job's files
+        known = days.filter(C("day") < to_epoch_day(taken)).groupBy("user_id").agg(
+            F.sum("amount").cast("double").alias("ltv_then"), F.sum("n").alias("txns_then"))
+        io.append_snapshot(known, path, taken)
+    history = io.read_history(spark, path).withColumn("snapshot_day", F.unix_date("snapshot_date"))
+    paid = days.select("user_id", "day", F.lit(1).alias("_paid"))
+    rows = pit.pit_windows(paid, days.filter(C("day") >= to_epoch_day(date(2023, 4, 1))).select("user_id", "day"), {"_next": pit.ahead(F.max("_paid"), 90)})
+    rows = rows.select("user_id", "day", F.coalesce("_next", F.lit(0)).alias("label_paid_90d"))
+    return pit.with_history(rows, history, ("ltv_then", "txns_then"), max_age=200)

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.catalog import sqlparts as p
 from tidemark.catalog.panels import churn_sql, ltv_sql
 from tidemark.catalog.registry import query
+from tidemark.operators import extracts as x
 from tidemark.operators import features as f
 from tidemark.plans import churn_panel as churn
 from tidemark.plans import customer_profile as cp
@@ -232,6 +234,19 @@ def now_table(t: Tables) -> DataFrame:
 
 query("feature_now", "K-22 J-11", f"{NOW} SELECT * FROM now_f")(now_table)
 
+CAMPAIGN_SQL = f"""d AS (SELECT json_extract_string(metadata, '$.email_id') AS email_id, CAST({p.EDAY.format('created_at')} AS INTEGER) AS day,
+  COUNT(*) FILTER (event_type = 'email.sent') AS sent, COUNT(*) FILTER (event_type = 'email.opened') AS opened, COUNT(*) FILTER (event_type = 'email.clicked') AS clicked
+  FROM fx_events WHERE event_type IN ('email.sent', 'email.opened', 'email.clicked') GROUP BY ALL),
+h AS (SELECT a.email_id, a.day, CAST(COALESCE(SUM(b.sent) FILTER (b.email_id = a.email_id), 0) AS BIGINT) AS sent_before,
+  (COALESCE(SUM(b.opened) FILTER (b.email_id = a.email_id), 0) + 50 * SUM(b.opened) / NULLIF(SUM(b.sent), 0)::DOUBLE) / (COALESCE(SUM(b.sent) FILTER (b.email_id = a.email_id), 0) + 50) AS open_rate_before,
+  (COALESCE(SUM(b.clicked) FILTER (b.email_id = a.email_id), 0) + 50 * SUM(b.clicked) / NULLIF(SUM(b.sent), 0)::DOUBLE) / (COALESCE(SUM(b.sent) FILTER (b.email_id = a.email_id), 0) + 50) AS click_rate_before
+  FROM d a LEFT JOIN d b ON b.day < a.day GROUP BY a.email_id, a.day)"""
+query("feature_campaign_history", "E-8 W-4", f"{CAMPAIGN_SQL} SELECT * FROM h")(
+    lambda t: f.campaign_history(f.campaign_days(t.events)))
+query("feature_send_history", "E-8 J-18", f"""{p.BULK}, {CAMPAIGN_SQL}
+SELECT detail.*, sent_before, open_rate_before, click_rate_before FROM detail LEFT JOIN h USING (email_id, day)""")(
+    lambda t: f.with_campaign_history(x.send_detail(t.events, CFG), f.campaign_history(f.campaign_days(t.events)), CFG.salts))
+
 query("score_ltv", "K-17 M-12 W-10", f"{LTV} SELECT * FROM ltvs")(ltv_table)
 query("score_ltv_tiers", "K-17 A-21", f"""{LTV} SELECT value_tier, COUNT(*) AS users,
   AVG(pred_ltv_12m) AS avg_pred_ltv, SUM(pred_ltv_12m) AS sum_pred FROM ltvs GROUP BY value_tier""")(

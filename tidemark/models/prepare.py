@@ -138,6 +138,14 @@ def _category_stages(kept: Mapping[str, Sequence[str]]) -> list[Stage]:
             *[StringIndexer(inputCol=f"{c}_top", outputCol=f"{c}_ix", handleInvalid="keep") for c in kept]]
 
 
+def with_values(df: DataFrame, num: Sequence[str]) -> list[str]:
+    """The numeric columns that have any value: nothing can be learned from the others, nor put in their place."""
+    if not num:
+        return []
+    found = df.agg(*[F.max(F.col(c).isNotNull() & ~F.isnan(c)).alias(c) for c in num]).first()
+    return [c for c in num if found[c]]
+
+
 def linear_stages(num: Sequence[str], kept: Mapping[str, Sequence[str]]) -> list[Stage]:
     """Median impute, signed log, standardise; one-hot with unseen values as all zeros."""
     filled, cat = [f"{c}_filled" for c in num], list(kept)

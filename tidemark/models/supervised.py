@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import metrics as m
 from tidemark.functions.scalar import expm1_clipped
 from tidemark.functions.stats import spearman
-from tidemark.models.prepare import as_doubles, balanced_weights, kept_categories, linear_stages, tree_stages
+from tidemark.models.prepare import as_doubles, balanced_weights, kept_categories, linear_stages, tree_stages, with_values
 
 C = F.col
 MAX_BINS = 64  # split candidates of a numeric feature; categories raise it where there are more of them
@@ -53,7 +53,7 @@ def fit_logreg(train: DataFrame, feats: Features, label: str, weight: str | None
         rows = rows.withColumn("class_weight", C("class_weight") * (C(weight) if weight else F.lit(1.0)))
         weight = "class_weight"
     lr = LogisticRegression(labelCol=label, maxIter=100, regParam=reg, **({"weightCol": weight} if weight else {}))
-    return Pipeline(stages=[*linear_stages(feats.num, kept_categories(rows, feats.cat)), lr]).fit(rows)
+    return Pipeline(stages=[*linear_stages(with_values(rows, feats.num), kept_categories(rows, feats.cat)), lr]).fit(rows)
 
 
 def fit_gbt(train: DataFrame, feats: Features, label: str, weight: str | None = None,
@@ -64,7 +64,7 @@ def fit_gbt(train: DataFrame, feats: Features, label: str, weight: str | None =
         labelCol=label, maxIter=params.iterations, stepSize=params.step, maxDepth=params.depth,
         minInstancesPerNode=params.min_rows, maxBins=_bins(kept), seed=params.seed,
         **({"weightCol": weight} if weight else {}))
-    return Pipeline(stages=[*tree_stages(feats.num, kept), gbt]).fit(rows)
+    return Pipeline(stages=[*tree_stages(with_values(rows, feats.num), kept), gbt]).fit(rows)
 
 
 def _bins(kept: Mapping[str, Sequence[str]]) -> int:
@@ -79,7 +79,7 @@ def fit_gbt_reg(train: DataFrame, feats: Features, target: str, params: TreePara
     gbt = GBTRegressor(
         labelCol="_log_target", maxIter=params.iterations, stepSize=params.step, maxDepth=params.depth,
         minInstancesPerNode=params.min_rows, maxBins=_bins(kept), seed=params.seed)
-    return Pipeline(stages=[*tree_stages(feats.num, kept), gbt]).fit(rows)
+    return Pipeline(stages=[*tree_stages(with_values(rows, feats.num), kept), gbt]).fit(rows)
 
 
 def predict(model: PipelineModel, df: DataFrame, feats: Features, out: str, kind: str = "class") -> DataFrame:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import Config
+from tidemark.functions.ranking import salted_join
 from tidemark.functions.scalar import (
-    count_if, days_before, file_extension, flag, gigabytes, lookup, ratio, since, since_midnight,
+    count_if, days_before, epoch_day, file_extension, flag, gigabytes, json_field, lookup, ratio, since, since_midnight,
     small_distinct, sum_if, to_epoch_day,
 )
 from tidemark.sources.seeds import CATEGORIES, PERSONAS, content_category
@@ -185,3 +186,41 @@ def now_features(content: DataFrame, quota: DataFrame, edge: DataFrame, tasks: D
         .join(tasks.select("user_id", "downloads_30d", "task_failure_rate"), "user_id", "left")
     )
     return joined.select("user_id", *NOW_DEFAULTS).fillna(NOW_DEFAULTS)
+
+
+# --- campaigns -------------------------------------------------------------------------------------------
+def campaign_days(events: DataFrame) -> DataFrame:
+    """Sends, opens and clicks per campaign and day, by the day they happened."""
+    kinds = {"sent": "email.sent", "opened": "email.opened", "clicked": "email.clicked"}
+    return (
+        events.filter(C("event_type").isin(*kinds.values()))
+        .groupBy(json_field("metadata", "email_id").alias("email_id"), epoch_day("created_at").alias("day"))
+        .agg(*[count_if(C("event_type") == e).alias(n) for n, e in kinds.items()])
+    )
+
+
+def campaign_history(days: DataFrame, strength: float = 50.0) -> DataFrame:
+    """What was known about a campaign before each of its days: ``sent_before`` and the open and click rates per send, each
+    pulled towards the rate of all campaigns before that day by ``strength`` sends. NULL where nothing had been sent at all.
+
+    Only earlier days count, so a rate never holds the responses of the day it is used on. Windows run over campaign days; the
+    rates of all campaigns over calendar days.
+    """
+    counts = ("sent", "opened", "clicked")
+    calendar = days.groupBy("day").agg(*[F.sum(c).alias(c) for c in counts])
+    earlier = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)  # a row per calendar day
+    overall = calendar.select("day", *[F.sum(c).over(earlier).alias(f"_all_{c}") for c in counts])
+    own = Window.partitionBy("email_id").orderBy("day").rangeBetween(Window.unboundedPreceding, -1)
+    known = days.select("email_id", "day", *[F.coalesce(F.sum(c).over(own), F.lit(0)).alias(f"{c}_before") for c in counts])
+    joined = known.join(overall, "day")
+
+    def rate(c: str):
+        everywhere = C(f"_all_{c}") / F.nullif(C("_all_sent"), F.lit(0))
+        return (C(f"{c}_before") + F.lit(strength) * everywhere) / (C("sent_before") + F.lit(strength))
+
+    return joined.select("email_id", "day", "sent_before", rate("opened").alias("open_rate_before"), rate("clicked").alias("click_rate_before"))
+
+
+def with_campaign_history(sends: DataFrame, history: DataFrame, salts: int) -> DataFrame:
+    """Sends (email_id, day) with their campaign's history; a campaign day may hold a large part of all sends."""
+    return salted_join(sends, history, ["email_id", "day"], ["user_id"], salts, "left")

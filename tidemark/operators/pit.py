@@ -88,3 +88,19 @@ def cross_index(
         return ok if until is None else ok & (d <= F.col(until))
 
     return spans.withColumn(day, F.explode(F.filter(days, eligible)))
+
+
+def with_history(
+    rows: DataFrame, history: DataFrame, columns: Sequence[str], snapshot: str = "snapshot_day", max_age: int | None = None,
+    key: str = "user_id", day: str = "day",
+) -> DataFrame:
+    """Rows with ``columns`` of their key's latest snapshot dated before their day, and its age in days as ``snapshot_age``.
+
+    A snapshot of the day itself may hold what the day brought, so it counts from the next day on; one older than ``max_age`` days
+    does not count. A snapshot is valid until the key's next one: rows and snapshots go through one window over the key, and
+    no interval is joined. A key has a row per snapshot and day at most.
+    """
+    known = F.struct(*[F.col(c) for c in columns], F.col(snapshot).alias("_taken"))
+    facts = history.select(F.col(key), F.col(snapshot).alias(day), known.alias("_known"))
+    found = pit_windows(facts, rows, {"_then": Frame(F.last("_known", True), START if max_age is None else -max_age, -1)}, key, day)
+    return found.select(*rows.columns, *[F.col(f"_then.{c}").alias(c) for c in columns], (F.col(day) - F.col("_then._taken")).alias("snapshot_age"))
