@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -140,6 +142,51 @@ def compacted_rollup(t: Tables) -> DataFrame:
     ro.compact(spark, path, lambda p: ro.reroll(p, spec), second, before=first)
     return exact(ro.readout(ro.read_rollup(spark, spec, path, compacted=second)))
 
+
+def _in_waves(rows: DataFrame, ts: str, waves: int = 3) -> DataFrame:
+    """The rows as a stream that brings them in time order, then two rows of user -1 days later, which move the watermark past all
+    others: what an append sink has got in the end is everything."""
+    spark, inbox = rows.sparkSession, scratch_dir(rows.sparkSession, "waves")
+    lo, hi = rows.agg(F.min(ts), F.max(ts)).first()
+    if lo is not None:
+        cuts = [lo + (hi - lo) * i / waves for i in range(1, waves)]
+        for a, b in zip([None, *cuts], [*cuts, None], strict=True):
+            late = F.lit(True) if a is None else C(ts) >= F.lit(a)
+            rows.filter(late if b is None else late & (C(ts) < F.lit(b))).coalesce(1).write.mode("append").parquet(inbox)
+        for days in (3, 6):
+            closing = rows.limit(1).withColumns({ts: F.lit(hi + timedelta(days=days)), "user_id": F.lit(-1).cast(rows.schema["user_id"].dataType)})
+            closing.write.mode("append").parquet(inbox)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+
+
+def _appended(stream: DataFrame) -> DataFrame:
+    """What an append sink holds once the stream has caught up."""
+    spark = stream.sparkSession
+    path, progress = scratch_dir(spark, "appended"), scratch_dir(spark, "appended-progress")
+    (stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", progress)
+     .trigger(availableNow=True).start().awaitTermination())
+    return spark.read.schema(stream.schema).parquet(path)
+
+
+@query("stream_windowed_sessions", "ST-19 ST-18", """
+g AS (SELECT user_id, created_at, CASE WHEN created_at - lag(created_at) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh
+  FROM fx_events WHERE user_id IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY created_at, event_id)),
+n AS (SELECT user_id, created_at, SUM(fresh) OVER (PARTITION BY user_id ORDER BY created_at) AS session_no FROM g)
+SELECT user_id, MIN(created_at) AS started_at, COUNT(*) AS events FROM n GROUP BY user_id, session_no""")
+def windowed_sessions(t: Tables) -> DataFrame:
+    """Sessions out of state with a watermark: each is appended once, when it can no longer grow."""
+    stream = _in_waves(t.events.select("user_id", "created_at"), "created_at")
+    return _appended(st.windowed_sessions(stream)).filter("user_id >= 0")
+
+
+@query("stream_windowed_rollup", "ST-13 ST-18", SQL["bw_user_day"])
+def windowed_rollup(t: Tables) -> DataFrame:
+    """The rollup out of state with a watermark: a bucket is appended once, when the watermark has passed its end."""
+    spec = ro.ROLLUPS["bw_user_day"]
+    stream = _in_waves(t.requests.select("ts", "user_id", "bytes_sent"), "ts")
+    return exact(ro.readout(_appended(ro.windowed_rollup(stream, spec)).filter("user_id >= 0")))
+
+
 VID = """v AS (SELECT vid, user_id, row_number() OVER (PARTITION BY vid ORDER BY created_at DESC, event_id DESC) AS rn
   FROM fx_events WHERE user_id IS NOT NULL) SELECT vid, user_id FROM v WHERE rn = 1"""
 query("state_vid_map", "ST-14 J-3", VID)(lambda t: st.merge_vid_map(st.vid_map(t.events)))

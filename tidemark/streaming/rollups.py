@@ -188,7 +188,10 @@ def read_parts(spark: SparkSession, path: str, compacted: str | None = None) ->
 def compact(spark: SparkSession, path: str, merge: Callable[[DataFrame], DataFrame], out: str, before: str | None = None) -> None:
     """Merge the parts written so far (and an earlier compaction) into the new folder ``out``, with the list of batches it covers.
 
-    ``merge`` returns parts again. Readers that are given ``out`` leave the covered batches out, whenever they were written."""
+    ``merge`` returns parts again. Readers that are given ``out`` leave the covered batches out, whenever they were written.
+    ``out`` is a folder of its own: a reader may hold the parts or the earlier compaction."""
+    if out.rstrip("/") in (path.rstrip("/"), (before or "").rstrip("/")):
+        raise ValueError("compact into a new folder, not over the one that is read")
     seen = spark.read.option("basePath", path).parquet(f"{path}/run=*").select("run", "batch_id").distinct()
     seen.write.mode("overwrite").parquet(f"{out}/covered")
     covered = spark.read.parquet(f"{out}/covered")
