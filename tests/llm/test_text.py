@@ -121,6 +121,16 @@ def test_components(spark):
     assert got == brute_roots(nodes, lambda a, b: frozenset((a, b)) in linked)
 
 
+def test_links_of_a_tree_fitted_on_few(spark):
+    """The sample is drawn by a bound on the hash; the tree still indexes every fingerprint."""
+    fps = near_set(random.Random(9), 20, 30)
+    df = spark.createDataFrame([(int(np.uint64(f).astype(np.int64)),) for f in fps], "fp long").repartition(16)
+    pairs = {frozenset((r.a % 2**64, r.b % 2**64)) for r in simhash.vp_links(df, 2, sample=40, leaf=16).collect()}
+    want = brute_roots(fps, lambda x, y: (x ^ y).bit_count() <= 2)
+    got = brute_roots(fps, lambda x, y: frozenset((x, y)) in pairs)
+    assert len({(want[x], got[x]) for x in fps}) == len(set(want.values())) == len(set(got.values()))
+
+
 # --- language ID --------------------------------------------------------------------------------------------
 
 def test_forward_sums_all_segmentations():
@@ -182,6 +192,27 @@ def test_language_edges(spark):
     assert langid.identify(spark.createDataFrame([], schema), vocab).count() == 0
 
 
+@pytest.mark.parametrize("total", [1e8, 1e11, 1e12, 1e13, 1e15])
+def test_words_of_unseen_pieces_keep_their_order(total):
+    """However large the corpus, a language that knows the bytes of a word beats one that has never seen them."""
+    pieces = langid.Pieces([bytes([i]) for i in range(256)] + [b"ab" * 20])
+    counts = np.full((pieces.size, 2), langid.SMOOTHING)
+    counts[ord("a"), 0] = counts[ord("z"), 1] = total  # the second has not seen an a
+    counts[ord(" ")] = total
+    probs = counts / counts.sum(0)
+    scaled = np.vstack([probs * (langid._SCALE ** pieces.lengths)[:, None], np.zeros((1, 2))])
+    words = [b"a" * 600, b"a", b"z" * 40 + b"a" * 90, b"ab" * 200, b"z" * 300]
+    for w, got in zip(words, pieces.score(words, scaled), strict=True):
+        logs, whole = np.log(probs), b" " + w
+        forward = np.full((len(whole) + 1, 2), -np.inf)
+        forward[0] = 0
+        for end in range(1, len(whole) + 1):
+            forward[end] = forward[end - 1] + logs[whole[end - 1]]
+            if whole[:end].endswith(b"ab" * 20):
+                forward[end] = np.logaddexp(forward[end], forward[end - 40] + logs[256])
+        assert got == pytest.approx(forward[-1], rel=1e-9), w[:10]
+
+
 # --- spans --------------------------------------------------------------------------------------------------
 
 def brute_spans(docs):

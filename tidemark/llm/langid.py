@@ -36,6 +36,8 @@ WORDS_HELD = 300_000
 SMOOTHING = 0.5
 #: Piece probabilities are scaled by this factor per byte inside the forward pass, so that products stay in range.
 _SCALE = 16.0
+#: Forward values below it (or above its inverse) are not trusted.
+_FAINT = 1e-150
 
 _LETTER = regex.compile(r"\p{L}")
 
@@ -103,8 +105,17 @@ class Pieces:
         return total
 
     def score(self, words: list[bytes], scaled: np.ndarray) -> np.ndarray:
-        """Log-likelihood of each word under each language; ``scaled``: (pieces + 1) x languages, the last row zero."""
+        """Log-likelihood of each word under each language; ``scaled``: (pieces + 1) x languages, the last row zero.
+
+        Words whose forward values come near the ends of the number range are scored again in logarithms."""
         out = np.zeros((len(words), scaled.shape[1]))
+        with np.errstate(divide="ignore"):
+            logs_of = np.log(scaled)
+        with np.errstate(over="ignore", invalid="ignore"):  # such words are among those
+            self._score(words, scaled, logs_of, out)
+        return out
+
+    def _score(self, words: list[bytes], scaled: np.ndarray, logs_of: np.ndarray, out: np.ndarray) -> None:
         number = {w: i for i, w in enumerate(words)}
         for part in _parts(words):
             order, lengths, found = self.lattice(part)
@@ -118,6 +129,7 @@ class Pieces:
             keep = found[-1][0] if found else 1  # the longest piece that occurs
             back: list[np.ndarray] = [np.ones((len(part), scaled.shape[1]))]  # forward values, newest first
             logs = np.zeros((len(part), scaled.shape[1]))
+            faint = np.zeros(len(part), bool)
             for end in range(1, int(lengths[0]) + 1):
                 alive = int(np.searchsorted(-lengths, -end, side="right"))
                 now = np.zeros((alive, scaled.shape[1]))
@@ -127,12 +139,33 @@ class Pieces:
                 if end % RESCALE == 0:  # carried over the whole word, by word and language
                     top = np.where(now > 0, now, 1.0)
                     logs[:alive] += np.log(top)
+                    faint[:alive] |= (now < _FAINT).any(1)
                     back = [b[:alive] / top for b in back]
+                    for b in back:
+                        faint[:alive] |= (b > 1 / _FAINT).any(1)
                     now = back[0]
                 done = slice(int(np.searchsorted(-lengths, -end, side="left")), alive)
+                faint[done] |= (now[done] < _FAINT).any(1)
                 logs[done] += np.log(np.maximum(now[done], 1e-300)) - end * np.log(_SCALE)
+            for i in np.flatnonzero(faint).tolist():
+                logs[i] = self.log_score(part[order[i]], logs_of)
             out[[number[part[i]] for i in order.tolist()]] = logs
-        return out
+
+    def log_score(self, word: bytes, logs_of: np.ndarray) -> np.ndarray:
+        """The same for one word, all in logarithms: slower, and exact however unlikely its pieces are."""
+        _, lengths, found = self.lattice([word])
+        ending: dict[int, list[tuple[int, int]]] = {}
+        for n, ends, _, ids in found:
+            for end, piece in zip(ends.tolist(), ids.tolist(), strict=True):
+                ending.setdefault(end, []).append((end - n, piece))
+        size = int(lengths[0])
+        forward = np.full((size + 1, logs_of.shape[1]), -np.inf)
+        forward[0] = 0.0
+        for end in range(1, size + 1):
+            for begin, piece in ending.get(end, ()):
+                forward[end] = np.logaddexp(forward[end], forward[begin] + logs_of[piece])
+        none = np.log(1e-300)  # no segmentation at all
+        return np.where(np.isfinite(forward[size]), forward[size], none) - size * np.log(_SCALE)
 
 
 def _parts(words: list[bytes]) -> Iterator[list[bytes]]:
