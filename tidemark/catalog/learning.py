@@ -1,4 +1,4 @@
-"""Models on the panels. They have no SQL twin; their metrics are checked separately."""
+"""Models on the panels. Fits have no SQL twin; what they rest on and facts that any sound fit must show are checked, metrics separately."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.catalog.panels import DATES_SQL, ltv_sql
-from tidemark.catalog.profiles import churn_with_now, content_table
+from tidemark.catalog.profiles import CONTENT, churn_with_now, content_table
 from tidemark.catalog.registry import query
 from tidemark.catalog.statistics import S, scored
 from tidemark.functions.scalar import flag
@@ -226,6 +226,53 @@ def value_lift(t: Tables) -> DataFrame:
     return ex.value_lift(train, test, LTV_FEATS, extra, "label_rev_365", TREES)
 
 
+LP = f"lp AS (WITH {ltv_sql(DATES_SQL, 2, True)})"
+
+
+@query("panel_ltv_content", "J-10 M-26", f"""{CONTENT}, {LP}
+SELECT lp.user_id, index_date, label_rev_365, c.storage_gb, c.n_files, content_persona, CAST(c.n_files = 0 AS INTEGER) AS is_empty
+FROM lp JOIN content c ON c.user_id = lp.user_id WHERE content_status = 'ok'""")
+def ltv_content(t: Tables) -> DataFrame:
+    """The rows both sides of the value ablation are fitted on: index rows of users whose content could be read."""
+    content = content_table(t).filter(C("content_status") == "ok").select(
+        "user_id", "storage_gb", "n_files", "content_persona", flag(C("n_files") == 0).alias("is_empty"))
+    return ltv.build_ltv_panel(t.revenue, LTV_DATES, CFG).select("user_id", "index_date", "label_rev_365").join(content, "user_id")
+
+
+@query("model_logreg_balance", "M-8 M-2", f"""{LP},
+tr AS (SELECT CAST(label_rev_365 > 0 AS INTEGER) AS y, CASE WHEN user_id % 3 = 0 THEN 4.0::DOUBLE ELSE 1.0 END AS w FROM lp WHERE CAST(index_date AS DATE) < DATE '2022-01-01')
+SELECT 'weighted' AS kind, COUNT(*) AS rows, ROUND(SUM(w * y) / SUM(w), 9) AS label_rate, CAST(1 AS INTEGER) AS holds FROM tr
+UNION ALL SELECT 'balanced', COUNT(*), 0.5, 1 FROM tr""")
+def logreg_balance(t: Tables) -> DataFrame:
+    """At the optimum of a logistic loss with an intercept the weighted mean prediction is the weighted label rate, one half where classes
+    are balanced: ``holds`` is 1 where the fit has got there within 0.002."""
+    train, _ = _ltv_rows(t)
+    train = train.withColumns({"y": (C("label_rev_365") > 0).cast("int"), "w": F.when(C("user_id") % 3 == 0, 4.0).otherwise(1.0)})
+    out = None
+    for kind, model, rows, weight in (("weighted", sv.fit_logreg(train, LTV_FEATS, "y", "w"), train, "w"),
+                                      ("balanced", sv.fit_logreg(train, LTV_FEATS, "y", balanced=True), pr.balanced_weights(train, "y"), "class_weight")):
+        rate, mean = (F.sum(C(weight) * C(c)) / F.sum(weight) for c in ("y", "p"))
+        row = sv.predict(model, rows, LTV_FEATS, "p").agg(F.count(F.lit(1)).alias("rows"), F.round(rate, 9).alias("label_rate"), (F.abs(rate - mean) < 0.002).cast("int").alias("holds"))
+        row = row.select(F.lit(kind).alias("kind"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("model_saved_scores", "M-27 M-28", f"""{LP}
+SELECT CAST(user_id * 100000 + date_diff('day', DATE '1970-01-01', CAST(index_date AS DATE)) AS BIGINT) AS row_id, CAST(label_rev_365 > 0 AS INTEGER) AS y,
+  CAST(1 AS INTEGER) AS same_score, CAST(1 AS INTEGER) AS in_range FROM lp WHERE CAST(index_date AS DATE) >= DATE '2022-01-01'""")
+def saved_scores(t: Tables) -> DataFrame:
+    """The stored predictions of a model that was saved and loaded: every held-out row once, scored as the fitted one scores it."""
+    spark, train, test = t.revenue.sparkSession, *(part.withColumn("y", (C("label_rev_365") > 0).cast("int")) for part in _ltv_rows(t))
+    fitted, bundle, scores = sv.fit_logreg(train, LTV_FEATS, "y"), scratch_dir(spark, "bundle"), scratch_dir(spark, "scores")
+    sv.save_model(fitted, LTV_FEATS, bundle)
+    loaded, feats = sv.load_model(spark, bundle)
+    both = sv.predict(loaded, sv.predict(fitted, test, LTV_FEATS, "p"), feats, "q")
+    sv.save_predictions(both, ("row_id", "y", "p", "q"), scores)
+    return spark.read.parquet(scores).select(
+        C("row_id").cast("bigint").alias("row_id"), "y", (C("p") == C("q")).cast("int").alias("same_score"), C("q").between(0, 1).cast("int").alias("in_range"))
+
+
 SPLIT_SQL = f"""lp AS (WITH {ltv_sql(DATES_SQL, 2, True)}),
 d AS (SELECT user_id, date_diff('day', DATE '1970-01-01', CAST(index_date AS DATE)) AS day,
     CAST(index_date AS DATE) >= DATE '2022-01-01' AS later FROM lp),
