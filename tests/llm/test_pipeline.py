@@ -83,7 +83,7 @@ def test_stage_order_and_registration():
 
     assert [f for _, f in cp.STAGES] == [cp.language_id, cp.near_dedup, cp.span_dedup, cp.decontamination, cp.encoding]
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_native_queries_equal_duckdb(spark):
@@ -97,6 +97,6 @@ def test_native_queries_equal_duckdb(spark):
 
 
 def test_every_query_gives_all_rows(spark):
-    for name, base in {"op3": "documents", "op5": "documents", "op6": "documents", "op7": "pages", "op8": "documents", "op9": "documents", "op10": "documents"}.items():
+    for name, base in {"op3": "documents", "op5": "documents", "op6": "documents", "op7": "pages", "op8": "documents", "op9": "documents", "op10": "documents", "op12": "documents"}.items():
         fn = next(f for n, f in QUERIES.items() if n.startswith(name + "_"))
         assert store(fn(spark, SF), "all").count() == table(spark, SF, base).count()
