@@ -1,6 +1,6 @@
 """A corpus pipeline over ``documents``: each stage works on all that its predecessor kept.
 
-Language ID drops documents that no language is predicted for, near-dedup keeps the document with the smallest id of
+Language ID drops documents that no language is predicted for, or none with a score of ``LEAST_SCORE``, near-dedup keeps the document with the smallest id of
 each group, span dedup removes repeated sentence spans (and documents of which nothing is left), decontamination
 drops documents with benchmark passages, and encoding returns the token counts and hashes of what remains.
 
