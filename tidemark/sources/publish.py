@@ -4,7 +4,10 @@ A table is a folder. Partitions are written to folders of their own below ``data
 below ``versions`` that names the folder of every partition. A refresh stages any number of partitions, in any number of jobs, and
 commits them as the next version; readers take the newest version there is when they start, so none sees half a refresh, and
 one that has started keeps reading its version until its folders are vacuumed. Of two writers that commit the same version one fails
-(``Conflict``) and stages nothing twice: it rebases by committing again.
+(``Conflict``); what it staged is still there, so it can commit again on top of the newer version.
+
+The commit rests on a file system that renames at once and refuses a taken name, as HDFS and local disks do; an object store needs a
+committer of its own.
 
 A version also carries ``notes``, such as the last batch of each stream merged into it: rows and notes change together or not at all.
 """
