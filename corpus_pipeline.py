@@ -1,10 +1,10 @@
 """A corpus pipeline over ``documents``: each stage works on all that its predecessor kept.
 
 Language ID drops documents that no language is predicted for, or none with a score of ``LEAST_SCORE``, near-dedup keeps the document with the smallest id of
-each group, span dedup removes repeated sentence spans (and documents of which nothing is left), decontamination
+each group (by the hash of their texts where an id repeats; documents without an id come last), span dedup removes repeated sentence spans (and documents of which nothing is left), decontamination
 drops documents with benchmark passages, and encoding returns the token counts and hashes of what remains.
 
-Every stage keeps repeated rows together, carries extra columns and works on empty tables; a null text has no language and
+Every stage keeps rows of equal id and text together, carries extra columns and works on empty tables; a null text has no language and
 goes in the first stage.
 """
 
@@ -29,10 +29,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(docs)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    # the ids of a partition are hashed and the texts stream past them, unsorted
-    return docs.join(keep.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(keep["_kept"]), "left_semi")
+    text = F.xxhash64("text")
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), text.alias("text"))
+    found = simhash.near_duplicates(docs.select(key.alias("doc_id"), "text"))
+    keep = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id.id").alias("_id"), F.col("doc_id.text").alias("_text")).distinct()
+    # the keys of a partition are hashed and the texts stream past them, unsorted
+    return docs.join(keep.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(keep["_id"]) & (text == keep["_text"]), "left_semi")
 
 
 def span_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
