@@ -26,6 +26,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -42,6 +43,10 @@ REFERENCES = 5
 BROADCAST_CHARS = 16_000_000
 #: Blocks nested deeper than this belong to the block around them; their texts stay blocks of their own.
 DEEPEST = 200
+#: Cells of a table over two lists of children; longer lists are halved at a place of some largest matching until they fit.
+CELLS = 1 << 20
+#: Pairs of children a task remembers by the shapes of their parents.
+PAIRS_HELD = 1_000_000
 
 # HTML elements by role.
 BLOCKS = frozenset("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure "
@@ -88,10 +93,10 @@ def dropped(tag: str, attrs: str) -> bool:
 class Node:
     """A block element: tag, children in order (nodes), and for text nodes (tag '#') their text."""
 
-    __slots__ = ("tag", "kids", "text", "main", "number", "shape")
+    __slots__ = ("tag", "kids", "text", "main", "number", "shape", "size")
 
     def __init__(self, tag: str, text: str = "", main: bool = False):
-        self.tag, self.kids, self.text, self.main, self.number, self.shape = tag, [], text, main, -1, 0
+        self.tag, self.kids, self.text, self.main, self.number, self.shape, self.size = tag, [], text, main, -1, 0, 1
 
 
 def parse(page: str | None) -> Node:
@@ -177,7 +182,7 @@ def parse(page: str | None) -> Node:
 
 
 def number(root: Node) -> list[Node]:
-    """All nodes in page order, numbered and with a hash of the tags below them."""
+    """All nodes in page order, numbered, with a hash of the tags below them and the number of nodes there."""
     out, stack = [], [root]
     while stack:
         node = stack.pop()
@@ -186,63 +191,113 @@ def number(root: Node) -> list[Node]:
         stack += reversed(node.kids)
     for node in reversed(out):
         node.shape = hash((node.tag, *[k.shape for k in node.kids]))
+        node.size = 1 + sum(k.size for k in node.kids)
     return out
 
 
-def _same(a: Node, b: Node) -> bool:
-    return a.tag == b.tag
+def _prefixes(rows: np.ndarray, cols: np.ndarray, gain: np.ndarray) -> np.ndarray:
+    """Weight of the largest matching of all ``rows`` with the first j of ``cols``, for every j, in one line of memory."""
+    best = np.zeros(len(cols) + 1, np.int64)
+    for r in rows:
+        best[1:] = np.maximum(best[1:], best[:-1] + gain[r][cols])
+        np.maximum.accumulate(best, out=best)
+    return best
+
+
+def _trace(rows: np.ndarray, cols: np.ndarray, gain: np.ndarray) -> list[tuple[int, int]]:
+    """Places of ``rows`` and ``cols`` in a largest matching, from the whole table."""
+    best = np.zeros((len(rows) + 1, len(cols) + 1), np.int64)
+    for i, r in enumerate(rows):
+        best[i + 1, 1:] = np.maximum(best[i, 1:], best[i, :-1] + gain[r][cols])
+        np.maximum.accumulate(best[i + 1], out=best[i + 1])
+    out, i, j = [], len(rows), len(cols)
+    while i and j:
+        if best[i, j] == best[i - 1, j]:
+            i -= 1
+        elif best[i, j] == best[i, j - 1]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+    return out
+
+
+def _ends(p: list[Node], q: list[Node]) -> tuple[int, int]:
+    """How many subtrees of equal shape two lists begin with, and how many others they end with; in some largest matching
+    these belong together."""
+    lo, hi, most = 0, 0, min(len(p), len(q))
+    while lo < most and p[lo].shape == q[lo].shape:
+        lo += 1
+    while hi < most - lo and p[-1 - hi].shape == q[-1 - hi].shape:
+        hi += 1
+    return lo, hi
+
 
+class Matcher:
+    """Simple tree matching. Weights and pairs depend on shapes alone and are remembered by them.
 
-def match(a: Node, b: Node) -> list[tuple[Node, Node]]:
-    """Pairs of the largest matching of two trees with equal roots: simple tree matching."""
-    sizes: dict[tuple[int, int], tuple[int, list]] = {}
+    Two lists of n and m children take n x m steps of array arithmetic and memory in proportion to n + m."""
 
-    def weight(x: Node, y: Node) -> tuple[int, list]:
+    def __init__(self):
+        self.weights: dict[tuple[int, int], int] = {}
+        self.pairs: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        self.held = 0
+
+    def weight(self, x: Node, y: Node) -> int:
+        """Nodes of the largest matching of two subtrees whose roots match."""
+        if x.shape == y.shape:
+            return x.size
         if not x.kids or not y.kids:
-            return 1, []
-        if (got := sizes.get((x.number, y.number))) is not None:
-            return got
-        p, q = x.kids, y.kids
-        lo, total, pairs = 0, 0, []
-        # subtrees of equal shape at either end belong together in some largest matching
-        while lo < min(len(p), len(q)) and p[lo].shape == q[lo].shape:
-            pairs.append((p[lo], q[lo]))
-            total += weight(p[lo], q[lo])[0]
-            lo += 1
-        hi = 0
-        while hi < min(len(p), len(q)) - lo and p[-1 - hi].shape == q[-1 - hi].shape:
-            pairs.append((p[-1 - hi], q[-1 - hi]))
-            total += weight(p[-1 - hi], q[-1 - hi])[0]
-            hi += 1
-        p, q = p[lo:len(p) - hi], q[lo:len(q) - hi]
-        if p and q:
-            best = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
-            for i in range(len(p) - 1, -1, -1):
-                row, below = best[i], best[i + 1]
-                for j in range(len(q) - 1, -1, -1):
-                    most = below[j] if below[j] >= row[j + 1] else row[j + 1]
-                    if _same(p[i], q[j]) and (w := weight(p[i], q[j])[0] + below[j + 1]) > most:
-                        most = w
-                    row[j] = most
-            i = j = 0
-            while i < len(p) and j < len(q):
-                if _same(p[i], q[j]) and best[i][j] == weight(p[i], q[j])[0] + best[i + 1][j + 1]:
-                    pairs.append((p[i], q[j]))
-                    i, j = i + 1, j + 1
-                elif best[i][j] == best[i + 1][j]:
-                    i += 1
-                else:
-                    j += 1
-            total += best[0][0]
-        sizes[x.number, y.number] = total + 1, pairs
-        return total + 1, pairs
-
-    out, todo = [], [(a, b)]
-    while todo:
-        x, y = todo.pop()
-        out.append((x, y))
-        todo += weight(x, y)[1]
-    return out
+            return 1
+        key = x.shape, y.shape
+        if key not in self.weights:
+            p, q = x.kids, y.kids
+            lo, hi = _ends(p, q)
+            equal = sum(k.size for k in p[:lo]) + sum(k.size for k in p[len(p) - hi:])
+            self.weights[key] = 1 + equal + int(_prefixes(*self.gains(p[lo:len(p) - hi], q[lo:len(q) - hi]))[-1])
+        return self.weights[key]
+
+    def gains(self, p: list[Node], q: list[Node]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The kind of every node of both lists by shape, and the weights of all kinds of one with those of the other."""
+        kinds: tuple[dict[int, tuple[int, Node]], ...] = ({}, {})
+        rows, cols = (np.array([own.setdefault(k.shape, (len(own), k))[0] for k in nodes], np.int64) for own, nodes in zip(kinds, (p, q), strict=True))
+        gain = [[self.weight(x, y) if x.tag == y.tag else 0 for _, y in kinds[1].values()] for _, x in kinds[0].values()]
+        return rows, cols, np.array(gain, np.int64).reshape(len(kinds[0]), len(kinds[1]))
+
+    def children(self, x: Node, y: Node) -> list[tuple[int, int]]:
+        """Places of the children of two matched nodes that belong together."""
+        key = x.shape, y.shape
+        if key not in self.pairs:
+            p, q = x.kids, y.kids
+            lo, hi = _ends(p, q)
+            out = [(i, i) for i in range(lo)] + [(len(p) - 1 - i, len(q) - 1 - i) for i in range(hi)]
+            rows, cols, gain = self.gains(p[lo:len(p) - hi], q[lo:len(q) - hi])
+            todo = [(0, len(rows), 0, len(cols))]
+            while todo:
+                a, b, c, d = todo.pop()
+                if b - a <= 1 or (b - a) * (d - c) <= CELLS:
+                    out += [(lo + a + i, lo + c + j) for i, j in _trace(rows[a:b], cols[c:d], gain)]
+                    continue
+                half = (a + b) // 2
+                before = _prefixes(rows[a:half], cols[c:d], gain)
+                behind = _prefixes(rows[half:b][::-1], cols[c:d][::-1], gain)[::-1]
+                cut = c + int(np.argmax(before + behind))
+                todo += [(a, half, c, cut), (half, b, cut, d)]
+            self.pairs[key] = out
+            self.held += len(out) + 1
+        return self.pairs[key]
+
+    def match(self, a: Node, b: Node) -> list[tuple[Node, Node]]:
+        """Pairs of the largest matching of two numbered trees with equal roots."""
+        if self.held + len(self.weights) > PAIRS_HELD:
+            self.__init__()
+        out, todo = [], [(a, b)]
+        while todo:
+            x, y = todo.pop()
+            out.append((x, y))
+            if x.kids and y.kids:
+                todo += [(x.kids[i], y.kids[j]) for i, j in self.children(x, y)]
+        return out
 
 
 def content(root: Node) -> int | None:
@@ -274,10 +329,10 @@ def unpack(spec: str) -> tuple[Node, dict[int, int]]:
     return root, {n.number: n.text for n in number(root) if n.tag == "#"}
 
 
-def aligned(root: Node, wrapper: tuple[Node, dict[int, int]]) -> list[tuple[Node, int, bool]]:
+def aligned(root: Node, wrapper: tuple[Node, dict[int, int]], matcher: Matcher) -> list[tuple[Node, int, bool]]:
     """(text node of the page, number of the wrapper's node, equal texts) for all matched text nodes."""
     number(root)
-    return [(x, y.number, xxhash.xxh64_intdigest(x.text.encode("utf-8", "replace")) == wrapper[1][y.number]) for x, y in match(root, wrapper[0]) if x.tag == "#"]
+    return [(x, y.number, xxhash.xxh64_intdigest(x.text.encode("utf-8", "replace")) == wrapper[1][y.number]) for x, y in matcher.match(root, wrapper[0]) if x.tag == "#"]
 
 
 def main_text(root: Node, template: set[int] | None = None) -> str:
@@ -324,6 +379,7 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         votes: Counter = Counter()
         trees: dict[str, tuple] = {}
+        matcher = Matcher()
         for batch in batches:
             for name, page, refs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (text := content(root := parse(page))) is None:
@@ -334,7 +390,7 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
                     if ref["text"] != text:
                         if ref["wrapper"] not in trees:
                             trees[ref["wrapper"]] = unpack(ref["wrapper"])
-                        for _, node, same in aligned(root, trees[ref["wrapper"]]):
+                        for _, node, same in aligned(root, trees[ref["wrapper"]], matcher):
                             votes[name, ref["ref"], node, same] += 1
             if len(votes) > 100_000:
                 yield counted(votes)
@@ -356,6 +412,7 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
 
     def pull(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees: dict[str, tuple] = {}
+        matcher = Matcher()
         for batch in batches:
             texts = []
             for page, refs in zip(*(batch.column(c).to_pylist() for c in ("_html", "refs")), strict=True):
@@ -366,7 +423,7 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
                     if ref["wrapper"] not in trees:
                         trees[ref["wrapper"]] = unpack(ref["wrapper"])
                     constant = set(ref["nodes"])
-                    template |= {x.number for x, node, same in aligned(root, trees[ref["wrapper"]]) if same and node in constant}
+                    template |= {x.number for x, node, same in aligned(root, trees[ref["wrapper"]], matcher) if same and node in constant}
                 texts.append(main_text(root, template))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], schema.names)
 
