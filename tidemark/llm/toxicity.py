@@ -1,11 +1,12 @@
 """Toxicity scores from class-conditional Kneser-Ney models.
 
-Two byte n-gram models inside words, one of toxic and one of ordinary texts, are compared by their
-log-likelihood ratio per symbol. Orders 3 to 5 hold counts of the class (at the top how often, below it in how many
-left contexts a gram was seen, as Kneser-Ney asks); orders 1 and 2 are continuation counts of both classes
-together, so rare expressions fall back to the same probabilities and favour no class.
+Two byte n-gram models, one of toxic and one of ordinary texts, are compared by their log-likelihood ratio per symbol. Contexts
+run over word borders: a word is predicted behind the end of the word before it, so its score depends on its neighbour.
+Orders 3 to 5 hold counts of the class (at the top how often, below it in how many
+left contexts a gram was seen, as Kneser-Ney asks); orders 1 and 2 are continuation counts of the union of both classes
+(left neighbours that both know count once), so rare expressions fall back to the same probabilities and favour no class.
 
-Counts come from every labelled training text. One task turns its words into distinct top-order grams,
+Counts come from every labelled training text. One task turns its words and the ends before them into distinct top-order grams,
 Spark adds them up and derives all lower orders by aggregation. The tables of all orders are exact: every distinct
 gram and context of the labelled texts has a row of its own, so what is gathered and broadcast grows with them. A logistic
 curve from ratio to probability is then fitted on a held-back fold of the training rows, summed up in a histogram.
@@ -31,23 +32,28 @@ ORDER, SHARED = 5, 2
 #: Least slots of a table; a prime, so that packed bytes spread. A table with more rows has a slot for each.
 SLOTS = 1_048_573
 DISCOUNT = 0.75
-#: Distinct words a task holds before it counts or forgets them.
+#: Distinct words with contexts a task holds before it counts or forgets them.
 WORDS_HELD = 300_000
 #: Histogram of ratios for the calibration.
 BINS, BIN_WIDTH = 4000, 0.0005
 
 
+_LEAD = ORDER - 1
+_NOTHING = b" " * _LEAD
+
+
 def words_of(text: str | None) -> list[bytes]:
-    return (text or "").lower().encode("utf-8", "replace").split()
+    """Every word of a text behind its context: the last bytes of the word before it and one space (spaces for the first)."""
+    words = (text or "").lower().encode("utf-8", "replace").split()
+    return [lead + w for lead, w in zip([_NOTHING, *[(w[1 - _LEAD:] + b" ").rjust(_LEAD) for w in words[:-1]]], words, strict=False)]
 
 
 def _symbols(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All words behind ORDER - 1 spaces and before one, as bytes; positions that are predicted; the word of each."""
-    lead = b" " * (ORDER - 1)
-    flat = np.frombuffer(b"".join(lead + w + b" " for w in words), np.uint8)
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    """All words with their contexts and one space behind, as bytes; positions that are predicted; the word of each."""
+    flat = np.frombuffer(b"".join(w + b" " for w in words), np.uint8)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1 - _LEAD
     word = np.repeat(np.arange(len(words)), sizes)
-    starts = np.cumsum(sizes + ORDER - 1) - sizes
+    starts = np.cumsum(sizes + _LEAD) - sizes
     at = np.arange(len(word)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(starts, sizes)
     return flat, at, word
 
@@ -87,19 +93,20 @@ def top_grams(labelled: DataFrame) -> DataFrame:
 
 def slot_tables(grams: DataFrame) -> dict[tuple[str, int], tuple[np.ndarray, np.ndarray]]:
     """Per order, (packed bytes, rows of counts by class) of all grams, ``n``, and of all contexts, ``context``: sums and
-    distinct grams."""
+    distinct grams. Shared orders count the union of both classes, in both columns."""
     out: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
     level = grams
     for order in range(ORDER, 0, -1):
-        if order < ORDER:  # continuation counts: distinct left neighbours, by class
+        if order < ORDER:  # continuation counts: distinct left neighbours, by class; every row is seen in some class
             level = store(level.groupBy(F.col("gram").bitwiseAND((1 << (8 * order)) - 1).alias("gram")).agg(
-                F.count_if(F.col("toxic") > 0).cast("long").alias("toxic"), F.count_if(F.col("ordinary") > 0).cast("long").alias("ordinary")), f"grams{order}")
-        of_context = level.groupBy(F.shiftright("gram", 8).alias("gram")).agg(
-            F.sum("toxic"), F.sum("ordinary"), F.count_if(F.col("toxic") > 0), F.count_if(F.col("ordinary") > 0))
-        for name, rows in (("n", level), ("context", of_context)):
-            first, *counts = rows.columns
-            got = rows.select(first, *(F.col(f"`{c}`").cast("float") for c in counts)).toPandas()
-            out[name, order] = got.iloc[:, 0].to_numpy(np.int64), got.iloc[:, 1:].to_numpy(np.float32)
+                F.count_if(F.col("toxic") > 0).cast("long").alias("toxic"), F.count_if(F.col("ordinary") > 0).cast("long").alias("ordinary"), F.count("*").alias("either")), f"grams{order}")
+        classes = ("either", "either") if order <= SHARED else ("toxic", "ordinary")
+        of_gram = level.select("gram", *(F.col(c).alias(f"n{i}") for i, c in enumerate(classes)))
+        of_context = of_gram.groupBy(F.shiftright("gram", 8).alias("gram")).agg(
+            *(F.sum(f"n{i}").alias(f"sum{i}") for i in (0, 1)), *(F.count_if(F.col(f"n{i}") > 0).alias(f"kinds{i}") for i in (0, 1)))
+        for name, rows in (("n", of_gram), ("context", of_context)):
+            got = rows.select("gram", *(F.col(c).cast("double") for c in rows.columns[1:])).toPandas()
+            out[name, order] = got.iloc[:, 0].to_numpy(np.int64), got.iloc[:, 1:].to_numpy(np.float64)
     return out
 
 
@@ -135,19 +142,15 @@ class KneserNey:
             for name, length in (("n", order), ("context", order - 1)):
                 keys, counts = tables[name, order]
                 slots = self.slots[name, order] = Slots(keys, 256 ** length)
-                placed.append(np.zeros((len(slots), counts.shape[1]), np.float32))
+                placed.append(np.zeros((len(slots), counts.shape[1])))
                 placed[-1][slots.find(keys)] = counts
             n, total, kinds = placed[0], placed[1][:, :2], placed[1][:, 2:]
-            if order <= SHARED:
-                n, total = (np.repeat(x.sum(1, keepdims=True), 2, axis=1) for x in (n, total))
-                kinds = np.repeat(kinds.max(1, keepdims=True), 2, axis=1)
-            self.seen[order] = np.maximum(n - discount, 0)
-            self.rest[order] = np.stack([total, np.where(total > 0, np.minimum(discount * kinds, total), 0)]).astype(np.float32)
+            self.seen[order] = np.maximum(n - discount, 0).astype(np.float32)
+            self.rest[order] = np.stack([total, discount * kinds]).astype(np.float32)  # a total is its kinds at least
         self.ready = bool(tables["n", ORDER][1].sum(0).min() > 0) if tables else False
 
-    def ratios(self, words: list[bytes]) -> np.ndarray:
-        """(log-likelihood ratio, symbols) of each word."""
-        flat, at, word = _symbols(words)
+    def probabilities(self, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Probabilities in both classes of the bytes at ``at`` behind those before them."""
         p = np.full((len(at), 2), 1 / 256)
         for order in range(1, ORDER + 1):
             key = _keys(flat, at, order)
@@ -156,6 +159,12 @@ class KneserNey:
             seen = self.seen[order][self.slots["n", order].find(key)]
             safe = np.where(known, total, 1)
             p = np.where(known, seen / safe + left / safe * p, p)
+        return p
+
+    def ratios(self, words: list[bytes]) -> np.ndarray:
+        """(log-likelihood ratio, symbols) of each word."""
+        flat, at, word = _symbols(words)
+        p = self.probabilities(flat, at)
         return np.stack([np.bincount(word, np.log(p[:, 0]) - np.log(p[:, 1]), len(words)), np.bincount(word, minlength=len(words))], axis=1)
 
 
