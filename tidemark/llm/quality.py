@@ -2,7 +2,8 @@
 
 Every document gets base measures of its whole text. Failures are added up by host; the hosts' rates give a beta prior by the
 method of moments, and each host's rate is shrunk towards the mean as far as its own number of documents is small. A
-host whose shrunk rate exceeds ``HOST_RATE`` fails, and its verdict is joined back to its documents.
+host fails if its shrunk rate exceeds ``HOST_RATE`` and its odds are over ``HOST_ODDS`` times those of the mean; its verdict is
+joined back to its documents. Where hosts differ no more than chance, all share the mean and none fails.
 
 Texts are read once and never shuffled: repeated windows are found inside a row, over sorted window hashes. Only counts
 by host meet, after map-side sums, so one host with a third of all documents costs nothing more.
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import SPACES, let, store
 
-WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT, HOST_RATE = 5, 10, 20, 0.5
+WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT, HOST_RATE, HOST_ODDS = 5, 10, 20, 0.25, 2.0
 _SPACE_CHARS = " \t\n\x0b\f\r"
 
 
@@ -80,7 +81,7 @@ def beta_prior(hosts: DataFrame) -> tuple[float, float | None]:
     return mean, (1 - min(rho, 1.0)) / min(rho, 1.0)
 
 
-def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", host_rate: float = HOST_RATE) -> DataFrame:
+def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", host_rate: float = HOST_RATE, host_odds: float = HOST_ODDS) -> DataFrame:
     """Base measures, base_failed, the host's counts and verdict, and kept, for every row of ``df``."""
     m = measures(df, text_col)
     base = df.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("_host"), *[c.alias(n) for n, c in m.items()])
@@ -90,7 +91,8 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_co
     hosts = base.groupBy("_host").agg(F.count("*").alias("n"), F.count_if("base_failed").cast("long").alias("failed"))
     mean, strength = beta_prior(hosts)
     rate = F.lit(mean) if strength is None else (F.col("failed") + mean * strength) / (F.col("n") + strength)
-    verdicts = hosts.select("_host", F.col("n").alias("host_docs"), F.col("failed").alias("host_failures"), (rate > host_rate).alias("host_failed"))
+    bad = (rate > host_rate) & (rate * (1 - mean) > host_odds * mean * (1 - rate))
+    verdicts = hosts.select("_host", F.col("n").alias("host_docs"), F.col("failed").alias("host_failures"), bad.alias("host_failed"))
     joined = base.join(verdicts, base["_host"].eqNullSafe(verdicts["_host"]), "left")
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                          (~F.col("base_failed") & ~F.col("host_failed")).alias("kept"), "host_docs", "host_failures", "host_failed")
@@ -113,7 +115,8 @@ s AS (SELECT count(*) AS k, sum(host_docs)::DOUBLE AS n, sum(host_failures) / su
 v AS (SELECT any_value(s.mean) AS mean, any_value(s.mean * (1 - s.mean)) AS scale, any_value(s.k) AS k, any_value(s.n - s.squares / s.n - (s.k - 1)) AS room,
   sum(host_docs * (host_failures / host_docs::DOUBLE - s.mean) ** 2) AS between_ FROM h, s),
 rho AS (SELECT mean, CASE WHEN scale * room > 0 THEN least((between_ - scale * (k - 1)) / (scale * room), 1.0) ELSE 0 END AS rho FROM v),
-verdict AS (SELECT h.*, CASE WHEN rho <= 0 THEN mean ELSE (host_failures + mean * (1 - rho) / rho) / (host_docs + (1 - rho) / rho) END > 0.5 AS host_failed FROM h, rho)
+shrunk AS (SELECT h.*, mean, CASE WHEN rho <= 0 THEN mean ELSE (host_failures + mean * (1 - rho) / rho) / (host_docs + (1 - rho) / rho) END AS rate FROM h, rho),
+verdict AS (SELECT source, host_docs, host_failures, rate > 0.25 AND rate * (1 - mean) > 2 * mean * (1 - rate) AS host_failed FROM shrunk)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT host_failed AS kept, host_docs, host_failures, host_failed
 FROM f JOIN verdict ON f.source IS NOT DISTINCT FROM verdict.source
 """
