@@ -7,6 +7,10 @@ Each of ``HASHES`` minima is a band of its own: with a similarity of at least 1/
 misses all bands with probability under 1e-8 (1e-6). A window that shares a band is compared exactly: the share of
 the template's shingles found in the window must reach ``CONTAINMENT``.
 
+A window without any shingle of a template shares no minimum with one (the hash functions are one to one); stretches of text
+without such shingles are passed over, which loses nothing. The templates are notices, grants and disclaimers; a licence
+whose notice differs by a word or a version from another's may report both, each with its containment.
+
 One Arrow map over whole texts, no shuffle. Defined results: null and empty texts have no licence; a licence
 that occurs several times is listed once, with its best containment and first word; repeated rows are scanned alike;
 other columns are carried.
@@ -48,7 +52,61 @@ TEMPLATES = {
     "CC-BY-SA-4.0 line": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "BSD conditions": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
                       "are met:",
+    "MIT licence": "This project is licensed under the MIT License",
+    "MIT short": "licensed under the MIT License",
+    "MIT disclaimer": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF "
+                      "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR "
+                      "ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH "
+                      "THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "BSD clauses": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in "
+                   "binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other "
+                   "materials provided with the distribution.",
+    "BSD-3 endorsement": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+                         "software without specific prior written permission.",
+    "BSD disclaimer": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT "
+                      "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT "
+                      "HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT "
+                      "LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON "
+                      "ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE "
+                      "USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "ISC grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above "
+                 "copyright notice and this permission notice appear in all copies.",
+    "ISC disclaimer": "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF "
+                      "MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY "
+                      "DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, "
+                      "ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from "
+            "the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and "
+            "redistribute it freely, subject to the following restrictions:",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute "
+                 "this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0.",
+    "MPL-2.0 notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
+                      "You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "MPL-2.0 name": "Mozilla Public License Version 2.0",
+    "EPL-2.0 notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at "
+                      "https://www.eclipse.org/legal/epl-2.0",
+    "GPL-2.0 notice": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the "
+                      "Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "GPL warranty": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or "
+                    "FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "LGPL-2.1 notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published "
+                       "by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "LGPL-3.0 notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published "
+                       "by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "AGPL-3.0 notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published "
+                       "by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "CC0-1.0 notice": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public "
+                      "domain worldwide. This software is distributed without any warranty.",
+    "CC-BY-NC-4.0 notice": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "CC-BY-ND-4.0 notice": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "CC-BY-NC-SA-4.0 notice": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "CC-BY-NC-ND-4.0 notice": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
 }
+# SPDX names, as they stand in tags.
+SPDX = ("Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "EPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only",
+        "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0")
+TEMPLATES |= {f"SPDX {name}": f"SPDX-License-Identifier: {name}" for name in SPDX}
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _ROWS = 1 << 14  # shingles hashed at once
@@ -74,6 +132,7 @@ class Scanner:
             while size < 2 * (len(words) - SHINGLE):
                 size *= 2
             self.groups.setdefault(size, []).append((name, self.minima(self.shingles(words)).min(1), exact))
+        self.any_shingle = np.unique(np.concatenate([self.shingles(words_of(t)) for t in templates.values()] or [np.zeros(0, np.uint64)]))
 
     def shingles(self, words: list[bytes]) -> np.ndarray:
         codes = self.codes
@@ -98,8 +157,11 @@ class Scanner:
         found: dict[str, tuple[float, int]] = {}
         if len(words) >= SHINGLE:
             h = self.shingles(words)
-            for size in sorted(self.groups):
+            places = np.flatnonzero(np.isin(h, self.any_shingle))
+            for size in sorted(self.groups) if len(places) else []:
                 for at in range(0, len(h), _ROWS):  # _ROWS is a multiple of every half window
+                    if np.searchsorted(places, at) == np.searchsorted(places, at + _ROWS + size // 2):
+                        continue
                     part = h[at:at + _ROWS + size // 2]
                     half = np.minimum.reduceat(self.minima(part), np.arange(0, len(part), size // 2), axis=1)
                     window = np.minimum(half[:, :-1], half[:, 1:]) if half.shape[1] > 1 else half
