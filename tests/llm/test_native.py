@@ -86,6 +86,15 @@ def test_host_verdicts(spark):
     assert by[1000].host_failed and not by[1].host_failed and by[2001].host_docs == 2
 
 
+def test_host_that_fails_far_more_often_than_most(spark):
+    good, bad = " ".join(f"w{i}" for i in range(20)), "too short"
+    rows = [(h * 1000 + i, bad if i % 100 < (40 if h == 0 else 4) else good, f"h{h}") for h in range(12) for i in range(100)] + [(99_000, bad, "new")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {r.doc_id // 1000 for r in quality.judge(df).where("host_failed").select("doc_id").collect()} == {0}
+    assert quality.judge(df, host_rate=0.5).where("host_failed").count() == 0
+    assert quality.judge(df, host_rate=0.0, host_odds=100.0).where("host_failed").count() == 0
+
+
 def test_prior_shrinks_small_hosts(spark):
     hosts = spark.createDataFrame([(100, 10)] * 5 + [(100, 60)] * 5 + [(1, 1)], "n long, failed long")
     mean, strength = quality.beta_prior(hosts)
@@ -129,8 +138,18 @@ DOCS = [(0, LONG), (1, "x " + " ".join(f"T{i}" for i in range(3, 13)) + " y"), (
 def test_phrases(spark):
     docs = spark.createDataFrame([(d, t, 5, 7) for d, t in DOCS], "doc_id long, text string, n_hit int, k long")
     out = phrases.decontaminate(docs, spark.createDataFrame(ITEMS, "item_id long, text string"))
-    got = sorted((tuple(r) for r in out.collect()), key=repr)
+    got = sorted((tuple(r) for r in out.drop("n_near").collect()), key=repr)
     assert got == sorted(((d, *brute_hits(t, ITEMS)) for d, t in DOCS), key=repr)
+    assert all(r.n_near >= r.n_items for r in out.collect())  # an exact occurrence is near
+
+
+def test_phrases_repeated_in_one_document(spark):
+    copies = (LONG + " ") * 400
+    docs = [(1, copies), (2, copies.replace("t7 ", "") + LONG), (3, "t0 " * 3000)]
+    out = phrases.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id long, text string"))
+    got = {r.doc_id: r for r in out.collect()}
+    assert got[1].n_words == got[1].n_hit == 12000
+    assert got[2].n_hit == 400 * 22 + 30 and got[3].n_hit == 0
 
 
 def test_phrases_empty(spark):

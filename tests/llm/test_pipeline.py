@@ -78,6 +78,16 @@ def test_stages_on_odd_and_empty_rows(spark, odd, name, stage):
                 assert 5 in kept and None in kept and kept.count(1) == 2  # clean, without id, repeated
 
 
+def test_near_dedup_with_repeated_and_missing_ids(spark):
+    one, two = (" ".join(f"{x}{i}" for i in range(80)) for x in ("word", "other"))
+    rows = [(1, one), (1, two), (2, one), (3, two), (None, one), (None, two), (None, "alone and without any id at all here"), (None, None), (None, "")]
+    df = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted(((r.doc_id, r.text) for r in cp.near_dedup(spark, df, SF).collect()), key=repr)
+    alone = [x for x in kept if x[0] is None]
+    assert [x for x in kept if x[0] is not None] == sorted([(1, one), (1, two)], key=repr)
+    assert len(alone) == 2 and (None, "alone and without any id at all here") in alone  # null and empty texts share a fingerprint
+
+
 def test_stage_order_and_registration():
     import __spark_entry__ as entry
 

@@ -319,9 +319,43 @@ def test_tree_matching_is_largest(seed):
     a, b = random_tree(rng), random_tree(rng)
     b.tag = a.tag
     pages.number(a), pages.number(b)
-    pairs = pages.match(a, b)
+    matcher = pages.Matcher()
+    for _ in range(2):  # anew and as remembered
+        pairs = matcher.match(a, b)
+        assert len(pairs) == matcher.weight(a, b) == brute_match(a, b)
+        assert all(x.tag == y.tag for x, y in pairs) and len({x.number for x, _ in pairs}) == len(pairs) == len({y.number for _, y in pairs})
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_halved_tables_match_as_much(seed, monkeypatch):
+    rng = random.Random(100 + seed)
+    a, b = pages.Node("d"), pages.Node("d")
+    a.kids, b.kids = ([random_tree(rng, 2) for _ in range(rng.randint(0, 40))] for _ in range(2))
+    pages.number(a), pages.number(b)
+    monkeypatch.setattr(pages, "CELLS", 5)
+    pairs = pages.Matcher().match(a, b)
     assert len(pairs) == brute_match(a, b)
-    assert all(x.tag == y.tag for x, y in pairs) and len({x.number for x, _ in pairs}) == len(pairs) == len({y.number for _, y in pairs})
+    places = [(a.kids.index(x), b.kids.index(y)) for x, y in pairs if x in a.kids]
+    assert all(i < k and j < m for (i, j), (k, m) in zip(sorted(places), sorted(places)[1:], strict=False))
+
+
+def test_pages_of_thousands_of_mixed_blocks():
+    import time
+    import tracemalloc
+
+    rng = random.Random(3)
+
+    def page():
+        return pages.parse("<body>" + "".join(rng.choice((f"<p>{i}</p>", "<ul>" + f"<li>{i}" * rng.randint(1, 4) + "</ul>")) for i in range(4000)) + "</body>")
+
+    a, b = page(), page()
+    pages.number(a), pages.number(b)
+    began = time.time()
+    tracemalloc.start()
+    pairs = pages.Matcher().match(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(pairs) > 6000 and time.time() - began < 20 and peak < 40e6
 
 
 def test_wrapper_with_much_boilerplate_and_error_pages(spark):
@@ -386,6 +420,41 @@ def test_licences_are_found_wherever_they_stand():
     assert scanner.scan("This paper is licensed to no one, under the general rule of the public.") == []
 
 
+def brute_licences(text, templates):
+    """Best containment of every template over the windows it belongs to, without any hashing."""
+    w, out = licenses.words_of(text), {}
+    for name, t in templates.items():
+        b = licenses.words_of(t)
+        exact, size = set(zip(*(b[i:] for i in range(5)), strict=False)), 4
+        while size < 2 * (len(b) - 5):
+            size *= 2
+        best = max((len(exact & set(zip(*(w[at:at + size + 4][i:] for i in range(5)), strict=False))) / len(exact) for at in range(0, len(w), size // 2)), default=0)
+        if best >= licenses.CONTAINMENT:
+            out[name] = best
+    return out
+
+
+def test_licences_equal_brute_force():
+    scanner, rng = licenses.Scanner(licenses.TEMPLATES), random.Random(5)
+    texts = list(licenses.TEMPLATES.values())
+    for _ in range(60):
+        words = []
+        for _ in range(rng.randint(0, 4)):
+            words += [f"f{rng.randrange(500)}" for _ in range(rng.randint(0, 80))]
+            some = rng.choice(texts).split()
+            begin = rng.randint(0, len(some) // 4)
+            some = [x if rng.random() > 0.03 else "changed" for x in some[begin:]]
+            words += some
+        text = " ".join(words)
+        assert {n: c for n, c, _ in scanner.scan(text)} == brute_licences(text, licenses.TEMPLATES)
+
+
+@pytest.mark.parametrize("text, name", [("This is licensed under the MIT License.", "MIT short"), ("Mozilla Public License Version 2.0", "MPL-2.0 name"),
+                                        ("// SPDX-License-Identifier: LGPL-2.1-only", "SPDX LGPL-2.1-only")])
+def test_common_short_forms(text, name):
+    assert name in [n for n, _, _ in licenses.Scanner(licenses.TEMPLATES).scan(text)]
+
+
 def test_licence_table(spark):
     mit = licenses.TEMPLATES["MIT grant"].split()
     partly = " ".join(mit[:50] + ["changed"] + mit[51:])
@@ -472,18 +541,52 @@ def test_probabilities_add_up(spark):
     rows = [(t, bool(labels[d][1])) for d, t, _ in docs]
     kn = toxicity.KneserNey(toxicity.slot_tables(toxicity.top_grams(spark.createDataFrame(rows, "text string, toxic boolean"))))
     # over all next bytes behind one context the probabilities of each class sum to one
-    for context in (b"    ", b"   b", b"grob", b"zzzz"):
-        total = np.zeros(2)
-        for nxt in range(256):
-            p = np.full(2, 1 / 256)
-            gram = context + bytes([nxt])
-            for order in range(1, toxicity.ORDER + 1):
-                key = int.from_bytes(gram[-order:], "big")
-                tot, left = kn.rest[order][:, (key >> 8) % toxicity.SLOTS % len(kn.rest[order][0])]
-                seen = np.minimum(kn.seen[order][key % toxicity.SLOTS], np.maximum(tot - left, 0))
-                p = np.where(tot > 0, seen / np.where(tot > 0, tot, 1) + left / np.where(tot > 0, tot, 1) * p, p)
-            total += p
-        assert np.all(total <= 1.01) and np.all(total > 0.9)
+    for context in (b"    ", b"   b", b"grob", b"zzzz", b"ian ", b"st b", b"zz d"):
+        flat = np.frombuffer(b"".join(context + bytes([n]) for n in range(256)), np.uint8)
+        total = kn.probabilities(flat, np.arange(256) * 5 + 4).sum(0)
+        assert np.allclose(total, 1, rtol=0, atol=1e-6)
+
+
+def brute_ratio(rows, text):
+    """Log-likelihood ratio of a text by plain counting: interpolated Kneser-Ney, orders 1 and 2 over both classes."""
+    def symbols(t):
+        units = t.lower().encode().split()
+        return [((units[i - 1][-3:] + b" ").rjust(4) if i else b"    ") + w + b" " for i, w in enumerate(units)]
+
+    n = {(5, c): {} for c in (0, 1)}
+    for t, toxic in rows:
+        for u in symbols(t):
+            for i in range(4, len(u)):
+                own = n[5, 0 if toxic else 1]
+                own[u[i - 4:i + 1]] = own.get(u[i - 4:i + 1], 0) + 1
+    lefts = {c: set(n[5, c]) for c in (0, 1)}
+    for order in range(4, 0, -1):
+        for c in (0, 1):
+            grams = lefts[c] if order > 2 else lefts[0] | lefts[1]
+            n[order, c] = {}
+            for g in grams:
+                n[order, c][g[1:]] = n[order, c].get(g[1:], 0) + 1
+        lefts = {c: {g[1:] for g in lefts[c]} for c in (0, 1)}
+
+    def p(gram, c):
+        value = 1 / 256
+        for order in range(1, 6):
+            g = gram[-order:]
+            follow = [k for q, k in n[order, c].items() if q[:-1] == g[:-1]]
+            if follow:
+                value = (max(n[order, c].get(g, 0) - 0.75, 0) + 0.75 * len(follow) * value) / sum(follow)
+        return value
+
+    return sum(np.log(p(u[i - 4:i + 1], 0)) - np.log(p(u[i - 4:i + 1], 1)) for u in symbols(text) for i in range(4, len(u)))
+
+
+def test_ratios_equal_plain_counts(spark):
+    docs, labels = labelled(spark, 40)
+    rows = [(t, bool(labels[d][1])) for d, t, _ in docs]
+    kn = toxicity.KneserNey(toxicity.slot_tables(toxicity.top_grams(spark.createDataFrame(rows, "text string, toxic boolean"))))
+    for text in (docs[0][1], docs[1][1], "grobian bal", "bal grobian", "unseen \u00e9"):
+        assert np.isclose(kn.ratios(toxicity.words_of(text))[:, 0].sum(), brute_ratio(rows, text), atol=1e-4)
+    assert not np.isclose(brute_ratio(rows, "grobian bal dest"), brute_ratio(rows, "bal dest grobian"))  # order counts
 
 
 def test_toxicity_without_labels(spark):
@@ -495,8 +598,8 @@ def test_toxicity_without_labels(spark):
 
 def test_toxicity_tables_are_exact(spark, monkeypatch):
     docs, labels = labelled(spark, 200)
-    grams = toxicity.top_grams(spark.createDataFrame([(t, bool(labels[d][1])) for d, t, _ in docs], "text string, toxic boolean")).localCheckpoint()
-    words = [b"grobian", b"dummkopf", b"bal", b"dest", b"unseen"]
+    grams = toxicity.top_grams(spark.createDataFrame([(t, bool(labels[d][1])) for d, t, _ in docs], "text string, toxic boolean"))
+    words = toxicity.words_of("grobian dummkopf bal dest unseen")
     roomy = toxicity.KneserNey(toxicity.slot_tables(grams)).ratios(words)
     monkeypatch.setattr(toxicity, "SLOTS", 11)  # fewer slots than grams, as the fixed number is for a large corpus
     assert np.allclose(roomy, toxicity.KneserNey(toxicity.slot_tables(grams)).ratios(words))
