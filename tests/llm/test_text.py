@@ -542,16 +542,14 @@ def test_probabilities_add_up(spark):
     kn = toxicity.KneserNey(toxicity.slot_tables(toxicity.top_grams(spark.createDataFrame(rows, "text string, toxic boolean"))))
     # over all next bytes behind one context the probabilities of each class sum to one
     for context in (b"    ", b"   b", b"grob", b"zzzz", b"ian ", b"st b", b"zz d"):
-        flat = np.frombuffer(b"".join(context + bytes([n]) for n in range(256)), np.uint8)
-        total = kn.probabilities(flat, np.arange(256) * 5 + 4).sum(0)
+        total = kn.probabilities(np.array([int.from_bytes(context + bytes([n]), "big") for n in range(256)])).sum(0)
         assert np.allclose(total, 1, rtol=0, atol=1e-6)
 
 
 def brute_ratio(rows, text):
     """Log-likelihood ratio of a text by plain counting: interpolated Kneser-Ney, orders 1 and 2 over both classes."""
     def symbols(t):
-        units = t.lower().encode().split()
-        return [((units[i - 1][-3:] + b" ").rjust(4) if i else b"    ") + w + b" " for i, w in enumerate(units)]
+        return [b"    " + b" ".join(t.lower().encode().split()) + b" "]
 
     n = {(5, c): {} for c in (0, 1)}
     for t, toxic in rows:
@@ -585,10 +583,22 @@ def test_ratios_equal_plain_counts(spark):
     rows = [(t, bool(labels[d][1])) for d, t, _ in docs]
     kn = toxicity.KneserNey(toxicity.slot_tables(toxicity.top_grams(spark.createDataFrame(rows, "text string, toxic boolean"))))
     for text in (docs[0][1], docs[1][1], "grobian bal", "bal grobian", "unseen \u00e9"):
-        assert np.isclose(kn.ratios(toxicity.words_of(text))[:, 0].sum(), brute_ratio(rows, text), atol=1e-4)
+        assert np.isclose(kn.ratios([b"    grob", toxicity.line_of(text)])[1, 0], brute_ratio(rows, text), atol=1e-4)
     assert not np.isclose(brute_ratio(rows, "grobian bal dest"), brute_ratio(rows, "bal dest grobian"))  # order counts
 
 
+def test_long_texts_in_steps(spark, monkeypatch):
+    docs, labels = labelled(spark, 100)
+    rows = spark.createDataFrame([(t, bool(labels[d][1])) for d, t, _ in docs], "text string, toxic boolean")
+    lines = [toxicity.line_of(t) for _, t, _ in docs]
+    whole = toxicity.top_grams(rows)
+    kn = toxicity.KneserNey(toxicity.slot_tables(whole))
+    expected, counts = kn.ratios(lines), sorted(map(tuple, whole.collect()))
+    monkeypatch.setattr(toxicity, "SYMBOLS_HELD", 37)
+    assert np.allclose(kn.ratios(lines), expected) and expected[0, 1] == len(lines[0]) - 3
+    assert sorted(map(tuple, toxicity.top_grams(rows).collect())) == counts
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     out = toxicity.score_toxicity(docs, spark.createDataFrame([], "doc_id long, toxic int"), lambda key: crc_bucket(key, 5)).collect()
@@ -599,7 +609,7 @@ def test_toxicity_without_labels(spark):
 def test_toxicity_tables_are_exact(spark, monkeypatch):
     docs, labels = labelled(spark, 200)
     grams = toxicity.top_grams(spark.createDataFrame([(t, bool(labels[d][1])) for d, t, _ in docs], "text string, toxic boolean"))
-    words = toxicity.words_of("grobian dummkopf bal dest unseen")
+    words = [toxicity.line_of(w) for w in "grobian dummkopf bal dest unseen".split()]
     roomy = toxicity.KneserNey(toxicity.slot_tables(grams)).ratios(words)
     monkeypatch.setattr(toxicity, "SLOTS", 11)  # fewer slots than grams, as the fixed number is for a large corpus
     assert np.allclose(roomy, toxicity.KneserNey(toxicity.slot_tables(grams)).ratios(words))

@@ -1,12 +1,12 @@
 """Toxicity scores from class-conditional Kneser-Ney models.
 
 Two byte n-gram models, one of toxic and one of ordinary texts, are compared by their log-likelihood ratio per symbol. Contexts
-run over word borders: a word is predicted behind the end of the word before it, so its score depends on its neighbour.
+run over word borders, words being one space apart, so a word's score depends on what stands before it.
 Orders 3 to 5 hold counts of the class (at the top how often, below it in how many
 left contexts a gram was seen, as Kneser-Ney asks); orders 1 and 2 are continuation counts of the union of both classes
 (left neighbours that both know count once), so rare expressions fall back to the same probabilities and favour no class.
 
-Counts come from every labelled training text. One task turns its words and the ends before them into distinct top-order grams,
+Counts come from every labelled training text. One task turns its texts into distinct top-order grams,
 Spark adds them up and derives all lower orders by aggregation. The tables of all orders are exact: every distinct
 gram and context of the labelled texts has a row of its own, so what is gathered and broadcast grows with them. A logistic
 curve from ratio to probability is then fitted on a held-back fold of the training rows, summed up in a histogram.
@@ -18,7 +18,6 @@ alike; other columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +31,8 @@ ORDER, SHARED = 5, 2
 #: Least slots of a table; a prime, so that packed bytes spread. A table with more rows has a slot for each.
 SLOTS = 1_048_573
 DISCOUNT = 0.75
-#: Distinct words with contexts a task holds before it counts or forgets them.
-WORDS_HELD = 300_000
+#: Symbols whose grams are looked at together; longer texts go in several steps.
+SYMBOLS_HELD = 1 << 20
 #: Histogram of ratios for the calibration.
 BINS, BIN_WIDTH = 4000, 0.0005
 
@@ -42,20 +41,19 @@ _LEAD = ORDER - 1
 _NOTHING = b" " * _LEAD
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Every word of a text behind its context: the last bytes of the word before it and one space (spaces for the first)."""
-    words = (text or "").lower().encode("utf-8", "replace").split()
-    return [lead + w for lead, w in zip([_NOTHING, *[(w[1 - _LEAD:] + b" ").rjust(_LEAD) for w in words[:-1]]], words, strict=False)]
+def line_of(text: str | None) -> bytes:
+    """The words of a text one space apart, behind the spaces its first symbols are predicted from; no words: nothing."""
+    words = b" ".join((text or "").lower().encode("utf-8", "replace").split())
+    return words and _NOTHING + words
 
 
-def _symbols(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All words with their contexts and one space behind, as bytes; positions that are predicted; the word of each."""
-    flat = np.frombuffer(b"".join(w + b" " for w in words), np.uint8)
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1 - _LEAD
-    word = np.repeat(np.arange(len(words)), sizes)
-    starts = np.cumsum(sizes + _LEAD) - sizes
-    at = np.arange(len(word)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(starts, sizes)
-    return flat, at, word
+def _symbols(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All lines, each with one space behind it, as bytes; positions that are predicted; the line of each."""
+    flat = np.frombuffer(b"".join(x + b" " for x in lines), np.uint8)
+    sizes = np.fromiter(map(len, lines), np.int64, len(lines)) + 1 - _LEAD
+    line = np.repeat(np.arange(len(lines), dtype=np.int32), sizes)
+    at = np.arange(len(line)) + _LEAD * (line + 1)  # every line so far has brought its own lead
+    return flat, at, line
 
 
 def _keys(flat: np.ndarray, at: np.ndarray, order: int) -> np.ndarray:
@@ -69,23 +67,14 @@ def _keys(flat: np.ndarray, at: np.ndarray, order: int) -> np.ndarray:
 def top_grams(labelled: DataFrame) -> DataFrame:
     """``(gram, toxic, ordinary)``: counts of the top order over all rows of ``(text, toxic)``."""
 
-    def count(held: tuple[Counter, Counter]) -> pa.RecordBatch:
-        words = list(held[0].keys() | held[1].keys())
-        flat, at, word = _symbols(words)
-        grams, place = np.unique(_keys(flat, at, ORDER), return_inverse=True)
-        sums = [np.bincount(place, np.array([c[w] for w in words], np.float64)[word], len(grams)).astype(np.int64) for c in held]
-        return pa.RecordBatch.from_arrays([pa.array(grams), pa.array(sums[0]), pa.array(sums[1])], ["gram", "toxic", "ordinary"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[Counter, Counter] = Counter(), Counter()
         for batch in batches:
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held[0 if toxic else 1].update(words_of(text))
-            if len(held[0]) + len(held[1]) > WORDS_HELD:
-                yield count(held)
-                held = Counter(), Counter()
-        if held[0] or held[1]:
-            yield count(held)
+            for own in (True, False):
+                flat, at, _ = _symbols([x for t, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if toxic is own and (x := line_of(t))])
+                for i in range(0, len(at), SYMBOLS_HELD):
+                    grams, n = np.unique(_keys(flat, at[i:i + SYMBOLS_HELD], ORDER), return_counts=True)
+                    counts = [pa.array(n), pa.array(np.zeros_like(n))]
+                    yield pa.RecordBatch.from_arrays([pa.array(grams), *(counts if own else counts[::-1])], ["gram", "toxic", "ordinary"])
 
     rows = map_batches(labelled.select("text", "toxic"), run, "gram long, toxic long, ordinary long")
     return rows.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
@@ -149,11 +138,11 @@ class KneserNey:
             self.rest[order] = np.stack([total, discount * kinds]).astype(np.float32)  # a total is its kinds at least
         self.ready = bool(tables["n", ORDER][1].sum(0).min() > 0) if tables else False
 
-    def probabilities(self, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Probabilities in both classes of the bytes at ``at`` behind those before them."""
-        p = np.full((len(at), 2), 1 / 256)
+    def probabilities(self, grams: np.ndarray) -> np.ndarray:
+        """Probabilities in both classes of the last byte of packed top-order grams behind the others."""
+        p = np.full((len(grams), 2), 1 / 256)
         for order in range(1, ORDER + 1):
-            key = _keys(flat, at, order)
+            key = grams & ((1 << (8 * order)) - 1)
             total, left = self.rest[order][:, self.slots["context", order].find(key >> 8)]
             known = total > 0
             seen = self.seen[order][self.slots["n", order].find(key)]
@@ -161,11 +150,15 @@ class KneserNey:
             p = np.where(known, seen / safe + left / safe * p, p)
         return p
 
-    def ratios(self, words: list[bytes]) -> np.ndarray:
-        """(log-likelihood ratio, symbols) of each word."""
-        flat, at, word = _symbols(words)
-        p = self.probabilities(flat, at)
-        return np.stack([np.bincount(word, np.log(p[:, 0]) - np.log(p[:, 1]), len(words)), np.bincount(word, minlength=len(words))], axis=1)
+    def ratios(self, lines: list[bytes]) -> np.ndarray:
+        """(log-likelihood ratio, symbols) of each line."""
+        flat, at, line = _symbols(lines)
+        sums = np.zeros(len(lines))
+        for i in range(0, len(at), SYMBOLS_HELD):
+            grams, place = np.unique(_keys(flat, at[i:i + SYMBOLS_HELD], ORDER), return_inverse=True)
+            p = self.probabilities(grams)
+            sums += np.bincount(line[i:i + SYMBOLS_HELD], (np.log(p[:, 0]) - np.log(p[:, 1]))[place], len(lines))
+        return np.stack([sums, np.bincount(line, minlength=len(lines))], axis=1)
 
 
 def ratio(df: DataFrame, model: KneserNey, text_col: str = "text") -> DataFrame:
@@ -175,25 +168,12 @@ def ratio(df: DataFrame, model: KneserNey, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kn = shared.value
-        number: dict[bytes, int] = {}
-        scores = np.zeros((0, 2))
         for batch in batches:
-            ids, ends, known, fresh = [], [], len(number), []
-            for text in batch.column(text_col).to_pylist():
-                if kn.ready:
-                    for w in (words := words_of(text)):
-                        if w not in number:
-                            number[w] = len(number)
-                            fresh.append(w)
-                    ids += map(number.__getitem__, words)
-                ends.append(len(ids))
-            if fresh:
-                scores = np.vstack([scores[:known], kn.ratios(fresh)])
-            sums = np.vstack([np.zeros((1, 2)), np.cumsum(scores[np.array(ids, np.int64)], axis=0)])
-            parts = np.diff(sums[[0, *ends]], axis=0)
-            value = np.where(parts[:, 1] > 0, parts[:, 0] / np.maximum(parts[:, 1], 1), 0.0)
-            if len(number) > WORDS_HELD:
-                number, scores = {}, np.zeros((0, 2))
+            lines = [line_of(t) if kn.ready else b"" for t in batch.column(text_col).to_pylist()]
+            value, has = np.zeros(len(lines)), np.flatnonzero([len(x) for x in lines])
+            if len(has):
+                parts = kn.ratios([lines[i] for i in has])
+                value[has] = parts[:, 0] / parts[:, 1]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in carried] + [pa.array(value)], [*carried, "ratio"])
 
     inputs = df.select(*carried, text_col)
