@@ -67,3 +67,15 @@ def test_missing_values_and_new_scores(spark):
     assert {r.s: r.value for r in model.values(new, "s").collect() if r.s in (-7.0, 0.0, 0.5, 1.0, 2.0, 3.0, 99.0)} == {
         -7.0: 0.5, 0.0: 0.5, 0.5: 0.75, 1.0: 1.0, 2.0: 2.0, 3.0: 3.0, 99.0: 3.0}
     assert isotonic.fit(new.limit(0).selectExpr("s", "s AS y"), "s", "y").values(new, "s").where("value IS NOT NULL").count() == 0
+
+
+def test_values_are_placed_by_running_frames(spark):
+    """A frame from a row to the end of its range is read again for every row: quadratic in the distinct scores."""
+    df = spark.createDataFrame(noisy(3000, 7), "s double, y double, w double")
+    model = isotonic.fit(df, "s", "y", "w", 128)
+    plan = model.values(df, "s")._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan
+    knots = sorted((r._score, r.value) for r in model.knots().collect())
+    new = spark.createDataFrame([(i / 700 - 0.2,) for i in range(1000)], "s double")
+    import numpy as np
+    assert all(r.value == pytest.approx(np.interp(r.s, *zip(*knots)), abs=1e-9) for r in model.values(new, "s").collect())

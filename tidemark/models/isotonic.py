@@ -76,21 +76,22 @@ class Isotonic:
 
     def values(self, scores: DataFrame, score: str) -> DataFrame:
         """``(score, value)`` for distinct scores: each is placed between its knots in the order of all, in ranges; a
-        range takes the knots around it from the ranges beside it."""
+        range takes the knots around it from the ranges beside it. Both neighbours are running values, the upper one in falling
+        order: a frame that reaches to the end would be read again for every row."""
         knots = self.knots().select("_score", C("value").alias("_v"))
         points = scores.select(C(score).cast("double").alias("_score"), F.lit(None).cast("double").alias("_v")).distinct().unionByName(knots)
         points = points.groupBy("_score").agg(F.max("_v").alias("_v")).where(C("_score").isNotNull() & ~F.isnan("_score"))
         ranges = _ranges(materialize(points, "isotonic-points"), "_score", [], [], False)
         knot = F.when(C("_v").isNotNull(), F.struct(C("_score").alias("s"), C("_v").alias("v")))
-        here = Window.partitionBy("_range").orderBy("_at")
+        here = Window.partitionBy("_range")
         inside = ranges.withColumns({
-            "_lo": F.last(knot, True).over(here.rowsBetween(Window.unboundedPreceding, 0)),
-            "_hi": F.first(knot, True).over(here.rowsBetween(0, Window.unboundedFollowing))})
+            "_lo": F.last(knot, True).over(here.orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)),
+            "_hi": F.last(knot, True).over(here.orderBy(F.desc("_at")).rowsBetween(Window.unboundedPreceding, 0))})
         sides = ranges.groupBy("_range").agg(F.min(knot).alias("_a"), F.max(knot).alias("_b"))
-        order = Window.orderBy("_range")
+        before = (Window.unboundedPreceding, -1)
         sides = sides.select(
-            C("_range").alias("_r"), F.last("_b", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_left"),
-            F.first("_a", True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_right"))
+            C("_range").alias("_r"), F.last("_b", True).over(Window.orderBy("_range").rowsBetween(*before)).alias("_left"),
+            F.last("_a", True).over(Window.orderBy(F.desc("_range")).rowsBetween(*before)).alias("_right"))
         placed = inside.join(sides, C("_range") == C("_r")).withColumns({"_lo": F.coalesce("_lo", "_left"), "_hi": F.coalesce("_hi", "_right")})
         share = (C("_score") - C("_lo.s")) / F.nullif(C("_hi.s") - C("_lo.s"), F.lit(0.0))
         value = F.coalesce(C("_lo.v") + (C("_hi.v") - C("_lo.v")) * F.coalesce(share, F.lit(0.0)), C("_lo.v"), C("_hi.v"))
