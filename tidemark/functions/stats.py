@@ -87,39 +87,56 @@ def top_share(df: DataFrame, col: str, parts: int = 10) -> DataFrame:
 def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     """Spearman correlation with average ranks for ties, per group.
 
-    Works on the joint counts of (x, y), combined before anything is shuffled. The joins that attach
-    ranks have nothing above them that needs a value's rows together, so Spark splits a value that
-    many pairs share (zeros of a heavy-tailed column).
+    Works on the joint counts of (x, y), combined before anything is shuffled. The join that attaches the
+    ranks of y has only a combining sum above it, so Spark splits a value that many pairs share (zeros of a
+    heavy-tailed column). Ranks of x meet sums per value of x and are not joined to the pairs.
     """
     by = list(by)
     data = df.select(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
     joint = materialize(data.dropna(subset=["_x", "_y"]).groupBy(*by, "_x", "_y").agg(
         F.count(F.lit(1)).alias("_n")
     ), "joint")
+    values = joint.groupBy(*by, "_y").agg(F.sum("_n").alias("n"))
+    ranked = joint.join(_centred(values, "_y", by).select(*by, "_y", "_ry"), [*by, "_y"])
+    n, ry = F.col("_n"), F.col("_ry")
+    return _rank_correlation(
+        ranked.groupBy(*by, "_x").agg(F.sum(n).alias("n"), F.sum(n * ry).alias("_sy"), F.sum(n * ry * ry).alias("_syy")), by)
 
-    def ranks(col: str, name: str) -> DataFrame:
-        values = joint.groupBy(*by, col).agg(F.sum("_n").alias("n"))
-        placed = average_ranks(values, col, by)
-        return placed.select(
-            *by, col, (F.col("avg_rank") - (F.col("rows_total") + 1) / 2).alias(name)
-        )
 
-    ranked = joint.join(ranks("_x", "_rx"), [*by, "_x"]).join(ranks("_y", "_ry"), [*by, "_y"])
-    n, rx, ry = F.col("_n"), F.col("_rx"), F.col("_ry")
-    value = F.sum(n * rx * ry) / F.nullif(
-        F.sqrt(F.sum(n * rx * rx) * F.sum(n * ry * ry)), F.lit(0.0)
-    )
-    return ranked.groupBy(*by).agg(value.alias("spearman"))
+def _centred(values: DataFrame, col: str, by: Sequence[str]) -> DataFrame:
+    """Average rank of every value less the mean rank, as ``_r`` and the column's name without its underscore."""
+    return average_ranks(values, col, by).withColumn(f"_r{col.lstrip('_')}", F.col("avg_rank") - (F.col("rows_total") + 1) / 2)
+
+
+def _rank_correlation(cells: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``cells``: a row per group and value ``_x`` with its rows ``n`` and the sums ``_sy`` and ``_syy`` of the centred ranks of y and their squares."""
+    n, rx = F.col("n"), F.col("_rx")
+    value = F.sum(rx * F.col("_sy")) / F.nullif(F.sqrt(F.sum(n * rx * rx) * F.sum("_syy")), F.lit(0.0))
+    return _centred(cells, "_x", by).groupBy(*by).agg(value.alias("spearman"))
 
 
 def spearman_all(df: DataFrame, features: Sequence[str], target: str, k: int = 12) -> DataFrame:
-    """Features with the largest absolute Spearman correlation to the target."""
-    numbers = df.select(
+    """Features with the largest absolute Spearman correlation to the target.
+
+    Among features without a missing value the target has the same ranks: they are joined to the rows once, before
+    the features are set under each other. Features with missing values rank the target among their own rows.
+    """
+    numbers = materialize(df.select(
         F.col(target).cast("double").alias("_target"),
         *[F.col(c).cast("double").alias(c) for c in features],
-    )
-    tall = numbers.unpivot(["_target"], list(features), "feature", "value")
-    corr = spearman(tall, "value", "_target", ["feature"])
+    ).dropna(subset=["_target"]), "correlated")
+    missing = numbers.agg(*[F.count_if(F.col(c).isNull() | F.isnan(c)).alias(c) for c in features]).first()
+    full, part = ([c for c in features if bool(missing[c]) == gaps] for gaps in (False, True))
+    found = []
+    if full:
+        ranked = numbers.join(_centred(value_counts(numbers, "_target"), "_target", []).select("_target", F.col("_rtarget").alias("_ry")), "_target")
+        ry = F.col("_ry")
+        cells = ranked.unpivot(["_ry"], full, "feature", "_x").groupBy("feature", "_x").agg(
+            F.count(F.lit(1)).alias("n"), F.sum(ry).alias("_sy"), F.sum(ry * ry).alias("_syy"))
+        found.append(_rank_correlation(cells, ["feature"]))
+    if part:
+        found.append(spearman(numbers.unpivot(["_target"], part, "feature", "value"), "value", "_target", ["feature"]))
+    corr = found[0] if len(found) == 1 else found[0].unionByName(found[1])
     return (
         corr.select("feature", F.abs("spearman").alias("abs_spearman"))
         .orderBy(F.desc_nulls_last("abs_spearman"), "feature")
