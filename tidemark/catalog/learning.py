@@ -194,7 +194,8 @@ def calibration(t: Tables) -> DataFrame:
     fit, held = pr.calibration_slice(train.withColumn("y", mark), "index_date", 0.8)
     model = sv.fit_gbt(fit, LTV_FEATS, "y", params=TREES)
     iso = un.fit_isotonic(sv.predict(model, held, LTV_FEATS, "p"), "p", "y")
-    scored = un.calibrate(iso, sv.predict(model, test.withColumn("y", mark), LTV_FEATS, "p"), "p", "p_cal")
+    raw = _scored(model, test.withColumn("y", mark), LTV_FEATS, "y", out="p")
+    scored = materialize(un.calibrate(iso, raw, "p", "p_cal"), "calibrated")
     parts = [sv.m.ece(scored, "y", p, 15).join(F.broadcast(sv.m.brier(scored, "y", p)))
              .select(F.lit(p).alias("score"), "ece", "brier") for p in ("p", "p_cal")]
     return parts[0].unionByName(parts[1])
