@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -181,25 +183,33 @@ def content_table(t: Tables) -> DataFrame:
 _STORES: dict[tuple[str, str], FeatureStore] = {}
 
 
-def feature_store(t: Tables) -> FeatureStore:
-    """The feature tables of the day, written once per application as the daily job would, and read by all that joins them."""
+FEATURE_TABLES = ("ltv", "churn", "billing", "content", "edge", "tasks", "quota")
+NOW_TABLES = ("content", "quota", "edge", "tasks")
+
+
+def feature_store(t: Tables, names: Sequence[str] = FEATURE_TABLES) -> FeatureStore:
+    """The feature tables of the day, each written once per application, as the daily job would, and read by all that joins them.
+    Of the tables only ``names`` and what they are made from are sure to be there."""
     spark, day = t.events.sparkSession, AS_OF.date()
     kept = (spark.sparkContext.applicationId, t.location)
-    if kept not in _STORES or not _STORES[kept].has(spark, "quota", day):
+    if kept not in _STORES:
         root = scratch_dir(spark, "features")
-        store = _STORES[kept] = FeatureStore(root, "tidemark_" + root.rsplit("-", 1)[1], 8)
-        store.write_day(spark, day, [{
-            "ltv": lambda: ltv_table(t), "content": lambda: content_table(t), "churn": lambda: churn_table(t),
-            "billing": lambda: f.user_billing_health(t.billing, AS_OF, CFG), "edge": lambda: f.user_edge(t.requests, AS_OF, CFG),
-            "tasks": lambda: f.user_tasks(t.events, AS_OF, CFG),
-        }, {"quota": lambda: f.user_storage_quota(store.read(spark, "ltv", day), t.plan_storage, store.read(spark, "content", day))}])
-    return _STORES[kept]
+        _STORES[kept] = FeatureStore(root, "tidemark_" + root.rsplit("-", 1)[1], 8)
+    store = _STORES[kept]
+    wanted = {*names, *(("ltv", "content") if "quota" in names else ())}
+    steps = [{
+        "ltv": lambda: ltv_table(t), "content": lambda: content_table(t), "churn": lambda: churn_table(t),
+        "billing": lambda: f.user_billing_health(t.billing, AS_OF, CFG), "edge": lambda: f.user_edge(t.requests, AS_OF, CFG),
+        "tasks": lambda: f.user_tasks(t.events, AS_OF, CFG),
+    }, {"quota": lambda: f.user_storage_quota(store.read(spark, "ltv", day), t.plan_storage, store.read(spark, "content", day))}]
+    store.write_day(spark, day, [{n: rows for n, rows in step.items() if n in wanted and not store.has(spark, n, day)} for step in steps])
+    return store
 
 
 def profile_table(t: Tables) -> DataFrame:
     """The profile over the stored tables, bucket by bucket."""
     spark, store = t.events.sparkSession, feature_store(t)
-    parts = [store.read(spark, name) for name in ("ltv", "churn", "billing", "content", "edge", "tasks", "quota")]
+    parts = [store.read(spark, name) for name in FEATURE_TABLES]
     return cp.customer_360(*parts, CFG)
 
 
@@ -228,8 +238,8 @@ LEFT JOIN tasks t ON t.user_id = c.user_id)"""
 
 
 def now_table(t: Tables) -> DataFrame:
-    spark, store = t.events.sparkSession, feature_store(t)
-    return f.now_features(*[store.read(spark, name) for name in ("content", "quota", "edge", "tasks")])
+    spark, store = t.events.sparkSession, feature_store(t, NOW_TABLES)
+    return f.now_features(*[store.read(spark, name) for name in NOW_TABLES])
 
 
 query("feature_now", "K-22 J-11", f"{NOW} SELECT * FROM now_f")(now_table)
