@@ -224,3 +224,48 @@ def test_columns_without_a_value_are_left_out(data):
     feats = sv.Features(("x", "nothing"), ("c",))
     for model in (sv.fit_gbt(empty, feats, "y", params=TINY), sv.fit_logreg(empty, feats, "y")):
         assert sv.predict(model, empty, feats, "p").filter("p is not null").count() == 1200
+
+
+def test_methods_that_the_jvm_would_interpret_are_split(spark):
+    """The stages before a linear model over thirty columns make one generated method that no JVM compiles; Spark is told to split it."""
+    import contextlib
+    import io
+    import re
+
+    from tidemark.session import prepare
+
+    names = [f"x{i}" for i in range(30)]
+    rows = spark.range(60).select((F.col("id") % 3).cast("string").alias("c"), *[F.when(F.col("id") % 5 > 0, F.col("id") * i % 7).alias(c) for i, c in enumerate(names)])
+    df = spark.createDataFrame(rows.collect(), rows.schema)
+    feats = sv.Features(tuple(names), ("c",))
+    prepare(spark)
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        sv.linear_preparation(df, feats).transform(feats.prepared(df)).explain("codegen")
+    largest = max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", out.getvalue())))
+    assert largest > 8000 >= int(spark.conf.get("spark.sql.codegen.hugeMethodLimit"))
+
+
+def test_shared_preparation_changes_no_score(data, monkeypatch):
+    linear, trees = sv.linear_preparation(data, FEATS), sv.tree_preparation(data, FEATS)
+    fits = [lambda p: sv.fit_logreg(data, FEATS, "y", balanced=True, prep=p and linear),
+            lambda p: sv.fit_gbt(data, FEATS, "y", params=TINY, prep=p and trees)]
+    for fit in fits:
+        own, shared = ([r[0] for r in sv.predict(fit(p), data, FEATS, "p").orderBy("row_id").select("p").collect()] for p in (False, True))
+        assert own == shared
+    own = sv.fit_two_part(data, FEATS, "value", TINY).predict(data, "v").orderBy("row_id").select("v").collect()
+    medians = []
+    with monkeypatch.context() as patch:
+        patch.setattr(sv, "tree_preparation", lambda rows, feats, f=sv.tree_preparation: medians.append(1) or f(rows, feats))
+        shared = sv.fit_two_part(data, FEATS, "value", TINY, trees).predict(data, "v").orderBy("row_id").select("v").collect()
+    assert own == shared and len(medians) == 1  # the amounts have rows of their own
+
+
+def test_effects_read_the_scores_once(data):
+    """The union with the rows of 'all' scored every row a second time."""
+    flags = data.withColumn("tau", F.rand(1)).withColumn("seg_odd", (F.col("row_id") % 2).cast("int"))
+    seen = data.sparkSession.sparkContext.accumulator(0)
+    counted = flags.rdd.map(lambda r: (seen.add(1), r)[1]).toDF(flags.schema)
+    got = {r.segment: r.rows for r in up.segment_effect(counted, ["seg_all", "seg_odd"], "tau").collect()}
+    assert got == {"all": 1200, "seg_all": 1200, "seg_odd": 600}
+    assert seen.value == 1200
