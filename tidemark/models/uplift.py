@@ -41,8 +41,8 @@ def naive_uplift(panel: DataFrame, flags: Sequence[str], label: str, min_arm: in
 def segment_effect(scored: DataFrame, flags: Sequence[str], effect: str, min_rows: int = 100,
                    weight: str = "sample_weight") -> DataFrame:
     """Weighted mean effect per segment, and over all rows as segment 'all'."""
-    rows = by_segment(scored, flags, [effect, weight]).unionByName(
-        scored.select(F.lit("all").alias("segment"), effect, weight))
+    # 'all' is a flag that every row has: beside a union the scores would be computed once more
+    rows = by_segment(scored.withColumn("all", F.lit(1)), [*flags, "all"], [effect, weight])
     return (
         rows.groupBy("segment")
         .agg(F.count(F.lit(1)).alias("rows"), (F.sum(C(effect) * C(weight)) / F.sum(weight)).alias(effect))
