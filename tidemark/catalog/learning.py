@@ -160,9 +160,9 @@ def churn_scores(t: Tables) -> DataFrame:
 @query("model_ltv_report", "M-4 M-10 M-11 M-12 M-23 M-24")
 def ltv_report(t: Tables) -> DataFrame:
     train, test = _ltv_rows(t)
-    scored = sv.persistence(test)
-    scored = sv.predict(sv.fit_gbt_reg(train, LTV_FEATS, "label_rev_365", TREES), scored, LTV_FEATS, "pred_gbm", "value")
-    scored = materialize(sv.fit_two_part(train, LTV_FEATS, "label_rev_365", TREES).predict(scored, "pred_two_part"), "ltv-scored")
+    scored, prep = sv.persistence(test), sv.tree_preparation(train, LTV_FEATS)
+    scored = sv.predict(sv.fit_gbt_reg(train, LTV_FEATS, "label_rev_365", TREES, prep), scored, LTV_FEATS, "pred_gbm", "value")
+    scored = materialize(sv.fit_two_part(train, LTV_FEATS, "label_rev_365", TREES, prep).predict(scored, "pred_two_part"), "ltv-scored")
     out = None
     for pred in ("pred_persistence", "pred_gbm", "pred_two_part"):
         row = sv.regression_report(scored, "label_rev_365", pred, "row_id", pred)
@@ -176,10 +176,11 @@ def ltv_scores(t: Tables) -> DataFrame:
     spark = t.events.sparkSession
     train, _ = _ltv_rows(t)
     path, out = scratch_dir(spark, "ltv-model"), scratch_dir(spark, "ltv-predictions")
-    sv.save_model(sv.fit_gbt_reg(train, LTV_FEATS, "label_rev_365", TREES), LTV_FEATS, path)
+    prep = sv.tree_preparation(train, LTV_FEATS)
+    sv.save_model(sv.fit_gbt_reg(train, LTV_FEATS, "label_rev_365", TREES, prep), LTV_FEATS, path)
     model, feats = sv.load_model(spark, path)
     rows = sv.predict(model, ltv.score_rows(t.revenue, AS_OF, CFG), feats, "pred_ltv_gbm", "value")
-    rows = sv.fit_two_part(train, LTV_FEATS, "label_rev_365", TREES).predict(rows, "pred_ltv_12m")
+    rows = sv.fit_two_part(train, LTV_FEATS, "label_rev_365", TREES, prep).predict(rows, "pred_ltv_12m")
     # ranking reads the predictions more than once
     scores = sc.ltv_scores(materialize(rows, "ltv-predicted"), CFG)
     sv.save_predictions(scores, scores.columns, out)
