@@ -1,5 +1,6 @@
 """SimHash trees, language ID, spans, pages, licences, BPE and toxicity: brute force, round trips and held-out accuracy."""
 
+import pickle
 import random
 import re
 
@@ -613,3 +614,24 @@ def test_toxicity_tables_are_exact(spark, monkeypatch):
     roomy = toxicity.KneserNey(toxicity.slot_tables(grams)).ratios(words)
     monkeypatch.setattr(toxicity, "SLOTS", 11)  # fewer slots than grams, as the fixed number is for a large corpus
     assert np.allclose(roomy, toxicity.KneserNey(toxicity.slot_tables(grams)).ratios(words))
+
+
+def test_toxicity_model_travels_without_empty_slots(spark, monkeypatch):
+    docs, labels = labelled(spark, 200)
+    tables = toxicity.slot_tables(toxicity.top_grams(spark.createDataFrame([(t, bool(labels[d][1])) for d, t, _ in docs], "text string, toxic boolean")))
+    lines = [toxicity.line_of(t) for _, t, _ in docs[:50]] + [toxicity.line_of("grobian unseen \u00e9")]
+    rows = sum(len(keys) for keys, _ in tables.values())
+    expected = toxicity.KneserNey(tables).ratios(lines)
+    for slots in (toxicity.SLOTS, 11):  # with room for all, and with grams that share slots
+        monkeypatch.setattr(toxicity, "SLOTS", slots)
+        model = toxicity.KneserNey(tables)
+        sent = pickle.dumps(model, pickle.HIGHEST_PROTOCOL)
+        assert len(sent) < 24 * rows + 10_000  # a key and up to four counts of 4 bytes each
+        there = pickle.loads(pickle.dumps(pickle.loads(sent)))
+        assert there.ready and np.array_equal(there.ratios(lines), model.ratios(lines)) and np.array_equal(expected, model.ratios(lines))
+
+
+def test_toxicity_model_without_rows(spark):
+    model = toxicity.KneserNey(toxicity.slot_tables(toxicity.top_grams(spark.createDataFrame([], "text string, toxic boolean"))))
+    sent = pickle.dumps(model, pickle.HIGHEST_PROTOCOL)
+    assert len(sent) < 10_000 and not pickle.loads(sent).ready

@@ -8,7 +8,8 @@ left contexts a gram was seen, as Kneser-Ney asks); orders 1 and 2 are continuat
 
 Counts come from every labelled training text. One task turns its texts into distinct top-order grams,
 Spark adds them up and derives all lower orders by aggregation. The tables of all orders are exact: every distinct
-gram and context of the labelled texts has a row of its own, so what is gathered and broadcast grows with them. A logistic
+gram and context of the labelled texts has a row of its own, so what is gathered and broadcast grows with them. Broadcast are the
+rows alone: the driver and every executor keep a copy on disk, and each Python worker lays out its slots from it. A logistic
 curve from ratio to probability is then fitted on a held-back fold of the training rows, summed up in a histogram.
 
 Defined results: a null or empty text has ratio zero, as has every text when a class is missing from the
@@ -120,24 +121,46 @@ class Slots:
             at[away] = self.size + np.where(known, place, len(self.others))
         return at
 
+    def kept(self) -> tuple[np.ndarray, np.ndarray]:
+        """All packed bytes that have a row, and their rows."""
+        at = np.flatnonzero(self.home >= 0)
+        return np.concatenate([self.home[at], self.others]), np.concatenate([at, self.size + np.arange(len(self.others))])
+
 
 class KneserNey:
     """Interpolated probabilities of both classes from the tables of all orders."""
 
     def __init__(self, tables: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]], discount: float = DISCOUNT):
-        self.seen, self.rest, self.slots = {}, {}, {}
+        rows = {}
         for order in range(1, ORDER + 1):
-            placed = []
-            for name, length in (("n", order), ("context", order - 1)):
-                keys, counts = tables[name, order]
-                slots = self.slots[name, order] = Slots(keys, 256 ** length)
-                placed.append(np.zeros((len(slots), counts.shape[1])))
-                placed[-1][slots.find(keys)] = counts
-            n, total, kinds = placed[0], placed[1][:, :2], placed[1][:, 2:]
-            self.seen[order] = np.maximum(n - discount, 0).astype(np.float32)
-            self.rest[order] = np.stack([total, discount * kinds]).astype(np.float32)  # a total is its kinds at least
+            (grams, n), (contexts, sums) = tables["n", order], tables["context", order]
+            seen = np.maximum(n - discount, 0).astype(np.float32)
+            rest = np.stack([sums[:, :2], discount * sums[:, 2:]]).astype(np.float32)  # a total is its kinds at least
+            rows[order] = grams, seen, contexts, rest
+        self._place(rows)
         self.ready = bool(tables["n", ORDER][1].sum(0).min() > 0) if tables else False
 
+    def _place(self, rows: dict[int, tuple[np.ndarray, ...]]) -> None:
+        """Lay out the slots of all orders from (grams, their rows of ``seen``, contexts, their rows of ``rest``)."""
+        self.seen, self.rest, self.slots = {}, {}, {}
+        for order, (grams, seen, contexts, rest) in rows.items():
+            n, context = self.slots["n", order], self.slots["context", order] = Slots(grams, 256 ** order), Slots(contexts, 256 ** (order - 1))
+            self.seen[order], self.rest[order] = np.zeros((len(n), 2), np.float32), np.zeros((2, len(context), 2), np.float32)
+            self.seen[order][n.find(grams)] = seen
+            self.rest[order][:, context.find(contexts)] = rest
+
+    def __getstate__(self) -> dict:
+        """The rows without the slots, most of which may be empty."""
+        rows = {}
+        for order in self.seen:
+            (grams, at), (contexts, behind) = self.slots["n", order].kept(), self.slots["context", order].kept()
+            rows[order] = grams, self.seen[order][at], contexts, self.rest[order][:, behind]
+        return {"rows": rows, "ready": self.ready}
+
+    def __setstate__(self, state: dict) -> None:
+        self._place(state["rows"])
+        self.ready = state["ready"]
+
     def probabilities(self, grams: np.ndarray) -> np.ndarray:
         """Probabilities in both classes of the last byte of packed top-order grams behind the others."""
         p = np.full((len(grams), 2), 1 / 256)
